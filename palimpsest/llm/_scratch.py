@@ -1,0 +1,42 @@
+"""Intermediate tables in the shared checkpoint folder, to cut lineage.
+
+The folder is spark.checkpoint.dir; only where the session has none (as in
+tests on one machine) a temporary folder is set.  Tables are Parquet, so a lost
+executor costs a reread, never a recomputation of the steps before.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    spark = df.sparkSession
+    at = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    _made.append(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables made so far; for callers whose results are already written."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -1,11 +1,17 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
+from palimpsest.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from palimpsest.llm.near_dedup import op10_near_dedup
+from palimpsest.llm.packing import op7_packing
 from palimpsest.llm.substring_dedup import op9_substring_dedup
 from palimpsest.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op7_packing": op7_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
