@@ -37,13 +37,15 @@ def pack(z: zstandard.ZstdCompressor, x) -> bytes:
     return z.compress(x.tobytes() if isinstance(x, np.ndarray) else x)
 
 
-def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int) -> DataFrame:
+def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int, by_id: bool = False) -> DataFrame:
     """Rows (chunk, n, ids, lens, text) hash-partitioned by chunk.
 
-    A null id becomes NULL_ID, a null text the empty text.
+    A null id becomes NULL_ID, a null text the empty text.  by_id: the chunk is
+    that of the id alone, so other tables can meet their documents by chunk.
     """
+    dealt = [F.col(id_col).cast("long")] if by_id else [F.col(id_col), F.col(text)]
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n_chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(*dealt), F.lit(n_chunks)).cast("int").alias("chunk"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )

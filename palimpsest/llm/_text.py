@@ -25,6 +25,9 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+#: For runs of letters: everything below 0x80 but A-Z and a-z separates.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[128:] = NOT_LETTER[65:91] = NOT_LETTER[97:123] = False
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +80,8 @@ class Words:
     start, end: byte ranges; offs: word offsets per document; hash: 64 bits per word.
     """
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True):
-        word = ~SEPARATOR[buf]
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True, separator: np.ndarray = SEPARATOR):
+        word = ~separator[buf]
         first = word.copy()
         first[1:] &= ~word[:-1]
         inner = offs[1:-1]
@@ -94,8 +97,8 @@ class Words:
         self.offs = np.searchsorted(self.start, offs)
         self.offs[-1] = len(self.start)
         if hashes:
-            pre = prefix((LOWER_VALUES if lower else BYTE_VALUES)[buf])
-            self.hash = spans_hash(pre, self.start, self.end)
+            self.pre = prefix((LOWER_VALUES if lower else BYTE_VALUES)[buf])
+            self.hash = spans_hash(self.pre, self.start, self.end)
 
     def room(self) -> np.ndarray:
         """For each word, the number of words from it to its document's end."""
