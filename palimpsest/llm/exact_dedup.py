@@ -1,7 +1,8 @@
 """Exact de-duplication with a heavy-hitter split; DataFrame functions only.
 
 Texts are equal when identical after white space runs become one space; equal
-SHA-256 stands for equal text.
+SHA-256 stands for equal text.  Texts are read once; ids and digests are written
+to the shared folder and all steps read those.
 
 1. A frequent-items sketch (Misra-Gries counters, Spark's ``approx_top_k``
    family) is kept per group of input partitions and merged in a second step, so
@@ -20,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm import _scratch
+
 SKETCH_ITEMS = 8192
 MERGE_GROUPS = 64
 
@@ -38,6 +41,8 @@ def heavy_hitters(rows: DataFrame, max_winners: int = 2000, min_copies: int = 50
     sketched = (
         rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(base64(digest), {SKETCH_ITEMS})").alias("s"))
+        # a group that always exists: the combining step can't take an empty partition's buffer
+        .groupBy(F.lit(0).alias("all"))
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {SKETCH_ITEMS}), {max_winners})").alias("top"))
     )
     candidates = sketched.select(F.explode("top").alias("t")).where(F.col("t.count") >= min_copies).select(F.unbase64("t.item").alias("digest"))
@@ -58,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ma
     equal text are kept or dropped alike; other columns are ignored; an empty
     table gives an empty result.
     """
-    rows = digests(docs, id_col, text)
+    rows = _scratch.table(digests(docs, id_col, text), "digests")
     winners = heavy_hitters(rows, max_winners, min_copies)
     hot = F.broadcast(winners.withColumnRenamed("digest", "w"))
     marked = rows.join(hot, rows["digest"] == F.col("w"), "left")
