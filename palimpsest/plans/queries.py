@@ -1,4 +1,492 @@
-"""Registered queries of the versioned-document engine and their DuckDB oracles."""
+"""Registered queries of the versioned-document engine; each takes (spark, sf_dir)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import hashing as H
+from palimpsest.operators import features, fragments, index, optimise, segments
+from palimpsest.plans.oracle import ORACLE_SQL, WINDOWS
+from palimpsest.session import with_package
+from palimpsest.sources import corpus
+
+#: Fixed values of the parameter sweep.
+SWEEP = (0.01, 0.05, 0.07, 0.09, 0.1, 0.5, 1, 3, 5, 7, 9, 10, 15, 20, 25, 30, 35, 40, 45, 50)
+KEYS = ("collection", "version")
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = with_package(f)
+    return f
+
+
+def content(col="toks"):
+    return F.md5(F.array_join(col, " "))
+
+
+def lengths(arrays: DataFrame) -> DataFrame:
+    return arrays.select(*KEYS, F.size("toks").alias("len"))
+
+
+def grams_of(arrays: DataFrame) -> DataFrame:
+    return features.ngrams(corpus.tokens(arrays, *KEYS), *KEYS)
+
+
+def winnow_cut(arrays: DataFrame, w: int, grams: DataFrame | None = None) -> DataFrame:
+    """Boundaries by winnowing; versions without n-grams are one block."""
+    found = features.winnow(grams_of(arrays) if grams is None else grams, w, *KEYS)
+    return found.union(arrays.where(F.size("toks") > 0).select(*KEYS, F.lit(0))).distinct()
+
+
+def winnow_blocks(arrays: DataFrame, w: int) -> DataFrame:
+    return segments.blocks(winnow_cut(arrays, w), lengths(arrays), *KEYS)
+
+
+def winnow_fragments(arrays: DataFrame, w: int = 20) -> DataFrame:
+    return fragments.cut_tokens(winnow_blocks(arrays, w), arrays, *KEYS)
+
+
+def window_tradeoff(arrays: DataFrame) -> DataFrame:
+    """collection, w, n_apps, n_frags, n_postings of single-level winnowing at several windows.
+
+    All windows share one pass over the n-grams; w is part of every later key.
+    """
+    keys = (*KEYS, "w")
+    every = F.explode(F.array(*(F.lit(float(w)) for w in WINDOWS))).alias("w")
+    zero = arrays.where(F.size("toks") > 0).select(*KEYS, every, F.lit(0).alias("pos"))
+    bounds = features.winnow_many(grams_of(arrays), WINDOWS, *KEYS).union(zero).distinct()
+    blocks = segments.blocks(bounds, lengths(arrays).select("*", every), *keys)
+    cut = fragments.cut_tokens(blocks, arrays, *KEYS)
+    one = cut.groupBy("collection", "w", "hash").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("size"))
+    return one.groupBy("collection", "w").agg(F.sum("size").alias("n_apps"), F.count(F.lit(1)).alias("n_frags"), F.sum("len").cast("long").alias("n_postings"))
+
+
+def candidates(arrays: DataFrame, w: int = 20, total: int = 3, sliding_from: int = 1 << 30) -> DataFrame:
+    """Candidate fragments of all levels, hashed."""
+    level_rows = segments.levels(winnow_blocks(arrays, w), total, sliding_from, *KEYS)
+    return fragments.cut_tokens(level_rows, arrays, *KEYS)
+
+
+# --- sources -----------------------------------------------------------------
+
+
+@query
+def scan_documents(spark, sf_dir):
+    return corpus.token_arrays(spark, sf_dir).select("doc_id", F.size("toks").cast("long").alias("n_tokens"), content().alias("content"))
+
+
+@query
+def collections(spark, sf_dir):
+    return corpus.versions(spark, sf_dir).select("collection", F.col("version").cast("long").alias("version"), "doc_id", F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query
+def version_counts(spark, sf_dir):
+    return corpus.catalog(corpus.versions(spark, sf_dir))
+
+
+@query
+def version_lengths(spark, sf_dir):
+    return corpus.conversations(spark, sf_dir).select(*KEYS, F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query
+def catalog_lookup(spark, sf_dir):
+    return corpus.catalog(corpus.conversations(spark, sf_dir).where(F.col("collection").isin(0, 7, 11, 99999)))
+
+
+@query
+def posting_decode(spark, sf_dir):
+    return corpus.decode_postings(corpus.encode_postings(corpus.conversations(spark, sf_dir), *KEYS), *KEYS).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def vocabulary(spark, sf_dir):
+    return corpus.vocabulary(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id")).select("term", "freq", F.col("term_id").cast("long"))
+
+
+@query
+def sweep_grid(spark, sf_dir):
+    grid = F.explode(F.array(*(F.lit(float(w)) for w in SWEEP))).alias("w")
+    return corpus.versions(spark, sf_dir).select("collection").distinct().select("collection", grid)
+
+
+@query
+def prefix_base(spark, sf_dir):
+    """Exclusive prefix sums of version counts: sums per range of collections first, then inside each range."""
+    counts = corpus.catalog(corpus.conversations(spark, sf_dir)).withColumnRenamed("n_versions", "n").withColumn("part", F.expr("collection div 4096"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("part").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    own = Window.partitionBy("part").orderBy("collection").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.join(base.select("part", "base"), "part").select("collection", "n", (F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("base"))
+
+
+# --- filters and whole-corpus figures ------------------------------------------
+
+
+@query
+def filter_range(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").where(F.col("doc_id").between(100, 299)).select("doc_id", "n_chars")
+
+
+@query
+def filter_long_versions(spark, sf_dir):
+    rows = corpus.versions(spark, sf_dir).select("collection", F.col("version").cast("long").alias("version"), F.size("toks").cast("long").alias("n_tokens"))
+    return rows.where(F.col("n_tokens") > H.NGRAM)
+
+
+@query
+def filter_oversize(spark, sf_dir):
+    return doc_sizes(spark, sf_dir).where("n_tokens <= 2000")
+
+
+@query
+def mark_anomalies(spark, sf_dir):
+    return corpus.versions(spark, sf_dir).groupBy("collection").agg((F.max(F.size("toks")) > 2000).alias("anomalous"))
+
+
+@query
+def single_versions(spark, sf_dir):
+    one = corpus.versions(spark, sf_dir).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("toks")).cast("long").alias("n_postings")).where("n = 1")
+    return one.select("collection", F.lit(1).alias("n_frags"), F.lit(1).alias("n_apps"), "n_postings")
+
+
+@query
+def equal_versions(spark, sf_dir):
+    rows = corpus.versions(spark, sf_dir).select("collection", F.col("version").cast("long").alias("version"), content().alias("c"))
+    a, b = rows.withColumnRenamed("version", "first"), rows.withColumnRenamed("version", "second")
+    return a.join(b, ["collection", "c"]).where("first < second").select("collection", "first", "second")
+
+
+@query
+def doc_sizes(spark, sf_dir):
+    return corpus.versions(spark, sf_dir).groupBy("collection").agg(F.sum(F.size("toks")).alias("n_tokens"))
+
+
+@query
+def doc_count(spark, sf_dir):
+    return corpus.versions(spark, sf_dir).agg(F.count_distinct("collection").alias("n_collections"), F.count(F.lit(1)).alias("n_versions"), F.sum(F.size("toks")).alias("n_postings"))
+
+
+@query
+def sample_docs(spark, sf_dir):
+    return optimise.sample(corpus.table(spark, sf_dir, "documents"), "doc_id", 50)
+
+
+@query
+def sampled_sizes(spark, sf_dir):
+    chosen = corpus.table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return corpus.token_arrays(spark, sf_dir).join(chosen, "doc_id", "left_semi").select("doc_id", F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query
+def unsampled_sizes(spark, sf_dir):
+    chosen = corpus.table(spark, sf_dir, "labels").select("doc_id")
+    return corpus.token_arrays(spark, sf_dir).join(chosen, "doc_id", "left_anti").select("doc_id", F.size("toks").cast("long").alias("n_tokens"))
+
+
+# --- hashes and features -------------------------------------------------------
+
+
+@query
+def word_hash(spark, sf_dir):
+    terms = corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id").select("term").distinct()
+    return features.hashed_tokens(terms).select("wid", "b").distinct()
+
+
+@query
+def content_hash(spark, sf_dir):
+    rows = corpus.token_arrays(spark, sf_dir).select("doc_id", content().alias("content"))
+    return rows.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def ngram_hash(spark, sf_dir):
+    agg = [F.count(F.lit(1)).alias("n"), F.sum("h").alias("sum_h"), F.min("h").alias("min_h"), F.max("h").alias("max_h")]
+    return grams_of(corpus.versions(spark, sf_dir)).groupBy("collection", F.col("version").cast("long").alias("version")).agg(*agg)
+
+
+@query
+def ngram_hash_positions(spark, sf_dir):
+    return grams_of(corpus.conversations(spark, sf_dir)).select(*KEYS, F.col("pos").cast("long").alias("pos"), "h")
+
+
+def _longs(df, *cols):
+    return df.select(*(F.col(c).cast("long").alias(c) if c in ("version", "pos", "idx", "start", "end", "parent", "radius", "length", "offset", "len") else c for c in cols))
+
+
+@query
+def ngram_freq(spark, sf_dir):
+    rows = features.frequencies(grams_of(corpus.versions(spark, sf_dir)), *KEYS).where("freq > 1 or diff <> 0")
+    return _longs(rows, *KEYS, "pos", "freq", "diff")
+
+
+@query
+def winnow_boundaries(spark, sf_dir):
+    return _longs(winnow_cut(corpus.versions(spark, sf_dir), 20), *KEYS, "pos")
+
+
+@query
+def dominance_radius(spark, sf_dir):
+    return _longs(features.radii(grams_of(corpus.conversations(spark, sf_dir)), *KEYS), *KEYS, "pos", "radius")
+
+
+@query
+def varbyte_sizes(spark, sf_dir):
+    return corpus.token_arrays(spark, sf_dir).select("doc_id", F.size("toks").cast("long").alias("n")).withColumn("size", H.varbyte_size(F.col("n")))
+
+
+# --- segmentation --------------------------------------------------------------
+
+
+@query
+def cut_threshold(spark, sf_dir):
+    arrays = corpus.conversations(spark, sf_dir)
+    return _longs(segments.threshold_cut(features.radii(grams_of(arrays), *KEYS), lengths(arrays).where("len > 0"), 5, *KEYS), *KEYS, "pos")
+
+
+@query
+def cut_tree(spark, sf_dir):
+    return _longs(segments.tree_cut(features.frequencies(grams_of(corpus.versions(spark, sf_dir)), *KEYS), *KEYS, jump=3), *KEYS, "pos")
+
+
+def feature_arrays(arrays: DataFrame) -> DataFrame:
+    """collection, version, len, freq, radius, both as arrays by position."""
+    grams = grams_of(arrays)
+    freq = features.frequencies(grams, *KEYS)
+    rows = freq.join(features.radii(grams, *KEYS), [*KEYS, "pos"]).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "freq", "radius"))).alias("f"))
+    return lengths(arrays).join(rows, [*KEYS], "left").select(*KEYS, "len", F.coalesce("f.freq", F.expr("array()").cast("array<bigint>")).alias("freq"), F.coalesce("f.radius", F.expr("array()").cast("array<int>")).alias("radius"))
+
+
+@query
+def cut_jump(spark, sf_dir):
+    return segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, max_block=400)
+
+
+@query
+def cut_relative_jump(spark, sf_dir):
+    return segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, relative=True)
+
+
+@query
+def level_merge(spark, sf_dir):
+    return _longs(segments.merge_level(winnow_blocks(corpus.versions(spark, sf_dir), 20), False, *KEYS), *KEYS, "idx", "start", "end")
+
+
+@query
+def level_merge_skip(spark, sf_dir):
+    return _longs(segments.merge_level(winnow_blocks(corpus.versions(spark, sf_dir), 20), True, *KEYS), *KEYS, "idx", "start", "end")
+
+
+@query
+def hierarchy(spark, sf_dir):
+    rows = segments.levels(winnow_blocks(corpus.versions(spark, sf_dir), 20), 1, 1 << 30, *KEYS)
+    return _longs(segments.contained(rows, *KEYS), *KEYS, "idx", "parent")
+
+
+@query
+def cut_histogram(spark, sf_dir):
+    return _longs(segments.cut_lengths(winnow_blocks(corpus.versions(spark, sf_dir), 20), *KEYS), "length", "n")
+
+
+@query
+def compare_cutters(spark, sf_dir):
+    arrays = corpus.versions(spark, sf_dir)
+    n = [features.winnow(grams_of(arrays), w, *KEYS).union(arrays.where(F.size("toks") > 0).select(*KEYS, F.lit(0))).distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name)) for w, name in ((20, "n_first"), (40, "n_second"))]
+    return _longs(n[0].join(n[1], [*KEYS]).where("n_first > n_second"), *KEYS, "n_first", "n_second")
+
+
+@query
+def repair_candidates(spark, sf_dir):
+    return segments.repair_cut(corpus.conversations(spark, sf_dir), down=0)
+
+
+# --- fragments -------------------------------------------------------------------
+
+
+@query
+def fragment_dict(spark, sf_dir):
+    return _longs(fragments.dictionary(winnow_fragments(corpus.versions(spark, sf_dir))), "collection", "hash", "len", "size")
+
+
+@query
+def fragment_scores(spark, sf_dir):
+    rows = fragments.dictionary(winnow_fragments(corpus.versions(spark, sf_dir)))
+    n, size, w = F.col("len").cast("double"), F.col("size").cast("double"), F.lit(10.0)
+    return rows.select("collection", "hash", F.round(fragments.score(n, size, w), 6).alias("score"), F.round(fragments.grammar_score(n, size, w), 6).alias("grammar_score"))
+
+
+@query
+def overlap_pairs(spark, sf_dir):
+    base = winnow_blocks(corpus.versions(spark, sf_dir), 20)
+    both = base.select(*KEYS, (F.col("idx") * 2).alias("id"), "start", "end").unionByName(segments.merge_level(base, False, *KEYS).select(*KEYS, (F.col("idx") * 2 + 1).alias("id"), "start", "end"))
+    return fragments.overlaps(both, 64, *KEYS).groupBy("collection", F.col("version").cast("long").alias("version")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def select_cover(spark, sf_dir):
+    return fragments.select_covers(candidates(corpus.versions(spark, sf_dir)), [1.0])
+
+
+@query
+def select_cover_totals(spark, sf_dir):
+    """Tokens that the chosen cover holds per collection, and versions it doesn't hold exactly once."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    covers = fragments.select_covers(candidates(arrays), [1.0])
+    faults = fragments.coverage_faults(covers, arrays).groupBy("collection").agg(F.count(F.lit(1)).alias("faults"))
+    held = covers.groupBy("collection").agg(F.sum("len").alias("covered"))
+    return held.join(faults, "collection", "left").select("collection", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+
+
+@query
+def select_cover_grammar(spark, sf_dir):
+    arrays = corpus.conversations(spark, sf_dir)
+    cut = fragments.cut_tokens(segments.repair_cut(arrays, 1), arrays, *KEYS)
+    return fragments.select_covers(cut, [1.0], grammar=True)
+
+
+@query
+def round_trip(spark, sf_dir):
+    """Versions rebuilt from the postings and applications of the chosen cover."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    covers = fragments.select_covers(candidates(arrays), [1.0])
+    return fragments.restore(covers, fragments.first_postings(covers, arrays)).select("collection", "version", content().alias("content"))
+
+
+@query
+def first_postings(spark, sf_dir):
+    rows = fragments.dictionary(winnow_fragments(corpus.versions(spark, sf_dir)))
+    return _longs(rows.select("collection", "hash", "len", "first.version", "first.offset"), "collection", "hash", "len", "version", "offset")
+
+
+@query
+def version_fragments(spark, sf_dir):
+    rows = winnow_fragments(corpus.versions(spark, sf_dir)).select("collection", F.col("version").cast("long").alias("version"), "hash").distinct()
+    return rows.groupBy("collection", "version").agg(F.md5(F.array_join(F.array_sort(F.collect_list("hash")), " ")).alias("fragments"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def mergeable_fragments(spark, sf_dir):
+    cut = winnow_fragments(corpus.versions(spark, sf_dir))
+    return fragments.mergeable(cut.select("collection", F.col("hash").alias("id"), "version", F.col("start").alias("offset"), "len"))
+
+
+# --- optimisation ------------------------------------------------------------------
+
+
+@query
+def tradeoff_windows(spark, sf_dir):
+    return window_tradeoff(corpus.versions(spark, sf_dir))
+
+
+@query
+def sweep_tradeoff(spark, sf_dir):
+    """The 20-value sweep over multi-level candidates."""
+    arrays = corpus.versions(spark, sf_dir)
+    return fragments.tradeoff(fragments.select_covers(candidates(arrays), list(SWEEP)))
+
+
+@query
+def best_window(spark, sf_dir):
+    return optimise.best_by_cost(window_tradeoff(corpus.versions(spark, sf_dir)))
+
+
+@query
+def pareto_frontier(spark, sf_dir):
+    return optimise.frontier(window_tradeoff(corpus.versions(spark, sf_dir)))
+
+
+@query
+def unchanged_collections(spark, sf_dir):
+    return optimise.unchanged(window_tradeoff(corpus.versions(spark, sf_dir)))
+
+
+@query
+def valid_steps(spark, sf_dir):
+    rows = optimise.steps(window_tradeoff(corpus.versions(spark, sf_dir)))
+    return rows.select("collection", "w_from", "w_to", (F.col("apps_to") - F.col("apps_from")).alias("apps"), (F.col("post_from") - F.col("post_to")).alias("saved"))
+
+
+@query
+def compare_methods(spark, sf_dir):
+    rows = window_tradeoff(corpus.versions(spark, sf_dir))
+    a = rows.where("w = 40").select("collection", F.col("n_apps").alias("first_apps"))
+    return a.join(rows.where("w = 5").select("collection", F.col("n_apps").alias("second_apps")), "collection").where("first_apps < second_apps")
+
+
+@query
+def reduction(spark, sf_dir):
+    arrays = corpus.versions(spark, sf_dir)
+    total = arrays.groupBy("collection").agg(F.sum(F.size("toks")).alias("total"))
+    rows = window_tradeoff(arrays).join(total, "collection").groupBy("w").agg(F.sum("n_postings").alias("after"), F.sum("total").alias("before"))
+    return rows.withColumn("ratio", F.round(F.col("after") / F.col("before"), 6))
+
+
+@query
+def chosen_or_default(spark, sf_dir):
+    arrays = corpus.versions(spark, sf_dir)
+    chosen = window_tradeoff(arrays).where("n_apps > 3").groupBy("collection").agg(F.min("w").alias("w"))
+    return optimise.with_chosen(arrays.select("collection", F.lit(0.0).alias("w")).distinct(), chosen).select("collection", "w")
+
+
+@query
+def budget_choice(spark, sf_dir):
+    """One window per collection under a budget of 1.5 times the least number of applications."""
+    rows = optimise.frontier(window_tradeoff(corpus.versions(spark, sf_dir)))
+    least = rows.groupBy("collection").agg(F.min("n_apps").alias("m")).agg(F.sum("m")).first()[0] or 0
+    return optimise.spend_ordered(rows, int(least * 1.5))
+
+
+# --- indexes ------------------------------------------------------------------------
+
+
+@query
+def inverted_index(spark, sf_dir):
+    return index.lexicon(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"))
+
+
+@query
+def index_lists(spark, sf_dir):
+    """The per-version index of all conversation turns, lists as text digests."""
+    rows = corpus.tokens(corpus.conversations(spark, sf_dir), *KEYS).withColumn("doc", F.struct(*KEYS))
+    lists = index.build(rows, doc="doc")
+    text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docid"]["collection"], p["docid"]["version"], p["pos"])), " ")
+    return lists.select("term", F.col("freq").cast("long").alias("freq"), F.md5(text).alias("postings"))
+
+
+@query
+def index_merge(spark, sf_dir):
+    """Three index blocks of disjoint documents, merged."""
+    rows = corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id")
+    merged = index.merge(*(index.build(rows.where(F.col("doc_id") % 3 == k)) for k in range(3)))
+    text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docid"], p["pos"])), " ")
+    return merged.select("term", "freq", "n_docs", F.md5(text).alias("postings"))
+
+
+@query
+def forward_restore(spark, sf_dir):
+    return index.restore(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), "doc_id").select("doc_id", content().alias("content"))
+
+
+@query
+def lookup_all_terms(spark, sf_dir):
+    return index.all_terms(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), ["the", "of", "and"])
+
+
+@query
+def lookup_phrase(spark, sf_dir):
+    rows = index.phrase(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), ["of", "the"])
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+@query
+def copy_ranges(spark, sf_dir):
+    """What each version copies from the version before it, runs of at least 5 tokens."""
+    rows = corpus.tokens(corpus.versions(spark, sf_dir), *KEYS)
+    found = index.copy_ranges(rows, rows.withColumn("version", F.col("version") + 1), 5, *KEYS)
+    return found.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "rstart", "vstart", "len")))
+
+
+__all__ = ["ORACLE_SQL", "QUERIES", "SWEEP"]
