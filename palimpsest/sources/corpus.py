@@ -35,10 +35,17 @@ def word_id(term="term") -> Column:
 
 
 def collection_key(toks="toks") -> Column:
-    """Smallest MD5 of the n-grams: near copies meet, at a bounded group size.  Short texts: MD5 of all."""
-    toks = F.col(toks)
-    grams = F.transform(F.sequence(F.lit(0), F.size(toks) - NGRAM), lambda i: F.md5(F.array_join(F.slice(toks, i + 1, NGRAM), " ")))
-    return F.when(F.size(toks) >= NGRAM, F.array_min(grams)).otherwise(F.md5(F.array_join(toks, " ")))
+    """Smallest MD5 of the n-grams: near copies meet, at a bounded group size.  Short texts: MD5 of all.
+
+    The array is bound once: a filter on the key that the optimizer moves below
+    the projection would otherwise tokenise the text again for every n-gram.
+    """
+
+    def key(t):
+        grams = F.transform(F.sequence(F.lit(0), F.size(t) - NGRAM), lambda i: F.md5(F.array_join(F.slice(t, i + 1, NGRAM), " ")))
+        return F.when(F.size(t) >= NGRAM, F.array_min(grams)).otherwise(F.md5(F.array_join(t, " ")))
+
+    return F.transform(F.array(F.col(toks)), key)[0]
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
