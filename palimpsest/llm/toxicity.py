@@ -3,7 +3,9 @@
 Fitting reads a bounded sample of labelled rows (``max_per_class`` of each label,
 by smallest hash of the id).  Terms are lower-cased letter runs and their first
 4, 5 and 6 bytes; those kept are the ``max_terms`` with the greatest likelihood
-ratio between the labels, at least ``MIN_RATIO``.  Examples become unit TF-IDF
+ratio between the labels, at least ``MIN_RATIO``, that are ``MIN_LIFT`` times as
+frequent under one label as under the other; weaker ones tell long texts from
+short ones rather than toxic from clean.  Examples become unit TF-IDF
 vectors in an inverted index whose postings are grouped in blocks of ``BLOCK``
 examples with each term's largest weight per block.
 
@@ -28,6 +30,7 @@ from palimpsest.llm import _text as T
 
 BLOCK = 64
 MIN_RATIO = 30.0
+MIN_LIFT = 3.0
 PREFIXES = (4, 5, 6)
 U64 = np.uint64
 
@@ -186,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     g = 2 * (
         part(F.col("n0"), df * n0, whole) + part(F.col("n1"), df * n1, whole) + part(n0 - F.col("n0"), (whole - df) * n0, whole) + part(n1 - F.col("n1"), (whole - df) * n1, whole)
     )
-    top = counts.withColumn("g", g).where(F.col("g") >= MIN_RATIO).orderBy(F.desc("g"), "term").limit(max_terms).select("term", df.alias("df")).collect()
+    lift = (F.col("n1") * n0 >= F.col("n0") * (MIN_LIFT * n1)) | (F.col("n0") * n1 >= F.col("n1") * (MIN_LIFT * n0))
+    top = counts.withColumn("g", g).where((F.col("g") >= MIN_RATIO) & lift).orderBy(F.desc("g"), "term").limit(max_terms).select("term", df.alias("df")).collect()
     if not top:
         return Index(np.zeros(0, U64), np.zeros(0), empty, empty, np.zeros(1, np.int64), empty, np.zeros(0), np.zeros((0, 0)), (1.0, 1.0), k, np.zeros(1), np.zeros(1), rate)
     vocabulary = np.array([r["term"] for r in top], np.int64).view(U64)
