@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import _scratch
 from palimpsest.llm import _text as T
+from palimpsest.llm._filters import only_wanted
 from palimpsest.llm.components import components
 
 BANDS, ROWS, BATCH = 30, 5, 30
@@ -37,7 +38,7 @@ PERMS = BANDS * ROWS
 MISS = 1e-7
 WIDE = 48
 BLOCK = 512
-SALT = 256
+SALT = 64
 _r = np.random.Generator(np.random.PCG64(77))
 _A = (_r.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _B = _r.integers(0, 1 << 32, PERMS, dtype=np.uint32)
@@ -135,8 +136,9 @@ def _beside(edges: DataFrame, payload: DataFrame, kind: str) -> DataFrame:
     """
     count = edges.groupBy("star").agg(F.count(F.lit(1)).alias("c")).select("star", F.ceil(F.col("c") / SALT).cast("int").alias("salts"))
     salted = edges.join(count, "star").select("star", F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "id")
-    members = salted.join(payload.withColumnRenamed("node", "id"), "id").select("star", "salt", F.lit(1).alias("kind"), "id", kind)
-    stars = count.join(payload, count["star"] == payload["node"]).select("star", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("star").alias("id"), kind)
+    wanted = salted.select("id").distinct()
+    members = salted.join(only_wanted(payload.withColumnRenamed("node", "id"), "id", wanted), "id").select("star", "salt", F.lit(1).alias("kind"), "id", kind)
+    stars = only_wanted(payload.withColumnRenamed("node", "star"), "star", count).select("star", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("star").alias("id"), kind)
     return stars.union(members).repartition("star", "salt").sortWithinPartitions("star", "salt", "kind", "id")
 
 
@@ -284,31 +286,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     least = least_matches(percent / 100, MISS)
     sigs = nodes.select("node", "sig")
 
-    def band_rows(frame, *cols):
-        width = 4 * ROWS
-        keys = F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)).alias("band")) for b in range(BANDS)))
-        return frame.select(*cols, F.explode(keys).alias("k")).select(*cols, "k.no", "k.band")
-
-    bands = band_rows(nodes, "node")
-    leads = bands.groupBy("no", "band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star != last").drop("last")
-    first = _scratch.table(bands.join(leads, ["no", "band"]).where("node != star").select(F.col("node").alias("id"), "star").distinct(), "pairs")
+    width = 4 * ROWS
+    keys = F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)).alias("band")) for b in range(BANDS)))
+    bands = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.no", "k.band")
+    # bands with several members only: all later steps read this table
+    leads = bands.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("star != last").drop("last")
+    shared = _scratch.table(only_wanted(bands, "band", _scratch.table(leads, "leads")), "shared")
+    first = _scratch.table(shared.where("node != star").select(F.col("node").alias("id"), "star").distinct(), "pairs")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         alive = _scratch.table(_beside(pairs, sigs, "sig").mapInArrow(_prune(least), "id long, star long"), f"{name}-alive")
         wanted = alive.select(F.col("id").alias("doc_id")).union(alive.select(F.col("star").alias("doc_id"))).distinct()
-        texts = src.join(wanted, "doc_id").select(F.col("doc_id").alias("node"), "text")
+        texts = _scratch.table(only_wanted(src, "doc_id", wanted).select(F.col("doc_id").alias("node"), "text"), f"{name}-texts")
         return _scratch.table(_beside(alive, texts, "text").mapInArrow(_verify(shingle, percent), "id long, star long"), f"{name}-links")
 
     links = confirmed(first, "first")
     label = components(links.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    label = _scratch.table(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "labels")
-
-    live = bands.join(label, "node").groupBy("no", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("no", "band", "size")
-    live = _scratch.table(live, "live")
-    members = bands.join(live, ["no", "band"]).join(label, "node")
+    labelled = _scratch.table(shared.join(label, "node", "left").select("no", "band", "size", "node", F.coalesce("component", "node").alias("comp")), "labelled")
+    live = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
+    members = labelled.join(live, "band")
     small = _scratch.table(members.where(F.col("size") <= WIDE), "small")
-    a, b = (small.select("no", "band", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("id", "star"))
-    rest = a.join(b, ["no", "band"]).where("star < id and comp_id != comp_star").select("id", "star").distinct().join(first, ["id", "star"], "left_anti")
+    a, b = (small.select("band", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("id", "star"))
+    rest = a.join(b, "band").where("star < id and comp_id != comp_star").select("id", "star").distinct().join(first, ["id", "star"], "left_anti")
     more = confirmed(_scratch.table(rest, "rest"), "rest")
     links = links.union(more)
 
@@ -320,13 +319,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         blocks = dealt.select("no", "band", F.col("node").alias("id"), "comp", "own", other)
         blocks = blocks.select("no", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"), "id", "comp")
         chosen = wide.select(F.col("node").alias("doc_id")).distinct()
-        sets = src.join(chosen, "doc_id").mapInArrow(_sets(shingle), "node long, set binary")
-        full = _scratch.table(sigs.join(sets, "node"), "sets").withColumnRenamed("node", "id")
+        sets = only_wanted(src, "doc_id", chosen).mapInArrow(_sets(shingle), "node long, set binary")
+        full = _scratch.table(only_wanted(sigs, "node", chosen.withColumnRenamed("doc_id", "node")).join(sets, "node"), "sets").withColumnRenamed("node", "id")
         got = blocks.join(full, "id").groupBy("no", "band", "i", "j").applyInArrow(_block_links(least, percent), "id long, star long")
         links = links.union(_scratch.table(got, "wide-links"))
 
     final = components(links.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    by_key = classes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    by_key = nodes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     out = described.select("doc_id", "n", "key").join(by_key, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
