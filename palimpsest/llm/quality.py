@@ -16,8 +16,9 @@ orders are continuation counts, as Kneser-Ney asks for.
    order, which gives each its interpolated log probability.
 4. Each shard answers its chunks; each chunk sums its documents' log
    probabilities.
-5. A language's threshold is a quantile of the perplexity of its trusted
-   documents; languages without any use that of all trusted documents.
+5. A quarter of the trusted documents, by hash of the id, isn't learned from.  A
+   language's threshold is a quantile of their perplexity times a slack factor;
+   languages with fewer than ``FEW`` of them use the quantile of all.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from palimpsest.llm import _text as T
 
 ORDER = 5
 SHARDS_PER_CHUNK = 4
+FEW = 20
 START = 2  # a control byte stands for the beginning of a text
 
 
@@ -205,24 +207,26 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return out.select("doc_id", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.2) -> DataFrame:
     """One row per input row: doc_id, lang, n_bytes, perplexity, threshold, keep.
 
-    keep: the perplexity is at most the threshold, the ``quantile`` of trusted
-    documents of the same language (a null language is one of its own); texts
-    without bytes aren't kept.  Without any trusted text all others are kept.
-    ids must be unique to give each row its own language; other columns are ignored.
+    keep: the perplexity is at most the threshold, ``slack`` times the ``quantile``
+    of held-out trusted documents of the same language (a null language is one of
+    its own); texts without bytes aren't kept.  Without any held-out trusted text
+    all others are kept.  ids must be unique to give each row its own language;
+    other columns are ignored.
     """
-    scored = _scratch.table(perplexities(docs, trusted), "perplexity")
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(6)), F.lit(4)) == 0
+    scored = _scratch.table(perplexities(docs, trusted.where(~held)), "perplexity")
     langs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")).groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = scored.join(langs, scored["doc_id"].eqNullSafe(langs["doc_id"])).select(scored["doc_id"], "lang", "n_bytes", "perplexity")
-    good = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    good = trusted.where(held).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     limit = rows.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    at = F.percentile_approx("perplexity", quantile, 10000).alias("own")
-    by_lang = limit.groupBy("lang").agg(at)
+    at = F.percentile_approx("perplexity", quantile, 10000)
+    by_lang = limit.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= FEW).drop("c")
     of_all = limit.agg(at.alias("of_all")).first()["of_all"]
     out = rows.join(by_lang, "lang", "left")
-    threshold = F.coalesce("own", F.lit(of_all).cast("double"))
+    threshold = F.coalesce("own", F.lit(of_all).cast("double")) * slack
     return out.select("doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("keep"))
 
 

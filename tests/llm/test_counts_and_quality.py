@@ -108,7 +108,7 @@ def test_perplexity_against_plain(spark):
         s = pad + b
         nll = -sum(math.log(p(s[k - Q.ORDER + 1 : k + 1])) for k in range(Q.ORDER - 1, len(s))) / len(b)
         assert math.isclose(got[i].perplexity, math.exp(nll), rel_tol=1e-4)
-    kept = {x.doc_id: x.keep for x in Q.classify(docs, trusted, 0.9).collect()}
+    kept = {x.doc_id: x.keep for x in Q.classify(docs, trusted).collect()}
     assert len(kept) == len(rows) and not kept[60] and not kept[62] and not kept[61]
     assert sum(kept[i] for i in range(0, 50, 2)) >= 22
     assert Q.classify(docs.limit(0), trusted).count() == 0
