@@ -8,6 +8,8 @@ exchange is the same plan in every pass, so Spark writes it once and reuses it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -16,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).max
 
 PACKED = pa.schema([("chunk", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
@@ -72,8 +74,16 @@ def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int, by_id: bool =
     return rows.mapInArrow(deal, "chunk int, n int, ids binary, lens binary, text binary").repartition("chunk")
 
 
+def settle() -> None:
+    """Give freed memory back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def unpack(table: pa.Table):
     """(ids, large_binary texts) of one chunk, ordered by id, then text."""
+    settle()
     z = zstandard.ZstdDecompressor()
     ids, parts = [], []
     for n, i, lens, text in zip(*(table.column(c).to_pylist() for c in ("n", "ids", "lens", "text")), strict=True):

@@ -39,7 +39,11 @@ from palimpsest.llm.substring_dedup import _joined, _keys, _low
 
 SEED = 20
 RUN = 31
-BATCH = 150_000
+BATCH = 10_000
+PIECES = 2_000
+#: Pieces repeat each byte about four times, so buckets hold less of the corpus than elsewhere.
+MORE_BUCKETS = 4
+BLOCK_BYTES = 1 << 18
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
 
 
@@ -102,7 +106,7 @@ def anchor_pass(n_buckets: int, length: int):
     def run(table: pa.Table) -> pa.Table:
         ids, texts = C.unpack(table)
         chunk, anchors, docs = table.column("chunk")[0].as_py(), [], []
-        for lo, _, buf, offs in T.blocks(ids, texts):
+        for lo, _, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
             p = Pieces(buf, offs, lo, length)
             anchors.append(_keys(p.anchor, n_buckets))
             docs.append(p.doc)
@@ -154,7 +158,7 @@ def piece_pass(n_buckets: int, length: int):
             hits = np.sort(np.concatenate([_joined(b, np.frombuffer(k, np.uint32)) for b, k in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist(), strict=True)]))
             ids, texts = C.unpack(left)
             chunk, got = left.column("chunk")[0].as_py(), []
-            for lo, _, buf, offs in T.blocks(ids, texts):
+            for lo, _, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
                 p = Pieces(buf, offs, lo, length)
                 p.keep(T.in_sorted(_keys(p.anchor, n_buckets), hits))
                 h = p.content(length)
@@ -217,7 +221,7 @@ def repeats_of(text: np.ndarray, start: np.ndarray, n: np.ndarray, length: int):
         cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + BATCH, side="left"), len(edges) - 1)]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
-        rows = padded[begin[own][:, None] + np.arange(width)]
+        rows = padded[begin[own].astype(np.int32)[:, None] + np.arange(width, dtype=np.int32)]
         rows[np.arange(width) >= room[own][:, None]] = 0
         rank = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
         own, rows = own[rank], rows[rank]
@@ -239,6 +243,7 @@ def scan_bucket(length: int):
     """Of one bucket: per chunk, the covered parts of its pieces: content hash, offset, bytes."""
 
     def run(table: pa.Table) -> pa.Table:
+        C.settle()
         z = zstandard.ZstdDecompressor()
         lens, chunks, docs, texts = [], [], [], []
         for c, n, index, ids, text in zip(*(table.column(x).to_pylist() for x in ("chunk", "lens", "index", "ids", "text")), strict=True):
@@ -266,7 +271,7 @@ def scan_bucket(length: int):
         least = doc[lead]
         # members of a content with a larger document are covered as a whole
         late = np.flatnonzero(doc > least[group])
-        out_p, out_o, out_l = [late], [np.zeros(len(late), np.int64)], [n[late]]
+        out_p, out_o, out_l = [late], [np.zeros(len(late), np.uint8)], [n[late].astype(np.uint8)]
         # anchors with several contents: the enhanced suffix array
         a = anchor[lead]
         heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
@@ -275,12 +280,12 @@ def scan_bucket(length: int):
         if len(several):
             # all members, by content, smallest document first
             member_at = np.append(first, len(order))
-            got_p, got_o, got_l = [], [], []
             cuts = [0]
             edges = np.cumsum(count[count > 1])
             while cuts[-1] < len(several):
-                cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + 20_000, side="left"), len(edges) - 1)]))
+                cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + PIECES, side="left"), len(edges) - 1)]))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                got_p, got_o, got_l = [], [], []
                 own = several[lo:hi]
                 m = n[lead[own]]
                 part = _spread(text, start[lead[own]], m)
@@ -292,7 +297,8 @@ def scan_bucket(length: int):
                         got_p.append(q + lo)
                         got_o.append(at)
                         got_l.append(depth)
-            if got_p:
+                if not got_p:
+                    continue
                 # the longest cover per suffix; it holds for every member of the content
                 gp, go, gl = np.array(got_p), np.array(got_o), np.array(got_l)
                 rank = np.lexsort((-gl, go, gp))
@@ -305,8 +311,8 @@ def scan_bucket(length: int):
                 member = order[member_at[g][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size)]
                 need = doc[member] == least[g[rep]]
                 out_p.append(member[need])
-                out_o.append(go[rep][need])
-                out_l.append(gl[rep][need])
+                out_o.append(go[rep][need].astype(np.uint8))
+                out_l.append(gl[rep][need].astype(np.uint8))
         p, o, l = map(np.concatenate, (out_p, out_o, out_l))  # noqa: E741
         rank = np.lexsort((o, content[p], chunk[p]))
         p, o, l = p[rank], o[rank], l[rank]  # noqa: E741
@@ -335,7 +341,7 @@ def cover_pass(n_buckets: int, length: int):
             # pieces of this chunk with the same content: those after the smallest id are covered as a whole
             first_doc: dict = {}
             blocks, hs, docs = [], [], []
-            for lo, hi, buf, offs in T.blocks(ids, texts):
+            for lo, hi, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
                 p = Pieces(buf, offs, lo, length)
                 c = p.content(length)
                 blocks.append((lo, hi, p.start, p.runs, p.doc, len(c)))
@@ -351,7 +357,7 @@ def cover_pass(n_buckets: int, length: int):
                 lead = np.repeat(order[head], np.diff(np.append(head, len(k))))
                 again[order] = ids[doc[order]] > ids[doc[lead]]
             done = 0
-            for (lo, hi, start, runs, _, m), (_, _, buf, offs) in zip(blocks, T.blocks(ids, texts), strict=True):
+            for (lo, hi, start, runs, _, m), (_, _, buf, offs) in zip(blocks, T.blocks(ids, texts, BLOCK_BYTES), strict=True):
                 c, whole = content[done : done + m], again[done : done + m]
                 done += m
                 a, b = np.searchsorted(h, c, side="left"), np.searchsorted(h, c, side="right")
@@ -393,6 +399,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     if not SEED < length <= 225:
         raise ValueError("length must be from 21 to 225 bytes")
     n_chunks, n_buckets = C.sizes(C.corpus_bytes(docs, text))
+    n_buckets *= MORE_BUCKETS
     chunks = C.packed(docs, id_col, text, n_chunks)
     anchors = chunks.groupBy("chunk").applyInArrow(anchor_pass(n_buckets, length), "bucket int, chunk int, keys binary, flags binary")
     hits = anchors.groupBy("bucket").applyInArrow(answer_anchors, "chunk int, bucket int, keys binary")
