@@ -94,12 +94,14 @@ def merge_level(level: DataFrame, skip: bool, *keys: str) -> DataFrame:
 
 def levels(base: DataFrame, total: int, sliding_from: int, *keys: str) -> DataFrame:
     """All levels with their number: sliding merges once a version has fewer than ``sliding_from`` blocks, else skipping ones."""
+    at = Window.partitionBy(*keys).orderBy("idx")
     level, out = base, base.withColumn("level", F.lit(0))
     for k in range(1, total + 1):
-        counted = level.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        small = merge_level(counted.where(F.col("n") < sliding_from).drop("n"), False, *keys)
-        large = merge_level(counted.where(F.col("n") >= sliding_from).drop("n"), True, *keys)
-        level = small.unionByName(large)
+        # both merges from one window, so the plan doesn't branch at each level
+        rows = level.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("e1", F.lead("end").over(at)).withColumn("e2", F.lead("end", 2).over(at))
+        slides = F.col("n") < sliding_from
+        end = F.when(slides, F.col("e1")).otherwise(F.when(F.col("idx") % 2 == 0, F.col("e2")))
+        level = rows.select(*keys, F.when(slides, F.col("idx")).otherwise(F.expr("idx div 2")).cast("int").alias("idx"), "start", end.alias("end")).where("end is not null")
         out = out.unionByName(level.withColumn("level", F.lit(k)))
     return out
 

@@ -65,7 +65,9 @@ def window_tradeoff(arrays: DataFrame) -> DataFrame:
 
 def candidates(arrays: DataFrame, w: int = 20, total: int = 3, sliding_from: int = 1 << 30) -> DataFrame:
     """Candidate fragments of all levels, hashed."""
-    level_rows = segments.levels(winnow_blocks(arrays, w), total, sliding_from, *KEYS)
+    # the level chain and the cover read this several times
+    base = winnow_blocks(arrays, w).persist()
+    level_rows = segments.levels(base, total, sliding_from, *KEYS)
     return fragments.cut_tokens(level_rows, arrays, *KEYS)
 
 
@@ -334,7 +336,7 @@ def select_cover(spark, sf_dir):
 def select_cover_totals(spark, sf_dir):
     """Tokens that the chosen cover holds per collection, and versions it doesn't hold exactly once."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = fragments.select_covers(candidates(arrays), [1.0])
+    covers = fragments.select_covers(candidates(arrays), [1.0]).persist()
     faults = fragments.coverage_faults(covers, arrays).groupBy("collection").agg(F.count(F.lit(1)).alias("faults"))
     held = covers.groupBy("collection").agg(F.sum("len").alias("covered"))
     return held.join(faults, "collection", "left").select("collection", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
@@ -351,7 +353,7 @@ def select_cover_grammar(spark, sf_dir):
 def round_trip(spark, sf_dir):
     """Versions rebuilt from the postings and applications of the chosen cover."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = fragments.select_covers(candidates(arrays), [1.0])
+    covers = fragments.select_covers(candidates(arrays), [1.0]).persist()
     return fragments.restore(covers, fragments.first_postings(covers, arrays)).select("collection", "version", content().alias("content"))
 
 
