@@ -302,7 +302,7 @@ def compare_cutters(spark, sf_dir):
 
 @query
 def repair_candidates(spark, sf_dir):
-    return segments.repair_cut(corpus.conversations(spark, sf_dir), down=0)
+    return segments.repair_cut(corpus.versions(spark, sf_dir), down=8)
 
 
 # --- fragments -------------------------------------------------------------------
@@ -344,8 +344,8 @@ def select_cover_totals(spark, sf_dir):
 
 @query
 def select_cover_grammar(spark, sf_dir):
-    arrays = corpus.conversations(spark, sf_dir)
-    cut = fragments.cut_tokens(segments.repair_cut(arrays, 1), arrays, *KEYS)
+    arrays = corpus.versions(spark, sf_dir)
+    cut = fragments.cut_tokens(segments.repair_cut(arrays, 8), arrays, *KEYS)
     return fragments.select_covers(cut, [1.0], grammar=True)
 
 

@@ -140,6 +140,56 @@ def test_repair_blocks_cover_the_text():
     assert segments.repair_blocks(list("abab"), 0) == [(0, 2), (2, 4)]
 
 
+def plain_repair(versions):
+    """RePair the slow way: counts all pairs anew for each symbol; the final sequences as nested pairs."""
+    seqs = [list(v) for v in versions]
+    while True:
+        count = {}
+        for seq in seqs:
+            last = {}
+            for i, pair in enumerate(zip(seq, seq[1:])):
+                if last.get(pair) != i - 1:
+                    count[pair] = count.get(pair, 0) + 1
+                    last[pair] = i
+        best = max(count, key=count.get, default=None)
+        if best is None or count[best] < 2:
+            return seqs
+        for k, seq in enumerate(seqs):
+            out, i = [], 0
+            while i < len(seq):
+                take = tuple(seq[i : i + 2]) == best
+                out.append(best if take else seq[i])
+                i += 1 + take
+            seqs[k] = out
+
+
+def test_repair_grammar_spans_all_versions(spark):
+    def levels(seq, down):
+        size = lambda x: sum(map(size, x)) if isinstance(x, tuple) else 1
+        at, level, out = 0, [], []
+        for x in seq:
+            level.append((x, at))
+            at += size(x)
+        for k in range(down + 1):
+            out += [(k, p, p + size(x)) for x, p in level]
+            level = [c for x, p in level if isinstance(x, tuple) for c in ((x[0], p), (x[1], p + size(x[0])))]
+        return out
+
+    r = random.Random(4)
+    for _ in range(300):
+        versions = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 4))]
+        for down in (0, 1, 8):
+            assert segments.repair_nodes(versions, down) == [levels(seq, down) for seq in plain_repair(versions)]
+    # a run that occurs once per version is one symbol of the collection's grammar
+    run = [f"w{i}" for i in range(12)]
+    df = spark.createDataFrame([(1, 0, ["a", *run, "b"]), (1, 1, ["c", *run, "d", "e"]), (2, 0, run)], "collection long, version long, toks array<string>")
+    got = {(x.collection, x.version, x.start, x.end) for x in segments.repair_cut(df, 8).collect() if x.level == 0}
+    assert {(1, 0, 1, 13), (1, 1, 1, 13)} <= got and (2, 0, 0, 1) in got
+    covers = fragments.select_covers(fragments.cut_tokens(segments.repair_cut(df, 8), df, "collection", "version"), [1.0], grammar=True)
+    assert fragments.coverage_faults(covers, df).count() == 0
+    assert sorted((x.version, x.offset) for x in covers.where("collection = 1 and len = 12").collect()) == [(0, 1), (1, 1)]
+
+
 def test_catalog_and_parameter_files(spark, tmp_path):
     from palimpsest.sources import corpus
 
