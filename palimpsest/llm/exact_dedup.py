@@ -76,12 +76,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ma
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged.
 
-    Rows with equal text and the same id are one repeated row each and all stay
-    or go together (see exact_groups); ids are expected to be unique.
+    Decided per (id, text): rows with equal text and the same id all stay or go
+    together (see exact_groups); other texts of a null or repeated id are rows
+    of their own.
     """
-    gone = exact_groups(docs, id_col, text, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    null_gone = docs[id_col].cast("long").eqNullSafe(gone["_gone"])
-    return docs.join(gone, null_gone, "left_anti")
+    gone = exact_groups(docs, id_col, text, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_gone_digest")).distinct()
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text), 256)))
+    same = marked[id_col].cast("long").eqNullSafe(gone["_gone"]) & (marked["_digest"] == gone["_gone_digest"])
+    return marked.join(gone, same, "left_anti").drop("_digest")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

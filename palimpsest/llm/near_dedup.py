@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _scratch
@@ -253,14 +253,19 @@ def _block_links(least, percent):
     return run
 
 
+def row_id(doc_id, text) -> Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64(doc_id, text)
+
+
 def _by_row(src: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """near_duplicates where ids are null or stand for several texts: rows get ids of their own."""
-    rows = _scratch.table(src.withColumn("row", F.xxhash64("doc_id", "text")), "rows")
+    """near_duplicates, and row, where ids are null or stand for several texts: rows get ids of their own."""
+    rows = _scratch.table(src.withColumn("row", row_id("doc_id", "text")), "rows")
     found = _scratch.table(near_duplicates(rows.select("row", "text").distinct(), "row", "text", shingle, percent), "by-row")
     both = rows.select("row", "doc_id").join(found.withColumnRenamed("doc_id", "row"), "row")
     names = both.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     out = both.join(names, "component_id")
-    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"), "row")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -275,7 +280,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     only non-null ids name it: a group of null ids has a null component and stays
     whole; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    return _groups(docs, id_col, text, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates; with row, where an id doesn't tell the rows apart."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = _scratch.table(src.mapInArrow(_describe(shingle), "doc_id long, n long, key binary, sig binary"), "signatures")
     unclear = described.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("doc_id is null or a != b")
@@ -332,9 +341,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, all columns unchanged."""
-    gone = near_duplicates(docs, id_col, text, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of ``docs`` that stay: one document of each group, all columns unchanged.
+
+    Decided per row: other texts of a null or repeated id stay or go by themselves.
+    """
+    dropped = _groups(docs, id_col, text, shingle, percent).where(~F.col("kept"))
+    if "row" not in dropped.columns:
+        gone = dropped.select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    marked = docs.withColumn("_row", row_id(F.col(id_col).cast("long"), F.col(text)))
+    same = marked[id_col].cast("long").eqNullSafe(gone["_gone"]) & (marked["_row"] == gone["_gone_row"])
+    return marked.join(gone, same, "left_anti").drop("_row")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

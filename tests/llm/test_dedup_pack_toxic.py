@@ -33,6 +33,18 @@ def test_exact_groups(spark):
     assert E.exact_groups(df.limit(0)).count() == 0
 
 
+def test_only_copies_are_dropped_of_null_and_repeated_ids(spark):
+    from palimpsest.llm import near_dedup as N
+
+    t = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, t), (None, t), (None, "a text of its own with a null id"), (None, "yet another one"), (7, t), (7, "quite another text under the same id"), (7, "")]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "doc_id long, text string, _n int")
+    want = sorted([(1, t), *((i, x) for i, x in rows[1:] if x != t)], key=repr)
+    for kept in (E.drop_exact_duplicates(df), E.drop_exact_duplicates(df, min_copies=2), N.drop_near_duplicates(df)):
+        assert kept.columns == df.columns
+        assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == want
+
+
 def test_heavy_hitters_are_verified(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
