@@ -1,18 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are a stated query set.  They are read in blocks of bounded size
 (``BLOCK_ITEMS`` items, ``BLOCK_BYTES`` of text); each block is broadcast and the
-documents are scanned twice per block, without a shuffle.
-
-1. The first scan counts the block's words in the corpus.  An n-gram of an item
-   is a rare seed if its probability under independent words is at most
-   ``RARE``; the rarest four of an item always are seeds.  Rarity by words, not
-   by how often the n-gram itself occurs, so a leak copied a million times
-   stays visible.
-2. The second scan joins document n-grams to seeds by hash.  Around the hits,
-   document and item are aligned by words (match 2, mismatch -1, gap -1); the
-   score is the best local alignment over that of a whole exact copy.  Edited and
-   paraphrased copies lose a little score for each edit.
+documents are scanned once per block, without a shuffle.
+
+1. All 3-grams of an item are seeds, however frequent its words are, so a copy
+   that keeps any three adjacent words is aligned, whatever else was edited.
+2. The scan joins document n-grams to seeds by hash.  A pair whose document, or
+   whose window around the hits, shares too few words with the item for any
+   alignment to reach the threshold is left out; that loses no match.
+3. Around the hits, document and item are aligned by words (match 2, mismatch -1,
+   gap -1); the score is the best local alignment over that of a whole exact
+   copy.  Edited and paraphrased copies lose a little score for each edit.
 
 Words are lower-cased letter runs, so changes of case, punctuation and white
 space don't count.
@@ -31,7 +30,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _text as T
 
 SEED_WORDS = 3
-RARE = 1e-9
+#: Scores are rounded to six digits before they meet the threshold.
+ROUNDING = 1e-6
 BLOCK_ITEMS = 50_000
 BLOCK_BYTES = 16 << 20
 RESULT = "doc_id long, item_id long, score double, first_word long, last_word long, matched_words long, item_words long"
@@ -72,13 +72,16 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
 
 @dataclass
 class Items:
-    """One block of test items: word hashes, and the seeds (hash, item, position), sorted by hash."""
+    """One block of test items: word hashes, words by number, and the seeds (hash, item, position), sorted by hash."""
 
     ids: list
     words: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    vocabulary: np.ndarray  # sorted distinct words
+    code: np.ndarray  # vocabulary number of every word of every item
+    offs: np.ndarray  # item i's words are code[offs[i] : offs[i + 1]]
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text: str):
@@ -94,57 +97,49 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text: str):
         yield ids, texts
 
 
-def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """Occurrences of each vocabulary word in all documents, and of all words."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        vocab = held.value
-        count = np.zeros(len(vocab) + 1, np.int64)
-        for batch in batches:
-            for _, _, buf, offs in T.blocks(None, pc.utf8_lower(batch.column(0))):
-                h = words_of(buf, offs).hash
-                at = np.searchsorted(vocab, h)
-                at[at == len(vocab)] = 0
-                count[:-1] += np.bincount(at[vocab[at] == h], minlength=len(vocab))
-                count[-1] += len(h)
-        has = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array(count[has], pa.int64())], names=["w", "n"])
-
-    got = docs.select(F.col("text").alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    count = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in got:
-        count[r["w"]] = r["n"]
-    return count[:-1], int(count[-1])
-
-
-def _prepare(docs: DataFrame, ids, texts, n: int) -> Items | None:
+def _prepare(ids, texts, n: int) -> Items | None:
     buf_offs = list(T.blocks(None, pc.utf8_lower(pa.array(texts, pa.string())), 1 << 40))
     if not buf_offs:
         return None
     _, _, buf, offs = buf_offs[0]
     w = words_of(buf, offs)
     words = [w.hash[a:b] for a, b in zip(w.offs[:-1], w.offs[1:], strict=True)]
-    vocabulary = np.unique(w.hash)
     grams = T.rolling_hash(T.prefix(w.hash), n)
-    ok = w.room()[: len(grams)] >= n
-    if not ok.any():
+    chosen = np.flatnonzero(w.room()[: len(grams)] >= n)
+    if not len(chosen):
         return None
-    count, total = _word_counts(docs, vocabulary)
-    p = np.log((count[np.searchsorted(vocabulary, w.hash)] + 0.5) / max(1, total))
-    rarity = np.convolve(p, np.ones(n), "valid")[: len(grams)]
     item = np.repeat(np.arange(len(words)), np.diff(w.offs))[: len(grams)]
     at = (np.arange(len(w.start)) - np.repeat(w.offs[:-1], np.diff(w.offs)))[: len(grams)]
-    own = np.flatnonzero(ok)
-    order = own[np.lexsort((own, rarity[own], item[own]))]
-    first = np.searchsorted(item[order], item[order], side="left")
-    chosen = order[(np.arange(len(order)) - first < 4) | (rarity[order] <= np.log(RARE))]
     chosen = chosen[np.argsort(grams[chosen], kind="stable")]
-    return Items(ids, words, grams[chosen], item[chosen], at[chosen])
-
-
-def matches(items: Items, buf, offs, lo: int, n: int):
-    """(document, item, score, first word, last word, matched words) of the best alignment per pair."""
+    vocabulary, code = np.unique(w.hash, return_inverse=True)
+    return Items(ids, words, grams[chosen], item[chosen], at[chosen], vocabulary, code.astype(np.int64), w.offs)
+
+
+def _possible(items: Items, w: T.Words, doc: np.ndarray, item: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs (document, item) share words for at least ``need`` matches of the item."""
+    size = len(items.vocabulary)
+    code = np.searchsorted(items.vocabulary, w.hash)
+    code[code == size] = 0
+    known = items.vocabulary[code] == w.hash
+    # only words of documents with a pair
+    wanted = np.zeros(len(w.offs) - 1, bool)
+    wanted[doc] = True
+    owner = np.repeat(np.arange(len(w.offs) - 1), np.diff(w.offs))
+    known &= wanted[owner]
+    have = np.unique(owner[known] * size + code[known])
+    ok = np.zeros(len(doc), bool)
+    for lo in range(0, len(doc), 1 << 14):
+        d, i = doc[lo : lo + (1 << 14)], item[lo : lo + (1 << 14)]
+        begin, n = items.offs[i], items.offs[i + 1] - items.offs[i]
+        rep = np.repeat(np.arange(len(d)), n)
+        place = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + begin[rep]
+        hit = T.in_sorted(d[rep] * size + items.code[place], have)
+        ok[lo : lo + (1 << 14)] = np.bincount(rep[hit], minlength=len(d)) >= need[lo : lo + (1 << 14)]
+    return ok
+
+
+def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
+    """(document, item, score, first word, last word, item words) of the best alignment per pair; others may miss below the threshold."""
     w = words_of(buf, offs)
     h = T.rolling_hash(T.prefix(w.hash), n)
     hit = np.flatnonzero(T.in_sorted(h, items.seed) & (w.room()[: len(h)] >= n))
@@ -156,6 +151,13 @@ def matches(items: Items, buf, offs, lo: int, n: int):
     s = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
     pairs = np.stack([doc[rep], items.item[s], hit[rep] - items.at[s]], 1)
     pairs = np.unique(pairs, axis=0)
+    # a score of least needs least / 2 matches
+    sizes = np.diff(items.offs)
+    new = np.flatnonzero(np.r_[True, (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)])
+    ok = _possible(items, w, pairs[new, 0], pairs[new, 1], (threshold - ROUNDING) * sizes[pairs[new, 1]])
+    pairs = pairs[np.repeat(ok, np.diff(np.r_[new, len(pairs)]))]
+    if not len(pairs):
+        return
     cuts = np.flatnonzero((np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)) + 1
     for group in np.split(pairs, cuts):
         d, i = int(group[0, 0]), int(group[0, 1])
@@ -172,7 +174,11 @@ def matches(items: Items, buf, offs, lo: int, n: int):
                 end = min(high, group[k, 2] + size + slack)
             k += 1
             if end > max(begin, done):
-                got = smith_waterman(own, w.hash[begin:end])
+                part = w.hash[begin:end]
+                most = min(int(np.isin(own, part).sum()), int(np.isin(part, own).sum()))
+                if most < (threshold - ROUNDING) * size:
+                    continue
+                got = smith_waterman(own, part)
                 if got[0] > best[0]:
                     best = (got[0], got[1] + int(begin - low), got[2] + int(begin - low))
                 done = end if end - begin >= 20 * size else -1
@@ -182,7 +188,7 @@ def matches(items: Items, buf, offs, lo: int, n: int):
 
 def _blocks_of(docs: DataFrame, benchmark: DataFrame, n: int):
     for ids, texts in _item_blocks(benchmark, "item_id", "text"):
-        if items := _prepare(docs, ids, texts, n):
+        if items := _prepare(ids, texts, n):
             yield docs.sparkSession.sparkContext.broadcast(items)
 
 
@@ -201,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             for batch in batches:
                 rows = []
                 for lo, _, buf, offs in T.blocks(None, pc.utf8_lower(batch.column(1))):
-                    for d, i, score, a, b, size in matches(held.value, buf, offs, lo, n):
+                    for d, i, score, a, b, size in matches(held.value, buf, offs, lo, n, threshold):
                         if score >= threshold:
                             rows.append((d, held.value.ids[i], round(score, 6), a, b, b - a + 1, size))
                 best: dict = {}
@@ -230,7 +236,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             for batch in batches:
                 ok = np.ones(batch.num_rows, bool)
                 for lo, _, buf, offs in T.blocks(None, pc.utf8_lower(batch.column(at))):
-                    for d, _, score, *_ in matches(held.value, buf, offs, lo, n):
+                    for d, _, score, *_ in matches(held.value, buf, offs, lo, n, threshold):
                         ok[d] &= round(score, 6) < threshold
                 yield batch.filter(pa.array(ok))
 

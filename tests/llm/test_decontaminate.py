@@ -59,6 +59,42 @@ def test_planted_copies(spark):
     assert D.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_edited_copies_of_a_frequent_item(spark):
+    """A third of all rows hold the item, so each of its words is frequent; edits hit its first words."""
+    r = random.Random(6)
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    item = [f"item{name(k)}" for k in range(20)]
+    rows, want = [], set()
+    for i in range(300):
+        w = [f"word{name(r.randrange(3000))}" for _ in range(60)]
+        if i % 3 == 0:
+            copy = list(item)
+            if i % 2:
+                copy[2:4] = ["edited", "here"]
+            elif i % 4:
+                copy = copy[5:]
+            elif i % 12 == 0:
+                copy[4::5] = ["changed"] * len(copy[4::5])
+            at = r.randint(0, len(w))
+            w[at:at] = copy
+            want.add(i)
+        rows.append((i, " ".join(w)))
+    # an item of very frequent words, with an edit inside its rarest ones
+    common = "the of and in to the of a in the and of to a the in and to of the".split()
+    rows += [(1000 + i, " ".join(r.choice(common) for _ in range(8)) + f" x{name(i)}") for i in range(100)]
+    rows.append((2000, "some words " + " ".join(common[:9] + ["other"] + common[10:]) + " and more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(common))], "item_id long, text string")
+    got = D.contaminated(docs, bench).collect()
+    assert {x.doc_id for x in got if x.item_id == 1} == want
+    assert 2000 in {x.doc_id for x in got if x.item_id == 2}
+    for x in got:
+        text, own = dict(rows)[x.doc_id].split(), item if x.item_id == 1 else common
+        assert x.score == round(plain(own, text) / (2 * len(own)), 6) >= 0.5
+    kept = {x.doc_id for x in D.drop_contaminated(docs, bench).collect()}
+    assert kept == {i for i, _ in rows} - {x.doc_id for x in got}
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "nothing here at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(["alpha beta gamma delta epsilon", "beta gamma delta epsilon zeta", "x y z"])], "item_id long, text string")
