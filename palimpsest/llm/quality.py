@@ -17,8 +17,8 @@ orders are continuation counts, as Kneser-Ney asks for.
 4. Each shard answers its chunks; each chunk sums its documents' log
    probabilities.
 5. A quarter of the trusted documents, by hash of the id, isn't learned from.  A
-   language's threshold is a quantile of their perplexity times a slack factor;
-   languages with fewer than ``FEW`` of them use the quantile of all.
+   language's threshold is a quantile of their perplexity; languages with fewer
+   than ``FEW`` of them use the quantile of all.
 """
 
 from __future__ import annotations
@@ -207,11 +207,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return out.select("doc_id", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack: float = 1.2) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99) -> DataFrame:
     """One row per input row: doc_id, lang, n_bytes, perplexity, threshold, keep.
 
-    keep: the perplexity is at most the threshold, ``slack`` times the ``quantile``
-    of held-out trusted documents of the same language (a null language is one of
+    keep: the perplexity is at most the threshold, the ``quantile`` of that of
+    held-out trusted documents of the same language (a null language is one of
     its own); texts without bytes aren't kept.  Without any held-out trusted text
     all others are kept.  ids must be unique to give each row its own language;
     other columns are ignored.
@@ -226,7 +226,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, slack:
     by_lang = limit.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= FEW).drop("c")
     of_all = limit.agg(at.alias("of_all")).first()["of_all"]
     out = rows.join(by_lang, "lang", "left")
-    threshold = F.coalesce("own", F.lit(of_all).cast("double")) * slack
+    threshold = F.coalesce("own", F.lit(of_all).cast("double"))
     return out.select("doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), (F.col("perplexity").isNotNull() & (threshold.isNull() | (F.col("perplexity") <= threshold))).alias("keep"))
 
 

@@ -116,6 +116,18 @@ def test_perplexity_against_plain(spark):
     assert free[62] and not free[60]
 
 
+def test_threshold_is_the_quantile(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("abcde") for _ in range(3)) for _ in range(30)), "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in Q.classify(docs, docs.select("doc_id")).collect()}
+    limits = {x.threshold for x in got.values()}
+    assert len(limits) == 1
+    # with a quantile of 0.99 and some 30 held out, the threshold is the largest of their perplexities
+    assert limits <= {x.perplexity for x in got.values()}
+    assert all(x.keep == (x.perplexity <= x.threshold) for x in got.values())
+
+
 def test_keys_hold_the_bytes_before():
     buf = np.frombuffer(b"ab  \ncd", np.uint8)
     key, at = Q.grams(buf, np.array([0, 5, 5, 7]))
