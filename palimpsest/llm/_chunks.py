@@ -30,9 +30,9 @@ def corpus_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0)
 
 
-def sizes(total: int) -> tuple[int, int]:
+def sizes(total: int, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
     """(number of chunks, number of hash buckets) for so many bytes of text."""
-    return max(16, math.ceil(total / CHUNK_BYTES)), max(16, math.ceil(total / BUCKET_BYTES))
+    return max(16, math.ceil(total / chunk_bytes)), max(16, math.ceil(total / BUCKET_BYTES))
 
 
 def pack(z: zstandard.ZstdCompressor, x) -> bytes:
