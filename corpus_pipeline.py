@@ -20,6 +20,15 @@ from palimpsest.llm.toxicity import drop_toxic, fit
 from palimpsest.session import ship
 
 
+_tables: list[str] = []
+
+
+def _stage_tables(spark: SparkSession):
+    """Tables of the stage that begins; those of earlier stages, whose results are written, go."""
+    _scratch.release(spark, _tables)
+    return _scratch.owned(_tables)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; the scores are learned from labelled rows that aren't held out."""
     ship(spark)
@@ -28,21 +37,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return drop_exact_duplicates(docs)
+    with _stage_tables(spark):
+        return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
     ship(spark)
-    _scratch.release(spark)  # docs were written: tables of earlier stages are done with
-    return drop_near_duplicates(docs, shingle=5, percent=80)
+    with _stage_tables(spark):
+        return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     ship(spark)
-    _scratch.release(spark)
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with _stage_tables(spark):
+        return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
