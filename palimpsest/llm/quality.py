@@ -26,8 +26,6 @@ its text, in the same order.  Tables are dropped as soon as nothing reads them.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,6 +40,8 @@ ORDER = 5
 SHARDS_PER_CHUNK = 2
 #: n-gram types of a chunk level off, so larger chunks send fewer.
 CHUNK_BYTES = 8 << 20
+#: Log probabilities are summed in steps of 1 / UNIT.
+UNIT = 1 << 30
 START = 2  # a control byte stands for the beginning of a text
 
 
@@ -153,16 +153,16 @@ def perplexity_pass(n_shards: int):
             got = sorted(zip(right.column("shard").to_pylist(), right.column("logp").to_pylist(), strict=True))
             logp = np.concatenate([np.zeros(0, np.float32), *(np.ascontiguousarray(np.frombuffer(z.decompress(b), np.uint8).reshape(4, -1).T).view(np.float32).ravel() for _, b in got)])
             order = np.argsort(keys)
-            keys, logp = keys[order], logp[order].astype(np.float64)
+            # whole numbers, so a sum doesn't depend on the block that a document is in
+            keys, units = keys[order], np.round(logp[order].astype(np.float64) * UNIT).astype(np.int64)
             for lo, hi, buf, offs in T.blocks(ids, texts):
                 key, at = grams(buf, offs)
-                place = np.searchsorted(keys, key)
-                # per document, over its distinct n-grams in order, so the sum doesn't depend on the block
-                for d in range(hi - lo):
-                    k, c = np.unique(place[at[d] : at[d + 1]], return_counts=True)
-                    out["doc_id"].append(None if ids[lo + d] == C.NULL_ID else int(ids[lo + d]))
-                    out["n_bytes"].append(int(at[d + 1] - at[d]))
-                    out["nll"].append(-math.fsum((logp[k] * c).tolist()) if len(k) else 0.0)
+                k, back = np.unique(key, return_inverse=True)
+                total = np.zeros(len(key) + 1, np.int64)
+                np.cumsum(units[np.searchsorted(keys, k)][back], out=total[1:])
+                out["doc_id"] += [None if i == C.NULL_ID else i for i in ids[lo:hi].tolist()]
+                out["n_bytes"] += np.diff(at).tolist()
+                out["nll"] += ((total[at[:-1]] - total[at[1:]]) / UNIT).tolist()
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "nll": pa.array(out["nll"], pa.float64())})
 
     return run
