@@ -1,25 +1,37 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting reads a bounded sample of labelled rows (``max_per_class`` of each label,
-by smallest hash of the id).  Terms are lower-cased letter runs and their first
-4, 5 and 6 bytes; those kept are the ``max_terms`` with the greatest likelihood
-ratio between the labels, at least ``MIN_RATIO``, that are ``MIN_LIFT`` times as
-frequent under one label as under the other; weaker ones tell long texts from
-short ones rather than toxic from clean.  Examples become unit TF-IDF
-vectors in an inverted index whose postings are grouped in blocks of ``BLOCK``
-examples with each term's largest weight per block.
-
-Scoring is one map over the documents, without a shuffle: the block maxima bound
-each block's best cosine; blocks are scored exactly, best bound first, until no
-bound reaches the k-th best cosine.  So the neighbours are exact.  Votes are
-weighted by cosine distance and by class (the sample is stratified), then
-calibrated by a monotone fit to the leave-one-out votes of the examples.  The
-broadcast index is bounded by the parameters alone.
+Fitting reads a bounded sample of labelled documents (``max_per_class`` of each
+label, by smallest hash of the id, one text per id).  Terms are lower-cased letter
+runs.  Every term of a text counts in its vector and norm, with the weight
+
+    (1 + ln tf) * ln((N + 1) / (df + 1)) * (FLOOR + (1 - FLOOR) * g / (g + HALF))
+
+N and df are those of all labelled documents, estimated from the sample, which
+is stratified by label; g is the term's likelihood ratio between the labels.
+Plain TF-IDF (``floor`` = 1) lets the many rare words of a text outweigh the few
+that make it toxic; the last factor leaves no term out, but one that doesn't
+tell the labels apart weighs a tenth.  A term that no example holds counts in
+the norm as one of df 0 and g 0.
+
+The index.  Examples are numbered so that those with the same strongest term are
+neighbours, in blocks of ``BLOCK``.  A term held by more than one in ``DENSE``
+examples stores its postings as a dense row; any other as sorted postings, with
+its greatest weight in each block it occurs in.
+
+Scoring is one map over the documents, without a shuffle.  The dense rows give
+each example its exact part of the cosine; a block's best example can't exceed
+its best exact part plus the block maxima of the other terms.  The blocks of the
+best bounds are finished first; of the others only those whose bound reaches
+the k-th best cosine.  So the neighbours are exact.
+
+Votes are weighted by cosine distance and by class (the sample is stratified),
+then calibrated by a monotone fit to the leave-one-out votes of the examples.
+The index that is broadcast grows with the sample's texts, never with the corpus.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,79 +41,138 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _text as T
 
 BLOCK = 64
-MIN_RATIO = 30.0
-MIN_LIFT = 3.0
-PREFIXES = (4, 5, 6)
+DENSE = 24
+FLOOR = 0.1
+HALF = 30.0
+#: Documents whose dense parts are computed together.
+BATCH = 64
+#: Vectors whose result a worker keeps for copies.
+CACHE = 20_000
 U64 = np.uint64
 
 
-def terms(buf: np.ndarray, offs: np.ndarray):
-    """(term hash, document) of every term occurrence of a block."""
+def counted_terms(buf: np.ndarray, offs: np.ndarray):
+    """(term hashes, term frequencies, offsets per document) of a block, terms ascending per document."""
     w = T.Words(buf, offs, lower=True, separator=T.NOT_LETTER)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(w.offs))
-    hs, ds, size = [w.hash], [doc], w.end - w.start
-    for n in PREFIXES:
-        at = np.flatnonzero(size >= n)
-        hs.append(T.mix(T.spans_hash(w.pre, w.start[at], w.start[at] + n) ^ U64(n)))
-        ds.append(doc[at])
-    return np.concatenate(hs), np.concatenate(ds)
+    order = np.lexsort((w.hash, doc))
+    h, d = w.hash[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h))), np.searchsorted(d[first], np.arange(len(offs)))
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray):
+    """(which range, index) of all ranges begin[i]:end[i], one after the other."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which]
 
 
 @dataclass
 class Index:
     """Block-max inverted index of labelled examples."""
 
-    vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    labels: np.ndarray  # 0 or 1 per example
-    ids: np.ndarray
-    begin: np.ndarray  # postings of (term, block): begin[term * n_blocks + block]
-    example: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray  # term x block
-    class_weight: tuple[float, float]
     k: int
-    steps: np.ndarray  # calibration: votes at or above steps[i] give values[i]
-    values: np.ndarray
-    none: float  # score of a document without any known term
+    floor: float = FLOOR
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))  # sorted term hashes
+    factor: np.ndarray = field(default_factory=lambda: np.zeros(0))  # weight of a term seen once
+    unknown: float = 1.0  # the same of a term that no example holds
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # 0 or 1 per example
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    class_weight: tuple[float, float] = (1.0, 1.0)
+    # calibration: votes at or above steps[i] give values[i]
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(1))
+
+    # --- building ---------------------------------------------------------------
+
+    def build(self, term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> None:
+        """Postings of the examples' unit vectors: term numbers and weights, offsets per example."""
+        n = len(offs) - 1
+        self.n_blocks = max(1, -(-n // BLOCK))
+        example = np.repeat(np.arange(n), np.diff(offs))
+        df = np.bincount(term, minlength=len(self.vocabulary))
+        often = np.flatnonzero(df * DENSE > n)
+        self.row = np.full(len(self.vocabulary), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        own = self.row[term] >= 0
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        self.dense[self.row[term[own]], example[own]] = weight[own]
+        term, example, weight = term[~own], example[~own], weight[~own]
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        block = self.example // BLOCK
+        # entries: runs of one term in one block
+        head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.entry_block = block[head]
+        self.entry_max = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
+        self.entry_begin = np.append(head, len(term))
+        self.term_begin = np.searchsorted(term[head], np.arange(len(self.vocabulary) + 1))
+
+    # --- vectors ----------------------------------------------------------------
 
     def vectors(self, buf: np.ndarray, offs: np.ndarray):
-        """Unit TF-IDF vector (terms, weights) of each document of a block."""
-        h, doc = terms(buf, offs)
+        """(term numbers, weights, offsets per document): unit TF-IDF vectors of a block, unknown terms in the norm only."""
+        h, tf, cut = counted_terms(buf, offs)
+        return self.weigh(h, tf, cut)
+
+    def weigh(self, h: np.ndarray, tf: np.ndarray, cut: np.ndarray):
         at = np.searchsorted(self.vocabulary, h)
         at[at == len(self.vocabulary)] = 0
         ok = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
-        key, tf = np.unique(doc[ok] * len(self.vocabulary) + at[ok], return_counts=True)
-        doc, term = np.divmod(key, max(1, len(self.vocabulary)))
-        weight = (1 + np.log(tf)) * self.idf[term]
-        cut = np.searchsorted(doc, np.arange(len(offs)))
-        out = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            norm = np.sqrt((weight[a:b] ** 2).sum())
-            out.append((term[a:b], weight[a:b] / norm if b > a else weight[a:b]))
-        return out
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, cosine above 0; equal cosines by example number."""
-        n_blocks = self.block_max.shape[1]
-        bound = weight @ self.block_max[term]
-        best_e, best_c, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_c) >= self.k and bound[b] < least - 1e-9):
-                break
-            cos = np.zeros(BLOCK)
-            for t, q in zip(term.tolist(), weight.tolist(), strict=True):
-                s = slice(self.begin[t * n_blocks + b], self.begin[t * n_blocks + b + 1])
-                cos[self.example[s] - b * BLOCK] += q * self.weight[s]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                cos[skip - b * BLOCK] = 0
-            hit = np.flatnonzero(cos > max(0.0, least - 1e-9))
-            e, c = np.concatenate([best_e, hit + b * BLOCK]), np.round(np.concatenate([best_c, cos[hit]]), 9)
-            order = np.lexsort((e, -c))[: self.k]
-            best_e, best_c = e[order], c[order]
-            if len(best_c) == self.k:
-                least = best_c[-1]
-        return best_e, best_c
+        weight = (1 + np.log(tf)) * np.where(ok, self.factor[at] if len(self.factor) else 0.0, self.unknown)
+        doc = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        norm = np.sqrt(np.bincount(doc, weight**2, len(cut) - 1))
+        weight /= np.maximum(norm, 1e-300)[doc]
+        known = np.concatenate([[0], np.cumsum(ok)])
+        return at[ok], weight[ok], known[cut]
+
+    # --- search -----------------------------------------------------------------
+
+    def dense_part(self, term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Of several vectors: each example's cosine over the dense terms."""
+        q = np.zeros((len(offs) - 1, len(self.dense)))
+        doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        row = self.row[term]
+        q[doc[row >= 0], row[row >= 0]] = weight[row >= 0]
+        return q @ self.dense
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, exact: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest, cosine above 0, and all others as near as the k-th; equal ones by number.
+
+        exact: the dense part of the vector.
+        """
+        light = self.row[term] < 0
+        which, entry = _ranges(self.term_begin[term[light]], self.term_begin[term[light] + 1])
+        q = weight[light][which]
+        block = self.entry_block[entry]
+        bound = exact.reshape(-1, BLOCK).max(1) + np.bincount(block, q * self.entry_max[entry], self.n_blocks)
+        todo = np.zeros(self.n_blocks, bool)
+        few = min(self.n_blocks, 1 + -(-self.k // BLOCK))
+        todo[np.argpartition(-bound, few - 1)[:few]] = True
+        cos, done, least = np.zeros(len(exact)), np.zeros(self.n_blocks, bool), 0.0
+        while todo.any():
+            own = np.flatnonzero(todo[block])
+            part, posting = _ranges(self.entry_begin[entry[own]], self.entry_begin[entry[own] + 1])
+            cos += np.bincount(self.example[posting], q[own][part] * self.weight[posting], len(cos))
+            members = np.repeat(todo, BLOCK)
+            cos[members] += exact[members]
+            done |= todo
+            if skip >= 0:
+                cos[skip] = 0
+            if self.k <= len(cos):
+                least = max(0.0, np.partition(cos, len(cos) - self.k)[len(cos) - self.k])
+            todo = ~done & (bound > 0) & (bound >= least - 1e-9)
+        cos = np.round(cos, 9)
+        if self.k < len(cos):
+            least = np.partition(cos, len(cos) - self.k)[len(cos) - self.k]
+        else:
+            least = 0.0
+        e = np.flatnonzero((cos > 0) & (cos >= least))
+        e = e[np.lexsort((e, -cos[e]))]
+        return e, cos[e]
+
+    # --- votes ------------------------------------------------------------------
 
     def vote(self, e: np.ndarray, c: np.ndarray) -> float:
         """Share of label 1 among neighbours, weighted by 1 / (distance + 0.05) and class."""
@@ -113,14 +184,28 @@ class Index:
         i = max(0, int(np.searchsorted(self.steps, vote, side="right")) - 1)
         return float(np.clip(0.999 * self.values[i] + 0.001 * vote, 0, 1))
 
-    def score(self, term, weight, skip: int = -1):
-        """(score, example numbers, cosines)."""
-        if not len(term):
-            return self.none, np.zeros(0, np.int64), np.zeros(0)
-        e, c = self.nearest(term, weight, skip)
-        if not len(e):
-            return self.none, e, c
-        return self.calibrated(self.vote(e, c)), e, c
+    def scores(self, term: np.ndarray, weight: np.ndarray, offs: np.ndarray, known: dict, evidence: int = 0):
+        """(score, nearest examples, their cosines) of each vector; copies are looked up in ``known``."""
+        spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
+        keys = [term[a:b].tobytes() + weight[a:b].tobytes() for a, b in spans]
+        got: dict = {}
+        new = [i for i, key in enumerate(keys) if spans[i][0] < spans[i][1] and key not in known and not (key in got or got.setdefault(key, None))] if len(self.labels) else []
+        got.clear()
+        for lo in range(0, len(new), BATCH):
+            part = new[lo : lo + BATCH]
+            n = [spans[i][1] - spans[i][0] for i in part]
+            at = np.concatenate([np.arange(*spans[i]) for i in part])
+            exact = self.dense_part(term[at], weight[at], np.concatenate([[0], np.cumsum(n)]))
+            for row, i in zip(exact, part, strict=True):
+                a, b = spans[i]
+                e, c = self.nearest(term[a:b], weight[a:b], row)
+                got[keys[i]] = (self.calibrated(self.vote(e, c)), e[:evidence], c[:evidence]) if len(e) else (0.0, e, c)
+        blank = (0.0, np.zeros(0, np.int64), np.zeros(0))
+        out = [got.get(key) or known.get(key) or blank for key in keys]
+        if len(known) + len(got) > CACHE:
+            known.clear()
+        known.update(got)
+        return out
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,135 +222,117 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, label: str, max_per_class: int) -> tuple[DataFrame, tuple[int, int]]:
-    """Sampled labelled documents (doc_id, text, y) and how many labels of each class there are to learn from."""
+    """Sampled labelled documents (doc_id, text, y), one row per id, and how many labels of each class there are to learn from."""
     learn = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2))
     learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     total = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [learn.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for y in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # at most 2 * max_per_class rows of 12 bytes
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return src.join(sample, "doc_id"), (total.get(0, 0), total.get(1, 0))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    one = src.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return one, (total.get(0, 0), total.get(1, 0))
 
 
-def _count_terms(batches):
+def _count(batches):
     for batch in batches:
-        y = batch.column(2).to_numpy(zero_copy_only=False)
-        hs, ys = [], []
-        for lo, _, buf, offs in T.blocks(None, batch.column(1)):
-            h, doc = terms(buf, offs)
-            for d in range(len(offs) - 1):
-                own = np.unique(h[doc == d])
-                hs.append(own)
-                ys.append(np.full(len(own), y[lo + d], np.int64))
-        if hs:
-            term, back = np.unique(np.concatenate(hs), return_inverse=True)
-            ys = np.concatenate(ys)
-            pos = np.bincount(back, ys, len(term)).astype(np.int64)
-            both = np.bincount(back, minlength=len(term)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(both - pos), pa.array(pos)], names=["term", "n0", "n1"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 3000, max_terms: int = 1500, k: int = 15) -> Index:
-    """Index of labelled examples; the bounds are max_per_class examples per label and max_terms terms.
+        for lo, hi, buf, offs in T.blocks(None, batch.column(1)):
+            h, tf, cut = counted_terms(buf, offs)
+            cuts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([tf[a:b].astype(np.int32).tobytes() for a, b in cuts], pa.binary())],
+                names=["doc_id", "y", "h", "tf"],
+            )
+
+
+def _boost(n0: int, n1: int, df0: np.ndarray, df1: np.ndarray) -> np.ndarray:
+    """Likelihood ratio between the labels of each term, from document counts."""
+    df, whole = df0 + df1, float(n0 + n1)
+
+    def part(c, of_df, of_n):
+        return np.where(c > 0, c * np.log(np.maximum(c, 1e-300) * whole / np.maximum(of_df * of_n, 1e-300)), 0.0)
+
+    return 2 * (part(df0, df, n0) + part(df1, df, n1) + part(n0 - df0, whole - df, n0) + part(n1 - df1, whole - df, n1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class: int = 3000, k: int = 40, floor: float = FLOOR) -> Index:
+    """Index of labelled examples; the bound is max_per_class documents of each label, whatever the tables hold.
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from; null
-    labels and ids are left out; of several labels of a document the greater counts.
+    labels and ids are left out; of several labels of a document the greater
+    counts, of several texts of an id the least (a null text counts as empty);
+    examples without a term are no one's neighbour.  Texts of any length count
+    whole; other columns are ignored.  Where a label has no example, as in empty
+    tables, nothing is learned: the index has no examples and every score is 0.
     """
     rows, (all0, all1) = _train_rows(docs, labels, label, max_per_class)
-    seen = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["y"]: r["n"] for r in seen}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    empty = np.zeros(0, np.int64)
-    rate = all1 / max(1, all0 + all1)
+    # at most 2 * max_per_class rows
+    got = sorted(rows.mapInArrow(_count, "doc_id long, y int, h binary, tf binary").collect(), key=lambda r: r["doc_id"])
+    index = Index(k, floor)
+    y = np.array([r["y"] for r in got], np.int64)
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     if not n0 or not n1:
-        return Index(np.zeros(0, U64), np.zeros(0), empty, empty, np.zeros(1, np.int64), empty, np.zeros(0), np.zeros((0, 0)), (1.0, 1.0), k, np.zeros(1), np.zeros(1), rate)
-    counts = rows.mapInArrow(_count_terms, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= 3)
-
-    def part(c, total, whole):
-        # c * ln(c * whole / (total * seen)), 0 for c = 0
-        return F.when(c > 0, c * F.log(c * whole / total)).otherwise(0.0)
-
-    df, whole = F.col("n0") + F.col("n1"), float(n0 + n1)
-    g = 2 * (
-        part(F.col("n0"), df * n0, whole) + part(F.col("n1"), df * n1, whole) + part(n0 - F.col("n0"), (whole - df) * n0, whole) + part(n1 - F.col("n1"), (whole - df) * n1, whole)
-    )
-    lift = (F.col("n1") * n0 >= F.col("n0") * (MIN_LIFT * n1)) | (F.col("n0") * n1 >= F.col("n1") * (MIN_LIFT * n0))
-    top = counts.withColumn("g", g).where((F.col("g") >= MIN_RATIO) & lift).orderBy(F.desc("g"), "term").limit(max_terms).select("term", df.alias("df")).collect()
-    if not top:
-        return Index(np.zeros(0, U64), np.zeros(0), empty, empty, np.zeros(1, np.int64), empty, np.zeros(0), np.zeros((0, 0)), (1.0, 1.0), k, np.zeros(1), np.zeros(1), rate)
-    vocabulary = np.array([r["term"] for r in top], np.int64).view(U64)
-    order = np.argsort(vocabulary)
-    index = Index(vocabulary[order], np.log((n0 + n1 + 1) / np.array([r["df"] for r in top], float))[order], empty, empty, empty, empty, np.zeros(0), np.zeros((0, 0)), (1.0, 1.0), k, np.zeros(1), np.zeros(1), rate)
-    held = docs.sparkSession.sparkContext.broadcast(index)
-
-    def vectorise(batches):
-        for batch in batches:
-            for lo, hi, buf, offs in T.blocks(None, batch.column(1)):
-                v = held.value.vectors(buf, offs)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([x[0].astype(np.int32).tolist() for x in v], pa.list_(pa.int32())), pa.array([x[1].tolist() for x in v], pa.list_(pa.float64()))],
-                    names=["doc_id", "y", "t", "w"],
-                )
-
-    # at most 2 * max_per_class vectors over max_terms terms
-    got = rows.mapInArrow(vectorise, "doc_id long, y int, t array<int>, w array<double>").collect()
-    # examples with the same strongest term go side by side, so that block bounds are tight
-    got.sort(key=lambda r: (r["t"][int(np.argmax(r["w"]))] if r["t"] else -1, r["y"], r["doc_id"]))
-    labels_, ids = np.array([r["y"] for r in got]), np.array([r["doc_id"] for r in got])
-    term = np.array([t for r in got for t in r["t"]], np.int64)
-    weight = np.array([w for r in got for w in r["w"]])
-    example = np.repeat(np.arange(len(got)), [len(r["t"]) for r in got])
-    n_blocks = -(-len(got) // BLOCK)
-    cell = term * n_blocks + example // BLOCK
-    order = np.lexsort((example, cell))
-    index.begin = np.searchsorted(cell[order], np.arange(len(vocabulary) * n_blocks + 1))
-    index.example, index.weight = example[order], weight[order]
-    index.block_max = np.zeros(len(vocabulary) * n_blocks)
-    np.maximum.at(index.block_max, cell, weight)
-    index.block_max = index.block_max.reshape(len(vocabulary), n_blocks)
-    index.labels, index.ids = labels_, ids
+        return index
+    hs, tfs = [np.frombuffer(r["h"], U64) for r in got], [np.frombuffer(r["tf"], np.int32) for r in got]
+    cut = np.concatenate([[0], np.cumsum([len(h) for h in hs])])
+    h, tf = np.concatenate(hs), np.concatenate(tfs)
+    index.vocabulary, term = np.unique(h, return_inverse=True)
+    df1 = np.bincount(term, np.repeat(y, np.diff(cut)), len(index.vocabulary))
+    df0 = np.bincount(term, minlength=len(index.vocabulary)) - df1
     index.class_weight = (all0 / n0, all1 / n1)
+    whole = float(all0 + all1)
+    df = df0 * index.class_weight[0] + df1 * index.class_weight[1]
+    g = np.maximum(_boost(n0, n1, df0, df1), 0.0)
+    # a term of every text still counts
+    index.factor = np.maximum(np.log((whole + 1) / (df + 1)), 1e-6) * (floor + (1 - floor) * g / (g + HALF))
+    index.unknown = float(np.log(whole + 1) * floor)
+    term, weight, offs = index.weigh(h, tf, cut)
+    # examples with the same strongest term go side by side, so that block bounds are tight
+    spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
+    order = sorted(range(len(got)), key=lambda i: (int(term[spans[i][0] + int(np.argmax(weight[spans[i][0] : spans[i][1]]))]) if spans[i][0] < spans[i][1] else -1, got[i]["doc_id"]))
+    index.labels, index.ids = y[order], np.array([got[i]["doc_id"] for i in order], np.int64)
+    at = np.concatenate([np.arange(*spans[i]) for i in order])
+    term, weight = term[at], weight[at]
+    offs = np.concatenate([[0], np.cumsum([spans[i][1] - spans[i][0] for i in order])])
+    index.build(term, weight, offs)
     # calibration on leave-one-out votes
-    cw = np.where(labels_ == 1, index.class_weight[1], index.class_weight[0])
     votes = np.full(len(got), np.nan)
-    for i, r in enumerate(got):
-        if r["t"]:
-            e, c = index.nearest(np.array(r["t"]), np.array(r["w"]), skip=i)
+    for lo in range(0, len(got), BATCH):
+        hi = min(lo + BATCH, len(got))
+        own = slice(offs[lo], offs[hi])
+        exact = index.dense_part(term[own], weight[own], offs[lo : hi + 1] - offs[lo])
+        for i in range(lo, hi):
+            e, c = index.nearest(term[offs[i] : offs[i + 1]], weight[offs[i] : offs[i + 1]], exact[i - lo], skip=i)
             if len(e):
                 votes[i] = round(index.vote(e, c), 3)
     blank = np.isnan(votes)
-    if blank.any():
-        index.none = float((cw * labels_)[blank].sum() / cw[blank].sum())
     if not blank.all():
-        index.steps, index.values = monotone(votes[~blank], labels_[~blank].astype(float), cw[~blank])
+        cw = np.where(index.labels == 1, index.class_weight[1], index.class_weight[0])
+        index.steps, index.values = monotone(votes[~blank], index.labels[~blank].astype(float), cw[~blank])
     return index
 
 
-def _scores(index: Index, texts):
-    """(score, example numbers, cosines) of each text, in order; equal vectors are scored once."""
+def _scores(index: Index, texts, evidence: int = 0):
+    """(score, example numbers, cosines) of each text, in order."""
     known: dict = {}
     for _, _, buf, offs in T.blocks(None, texts):
-        for term, weight in index.vectors(buf, offs):
-            key = (term.tobytes(), weight.tobytes())
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = index.score(term, weight)
-            yield known[key]
+        yield from index.scores(*index.vectors(buf, offs), known, evidence)
 
 
-def score_documents(docs: DataFrame, index: Index, evidence: bool = False) -> DataFrame:
-    """One row per input row: doc_id, score, and with ``evidence`` the nearest examples (doc_id, cosine, label).
+def score_documents(docs: DataFrame, index: Index, evidence: int = 0) -> DataFrame:
+    """One row per input row: doc_id, score, and with ``evidence`` the so many nearest examples (doc_id, cosine, label).
 
-    Null and empty texts, and texts without a known term, get the share of label 1
-    among examples without one.  Other columns are ignored.
+    Null and empty texts, and texts that share no term with an example, have no
+    neighbour: their score is 0, without evidence.  Equal cosines count alike:
+    all examples as near as the k-th vote; evidence lists them by number.  Rows
+    with the same id are scored one by one; texts of any length are scored whole;
+    other columns are ignored; an empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            got = list(_scores(held.value, batch.column(1)))
+            got = list(_scores(held.value, batch.column(1), evidence))
             cols = [batch.column(0), pa.array([round(g[0], 9) for g in got], pa.float64())]
             if evidence:
                 m = held.value
@@ -277,7 +344,11 @@ def score_documents(docs: DataFrame, index: Index, evidence: bool = False) -> Da
 
 
 def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, all columns unchanged; no shuffle."""
+    """The rows of ``docs`` that score below the threshold, all columns unchanged; no shuffle.
+
+    Decided row by row, so repeated rows go or stay alike; null and empty texts
+    and those without a neighbour score 0 and stay; an empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
@@ -290,8 +361,8 @@ def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFra
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity of all `documents`, learned from `labels.toxic` of rows that aren't held out."""
+    """Toxicity of all `documents`, learned from `labels.toxic` of rows that aren't held out, with the three nearest examples."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    return score_documents(docs, index).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score_documents(docs, index, evidence=3).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
