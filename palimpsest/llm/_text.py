@@ -80,15 +80,21 @@ class Words:
     start, end: byte ranges; offs: word offsets per document; hash: 64 bits per word.
     """
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True, separator: np.ndarray = SEPARATOR):
-        word = ~separator[buf]
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool = False, hashes: bool = True, separator: np.ndarray = SEPARATOR, word: np.ndarray | None = None, cut: np.ndarray | None = None):
+        # word: bytes inside words, if their value alone doesn't tell; cut: bytes that begin a word of their own
+        if word is None:
+            word = ~separator[buf]
         first = word.copy()
         first[1:] &= ~word[:-1]
+        if cut is not None:
+            first |= word & cut
         inner = offs[1:-1]
         inner = inner[inner < len(buf)]
         first[inner] = word[inner]
         last = word.copy()
         last[:-1] &= ~word[1:]
+        if cut is not None:
+            last[:-1] |= word[:-1] & cut[1:]
         if len(inner):
             inner = inner[inner > 0]
             last[inner - 1] = word[inner - 1]

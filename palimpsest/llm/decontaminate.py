@@ -4,17 +4,24 @@ Test items are a stated query set.  They are read in blocks of bounded size
 (``BLOCK_ITEMS`` items, ``BLOCK_BYTES`` of text); each block is broadcast and the
 documents are scanned once per block, without a shuffle.
 
-1. All 3-grams of an item are seeds, however frequent its words are, so a copy
-   that keeps any three adjacent words is aligned, whatever else was edited.
-2. The scan joins document n-grams to seeds by hash.  A pair whose document, or
-   whose window around the hits, shares too few words with the item for any
-   alignment to reach the threshold is left out; that loses no match.
-3. Around the hits, document and item are aligned by words (match 2, mismatch -1,
-   gap -1); the score is the best local alignment over that of a whole exact
-   copy.  Edited and paraphrased copies lose a little score for each edit.
-
-Words are lower-cased letter runs, so changes of case, punctuation and white
-space don't count.
+1. All 3-grams of an item are seeds, however frequent its words are.  The scan
+   joins document n-grams to seeds by hash; a document that shares a seed with an
+   item is a candidate.
+2. Document and item are aligned by tokens (match 2, mismatch -1, gap -1).  The
+   item is found if the best local alignment scores at least ``threshold`` of what
+   a whole exact copy would, or as much as ``PASSAGE`` tokens copied in a row.
+   Edited and paraphrased copies lose a little score for each edit.
+3. An alignment that good holds at least half its score in matched tokens and
+   isn't longer than these and the edits that the score allows.  So only
+   stretches of the document that hold so many tokens of the item within that
+   length are aligned, which loses nothing.
+
+Items of fewer than three tokens have no seed: they are found where they stand
+as a whole.
+
+Tokens are lower-cased runs of letters and digits, and single characters of
+scripts that are written without spaces, so changes of case, punctuation and
+white space don't count, and numbers do.
 """
 
 from __future__ import annotations
@@ -30,15 +37,51 @@ from pyspark.sql import functions as F
 from palimpsest.llm import _text as T
 
 SEED_WORDS = 3
+#: A copied passage of so many tokens counts however long its item is.
+PASSAGE = 30
 #: Scores are rounded to six digits before they meet the threshold.
 ROUNDING = 1e-6
 BLOCK_ITEMS = 50_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Seed hits that are looked at together.
+HITS = 1 << 21
 RESULT = "doc_id long, item_id long, score double, first_word long, last_word long, matched_words long, item_words long"
 
-
-def words_of(buf, offs) -> T.Words:
-    return T.Words(buf, offs, lower=True, separator=T.NOT_LETTER)
+#: Bytes below 0x80 inside a token; those from 0x80 on go by their code point.
+_ASCII = np.zeros(256, bool)
+_ASCII[48:58] = _ASCII[65:91] = _ASCII[97:123] = True
+#: Code points, first and last, that separate: Latin-1 signs, general and CJK punctuation, symbols, wide and small forms of ASCII signs.
+_SIGNS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE10, 0xFE6F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+def _among(points: np.ndarray, ranges) -> np.ndarray:
+    first, last = (np.array([r[k] for r in ranges]) for k in (0, 1))
+    at = np.searchsorted(first, points, side="right") - 1
+    return (at >= 0) & (points <= last[at])
+
+
+def words_of(buf: np.ndarray, offs: np.ndarray) -> T.Words:
+    """Tokens of lower-cased UTF-8 texts."""
+    word = _ASCII[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if not len(lead):
+        return T.Words(buf, offs, lower=True, word=word)
+    wide = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.int64)
+    b = wide[lead]
+    size = np.where(b >= 0xF0, 4, np.where(b >= 0xE0, 3, 2))
+    tail = [wide[lead + k] & 63 for k in (1, 2, 3)]
+    point = np.where(size == 2, (b & 31) << 6 | tail[0], np.where(size == 3, (b & 15) << 12 | tail[0] << 6 | tail[1], (b & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
+    inside = ~_among(point, _SIGNS)
+    alone = inside & _among(point, _UNSPACED)
+    cut = np.zeros(len(buf) + 4, bool)
+    cut[lead[alone]] = True
+    cut[(lead + size)[alone]] = True
+    for k in range(4):
+        own = lead[inside & (size > k)] + k
+        word[own[own < len(buf)]] = True
+    return T.Words(buf, offs, lower=True, word=word, cut=cut[: len(buf)])
 
 
 def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -72,27 +115,29 @@ def smith_waterman(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch:
 
 @dataclass
 class Items:
-    """One block of test items: word hashes, words by number, and the seeds (hash, item, position), sorted by hash."""
+    """One block of test items: token hashes, the seeds (hash, item), sorted by hash, and items too short for one."""
 
     ids: list
     words: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
-    at: np.ndarray
-    vocabulary: np.ndarray  # sorted distinct words
-    code: np.ndarray  # vocabulary number of every word of every item
-    offs: np.ndarray  # item i's words are code[offs[i] : offs[i + 1]]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # tokens of an item -> hashes of whole items, sorted, and their numbers
+    vocabulary: np.ndarray  # sorted distinct tokens
+    code: np.ndarray  # vocabulary number of every token of every item
+    offs: np.ndarray  # item i's tokens are code[offs[i] : offs[i + 1]]
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text: str):
+    """Distinct items by id; texts of one id are in one block."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct().orderBy("i", "t")
     ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"])
-        if len(ids) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+    for r in rows.toLocalIterator():
+        if ids and r["i"] != ids[-1] and (len(ids) >= BLOCK_ITEMS or size >= BLOCK_BYTES):
             yield ids, texts
             ids, texts, size = [], [], 0
+        ids.append(r["i"])
+        texts.append(r["t"])
+        size += len(r["t"].encode("utf-8", "replace"))
     if ids:
         yield ids, texts
 
@@ -103,25 +148,41 @@ def _prepare(ids, texts, n: int) -> Items | None:
         return None
     _, _, buf, offs = buf_offs[0]
     w = words_of(buf, offs)
+    size = np.diff(w.offs)
+    if not size.sum():
+        return None
     words = [w.hash[a:b] for a, b in zip(w.offs[:-1], w.offs[1:], strict=True)]
-    grams = T.rolling_hash(T.prefix(w.hash), n)
+    pre = T.prefix(w.hash)
+    grams = T.rolling_hash(pre, n)
     chosen = np.flatnonzero(w.room()[: len(grams)] >= n)
-    if not len(chosen):
-        return None
-    item = np.repeat(np.arange(len(words)), np.diff(w.offs))[: len(grams)]
-    at = (np.arange(len(w.start)) - np.repeat(w.offs[:-1], np.diff(w.offs)))[: len(grams)]
-    chosen = chosen[np.argsort(grams[chosen], kind="stable")]
+    item = np.repeat(np.arange(len(words)), size)[chosen]
+    order = np.lexsort((item, grams[chosen]))
+    seed, item = grams[chosen][order], item[order]
+    if len(seed):
+        own = np.concatenate([[True], (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])])
+        seed, item = seed[own], item[own]
+    short = {}
+    for m in range(1, n):
+        at = np.flatnonzero(size == m)
+        h = T.spans_hash(pre, w.offs[at], w.offs[at] + m)
+        order = np.argsort(h, kind="stable")
+        short[m] = (h[order], at[order])
     vocabulary, code = np.unique(w.hash, return_inverse=True)
-    return Items(ids, words, grams[chosen], item[chosen], at[chosen], vocabulary, code.astype(np.int64), w.offs)
+    return Items(ids, words, seed, item, short, vocabulary, code.astype(np.int64), w.offs)
+
+
+def least_score(size, threshold: float):
+    """The least alignment score that counts, for items of ``size`` tokens."""
+    return np.minimum((threshold - ROUNDING) * 2 * size, 2 * PASSAGE)
 
 
 def _possible(items: Items, w: T.Words, doc: np.ndarray, item: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which pairs (document, item) share words for at least ``need`` matches of the item."""
+    """Which pairs (document, item) share tokens for at least ``need`` matches of the item."""
     size = len(items.vocabulary)
     code = np.searchsorted(items.vocabulary, w.hash)
     code[code == size] = 0
     known = items.vocabulary[code] == w.hash
-    # only words of documents with a pair
+    # only tokens of documents with a pair
     wanted = np.zeros(len(w.offs) - 1, bool)
     wanted[doc] = True
     owner = np.repeat(np.arange(len(w.offs) - 1), np.diff(w.offs))
@@ -138,52 +199,71 @@ def _possible(items: Items, w: T.Words, doc: np.ndarray, item: np.ndarray, need:
     return ok
 
 
+def _joined(hit: np.ndarray, doc: np.ndarray, h: np.ndarray, seed: np.ndarray, item: np.ndarray, n_items: int) -> np.ndarray:
+    """Distinct doc * n_items + item of all hits, a bounded number at a time."""
+    a, b = np.searchsorted(seed, h[hit], side="left"), np.searchsorted(seed, h[hit], side="right")
+    ends = np.cumsum(b - a)
+    out, lo = [np.zeros(0, np.int64)], 0
+    while lo < len(hit):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + HITS, side="right")))
+        n = (b - a)[lo:hi]
+        rep = np.repeat(np.arange(lo, hi), n)
+        s = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+        out.append(np.unique(doc[rep] * n_items + item[s]))
+        lo = hi
+    return np.unique(np.concatenate(out))
+
+
+def stretches(own: np.ndarray, text: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Parts of a text that hold all its alignments of at least the score ``least``.
+
+    With m matches and p edits, 2m - p >= least, so m >= least / 2, and the text
+    side is at most m + p <= 3m - least tokens long.
+    """
+    span = min(len(text), max(1, int(3 * len(own) - least) + 1))
+    held = np.concatenate([[0], np.cumsum(T.in_sorted(text, own))])
+    good = np.flatnonzero(held[span:] - held[: len(held) - span] >= least / 2)
+    if not len(good):
+        return []
+    new = np.flatnonzero(np.diff(good, prepend=-span - 1) > span)
+    return [(int(good[a]), int(good[b - 1]) + span) for a, b in zip(new, [*new[1:], len(good)], strict=True)]
+
+
 def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
-    """(document, item, score, first word, last word, item words) of the best alignment per pair; others may miss below the threshold."""
+    """(document, item, raw score, first token, last token, item tokens) of each pair whose best alignment counts."""
     w = words_of(buf, offs)
-    h = T.rolling_hash(T.prefix(w.hash), n)
-    hit = np.flatnonzero(T.in_sorted(h, items.seed) & (w.room()[: len(h)] >= n))
+    if not len(w.hash):
+        return
+    pre, room = T.prefix(w.hash), w.room()
+    for m, (hashes, numbers) in items.short.items():
+        h = T.rolling_hash(pre, m)
+        hit = np.flatnonzero(T.in_sorted(h, hashes) & (room[: len(h)] >= m)) if len(hashes) else []
+        seen = set()
+        for at in np.asarray(hit).tolist():
+            d = int(np.searchsorted(w.offs, at, side="right")) - 1
+            for i in numbers[np.searchsorted(hashes, h[at], side="left") : np.searchsorted(hashes, h[at], side="right")].tolist():
+                if (d, i) not in seen:
+                    seen.add((d, i))
+                    yield lo + d, i, 2 * m, at - int(w.offs[d]), at - int(w.offs[d]) + m - 1, m
+    h = T.rolling_hash(pre, n)
+    hit = np.flatnonzero(T.in_sorted(h, items.seed) & (room[: len(h)] >= n))
     if not len(hit):
         return
-    doc = np.searchsorted(w.offs, hit, side="right") - 1
-    a, b = np.searchsorted(items.seed, h[hit], side="left"), np.searchsorted(items.seed, h[hit], side="right")
-    rep = np.repeat(np.arange(len(hit)), b - a)
-    s = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-    pairs = np.stack([doc[rep], items.item[s], hit[rep] - items.at[s]], 1)
-    pairs = np.unique(pairs, axis=0)
-    # a score of least needs least / 2 matches
+    n_items = len(items.words)
+    doc, item = np.divmod(_joined(hit, np.searchsorted(w.offs, hit, side="right") - 1, h, items.seed, items.item, n_items), n_items)
     sizes = np.diff(items.offs)
-    new = np.flatnonzero(np.r_[True, (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)])
-    ok = _possible(items, w, pairs[new, 0], pairs[new, 1], (threshold - ROUNDING) * sizes[pairs[new, 1]])
-    pairs = pairs[np.repeat(ok, np.diff(np.r_[new, len(pairs)]))]
-    if not len(pairs):
-        return
-    cuts = np.flatnonzero((np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) != 0)) + 1
-    for group in np.split(pairs, cuts):
-        d, i = int(group[0, 0]), int(group[0, 1])
-        own, size = items.words[i], len(items.words[i])
-        low, high, slack = w.offs[d], w.offs[d + 1], size // 2 + 2
-        best, done = (0, -1, -1), -1
-        k = 0
-        while k < len(group):
-            # one window per run of hits whose places overlap
-            begin = max(low, group[k, 2] - slack)
-            end = min(high, group[k, 2] + size + slack)
-            while k + 1 < len(group) and group[k + 1, 2] - slack <= end and end - begin < 20 * size:
-                k += 1
-                end = min(high, group[k, 2] + size + slack)
-            k += 1
-            if end > max(begin, done):
-                part = w.hash[begin:end]
-                most = min(int(np.isin(own, part).sum()), int(np.isin(part, own).sum()))
-                if most < (threshold - ROUNDING) * size:
-                    continue
-                got = smith_waterman(own, part)
-                if got[0] > best[0]:
-                    best = (got[0], got[1] + int(begin - low), got[2] + int(begin - low))
-                done = end if end - begin >= 20 * size else -1
-        if best[0]:
-            yield lo + d, i, best[0] / (2 * size), best[1], best[2], size
+    ok = _possible(items, w, doc, item, least_score(sizes[item], threshold) / 2)
+    for d, i in zip(doc[ok].tolist(), item[ok].tolist(), strict=True):
+        own, least = items.words[i], float(least_score(sizes[i], threshold))
+        text = w.hash[w.offs[d] : w.offs[d + 1]]
+        best = (0, -1, -1)
+        for a, b in stretches(np.sort(own), text, least):
+            got = smith_waterman(own, text[a:b])
+            if got[0] > best[0]:
+                best = (got[0], got[1] + a, got[2] + a)
+        if best[0] >= least:
+            yield lo + d, i, best[0], best[1], best[2], len(own)
 
 
 def _blocks_of(docs: DataFrame, benchmark: DataFrame, n: int):
@@ -196,9 +276,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """One row per contaminated pair: doc_id, item_id, score, first_word, last_word, matched_words, item_words.
 
     score is that of the best local alignment, 1 for a whole exact copy; pairs
-    below the threshold are left out.  Null and empty texts, and items of fewer
-    than n words, match nothing.  Repeated document rows give a row each;
-    repeated items count as one (the best score).  Other columns are ignored.
+    below the threshold are left out, unless their score is that of ``PASSAGE``
+    copied tokens.  Of equally good alignments the one counts that ends at the
+    first token of the item, then of the text.  Null and empty texts, and items without a
+    letter or digit, match nothing; an item of fewer than n tokens matches as a
+    whole only.  Texts of any length are searched whole.  Repeated document rows
+    give a row each; rows of the same item_id count as one item, with the best of
+    their scores; a null item_id is an item of its own.  Other columns are
+    ignored; an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
 
@@ -207,11 +292,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             for batch in batches:
                 rows = []
                 for lo, _, buf, offs in T.blocks(None, pc.utf8_lower(batch.column(1))):
-                    for d, i, score, a, b, size in matches(held.value, buf, offs, lo, n, threshold):
-                        if score >= threshold:
-                            rows.append((d, held.value.ids[i], round(score, 6), a, b, b - a + 1, size))
+                    for d, i, raw, a, b, size in matches(held.value, buf, offs, lo, n, threshold):
+                        rows.append((d, held.value.ids[i], round(raw / (2 * size), 6), a, b, b - a + 1, size))
                 best: dict = {}
-                for r in sorted(rows, key=lambda r: -r[2]):
+                for r in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, -r[2], r[3:])):
                     best.setdefault(r[:2], r)
                 rows = list(best.values())
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
@@ -228,7 +312,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, n: int = SEED_WORDS) -> DataFrame:
-    """The rows of ``docs`` without a contaminated pair, all columns unchanged; no shuffle."""
+    """The rows of ``docs`` without a contaminated pair, all columns unchanged; no shuffle.
+
+    Decided row by row, as in ``contaminated``: null and empty texts stay, copies
+    of a row go or stay alike, an empty benchmark leaves all rows.
+    """
     at = docs.columns.index("text")
 
     def keep(held):
@@ -236,8 +324,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
             for batch in batches:
                 ok = np.ones(batch.num_rows, bool)
                 for lo, _, buf, offs in T.blocks(None, pc.utf8_lower(batch.column(at))):
-                    for d, _, score, *_ in matches(held.value, buf, offs, lo, n, threshold):
-                        ok[d] &= round(score, 6) < threshold
+                    for d, *_ in matches(held.value, buf, offs, lo, n, threshold):
+                        ok[d] = False
                 yield batch.filter(pa.array(ok))
 
         return run

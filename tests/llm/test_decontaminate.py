@@ -48,7 +48,7 @@ def test_planted_copies(spark):
             want.add((i, k))
         rows.append((i, " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, "  ,,  ")]
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(98, None), (99, "one two")], "item_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(98, None), (99, ",. -")], "item_id long, text string")
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string")
     got = D.contaminated(docs, bench).collect()
     assert {(x.doc_id, x.item_id) for x in got} == want
@@ -98,7 +98,88 @@ def test_edited_copies_of_a_frequent_item(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "nothing here at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(["alpha beta gamma delta epsilon", "beta gamma delta epsilon zeta", "x y z"])], "item_id long, text string")
+    bench = bench.union(bench.where("item_id = 1"))
     want = sorted(map(tuple, D.contaminated(docs, bench).collect()))
     monkeypatch.setattr(D, "BLOCK_ITEMS", 1)
     assert sorted(map(tuple, D.contaminated(docs, bench).collect())) == want
     assert len(want) == 2
+
+
+def plain_tokens(text):
+    """Tokens by the definition, one character at a time."""
+    out, now = [], ""
+    for c in (text or "").lower():
+        p = ord(c)
+        sign = not c.isalnum() if p < 128 else any(a <= p <= b for a, b in D._SIGNS)
+        alone = not sign and any(a <= p <= b for a, b in D._UNSPACED)
+        if sign or alone:
+            out += [now] if now else []
+            now = ""
+            out += [c] if alone else []
+        else:
+            now += c
+    return out + ([now] if now else [])
+
+
+def test_tokens_against_plain():
+    import pyarrow as pa
+
+    from palimpsest.llm import _text as T
+
+    r = random.Random(1)
+    bits = ["a", "bc", "7", "17", " ", ",", "é", "ß", "—", "\u2019", "法", "国", "の", "ก", "ข", "한", "국", "。", "！", "𠀀", "😀", "×", "«", "\n", "-", "_", "ｱ", "Ω"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(400)]
+    for _, _, buf, offs in T.blocks(None, pa.array([t.lower() for t in texts])):
+        w = D.words_of(buf, offs)
+        raw = buf.tobytes()
+        for d, t in enumerate(texts):
+            own = range(w.offs[d], w.offs[d + 1])
+            assert [raw[w.start[k] : w.end[k]].decode() for k in own] == plain_tokens(t), t
+
+
+def test_pairs_against_every_document_with_every_item(spark):
+    """Brute force: every document against every item by the plain aligner over whole texts."""
+    r = random.Random(12)
+    vocab = [f"w{k}" for k in range(40)] + [str(k) for k in range(30)] + list("法国的首都是哪里巴黎東京")
+    words = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [words(r.randint(3, 14)) for _ in range(25)] + [words(80), words(120)]
+    items += [["alpha", "beta"], ["gamma"], "what is 17 + 25 = 42 and 3 * 9 = 27".split(), list("法国的首都是哪里") + [" "] + list("巴黎"), ["eins", "zwei", "drei"]]
+    texts = ["17 + 25 = 42 and 3 * 9 = 27", "法国的首都是哪里 巴黎", "法国的首都是哪里，巴黎！", "alpha beta", "alpha x beta", "say: GAMMA.", "what is 17 + 25 = 43 and 3 * 9 = 27", "", None, "eins zwei drei"]
+    for _ in range(120):
+        t = words(r.randint(0, 60))
+        if r.random() < 0.6:
+            copy = [w for w in r.choice(items) for w in ([w] if r.random() > 0.12 else [w, r.choice(vocab)] if r.random() < 0.5 else [r.choice(vocab)])]
+            cut = r.randint(0, len(copy) // 3)
+            at = r.randint(0, len(t))
+            t[at:at] = copy[cut:]
+        texts.append(r.choice([" ", ", ", "\n"]).join(t))
+    texts.append(" ".join(words(9000) + items[3] + words(2000)))
+    texts.append(" ".join(items[25][10:45]))  # a long passage of less than half an item
+    rows = [(k, t, 5) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, texts[0], 1)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(k, " ".join(w), 1) for k, w in enumerate(items)] + [(900, None, 1), (901, "", 1), (902, "?!", 1), (3, " ".join(items[3]), 1), (None, "eins zwei drei", 1)], "item_id long, text string, doc_id int")
+    want = {}
+    for d, t, _ in rows:
+        own = plain_tokens(t)
+        for i, w in [*enumerate(items), (None, ["eins", "zwei", "drei"])]:
+            item = plain_tokens(" ".join(w))
+            grams = lambda x, n: {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
+            if len(item) < 3:
+                if tuple(item) in grams(own, len(item)):
+                    want[d, i] = 1.0
+            elif grams(item, 3) & grams(own, 3):
+                raw = plain(item, own)
+                score = round(raw / (2 * len(item)), 6)
+                if score >= 0.5 or raw >= 2 * D.PASSAGE:
+                    want[d, i] = score
+    got = D.contaminated(docs, bench).collect()
+    assert len(got) == len(want) + 2 * sum(d == 0 for d, _ in want)
+    assert {(x.doc_id, x.item_id): x.score for x in got if x.doc_id is not None} == want
+    assert (len(texts) - 1, 25) in want and want[len(texts) - 1, 25] < 0.5
+    assert {(0, 29), (1, 30), (2, 30), (3, 27), (5, 28), (6, 29), (9, 31), (9, None)} <= set(want) and (4, 27) not in want
+    for x in got:
+        if x.doc_id is not None:
+            item = plain_tokens(" ".join(items[x.item_id] if x.item_id is not None else items[31]))
+            assert round(plain(item, plain_tokens(texts[x.doc_id])[x.first_word : x.last_word + 1]) / (2 * len(item)), 6) == x.score
+    kept = [x.doc_id for x in D.drop_contaminated(docs, bench).collect()]
+    assert sorted(kept) == sorted({d for d, _, _ in rows} - {d for d, _ in want})
