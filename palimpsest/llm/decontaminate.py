@@ -215,15 +215,31 @@ def _joined(hit: np.ndarray, doc: np.ndarray, h: np.ndarray, seed: np.ndarray, i
     return np.unique(np.concatenate(out))
 
 
-def stretches(own: np.ndarray, text: np.ndarray, least: float) -> list[tuple[int, int]]:
+def stretches(own: np.ndarray, often: np.ndarray, text: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Parts of a text that hold all its alignments of at least the score ``least``.
 
-    With m matches and p edits, 2m - p >= least, so m >= least / 2, and the text
-    side is at most m + p <= 3m - least tokens long.
+    own: the item's sorted distinct tokens, ``often`` how often it has each.  With m
+    matches and p edits, 2m - p >= least, so m >= least / 2, and the text side is
+    at most m + p <= 3m - least tokens long.  Of each token as many places count
+    in a window as the item has.
     """
-    span = min(len(text), max(1, int(3 * len(own) - least) + 1))
-    held = np.concatenate([[0], np.cumsum(T.in_sorted(text, own))])
-    good = np.flatnonzero(held[span:] - held[: len(held) - span] >= least / 2)
+    span = min(len(text), max(1, int(3 * int(often.sum()) - least) + 1))
+    code = np.searchsorted(own, text)
+    code[code == len(own)] = 0
+    place = np.flatnonzero(own[code] == text)
+    code = code[place]
+    if len(place) < least / 2:
+        return []
+    order = np.argsort(code, kind="stable")
+    code, place = code[order], place[order]
+    # a place counts in the windows that begin after the place of the token that would be one too many
+    full = np.arange(len(place)) - often[code]
+    after = np.where((full >= 0) & (code[full] == code), place[full] + 1, 0)
+    windows = len(text) - span + 1
+    change = np.zeros(windows + 1, np.int64)
+    np.add.at(change, np.clip(np.maximum(after, place - span + 1), 0, windows), 1)
+    np.add.at(change, np.minimum(place + 1, windows), -1)
+    good = np.flatnonzero(np.cumsum(change)[:-1] >= least / 2)
     if not len(good):
         return []
     new = np.flatnonzero(np.diff(good, prepend=-span - 1) > span)
@@ -258,7 +274,7 @@ def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
         own, least = items.words[i], float(least_score(sizes[i], threshold))
         text = w.hash[w.offs[d] : w.offs[d + 1]]
         best = (0, -1, -1)
-        for a, b in stretches(np.sort(own), text, least):
+        for a, b in stretches(*np.unique(own, return_counts=True), text, least):
             got = smith_waterman(own, text[a:b])
             if got[0] > best[0]:
                 best = (got[0], got[1] + a, got[2] + a)
