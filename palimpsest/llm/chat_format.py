@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm import _scratch
+from palimpsest import scratch as _scratch
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 

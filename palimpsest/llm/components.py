@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm import _scratch
+from palimpsest import scratch as _scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

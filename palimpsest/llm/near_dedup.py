@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm import _scratch
+from palimpsest import scratch as _scratch
 from palimpsest.llm import _text as T
 from palimpsest.llm._filters import only_wanted
 from palimpsest.llm.components import components

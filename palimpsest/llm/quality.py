@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _chunks as C
-from palimpsest.llm import _scratch
+from palimpsest import scratch as _scratch
 from palimpsest.llm import _text as T
 
 ORDER = 5
