@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import NGRAM, ngram_hash, with_word_hash
+from palimpsest.operators import kernels
 from palimpsest.sources.corpus import word_id
 
 
@@ -24,15 +25,41 @@ def ngrams(token_rows: DataFrame, *keys: str) -> DataFrame:
     return rows.where((F.col("len") > NGRAM) & F.col(f"b{NGRAM - 1}").isNotNull()).select(*keys, "pos", ngram_hash(lambda k: F.col(f"b{k}")).alias("h"))
 
 
-def frequencies(grams: DataFrame, collection: str, version: str) -> DataFrame:
-    """Adds freq, how often the n-gram occurs in all versions of its collection, and diff to the next position.
+def gram_rows(arrays: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, h: ngrams() of token arrays, computed by a kernel without a shuffle."""
+    return kernels.with_grams(arrays, *keys).select(*keys, F.posexplode("h").alias("pos", "h"))
 
-    Counted by an aggregate with map-side sums and joined back, so a hash that is
-    frequent in a large collection doesn't sit in one window partition.
+
+def frequency_arrays(arrays: DataFrame, collection: str, version: str) -> DataFrame:
+    """collection, version, len, h, freq: n-gram hashes and how often each occurs in all versions of its collection, by position.
+
+    A collection of one version needs no shuffle for it.  Elsewhere only distinct
+    (collection, hash) counts are summed, map-side first, and joined back, so a
+    hash that is frequent in a large collection doesn't sit in one partition.
     """
-    counts = grams.groupBy(collection, "h").agg(F.count(F.lit(1)).alias("freq"))
-    at = Window.partitionBy(collection, version).orderBy("pos")
-    return grams.join(counts, [collection, "h"]).withColumn("diff", F.coalesce(F.lead("freq").over(at) - F.col("freq"), F.lit(0)))
+    keys = (collection, version)
+    counted = arrays.select(*keys, "toks", F.count(F.lit(1)).over(Window.partitionBy(collection)).alias("n_versions"))
+    single = kernels.own_counts(kernels.with_grams(counted.where("n_versions = 1"), *keys), *keys)
+    several = kernels.with_grams(counted.where("n_versions > 1"), *keys)
+    rows = several.select(*keys, F.posexplode("h").alias("pos", "h"))
+    counts = rows.groupBy(collection, "h").agg(F.count(F.lit(1)).alias("freq"))
+    joined = rows.join(counts, [collection, "h"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "freq"))).alias("f"))
+    blank = F.expr("cast(array() as array<bigint>)")
+    multi = several.join(joined, [*keys], "left").select(*keys, "len", "h", F.coalesce(F.col("f.freq"), blank).alias("freq"))
+    return single.unionByName(multi)
+
+
+def frequency_rows(arrays: DataFrame, collection: str, version: str) -> DataFrame:
+    """collection, version, pos, freq, diff: frequencies by position, and their difference to the next one (0 at the end)."""
+    nxt = F.concat(F.slice("freq", 2, F.greatest(F.size("freq") - 1, F.lit(0))), F.slice("freq", -1, 1))
+    rows = frequency_arrays(arrays, collection, version).where(F.size("freq") > 0)
+    each = rows.select(collection, version, F.posexplode(F.arrays_zip(F.col("freq"), nxt.alias("nxt"))).alias("pos", "x"))
+    return each.select(collection, version, "pos", "x.freq", (F.col("x.nxt") - F.col("x.freq")).alias("diff"))
+
+
+def cuts(arrays: DataFrame, w: int, *keys: str) -> DataFrame:
+    """keys, pos: winnowed boundaries of token arrays; a version without n-grams is one block, an empty one has none."""
+    return kernels.with_bounds(arrays, (w,), *keys).select(*keys, F.explode(f"bounds{w}").alias("pos"))
 
 
 def _rank() -> Column:
@@ -45,7 +72,7 @@ def _place(rank: Column) -> Column:
 
 
 def winnow(grams: DataFrame, w: int, *keys: str) -> DataFrame:
-    """keys, pos: boundaries by winnowing, 0 and the rightmost minimum of each full window of w from position 1 on."""
+    """keys, pos: boundaries by winnowing of n-gram rows, 0 and the rightmost minimum of each full window of w from position 1 on."""
     at = Window.partitionBy(*keys).orderBy("pos")
     least = F.min(_rank()).over(at.rowsBetween(0, w - 1))
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
@@ -53,18 +80,6 @@ def winnow(grams: DataFrame, w: int, *keys: str) -> DataFrame:
     return picked.union(grams.select(*keys, F.lit(0).alias("pos"))).distinct()
 
 
-def winnow_many(grams: DataFrame, windows, *keys: str) -> DataFrame:
-    """keys, w, pos: winnow() without position 0 for several windows, in one pass over the n-grams."""
-    at = Window.partitionBy(*keys).orderBy("pos")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = grams.withColumn("n", n)
-    for w in windows:
-        rows = rows.withColumn(f"least{w}", F.min(_rank()).over(at.rowsBetween(0, w - 1)))
-    picks = F.array(*(F.when(F.col("pos").between(1, F.col("n") - w), F.struct(F.lit(float(w)).alias("w"), _place(F.col(f"least{w}")))) for w in windows))
-    picked = rows.select(*keys, F.explode(F.filter(picks, lambda x: x.isNotNull())).alias("p"))
-    return picked.select(*keys, "p.w", "p.pos").distinct()
-
-
 def radii_of(h: np.ndarray) -> np.ndarray:
     """Largest r with h[i] < h[i +- k] for all k up to r, both sides inside; by a monotone stack."""
     n = len(h)
@@ -86,22 +101,22 @@ def radii_of(h: np.ndarray) -> np.ndarray:
     return np.maximum(np.minimum(at - left, right - at) - 1, 0)
 
 
-def radii(grams: DataFrame, *keys: str) -> DataFrame:
-    """keys, pos, radius of every n-gram of a version.
+def radius_arrays(grams: DataFrame, *keys: str) -> DataFrame:
+    """keys, radius: the radius of every n-gram of a version, by position, from arrays h.
 
     The frame depends on the data, which no window can say; a version is one
     array, handled in Arrow batches.
     """
-    arrays = grams.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("g")).select(*keys, F.col("g.h").alias("h"))
-    at = len(keys)
-
-    def run(batches):
-        for batch in batches:
-            col = batch.column(at)
-            values, offs = col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets[0].as_py()
-            out = [radii_of(values[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            flat = pa.array(np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat)], names=[*keys, "r"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema if f.name in keys)
-    return arrays.mapInArrow(run, f"{kinds}, r array<int>").select(*keys, F.posexplode("r").alias("pos", "radius"))
+
+    def body(h):
+        values, offs = kernels.lists(h)
+        x = values.to_numpy()
+        out = [radii_of(x[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return [kernels.to_lists(np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32), offs, pa.int32())]
+
+    return kernels._passed(grams, keys, body, "radius array<int>", ("h",))
+
+
+def radii(arrays: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, radius of every n-gram of token arrays."""
+    return radius_arrays(kernels.with_grams(arrays, *keys), *keys).select(*keys, F.posexplode("radius").alias("pos", "radius"))

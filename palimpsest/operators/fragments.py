@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,10 +50,11 @@ def overlaps(block_rows: DataFrame, width: int, *keys: str) -> DataFrame:
     return hit.select(*(F.col(f"a.{k}") for k in keys), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def cover(frags: dict, w: float, grammar: bool = False) -> list[tuple]:
+def cover(frags: dict, w: float, grammar: bool = False, copies: dict | None = None) -> list[tuple]:
     """Greedy non-overlapping cover of one collection.
 
-    frags: fragment -> (len, [(version, offset), ...]).  The best fragment is
+    frags: fragment -> (len, [(version, offset), ...]); copies: how many equal versions
+    one stands for, 1 if not told; an application counts that often.  The best fragment is
     taken with its live applications, first ones first; every application that
     overlaps a taken one is void.  Sizes only shrink and scores with them, so a
     stale heap entry is an upper bound and may be re-scored when it is popped.
@@ -61,7 +62,8 @@ def cover(frags: dict, w: float, grammar: bool = False) -> list[tuple]:
     Returns (rank, fragment, version, offset, len).
     """
 
-    def rate(n: int, size: int) -> float:
+    def rate(n: int, now: list) -> float:
+        size = sum(copies.get(v, 1) for v, _ in now) if copies else len(now)
         return n * size / (1 + (0 if grammar else n) + w * (1 + size))
 
     taken: dict[int, bytearray] = {}
@@ -83,7 +85,7 @@ def cover(frags: dict, w: float, grammar: bool = False) -> list[tuple]:
     for f, (n, apps) in frags.items():
         apps = sorted(apps)
         now = live(n, apps)
-        heapq.heappush(heap, (-rate(n, len(now)), now[0], n, f, now))
+        heapq.heappush(heap, (-rate(n, now), now[0], n, f, now))
     out, rank = [], 0
     while heap:
         key, first, n, f, apps = heapq.heappop(heap)
@@ -91,7 +93,7 @@ def cover(frags: dict, w: float, grammar: bool = False) -> list[tuple]:
         if not now:
             continue
         if len(now) < len(apps) or now[0] != first:
-            heapq.heappush(heap, (-rate(n, len(now)), now[0], n, f, now))
+            heapq.heappush(heap, (-rate(n, now), now[0], n, f, now))
             continue
         for v, o in now:
             taken[v][o : o + n] = b"\1" * n
@@ -103,13 +105,34 @@ def cover(frags: dict, w: float, grammar: bool = False) -> list[tuple]:
 COVER = "w double, rank int, hash string, version long, offset int, len int"
 
 
-def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False) -> DataFrame:
+def fold(arrays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members) of equal versions of a collection.
+
+    representatives: collection, version (the first of its class), toks, copies;
+    members: collection, version (of the representative), member, all of them.
+    """
+    named = arrays.select("collection", "version", "toks", F.md5(F.array_join("toks", " ")).alias("_c"))
+    classes = named.groupBy("collection", "_c").agg(F.min("version").alias("least"), F.count(F.lit(1)).alias("copies"))
+    both = named.join(classes, ["collection", "_c"])
+    members = both.select("collection", F.col("least").alias("version"), F.col("version").alias("member"))
+    return both.where("version = least").select("collection", "version", "toks", "copies"), members
+
+
+def unfold(covers: DataFrame, members: DataFrame) -> DataFrame:
+    """A cover of representatives, given to every member of their classes."""
+    return covers.join(members, ["collection", "version"]).drop("version").withColumnRenamed("member", "version").select("collection", "w", "rank", "hash", F.col("version").cast("long").alias("version"), "offset", "len")
+
+
+def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False, copies: DataFrame | None = None) -> DataFrame:
     """collection, w, rank, hash, version, offset, len: the cover of each collection at each weight.
 
-    A collection is one group (its size is bounded by its key); the weights are
-    spread over groups as well.
+    The greedy choice is sequential in a collection, which is one group; equal
+    versions are folded before (``fold``, ``copies``: collection, version, copies), so
+    a group holds a collection's distinct texts.  The weights are spread over
+    groups as well.  A collection without candidates has no cover.
     """
     places = cut.select("collection", "hash", "len", "version", F.col("start").alias("offset")).distinct()
+    places = places.withColumn("copies", F.lit(1).cast("long")) if copies is None else places.join(copies.select("collection", "version", "copies"), ["collection", "version"])
     spread = places.withColumn("w", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
     kind = cut.schema["collection"].dataType.simpleString()
 
@@ -118,7 +141,8 @@ def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False) -
         for h, n, v, o in zip(df["hash"], df["len"], df["version"], df["offset"], strict=True):
             frags.setdefault(h, (int(n), []))[1].append((int(v), int(o)))
         w = float(df["w"].iloc[0])
-        rows = cover(frags, w, grammar)
+        many = {int(v): int(c) for v, c in zip(df["version"], df["copies"], strict=True) if c > 1}
+        rows = cover(frags, w, grammar, many)
         return pd.DataFrame([(df["collection"].iloc[0], w, *r) for r in rows], columns=["collection", "w", "rank", "hash", "version", "offset", "len"])
 
     return spread.groupBy("collection", "w").applyInPandas(run, f"collection {kind}, {COVER}")
@@ -127,8 +151,6 @@ def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False) -
 def tradeoff(covers: DataFrame) -> DataFrame:
     """collection, w, n_apps, n_frags, n_postings of each cover."""
     firsts = F.sum(F.when(F.col("app") == 1, F.col("len")).otherwise(0))
-    from pyspark.sql import Window
-
     numbered = covers.withColumn("app", F.row_number().over(Window.partitionBy("collection", "w", "rank").orderBy("version", "offset")))
     return numbered.groupBy("collection", "w").agg(F.count(F.lit(1)).alias("n_apps"), F.sum(F.when(F.col("app") == 1, 1).otherwise(0)).alias("n_frags"), firsts.alias("n_postings"))
 
@@ -140,6 +162,12 @@ def coverage_faults(covers: DataFrame, arrays: DataFrame) -> DataFrame:
     return held.join(arrays.select("collection", "version", F.size("toks").alias("n")), ["collection", "version"]).where("clash or held != n")
 
 
+def hash_faults(covers: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Applications whose tokens don't have their fragment's hash; none if all is well."""
+    run = F.slice("toks", F.col("offset") + 1, F.col("len"))
+    return covers.join(arrays.select("collection", "version", "toks"), ["collection", "version"]).where(F.md5(F.array_join(run, " ")) != F.col("hash"))
+
+
 def first_postings(covers: DataFrame, arrays: DataFrame) -> DataFrame:
     """collection, w, rank, pos, term: the postings of each chosen fragment, once, from its first application."""
     first = covers.groupBy("collection", "w", "rank").agg(F.min(F.struct("version", "offset", "len")).alias("f")).select("collection", "w", "rank", "f.*")

@@ -1,64 +1,89 @@
-"""Inverted indexes: build, merge, read, restore, look up."""
+"""Inverted indexes in blocks: build, merge, write, read, restore, look up.
+
+An index has one row per (term, block): freq, n_docs and the postings (docid,
+pos) of one range of documents, in order.  So no list grows with the corpus; a
+frequent term has many blocks, and its lexicon row sums them up.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import kernels
+
+#: Documents per block.
+BLOCK_DOCS = 4096
+
+
+def block_of(doc) -> Column:
+    return F.floor((F.col(doc) if isinstance(doc, str) else doc) / BLOCK_DOCS).cast("long")
+
+
+def term_rows(arrays: DataFrame, *keys: str) -> DataFrame:
+    """keys, term, positions: each distinct term of a document once; grouped inside the map, before any shuffle."""
+    return kernels.with_terms(arrays, *keys).select(*keys, F.explode("terms").alias("t")).select(*keys, "t.term", "t.positions")
 
-def build(postings: DataFrame, word: str = "term", doc: str = "doc_id") -> DataFrame:
-    """word, freq, n_docs, postings (array of docid, pos in order).
 
-    Lists are gathered per word and document first, so a frequent word's
-    positions are combined before they meet.
+def build(rows: DataFrame, doc: str = "doc_id", block: Column | None = None) -> DataFrame:
+    """term, block, freq, n_docs, postings; rows: doc, term, positions.
+
+    Rows that repeat a document and term give their positions each; a null
+    document is in a null block of its own.
     """
-    per_doc = postings.groupBy(word, doc).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    lists = F.array_sort(F.collect_list(F.struct(F.col(doc).alias("docid"), "positions")))
-    grouped = per_doc.groupBy(word).agg(F.sum(F.size("positions")).alias("freq"), F.count(F.lit(1)).alias("n_docs"), lists.alias("l"))
+    placed = rows.select(F.col(doc).alias("docid"), "term", "positions", (block_of(doc) if block is None else block).alias("block"))
+    lists = F.array_sort(F.collect_list(F.struct("docid", "positions")))
+    grouped = placed.groupBy("term", "block").agg(F.sum(F.size("positions")).alias("freq"), F.count(F.lit(1)).alias("n_docs"), lists.alias("l"))
     flat = F.flatten(F.transform("l", lambda d: F.transform(d["positions"], lambda p: F.struct(d["docid"].alias("docid"), p.alias("pos")))))
-    return grouped.select(word, "freq", "n_docs", flat.alias("postings"))
+    return grouped.select("term", "block", "freq", "n_docs", flat.alias("postings"))
 
 
-def lexicon(postings: DataFrame, word: str = "term", doc: str = "doc_id") -> DataFrame:
-    """word, freq, n_docs without the lists: map-side sums only."""
-    per_doc = postings.groupBy(word, doc).agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy(word).agg(F.sum("n").alias("freq"), F.count(F.lit(1)).alias("n_docs"))
+def lexicon(index: DataFrame) -> DataFrame:
+    """term, freq, n_docs, n_blocks: one row per term, without its lists."""
+    return index.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def merge(*runs: DataFrame, word: str = "term") -> DataFrame:
-    """One index from several with disjoint documents; equal words' lists in run order."""
-    parts = [r.withColumn("run", F.lit(k)) for k, r in enumerate(runs)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+def merge(*runs: DataFrame) -> DataFrame:
+    """One index from several with disjoint documents; lists of an equal term and block follow each other in run order."""
+    every = runs[0].withColumn("run", F.lit(0))
+    for k, r in enumerate(runs[1:], 1):
+        every = every.unionByName(r.withColumn("run", F.lit(k)))
     lists = F.array_sort(F.collect_list(F.struct("run", "postings")))
-    return every.groupBy(word).agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.flatten(F.transform(lists, lambda x: x["postings"])).alias("postings"))
+    return every.groupBy("term", "block").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.flatten(F.transform(lists, lambda x: x["postings"])).alias("postings"))
+
+
+def write(index: DataFrame, path: str) -> None:
+    """The index as files that hold ranges of terms, each in order of term and block."""
+    index.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index of write(); a filter on terms reads only the row groups that may hold them."""
+    return spark.read.parquet(path)
 
 
-def read(index: DataFrame, word: str = "term") -> DataFrame:
-    """word, docid, pos: the postings in index order."""
-    return index.select(word, F.explode("postings").alias("p")).select(word, "p.docid", "p.pos")
+def read(index: DataFrame) -> DataFrame:
+    """term, docid, pos: the flat postings."""
+    return index.select("term", F.explode("postings").alias("p")).select("term", "p.docid", "p.pos")
 
 
 def restore(postings: DataFrame, *keys: str, word: str = "term") -> DataFrame:
-    """keys, toks: token arrays rebuilt from postings."""
+    """keys, toks: token arrays rebuilt from flat postings."""
     return postings.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word))), lambda x: x[word]).alias("toks"))
 
 
-def all_terms(postings: DataFrame, terms: list[str], doc: str = "doc_id") -> DataFrame:
-    """Documents that hold every term."""
+def all_terms(index: DataFrame, terms: list[str]) -> DataFrame:
+    """docid of documents that hold every term."""
     wanted = sorted(set(terms))
-    hits = postings.where(F.col("term").isin(wanted)).groupBy(doc).agg(F.count_distinct("term").alias("n"))
-    return hits.where(F.col("n") == len(wanted)).select(doc)
+    hits = read(index.where(F.col("term").isin(wanted))).select("term", "docid").distinct()
+    return hits.groupBy("docid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("docid")
 
 
-def phrase(postings: DataFrame, terms: list[str], doc: str = "doc_id") -> DataFrame:
-    """doc, pos: places where the terms follow each other."""
-    parts = [postings.where(F.col("term") == t).select(doc, (F.col("pos") - k).alias("pos"), F.lit(k).alias("k")) for k, t in enumerate(terms)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.where("pos >= 0").groupBy(doc, "pos").agg(F.count_distinct("k").alias("n")).where(F.col("n") == len(terms)).select(doc, "pos")
+def phrase(rows: DataFrame, terms: list[str], *keys: str) -> DataFrame:
+    """keys, pos: places where the terms follow each other; rows: keys, term, pos."""
+    which = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms))), lambda x: x["t"] == F.col("term")))
+    hits = rows.where(F.col("term").isin(terms)).select(*keys, "pos", which.alias("w")).select(*keys, (F.col("pos") - F.col("w.k")).alias("pos"), "w.k").where("pos >= 0")
+    return hits.distinct().groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(*keys, "pos")
 
 
 def copy_ranges(version_tokens: DataFrame, reference_tokens: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -67,7 +92,6 @@ def copy_ranges(version_tokens: DataFrame, reference_tokens: DataFrame, n: int,
     Token rows with keys, pos, term; each version n-gram meets the first equal
     one of the reference, and hits on one diagonal that follow each other join.
     """
-    from pyspark.sql import Window
 
     def grams(rows):
         at = Window.partitionBy(*keys).orderBy("pos")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest import scratch
+
 
 def frontier(rows: DataFrame, key: str = "collection") -> DataFrame:
     """Rows with strictly fewer postings than every row before them by (n_apps, n_postings)."""
@@ -34,97 +37,146 @@ def best_by_cost(rows: DataFrame, key: str = "collection") -> DataFrame:
     return rows.withColumn("cost", cost).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, "w", "cost")
 
 
-def spend_marginal(points: dict, budget: int) -> dict:
-    """Each document starts at its fewest applications; the best step of all (postings saved per application) is taken while it fits.
+def _rate(a, b) -> float:
+    return (a[1] - b[1]) / (b[0] - a[0])
 
-    points: document -> frontier rows (n_apps, n_postings, w) by n_apps.  A
-    document whose step doesn't fit stays.  Equal rates go by document.
-    """
-    points = {d: sorted(p) for d, p in points.items()}
-    left = budget - sum(p[0][0] for p in points.values())
-    if left < 0:
-        raise ValueError("the budget doesn't hold the smallest choice of every document")
-    at = dict.fromkeys(points, 0)
 
-    def step(d):
-        p, k = points[d], at[d]
-        if k + 1 < len(p):
-            heapq.heappush(heap, (-(p[k][1] - p[k + 1][1]) / (p[k + 1][0] - p[k][0]), d))
+def next_steps(p: list, at: int, left: int) -> list[tuple[int, int, float]]:
+    """(target, applications, rate) of the steps from row ``at`` on, one row at a time, up to the first that can't fit."""
+    out: list[tuple[int, int, float]] = []
+    for k in range(at + 1, len(p)):
+        extra = p[k][0] - p[k - 1][0]
+        if extra > left:
+            break
+        out.append((k, extra, _rate(p[k - 1], p[k])))
+    return out
+
+
+def next_jumps(p: list, at: int, left: int) -> list[tuple[int, int, float]]:
+    """The same where a step may skip rows: from each row the jump of the best rate that can fit, the shortest among equals."""
+    out: list[tuple[int, int, float]] = []
+    while True:
+        can = [(-_rate(p[at], p[k]), k) for k in range(at + 1, len(p)) if p[k][1] < p[at][1] and p[k][0] - p[at][0] <= left]
+        if not can:
+            return out
+        rate, k = min(can)
+        out.append((k, p[k][0] - p[at][0], -rate))
+        at = k
+
 
+def _spend(points: dict, at: dict, left: int, steps) -> dict:
+    """The greedy spending of ``left`` from the rows ``at`` on: best rate first, equal rates by document."""
     heap: list = []
+
+    def push(d):
+        if found := steps(points[d], at[d], left):
+            heapq.heappush(heap, (-found[0][2], d, found[0][0], found[0][1]))
+
     for d in points:
-        step(d)
+        push(d)
     while heap:
-        _, d = heapq.heappop(heap)
-        extra = points[d][at[d] + 1][0] - points[d][at[d]][0]
+        _, d, k, extra = heapq.heappop(heap)
         if extra <= left:
             left -= extra
-            at[d] += 1
-            step(d)
-    return {d: points[d][k] for d, k in at.items()}
+            at[d] = k
+            push(d)
+        elif steps is next_jumps:
+            push(d)  # a smaller jump may fit
+    return at
 
 
-def spend_pairs(points: dict, budget: int) -> dict:
-    """All jumps between two rows of a document compete; a jump from a row that was left behind no longer counts."""
+def _start(points: dict, budget: int):
     points = {d: sorted(p) for d, p in points.items()}
     left = budget - sum(p[0][0] for p in points.values())
     if left < 0:
         raise ValueError("the budget doesn't hold the smallest choice of every document")
-    at = dict.fromkeys(points, 0)
-    jumps = [(-(p[j][1] - p[k][1]) / (p[k][0] - p[j][0]), d, j, k) for d, p in points.items() for j in range(len(p)) for k in range(j + 1, len(p)) if p[k][1] < p[j][1]]
-    # jumps of a document become possible as it moves, so they wait in order and are tried again
-    waiting: dict = {}
-    heap = []
-    for jump in jumps:
-        waiting.setdefault((jump[1], jump[2]), []).append(jump)
-    for d in points:
-        for jump in waiting.get((d, 0), []):
-            heapq.heappush(heap, jump)
-    while heap:
-        _, d, j, k = heapq.heappop(heap)
-        extra = points[d][k][0] - points[d][j][0]
-        if j != at[d] or extra > left:
-            continue
-        left -= extra
-        at[d] = k
-        for jump in waiting.get((d, k), []):
-            heapq.heappush(heap, jump)
-    return {d: points[d][k] for d, k in at.items()}
-
-
-def envelope(rows: DataFrame, key: str = "collection") -> DataFrame:
-    """Frontier steps with their rate, made non-increasing per collection, so a global order respects each one's own.
-
-    This is the distributed form of the marginal budget: with the steps in rate
-    order a running sum of applications tells which ones fit.
+    return points, left
+
+
+def spend_marginal(points: dict, budget: int) -> dict:
+    """Each document starts at its fewest applications; the best step of all (postings saved per application) is taken while it fits.
+
+    points: document -> frontier rows (n_apps, n_postings, w).  A document whose step
+    doesn't fit stays, others go on.  Equal rates go by document.  For tables, see spend.
     """
-    own = Window.partitionBy(key).orderBy("n_apps")
-    step = rows.withColumn("apps", F.col("n_apps") - F.lag("n_apps").over(own)).withColumn("saved", F.lag("n_postings").over(own) - F.col("n_postings")).where("apps is not null")
-    return step.withColumn("rate", F.min(F.col("saved") / F.col("apps")).over(own.rowsBetween(Window.unboundedPreceding, 0))).select(key, "w", "n_apps", "apps", "saved", "rate")
+    points, left = _start(points, budget)
+    return {d: points[d][k] for d, k in _spend(points, dict.fromkeys(points, 0), left, next_steps).items()}
 
 
-def spend_ordered(rows: DataFrame, budget: int, key: str = "collection", buckets: int = 4096) -> DataFrame:
-    """key, w: the last step of each collection that the budget pays, steps in order of rate.
+def spend_pairs(points: dict, budget: int) -> dict:
+    """The same over jumps between any two rows of a document; one that doesn't fit leaves the smaller ones."""
+    points, left = _start(points, budget)
+    return {d: points[d][k] for d, k in _spend(points, dict.fromkeys(points, 0), left, next_jumps).items()}
 
-    The running sum is taken per rate bucket, then inside the one bucket where
-    the budget ends, so no task sorts all steps.  Collections without a paid
-    step keep their first row.
+
+#: Steps that are finished on the driver.
+FEW_STEPS = 20_000
+
+
+def spend(rows: DataFrame, budget: int, key: str = "collection", jumps: bool = False, few: int = FEW_STEPS) -> DataFrame:
+    """key, w: spend_marginal (or with ``jumps`` spend_pairs) of frontier rows, in rounds over a table of any size.
+
+    A document's steps have a fixed place in the global order: that of the worst
+    rate up to them, since a better step follows at once.  In a round all steps that can
+    fit are dealt to ranges of that order; their running sum, per range and then inside one,
+    tells the first that doesn't fit.  All before it are taken, and as the
+    budget only shrinks, steps larger than what is left never fit again.  Once
+    no more than ``few`` steps can fit, they are finished on the driver.
+    Raises ValueError if the budget doesn't hold every document's first row.
+    An empty table gives an empty result.
     """
-    base = rows.groupBy(key).agg(F.min(F.struct("n_apps", "w")).alias("m")).select(key, "m.*")
-    spent = base.agg(F.sum("n_apps")).first()[0] or 0
-    steps_ = envelope(rows, key).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.log2(1 + F.col("rate")) * 64)).cast("int"))
-    sums = steps_.groupBy("bucket").agg(F.sum("apps").alias("apps")).orderBy(F.desc("bucket")).collect()  # at most ``buckets`` rows
-    left, last = budget - spent, -1
-    for r in sums:
-        if r["apps"] > left:
-            last = r["bucket"]
+    chain = next_jumps if jumps else next_steps
+    kind = rows.schema[key].dataType.simpleString()
+    cells = F.array_sort(F.collect_list(F.struct(F.col("n_apps").cast("long").alias("n_apps"), F.col("n_postings").cast("long").alias("n_postings"), F.col("w").cast("double").alias("w"))))
+    state = scratch.table(rows.groupBy(F.col(key).alias("d")).agg(cells.alias("p")).withColumn("at", F.lit(0)), "budget")
+    left = budget - (state.agg(F.sum(F.col("p")[0]["n_apps"])).first()[0] or 0)
+    if left < 0:
+        raise ValueError("the budget doesn't hold the smallest choice of every document")
+
+    def chained(left: int):
+        def run(frames):
+            for df in frames:
+                out = []
+                for d, p, at in zip(df["d"], df["p"], df["at"], strict=True):
+                    worst = float("inf")
+                    for k, extra, rate in chain([(x["n_apps"], x["n_postings"]) for x in p], int(at), left):
+                        worst = min(worst, rate)
+                        out.append((d, k, extra, worst))
+                yield pd.DataFrame(out, columns=["d", "to", "apps", "rate"])
+
+        return run
+
+    while True:
+        steps_ = state.mapInPandas(chained(left), f"d {kind}, to int, apps long, rate double")
+        order = [F.desc("rate"), F.asc("d"), F.asc("to")]
+        dealt = scratch.table(steps_.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "steps")
+        # one row per range
+        sums = sorted(dealt.groupBy("part").agg(F.sum("apps").alias("apps"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"])
+        if sum(r["n"] for r in sums) <= few:
             break
-        left -= r["apps"]
-    whole = steps_.where(F.col("bucket") > last)
-    order = Window.partitionBy("bucket").orderBy(F.desc("rate"), key, "n_apps")
-    partly = steps_.where(F.col("bucket") == last).withColumn("run", F.sum("apps").over(order)).where(F.col("run") <= left).drop("run")
-    paid = whole.unionByName(partly).groupBy(key).agg(F.max(F.struct("n_apps", "w")).alias("m")).select(key, F.col("m.w").alias("paid"))
-    return base.join(paid, key, "left").select(key, F.coalesce("paid", "w").alias("w"))
+        rest, last = left, None
+        for r in sums:
+            if r["apps"] > rest:
+                last = r["part"]
+                break
+            rest -= r["apps"]
+        taken = dealt if last is None else dealt.where(F.col("part") < last)
+        if last is not None:
+            run = F.sum("apps").over(Window.partitionBy("part").orderBy(*order))
+            partly = dealt.where(F.col("part") == last).withColumn("run", run).where(F.col("run") <= rest)
+            rest -= partly.agg(F.max("run")).first()[0] or 0
+            taken = taken.unionByName(partly.drop("run"))
+        moved = taken.groupBy("d").agg(F.max("to").alias("to"))
+        state = scratch.table(state.join(moved, "d", "left").select("d", "p", F.coalesce("to", "at").alias("at")), "budget")
+        left = rest
+        if last is None:
+            return state.select(F.col("d").alias(key), F.col("p")[F.col("at")]["w"].alias("w"))
+    # at most ``few`` documents have a step that can fit
+    open_ = state.join(dealt.select("d").distinct(), "d").collect()
+    points = {r["d"]: [(x["n_apps"], x["n_postings"]) for x in r["p"]] for r in open_}
+    at = _spend(points, {r["d"]: r["at"] for r in open_}, left, chain)
+    moved = state.sparkSession.createDataFrame(list(at.items()), f"d {kind}, to int")
+    return state.join(F.broadcast(moved), "d", "left").select(F.col("d").alias(key), F.col("p")[F.coalesce("to", "at")]["w"].alias("w"))
 
 
 def with_chosen(rows: DataFrame, chosen: DataFrame, default: float = 1.0, key: str = "collection") -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import NGRAM
@@ -107,11 +108,63 @@ def levels(base: DataFrame, total: int, sliding_from: int, *keys: str) -> DataFr
     return out
 
 
+CELL = 64
+
+
+def _inside(level_rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, level, idx, p_level, parent: blocks and the blocks of other levels that hold them.
+
+    Outer blocks are dealt to the cells of positions they touch and inner ones to
+    that of their start, so the join has an equality key and no version is
+    compared block against block.
+    """
+    inner = level_rows.select(*keys, "level", "idx", "start", "end", F.expr(f"start div {CELL}").alias("cell"))
+    outer = level_rows.select(*keys, F.col("level").alias("p_level"), F.col("idx").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(F.expr(f"sequence(start div {CELL}, (end - 1) div {CELL})")).alias("cell"))
+    return inner.join(outer, [*keys, "cell"]).where("p_start <= start and p_end >= end and p_level != level")
+
+
 def contained(level_rows: DataFrame, *keys: str) -> DataFrame:
     """keys, level, idx, parent: each block of a level and the block of the next coarser one that holds it."""
-    child = level_rows.select(*keys, "level", "idx", "start", "end")
-    parent = level_rows.select(*keys, (F.col("level") - 1).alias("level"), F.col("idx").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    return child.join(parent, [*keys, "level"]).where("p_start <= start and p_end >= end").select(*keys, "level", "idx", "parent")
+    return _inside(level_rows, *keys).where("p_level = level + 1").select(*keys, "level", "idx", "parent")
+
+
+def tree_conflicts(level_rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, level, idx, other_level, other_idx: the ancestors and descendants of each block of a hierarchy (levels from fine to coarse)."""
+    up = _inside(level_rows, *keys).where("p_level > level")
+    pairs = up.select(*keys, "level", "idx", F.col("p_level").alias("other_level"), F.col("parent").alias("other_idx"))
+    return pairs.unionByName(up.select(*keys, F.col("p_level").alias("level"), F.col("parent").alias("idx"), F.col("level").alias("other_level"), F.col("idx").alias("other_idx")))
+
+
+def blocks_between(bounds: str, length: str = "len") -> Column:
+    """Array of (idx, start, end) between the boundaries of an ascending array column."""
+    return F.transform(bounds, lambda x, i: F.struct(i.alias("idx"), x.alias("start"), F.coalesce(F.get(bounds, i + 1), F.col(length)).alias("end")))
+
+
+def refining_levels(bounds: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """keys, level, idx, start, end: one level per boundary column, fine to coarse; a level also cuts where any coarser one does.
+
+    So each level refines the next, whatever the columns hold.
+    """
+    out = None
+    for k in range(len(columns)):
+        here = F.array_sort(F.array_distinct(F.concat(*columns[k:])))
+        rows = bounds.select(*keys, "len", here.alias("_b")).select(*keys, F.explode(blocks_between("_b")).alias("x")).select(*keys, F.lit(k).alias("level"), "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def overfull(candidates: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """keys, n: versions with more candidate blocks than ``limit``; callers stop, or leave them out."""
+    return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+
+
+def cut_with(cutters: dict[str, Callable[[DataFrame], DataFrame]], arrays: DataFrame) -> DataFrame:
+    """cutter, collection, version, pos: the boundaries of each cutter, a function from token arrays to (collection, version, pos)."""
+    out = None
+    for name, cutter in cutters.items():
+        rows = cutter(arrays).select(F.lit(name).alias("cutter"), "collection", "version", F.col("pos").cast("int").alias("pos"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def repair_grammar(versions: list) -> tuple[list, dict, list[int]]:
@@ -249,6 +302,19 @@ def repair_cut(arrays: DataFrame, down: int = 8) -> DataFrame:
     return arrays.select("collection", "version", "toks").groupBy("collection").applyInPandas(run, f"collection {kind}, version long, level int, idx int, start int, end int")
 
 
+def repair_tiling(nodes: DataFrame) -> DataFrame:
+    """collection, version, start, end: of repair_cut rows, those that hold no node of the next level; they tile each version."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(df["start"], df["end"], strict=True), key=lambda x: (x[0], -x[1]))
+        # nested nodes follow the one around them
+        keep = [x for x, y in zip(rows, [*rows[1:], (1 << 31, 0)], strict=True) if y[0] >= x[1]]
+        return pd.DataFrame([(df["collection"].iloc[0], df["version"].iloc[0], a, b) for a, b in keep], columns=["collection", "version", "start", "end"])
+
+    kind = nodes.schema["collection"].dataType.simpleString()
+    return nodes.groupBy("collection", "version").applyInPandas(run, f"collection {kind}, version long, start int, end int")
+
+
 def cut_lengths(block_rows: DataFrame, *keys: str) -> DataFrame:
     """length, n: histogram of block lengths, each version's last block left out."""
     last = F.max("idx").over(Window.partitionBy(*keys))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from palimpsest.functions.hashing import WORD_MULTIPLIER
+from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
+
 _SPLIT = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 
 DOCS = f"docs AS (SELECT doc_id, {_SPLIT} AS toks FROM documents)"
@@ -20,11 +23,11 @@ TOK = "tok AS (SELECT doc_id, unnest(toks) AS term, unnest(range(len(toks))) AS
 VTOK = "tok AS (SELECT collection, version, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM vers)"
 
 # one step of the word hash per common table
-HASHED = """h0 AS (SELECT *, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS wid FROM tok),
+HASHED = f"""h0 AS (SELECT *, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS wid FROM tok),
 h1 AS (SELECT *, xor(wid, wid >> 15) AS k1 FROM h0),
 h2 AS (SELECT *, (4294967295 - k1 + (k1 << 6)) & 4294967295 AS k2 FROM h1),
 h3 AS (SELECT *, xor(k2, k2 >> 4) AS k3 FROM h2),
-h4 AS (SELECT *, CAST((CAST(k3 AS HUGEINT) * 2624360283) % 4294967296 AS BIGINT) AS k4 FROM h3),
+h4 AS (SELECT *, CAST((CAST(k3 AS HUGEINT) * {WORD_MULTIPLIER}) % 4294967296 AS BIGINT) AS k4 FROM h3),
 hashed AS (SELECT * EXCLUDE (k1, k2, k3, k4), xor(k4, k4 >> 16) >> 24 AS b FROM h4)"""
 
 
@@ -76,10 +79,71 @@ def sql(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+_SWEEP = ", ".join(map(str, SWEEP))
+#: Documents per index block.
+BLOCK = 4096
+
+
+def postings(place: str, block: str, order: str, source: str = "tok") -> str:
+    """Digests of the posting lists of (term, block)."""
+    return f"SELECT term, {block} AS block, count(*) AS freq, count(DISTINCT {order}) AS n_docs, md5(string_agg({place} || ':' || pos, ' ' ORDER BY {order}, pos)) AS postings FROM {source} GROUP BY 1, 2"
+
+
+def levels(total: int, name: str = "lev") -> str:
+    """Candidate blocks of sliding merges: level k joins k + 1 blocks that follow each other."""
+    parts = [f'SELECT collection, version, {k} AS level, idx, "start", lead("end", {k}) OVER w AS "end", toks FROM blocks WINDOW w AS (PARTITION BY collection, version ORDER BY idx) QUALIFY lead("end", {k}) OVER w IS NOT NULL' for k in range(total + 1)]
+    return f"{name} AS (" + " UNION ALL ".join(f"({p})" for p in parts) + ")"
+
+
+def jump_cut(relative: bool, max_block: int = 0) -> tuple[str, ...]:
+    """Boundaries at frequency jumps, strongest first, none within 10 of an accepted one; then long blocks refined."""
+    d = "CAST(trunc((freq - nxt) / least(freq, nxt)) AS BIGINT)" if relative else "freq - nxt"
+    parts = [
+        "ahead AS (SELECT collection, version, pos, freq, lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) AS nxt FROM freq)",
+        f"jump AS (SELECT collection, version, pos, {d} AS d FROM ahead WHERE nxt IS NOT NULL)",
+        "cand AS (SELECT collection, version, abs(d) AS size, CASE WHEN d > 0 THEN pos + 10 ELSE pos + 1 END AS p FROM jump WHERE abs(d) > 1)",
+        """chosen AS (SELECT collection, version, list_reduce([[]::BIGINT[]] || list([p::BIGINT] ORDER BY size DESC, p), lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda q: q >= x[1] - 10 AND q < x[1] + 10)) = 0 THEN list_concat(acc, x) ELSE acc END) AS ps
+FROM cand JOIN vers USING (collection, version) WHERE p < len(toks) GROUP BY collection, version)""",
+        "jb AS (SELECT collection, version, unnest(ps) AS pos FROM chosen UNION SELECT collection, version, 0 FROM vers WHERE len(toks) > 0)",
+    ]
+    if max_block:
+        parts += [
+            "gap AS (SELECT collection, version, pos AS a, coalesce(lead(pos) OVER (PARTITION BY collection, version ORDER BY pos), len(toks)) AS b FROM jb JOIN vers USING (collection, version))",
+            """low AS (SELECT collection, version, pos, freq, h < min(h) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AND h < min(h) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS least,
+  count(*) OVER (PARTITION BY collection, version) AS n FROM freq WINDOW w AS (PARTITION BY collection, version ORDER BY pos))""",
+            f"more AS (SELECT collection, version, pos FROM gap JOIN low USING (collection, version) WHERE b - a > {max_block} AND pos > a + 10 AND pos < b - 10 AND least AND pos >= 10 AND pos + 10 < n AND freq > 1)",
+        ]
+    return tuple(parts)
+
+
+#: The window of least cost of each collection, its fragments, and their global ids.
+CHOSEN = """best AS (SELECT collection, w FROM trade QUALIFY row_number() OVER (PARTITION BY collection ORDER BY 2 * n_postings + 2 * n_frags + 2 * n_apps, w) = 1),
+own AS (SELECT f.* FROM (""" + " UNION ALL ".join(f"SELECT {w}.0::DOUBLE AS w, * FROM fr{w}" for w in WINDOWS) + """) f JOIN best USING (collection, w)),
+firsts AS (SELECT collection, hash, any_value(len) AS len, count(*) AS size, min(struct_pack(v := version, o := "start")) AS f FROM own GROUP BY collection, hash),
+named AS (SELECT *, row_number() OVER (ORDER BY collection, f.v, f.o) - 1 AS frag_id FROM firsts),
+apps AS (SELECT frag_id, collection, version, n.len, "start" AS "offset" FROM own JOIN named n USING (collection, hash)),
+ftok AS (SELECT frag_id, unnest(toks[f.o + 1 : f.o + len]) AS term, unnest(range(len)) AS pos FROM named JOIN vers ON vers.collection = named.collection AND vers.version = f.v)"""
+
 BASE = (VERS, VTOK, GRAMS)
-WINDOWS = (5, 20, 40)
 TRADE = (*BASE, tradeoff(WINDOWS))
 _CUT = (*BASE, winnow(20), blocks(), fragments())
+#: Refining levels: a level cuts where its own window or a coarser one does.
+_TREE = (
+    *BASE,
+    *(winnow(w, f"b{w}") for w in WINDOWS),
+    *(f"u{k} AS (" + " UNION ".join(f"SELECT collection, version, pos FROM b{w}" for w in WINDOWS[k:]) + ")" for k in range(len(WINDOWS))),
+    *(blocks(f"u{k}", f"t{k}") for k in range(len(WINDOWS))),
+    "tree AS (" + " UNION ALL ".join(f'SELECT collection, version, {k} AS level, idx, "start", "end" FROM t{k}' for k in range(len(WINDOWS))) + ")",
+)
+#: Frontier rows by number, their steps with the worst rate so far, and the budget.
+_FRONTIER = (
+    "front AS (SELECT collection, w, n_apps, n_postings FROM (SELECT *, min(n_postings) OVER (PARTITION BY collection ORDER BY n_apps, n_postings, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM trade) WHERE least IS NULL OR n_postings < least)",
+    "rowed AS (SELECT *, dense_rank() OVER (ORDER BY collection) AS d, row_number() OVER (PARTITION BY collection ORDER BY n_apps) AS k FROM front)",
+    "limits AS (SELECT sum(n_apps)::BIGINT AS least, (sum(n_apps) * 3 // 2)::BIGINT AS budget FROM rowed WHERE k = 1)",
+    "step0 AS (SELECT *, n_apps - lag(n_apps) OVER w AS apps, lag(n_postings) OVER w - n_postings AS saved FROM rowed WINDOW w AS (PARTITION BY collection ORDER BY n_apps))",
+    "stepped AS (SELECT *, min(saved / apps) OVER (PARTITION BY collection ORDER BY n_apps) AS worst FROM step0 WHERE apps IS NOT NULL)",
+)
 
 ORACLE_SQL = {
     "scan_documents": sql(DOCS, select="SELECT doc_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS content FROM docs"),
@@ -117,7 +181,7 @@ UNION SELECT collection, version, 0 FROM vers WHERE len(toks) > 0""",
     ),
     "cut_tree": sql(
         VERS, VTOK, GRAMS, FREQ,
-        select="""SELECT collection, version, pos FROM (SELECT collection, version, pos + 10 AS pos, abs(lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) - freq) AS gap FROM freq) WHERE gap >= 3
+        select=f"""SELECT collection, version, pos FROM (SELECT collection, version, pos + 10 AS pos, abs(lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) - freq) AS gap FROM freq) WHERE gap >= {TREE_JUMP}
 UNION SELECT collection, version, 0 FROM grams""",
     ),
     "level_merge": sql(
@@ -153,13 +217,9 @@ FROM (SELECT collection, hash, CAST(any_value(len) AS DOUBLE) AS len, CAST(count
     ),
     "overlap_pairs": sql(
         *_CUT,
-        select="""SELECT collection, version, count(*) AS n FROM (
-  SELECT collection, version, idx * 2 AS id, "start", "end" FROM blocks UNION ALL
-  SELECT collection, version, idx * 2 + 1, "start", e FROM (SELECT *, lead("end") OVER (PARTITION BY collection, version ORDER BY idx) AS e FROM blocks) WHERE e IS NOT NULL) a
-JOIN (
-  SELECT collection, version, idx * 2 AS id, "start", "end" FROM blocks UNION ALL
-  SELECT collection, version, idx * 2 + 1, "start", e FROM (SELECT *, lead("end") OVER (PARTITION BY collection, version ORDER BY idx) AS e FROM blocks) WHERE e IS NOT NULL) b
-USING (collection, version) WHERE a.id < b.id AND a."start" < b."end" AND b."start" < a."end" GROUP BY collection, version""",
+        """pair AS (SELECT collection, version, idx * 2 AS id, "start", "end" FROM blocks UNION ALL
+  SELECT collection, version, idx * 2 + 1, "start", e FROM (SELECT *, lead("end") OVER (PARTITION BY collection, version ORDER BY idx) AS e FROM blocks) WHERE e IS NOT NULL)""",
+        select="""SELECT a.collection, a.version, a.id AS a, b.id AS b FROM pair a JOIN pair b ON a.collection = b.collection AND a.version = b.version AND a.id < b.id AND a."start" < b."end" AND b."start" < a."end" """,
     ),
     "select_cover_totals": sql(VERS, select="SELECT collection, CAST(sum(len(toks)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0 GROUP BY collection"),
     "round_trip": sql(VERS, select="SELECT collection, version, md5(array_to_string(toks, ' ')) AS content FROM vers WHERE len(toks) > 0"),
@@ -176,9 +236,11 @@ USING (collection, version) WHERE a.id < b.id AND a."start" < b."end" AND b."sta
         select="""SELECT collection, hash, len, version, "start" AS "offset" FROM frags QUALIFY row_number() OVER (PARTITION BY collection, hash ORDER BY version, "start") = 1""",
     ),
     "prefix_base": sql(CONV, select="SELECT collection, n, coalesce(sum(n) OVER (ORDER BY collection ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM (SELECT collection, count(*) AS n FROM vers GROUP BY collection)"),
-    "inverted_index": sql(DOCS, TOK, select="SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY term"),
-    "index_lists": sql(CONV, VTOK, select="SELECT term, count(*) AS freq, md5(string_agg(collection || ':' || version || ':' || pos, ' ' ORDER BY collection, version, pos)) AS postings FROM tok GROUP BY term"),
-    "index_merge": sql(DOCS, TOK, select="SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, md5(string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id % 3, doc_id, pos)) AS postings FROM tok GROUP BY term"),
+    "inverted_index": sql(DOCS, TOK, select=postings("doc_id", f"doc_id // {BLOCK}", "doc_id")),
+    "lexicon": sql(DOCS, TOK, select=f"SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, count(DISTINCT doc_id // {BLOCK}) AS n_blocks FROM tok GROUP BY term"),
+    "index_file": sql(DOCS, select="SELECT doc_id, md5(array_to_string(toks, ' ')) AS content FROM docs WHERE len(toks) > 0"),
+    "index_lists": sql(VERS, VTOK, select="SELECT term, CAST('0x' || substr(collection, 1, 2) AS BIGINT) AS block, count(*) AS freq, md5(string_agg(collection || ':' || version || ':' || pos, ' ' ORDER BY collection, version, pos)) AS postings FROM tok GROUP BY 1, 2"),
+    "index_merge": sql(DOCS, TOK, select=f"SELECT term, doc_id // {BLOCK} AS block, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, md5(string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id % 3, doc_id, pos)) AS postings FROM tok GROUP BY 1, 2"),
     "forward_restore": sql(DOCS, select="SELECT doc_id, md5(array_to_string(toks, ' ')) AS content FROM docs WHERE len(toks) > 0"),
     "version_fragments": sql(*_CUT, select="SELECT collection, version, md5(string_agg(hash, ' ' ORDER BY hash)) AS fragments, count(*) AS n FROM (SELECT DISTINCT collection, version, hash FROM frags) GROUP BY collection, version"),
     "mergeable_fragments": sql(
@@ -194,11 +256,71 @@ WHERE a."start" + a.len = b."start" GROUP BY collection, a.hash, b.hash, na.n, n
     "filter_oversize": sql(VERS, select="SELECT collection, CAST(sum(len(toks)) AS BIGINT) AS n_tokens FROM vers GROUP BY collection HAVING sum(len(toks)) <= 2000"),
     "mark_anomalies": sql(VERS, select="SELECT collection, max(len(toks)) > 2000 AS anomalous FROM vers GROUP BY collection"),
     "single_versions": sql(VERS, select="SELECT collection, 1 AS n_frags, 1 AS n_apps, max(len(toks)) AS n_postings FROM vers GROUP BY collection HAVING count(*) = 1"),
-    "equal_versions": sql(VERS, select="SELECT collection, a.version AS first, b.version AS second FROM vers a JOIN vers b USING (collection) WHERE a.version < b.version AND a.toks = b.toks"),
+    "equal_versions": sql(VERS, select="SELECT collection, version, min(version) OVER w AS first, count(*) OVER w AS n FROM vers WINDOW w AS (PARTITION BY collection, toks) QUALIFY count(*) OVER w > 1"),
     "sample_docs": "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50",
     "sampled_sizes": sql(DOCS, select="SELECT doc_id, len(toks) AS n_tokens FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "unsampled_sizes": sql(DOCS, select="SELECT doc_id, len(toks) AS n_tokens FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "sweep_grid": sql(VERS, select="SELECT collection, w FROM (SELECT DISTINCT collection FROM vers) CROSS JOIN (SELECT unnest([0.01, 0.05, 0.07, 0.09, 0.1, 0.5, 1, 3, 5, 7, 9, 10, 15, 20, 25, 30, 35, 40, 45, 50])::DOUBLE AS w)"),
+    "sweep_grid": sql(VERS, select=f"SELECT collection, w FROM (SELECT DISTINCT collection FROM vers) CROSS JOIN (SELECT unnest([{_SWEEP}])::DOUBLE AS w)"),
+    "sweep_list": f"SELECT unnest([{_SWEEP}])::DOUBLE AS w",
+    "catalog_tsv": sql(CONV, select="SELECT collection, count(*) AS n_versions FROM vers GROUP BY collection"),
+    "corpus_file": sql(VERS, select="SELECT collection, version, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS content FROM vers"),
+    "feature_file": sql(*BASE, FREQ, select="SELECT collection, version, count(*) AS n, CAST(sum(freq) AS BIGINT) AS sum_freq, max(freq) AS max_freq, CAST(sum(h) AS BIGINT) AS sum_h FROM freq GROUP BY collection, version"),
+    "version_base": sql(VERS, select="SELECT collection, n, coalesce(sum(n) OVER (ORDER BY collection ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM (SELECT collection, count(*) AS n FROM vers GROUP BY collection)"),
+    "ngram_profile": sql(*BASE, select="SELECT collection, CAST(sum(n) AS BIGINT) AS n_grams, count(*) AS n_distinct, max(n) AS max_freq FROM (SELECT collection, h, count(*) AS n FROM grams GROUP BY ALL) GROUP BY collection"),
+    "varbyte_low_flag": """WITH num AS (SELECT doc_id, coalesce(length(text), 0) * 1000 + doc_id % 1000 AS n FROM documents), sized AS (SELECT *, greatest(1, CAST(ceil(length(bin(n)) / 7.0) AS INTEGER)) AS size FROM num)
+SELECT doc_id, n, array_to_string(list_transform(range(size), lambda k: ((n >> (7 * (size - 1 - k))::INTEGER) & 127) * 2 + CASE WHEN k < size - 1 THEN 1 ELSE 0 END), ' ') AS code, n AS back FROM sized""",
+    "varbyte_high_flag": """WITH num AS (SELECT doc_id, coalesce(length(text), 0) * 1000 + doc_id % 1000 AS n FROM documents), sized AS (SELECT *, greatest(1, CAST(ceil(length(bin(n)) / 7.0) AS INTEGER)) AS size FROM num)
+SELECT doc_id, n, array_to_string(list_transform(range(size), lambda k: ((n >> (7 * k)::INTEGER) & 127) + CASE WHEN k < size - 1 THEN 128 ELSE 0 END), ' ') AS code, n AS back FROM sized""",
+    "bit_fields": sql(DOCS, select="SELECT doc_id, lpad(bin(len(toks)), 20, '0') || lpad(bin(doc_id % 1048576), 20, '0') AS bits, len(toks) || ' ' || (doc_id % 1048576) AS back FROM docs"),
+    "cut_jump": sql(*BASE, FREQ, *jump_cut(False, MAX_BLOCK), select="SELECT collection, version, pos FROM jb UNION SELECT collection, version, pos FROM more"),
+    "cut_relative_jump": sql(*BASE, FREQ, *jump_cut(True), select="SELECT collection, version, pos FROM jb"),
+    "cutters": sql(
+        *BASE, FREQ, winnow(20, "x"), winnow(40, "y"),
+        select=f"""SELECT 'winnow 20' AS cutter, collection, version, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'winnow 40', collection, version, count(*) FROM y GROUP BY ALL
+UNION ALL SELECT 'tree', collection, version, count(*) FROM (SELECT collection, version, pos FROM (SELECT collection, version, pos + 10 AS pos, abs(lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) - freq) AS gap FROM freq) WHERE gap >= {TREE_JUMP}
+  UNION SELECT collection, version, 0 FROM grams) GROUP BY ALL""",
+    ),
+    "overfull_versions": sql(*_CUT, levels(3), select="SELECT collection, version, count(*) AS n FROM lev GROUP BY collection, version HAVING count(*) > 200"),
+    "hierarchy_levels": sql(
+        *_TREE,
+        select="""SELECT c.collection, c.version, c.level, c.idx, c."start", c."end", p.idx AS parent FROM tree c LEFT JOIN tree p
+ON p.collection = c.collection AND p.version = c.version AND p.level = c.level + 1 AND p."start" <= c."start" AND p."end" >= c."end" """,
+    ),
+    "tree_conflicts": sql(
+        *_TREE,
+        select="""SELECT a.collection, a.version, a.level, a.idx, b.level AS other_level, b.idx AS other_idx FROM tree a JOIN tree b ON a.collection = b.collection AND a.version = b.version
+WHERE (b.level > a.level AND b."start" <= a."start" AND b."end" >= a."end") OR (b.level < a.level AND a."start" <= b."start" AND a."end" >= b."end")""",
+    ),
+    "repair_candidates": sql(VERS, select="SELECT collection, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
+    "fragment_dict_levels": sql(
+        *_CUT, levels(3),
+        select="""SELECT collection, hash, any_value(len) AS len, count(*) AS size FROM (SELECT DISTINCT collection, version, "start", "end" - "start" AS len, md5(array_to_string(toks["start" + 1 : "end"], ' ')) AS hash FROM lev) GROUP BY collection, hash""",
+    ),
+    "select_cover": sql(VERS, select="SELECT collection, 1.0::DOUBLE AS w, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
+    "select_cover_grammar": sql(VERS, select="SELECT collection, 1.0::DOUBLE AS w, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
+    "sweep_tradeoff": sql(VERS, select=f"SELECT collection, w, CAST(sum(len(toks)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS faults, true AS sane FROM vers CROSS JOIN (SELECT unnest([{_SWEEP}])::DOUBLE AS w) WHERE len(toks) > 0 GROUP BY collection, w"),
+    "budget_choice": sql(
+        *TRADE, *_FRONTIER,
+        """plan AS (SELECT list_reduce([[budget - least]] || list([d, apps, k] ORDER BY worst DESC, collection, k), lambda acc, x:
+  CASE WHEN list_contains(acc[2:], -x[1]) THEN acc WHEN x[2] <= acc[1] THEN [acc[1] - x[2]] || acc[2:] || [x[1] * 100 + x[3]] ELSE acc || [-x[1]] END) AS acc
+  FROM (SELECT s.*, budget, least FROM stepped s CROSS JOIN limits) GROUP BY budget, least),
+taken AS (SELECT t // 100 AS d, max(t % 100) AS k FROM (SELECT unnest(acc[2:]) AS t FROM plan) WHERE t > 0 GROUP BY 1)""",
+        select="SELECT collection, w FROM rowed LEFT JOIN taken USING (d) WHERE rowed.k = coalesce(taken.k, 1)",
+    ),
+    "budget_jumps": sql(VERS, select="SELECT count(DISTINCT collection) AS n_collections, count(DISTINCT collection) AS n_distinct, true AS kept FROM vers WHERE len(toks) > 0"),
+    "chosen_totals": sql(*TRADE, CHOSEN.split(",\nown")[0], select="SELECT CAST(sum(n_apps) AS BIGINT) AS n_apps, CAST(sum(n_frags) AS BIGINT) AS n_frags, CAST(sum(n_postings) AS BIGINT) AS n_postings FROM trade JOIN best USING (collection, w)"),
+    "compare_frontiers": sql(
+        *TRADE, FREQ,
+        select=f"""SELECT collection, winnow_apps, tree_apps FROM (SELECT collection, min(n_apps) AS winnow_apps FROM trade GROUP BY collection)
+JOIN (SELECT collection, count(*) AS tree_apps FROM (SELECT collection, version, pos FROM (SELECT collection, version, pos + 10 AS pos, abs(lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) - freq) AS gap FROM freq) WHERE gap >= {TREE_JUMP}
+  UNION SELECT collection, version, 0 FROM grams) GROUP BY collection) USING (collection) WHERE winnow_apps < tree_apps""",
+    ),
+    "versioned_index": sql(*TRADE, CHOSEN, select=postings("frag_id", f"frag_id // {BLOCK}", "frag_id", "ftok")),
+    "fragment_ids": sql(*TRADE, CHOSEN, select="SELECT frag_id, collection, hash, len, size FROM named"),
+    "versioned_lookup": sql(VERS, select="SELECT collection, version, i - 1 AS pos FROM (SELECT collection, version, toks, unnest(range(1, len(toks))) AS i FROM vers) WHERE toks[i] = 'of' AND toks[i + 1] = 'the'"),
+    "versioned_reduction": sql(*TRADE, CHOSEN, select="SELECT (SELECT CAST(sum(len(toks)) AS BIGINT) FROM vers) AS before, (SELECT CAST(sum(len) AS BIGINT) FROM named) AS after, (SELECT count(*) FROM named) AS n_frags, (SELECT count(*) FROM apps) AS n_apps"),
+    "metadata_file": sql(*TRADE, CHOSEN, select='SELECT frag_id, len, version, "offset" FROM apps'),
+    "metadata_varbyte": sql(*TRADE, CHOSEN, select='SELECT frag_id, len, version, "offset" FROM apps'),
     "lookup_all_terms": sql(DOCS, TOK, select="SELECT doc_id FROM tok WHERE term IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 3"),
     "lookup_phrase": sql(DOCS, select="SELECT doc_id, i - 1 AS pos FROM (SELECT doc_id, toks, unnest(range(1, len(toks))) AS i FROM docs) WHERE toks[i] = 'of' AND toks[i + 1] = 'the'"),
     "copy_ranges": sql(
@@ -209,3 +331,4 @@ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY collection, version, dia
         select="SELECT collection, version, min(rpos) AS rstart, min(pos) AS vstart, count(*) + 4 AS len FROM isl GROUP BY collection, version, diagonal, island",
     ),
 }
+ORACLE_SQL["copy_index"] = ORACLE_SQL["copy_ranges"]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest import scratch
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, index, optimise, segments
-from palimpsest.plans.oracle import ORACLE_SQL, WINDOWS
+from palimpsest.operators import features, fragments, index, kernels, optimise, segments, versioned
+from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
+from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
-from palimpsest.sources import corpus
+from palimpsest.sources import corpus, sinks
 
-#: Fixed values of the parameter sweep.
-SWEEP = (0.01, 0.05, 0.07, 0.09, 0.1, 0.5, 1, 3, 5, 7, 9, 10, 15, 20, 25, 30, 35, 40, 45, 50)
 KEYS = ("collection", "version")
 QUERIES: dict = {}
 
@@ -30,47 +32,47 @@ def lengths(arrays: DataFrame) -> DataFrame:
     return arrays.select(*KEYS, F.size("toks").alias("len"))
 
 
-def grams_of(arrays: DataFrame) -> DataFrame:
-    return features.ngrams(corpus.tokens(arrays, *KEYS), *KEYS)
-
-
-def winnow_cut(arrays: DataFrame, w: int, grams: DataFrame | None = None) -> DataFrame:
-    """Boundaries by winnowing; versions without n-grams are one block."""
-    found = features.winnow(grams_of(arrays) if grams is None else grams, w, *KEYS)
-    return found.union(arrays.where(F.size("toks") > 0).select(*KEYS, F.lit(0))).distinct()
-
-
 def winnow_blocks(arrays: DataFrame, w: int) -> DataFrame:
-    return segments.blocks(winnow_cut(arrays, w), lengths(arrays), *KEYS)
+    """Blocks between winnowed boundaries; versions without n-grams are one block."""
+    rows = kernels.with_bounds(arrays, (w,), *KEYS)
+    return rows.select(*KEYS, F.explode(segments.blocks_between(f"bounds{w}")).alias("b")).select(*KEYS, "b.*")
 
 
 def winnow_fragments(arrays: DataFrame, w: int = 20) -> DataFrame:
-    return fragments.cut_tokens(winnow_blocks(arrays, w), arrays, *KEYS)
+    cut = versioned.fragment_rows(arrays, (w,))
+    return cut.withColumn("len", F.col("end") - F.col("start"))
 
 
 def window_tradeoff(arrays: DataFrame) -> DataFrame:
-    """collection, w, n_apps, n_frags, n_postings of single-level winnowing at several windows.
-
-    All windows share one pass over the n-grams; w is part of every later key.
-    """
-    keys = (*KEYS, "w")
-    every = F.explode(F.array(*(F.lit(float(w)) for w in WINDOWS))).alias("w")
-    zero = arrays.where(F.size("toks") > 0).select(*KEYS, every, F.lit(0).alias("pos"))
-    bounds = features.winnow_many(grams_of(arrays), WINDOWS, *KEYS).union(zero).distinct()
-    blocks = segments.blocks(bounds, lengths(arrays).select("*", every), *keys)
-    cut = fragments.cut_tokens(blocks, arrays, *KEYS)
-    one = cut.groupBy("collection", "w", "hash").agg(F.first("len").alias("len"), F.count(F.lit(1)).alias("size"))
-    return one.groupBy("collection", "w").agg(F.sum("size").alias("n_apps"), F.count(F.lit(1)).alias("n_frags"), F.sum("len").cast("long").alias("n_postings"))
+    """collection, w, n_apps, n_frags, n_postings of single-level winnowing at several windows, in one pass over the versions."""
+    return versioned.tradeoff(versioned.fragment_rows(arrays, WINDOWS))
 
 
 def candidates(arrays: DataFrame, w: int = 20, total: int = 3, sliding_from: int = 1 << 30) -> DataFrame:
     """Candidate fragments of all levels, hashed."""
-    # the level chain and the cover read this several times
-    base = winnow_blocks(arrays, w).persist()
+    # the level chain reads this several times
+    base = scratch.table(winnow_blocks(arrays, w), "blocks")
     level_rows = segments.levels(base, total, sliding_from, *KEYS)
     return fragments.cut_tokens(level_rows, arrays, *KEYS)
 
 
+def covers_of(arrays: DataFrame, weights, grammar: bool = False) -> DataFrame:
+    """The chosen cover of every version; equal versions are folded before and unfolded after the greedy choice."""
+    folded, members = fragments.fold(arrays)
+    folded, members = scratch.table(folded, "folded"), scratch.table(members, "members")
+    cut = fragments.cut_tokens(segments.repair_cut(folded, 8), folded, *KEYS) if grammar else candidates(folded)
+    return scratch.table(fragments.unfold(fragments.select_covers(cut, list(weights), grammar, folded), members), "covers")
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch.folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def list_digest(id_columns, postings="postings"):
+    """MD5 of a posting list as text."""
+    return F.md5(F.array_join(F.transform(postings, lambda p: F.concat_ws(":", *id_columns(p), p["pos"])), " "))
+
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -117,12 +119,50 @@ def sweep_grid(spark, sf_dir):
 
 @query
 def prefix_base(spark, sf_dir):
-    """Exclusive prefix sums of version counts: sums per range of collections first, then inside each range."""
-    counts = corpus.catalog(corpus.conversations(spark, sf_dir)).withColumnRenamed("n_versions", "n").withColumn("part", F.expr("collection div 4096"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy("part").agg(F.sum("n").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0)))
-    own = Window.partitionBy("part").orderBy("collection").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(base.select("part", "base"), "part").select("collection", "n", (F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("base"))
+    """Exclusive prefix sums of version counts over all collections."""
+    counts = corpus.catalog(corpus.conversations(spark, sf_dir)).withColumnRenamed("n_versions", "n")
+    return versioned.prefix_sums(counts, "collection", "n", F.expr("collection div 16777216"), F.expr("collection div 4096"))
+
+
+@query
+def version_base(spark, sf_dir):
+    """The first global version number of each collection of documents."""
+    counts = corpus.catalog(corpus.versions(spark, sf_dir)).withColumnRenamed("n_versions", "n")
+    return versioned.prefix_sums(counts, "collection", "n", *versioned.hex_levels())
+
+
+@query
+def catalog_tsv(spark, sf_dir):
+    """The catalogue of conversations, written as tab-separated text and imported again."""
+    at = _folder(spark, "catalog")
+    sinks.write_catalog_tsv(corpus.catalog(corpus.conversations(spark, sf_dir)), at)
+    return corpus.read_catalog_tsv(spark, at).select(F.col("doc_id").alias("collection"), F.col("n_versions").cast("long").alias("n_versions"))
+
+
+@query
+def sweep_list(spark, sf_dir):
+    """The parameter list, written as text and read again."""
+    at = _folder(spark, "options")
+    sinks.write_doubles(spark.createDataFrame([(float(w),) for w in SWEEP], "w double"), at)
+    return corpus.read_doubles(spark, at)
+
+
+@query
+def corpus_file(spark, sf_dir):
+    """All versions, written in version order and read again."""
+    at = _folder(spark, "corpus")
+    sinks.write_corpus(corpus.versions(spark, sf_dir), at, *KEYS)
+    return sinks.read_corpus(spark, at).select("collection", F.col("version").cast("long").alias("version"), F.col("n_tokens").cast("long").alias("n_tokens"), content().alias("content"))
+
+
+@query
+def feature_file(spark, sf_dir):
+    """n-gram hashes and frequencies of every version, written as arrays and read again."""
+    at = _folder(spark, "features")
+    sinks.write_features(features.frequency_arrays(corpus.versions(spark, sf_dir), *KEYS), at)
+    rows = spark.read.parquet(at).where(F.size("freq") > 0)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("collection", F.col("version").cast("long").alias("version"), F.size("freq").cast("long").alias("n"), total("freq").alias("sum_freq"), F.array_max("freq").alias("max_freq"), total("h").alias("sum_h"))
 
 
 # --- filters and whole-corpus figures ------------------------------------------
@@ -157,9 +197,10 @@ def single_versions(spark, sf_dir):
 
 @query
 def equal_versions(spark, sf_dir):
+    """Versions that equal another one of their collection: the first of their class, and its size."""
     rows = corpus.versions(spark, sf_dir).select("collection", F.col("version").cast("long").alias("version"), content().alias("c"))
-    a, b = rows.withColumnRenamed("version", "first"), rows.withColumnRenamed("version", "second")
-    return a.join(b, ["collection", "c"]).where("first < second").select("collection", "first", "second")
+    classes = rows.groupBy("collection", "c").agg(F.min("version").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(classes, ["collection", "c"]).select("collection", "version", "first", "n")
 
 
 @query
@@ -206,13 +247,16 @@ def content_hash(spark, sf_dir):
 
 @query
 def ngram_hash(spark, sf_dir):
-    agg = [F.count(F.lit(1)).alias("n"), F.sum("h").alias("sum_h"), F.min("h").alias("min_h"), F.max("h").alias("max_h")]
-    return grams_of(corpus.versions(spark, sf_dir)).groupBy("collection", F.col("version").cast("long").alias("version")).agg(*agg)
+    rows = kernels.with_grams(corpus.versions(spark, sf_dir), *KEYS).where(F.size("h") > 0)
+    total = F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("collection", F.col("version").cast("long").alias("version"), F.size("h").cast("long").alias("n"), total.alias("sum_h"), F.array_min("h").alias("min_h"), F.array_max("h").alias("max_h"))
 
 
 @query
 def ngram_hash_positions(spark, sf_dir):
-    return grams_of(corpus.conversations(spark, sf_dir)).select(*KEYS, F.col("pos").cast("long").alias("pos"), "h")
+    """The same hashes from token rows, by native columns."""
+    rows = features.ngrams(corpus.tokens(corpus.conversations(spark, sf_dir), *KEYS), *KEYS)
+    return rows.select(*KEYS, F.col("pos").cast("long").alias("pos"), "h")
 
 
 def _longs(df, *cols):
@@ -221,18 +265,26 @@ def _longs(df, *cols):
 
 @query
 def ngram_freq(spark, sf_dir):
-    rows = features.frequencies(grams_of(corpus.versions(spark, sf_dir)), *KEYS).where("freq > 1 or diff <> 0")
+    """Every n-gram that repeats in its collection, or stands before a change of frequency."""
+    rows = features.frequency_rows(corpus.versions(spark, sf_dir), *KEYS).where("freq > 1 or diff <> 0")
     return _longs(rows, *KEYS, "pos", "freq", "diff")
 
 
+@query
+def ngram_profile(spark, sf_dir):
+    """Per collection: n-grams, distinct ones, and the greatest frequency."""
+    rows = kernels.with_grams(corpus.versions(spark, sf_dir), *KEYS).select("collection", F.explode("h").alias("h"))
+    return rows.groupBy("collection", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("collection").agg(F.sum("n").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"), F.max("n").alias("max_freq"))
+
+
 @query
 def winnow_boundaries(spark, sf_dir):
-    return _longs(winnow_cut(corpus.versions(spark, sf_dir), 20), *KEYS, "pos")
+    return _longs(features.cuts(corpus.versions(spark, sf_dir), 20, *KEYS), *KEYS, "pos")
 
 
 @query
 def dominance_radius(spark, sf_dir):
-    return _longs(features.radii(grams_of(corpus.conversations(spark, sf_dir)), *KEYS), *KEYS, "pos", "radius")
+    return _longs(features.radii(corpus.conversations(spark, sf_dir), *KEYS), *KEYS, "pos", "radius")
 
 
 @query
@@ -240,36 +292,97 @@ def varbyte_sizes(spark, sf_dir):
     return corpus.token_arrays(spark, sf_dir).select("doc_id", F.size("toks").cast("long").alias("n")).withColumn("size", H.varbyte_size(F.col("n")))
 
 
+def _codes(spark, sf_dir, flag_high: bool) -> DataFrame:
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) * 1000 + F.col("doc_id") % 1000).cast("long").alias("n"))
+    coded = rows.withColumn("c", H.varbyte_encode(F.col("n"), flag_high))
+    return coded.select("doc_id", "n", F.array_join("c", " ").alias("code"), H.varbyte_decode(F.col("c"), flag_high).alias("back"))
+
+
+@query
+def varbyte_low_flag(spark, sf_dir):
+    """Numbers in the code with the flag in the low bit, most significant group first."""
+    return _codes(spark, sf_dir, False)
+
+
+@query
+def varbyte_high_flag(spark, sf_dir):
+    """Numbers in the code with the flag in the high bit, least significant group first."""
+    return _codes(spark, sf_dir, True)
+
+
+@query
+def bit_fields(spark, sf_dir):
+    """Token counts, characters and ids mod 2**20 as fields of 20 bits, and read again."""
+    rows = corpus.token_arrays(spark, sf_dir).select("doc_id", F.array(F.size("toks").cast("long"), F.col("doc_id") % (1 << 20)).alias("v"))
+    return rows.withColumn("bits", H.write_bits(F.col("v"), 20)).select("doc_id", "bits", F.array_join(H.read_bits(F.col("bits"), 20), " ").alias("back"))
+
+
 # --- segmentation --------------------------------------------------------------
 
 
 @query
 def cut_threshold(spark, sf_dir):
     arrays = corpus.conversations(spark, sf_dir)
-    return _longs(segments.threshold_cut(features.radii(grams_of(arrays), *KEYS), lengths(arrays).where("len > 0"), 5, *KEYS), *KEYS, "pos")
+    return _longs(segments.threshold_cut(features.radii(arrays, *KEYS), lengths(arrays).where("len > 0"), 5, *KEYS), *KEYS, "pos")
+
+
+def tree_cut(arrays: DataFrame, jump: int = TREE_JUMP) -> DataFrame:
+    return segments.tree_cut(features.frequency_rows(arrays, *KEYS), *KEYS, jump=jump)
 
 
 @query
 def cut_tree(spark, sf_dir):
-    return _longs(segments.tree_cut(features.frequencies(grams_of(corpus.versions(spark, sf_dir)), *KEYS), *KEYS, jump=3), *KEYS, "pos")
+    return _longs(tree_cut(corpus.versions(spark, sf_dir)), *KEYS, "pos")
 
 
 def feature_arrays(arrays: DataFrame) -> DataFrame:
     """collection, version, len, freq, radius, both as arrays by position."""
-    grams = grams_of(arrays)
-    freq = features.frequencies(grams, *KEYS)
-    rows = freq.join(features.radii(grams, *KEYS), [*KEYS, "pos"]).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("pos", "freq", "radius"))).alias("f"))
-    return lengths(arrays).join(rows, [*KEYS], "left").select(*KEYS, "len", F.coalesce("f.freq", F.expr("array()").cast("array<bigint>")).alias("freq"), F.coalesce("f.radius", F.expr("array()").cast("array<int>")).alias("radius"))
+    rows = scratch.table(features.frequency_arrays(arrays, *KEYS), "features")
+    return rows.join(features.radius_arrays(rows, *KEYS), [*KEYS]).select(*KEYS, "len", "freq", "radius")
 
 
 @query
 def cut_jump(spark, sf_dir):
-    return segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, max_block=400)
+    return _longs(segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, max_block=MAX_BLOCK), *KEYS, "pos")
 
 
 @query
 def cut_relative_jump(spark, sf_dir):
-    return segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, relative=True)
+    return _longs(segments.jump_cut(feature_arrays(corpus.versions(spark, sf_dir)), threshold=1, relative=True), *KEYS, "pos")
+
+
+@query
+def cutters(spark, sf_dir):
+    """How many blocks each of several cutters makes of a version."""
+    chosen = {"winnow 20": lambda a: features.cuts(a, 20, *KEYS), "winnow 40": lambda a: features.cuts(a, 40, *KEYS), "tree": tree_cut}
+    return _longs(segments.cut_with(chosen, corpus.versions(spark, sf_dir)).groupBy("cutter", *KEYS).agg(F.count(F.lit(1)).alias("n")), "cutter", *KEYS, "n")
+
+
+@query
+def overfull_versions(spark, sf_dir):
+    """Versions with more than 200 candidate blocks on all levels."""
+    level_rows = segments.levels(scratch.table(winnow_blocks(corpus.versions(spark, sf_dir), 20), "blocks"), 3, 1 << 30, *KEYS)
+    return _longs(segments.overfull(level_rows, 200, *KEYS), *KEYS, "n")
+
+
+def refined(arrays: DataFrame) -> DataFrame:
+    names = [f"bounds{w}" for w in WINDOWS]
+    return scratch.table(segments.refining_levels(kernels.with_bounds(arrays, WINDOWS, *KEYS), names, *KEYS), "levels")
+
+
+@query
+def hierarchy_levels(spark, sf_dir):
+    """Blocks of several windows, each level refining the next, with the block that holds them."""
+    rows = refined(corpus.versions(spark, sf_dir))
+    held = rows.join(segments.contained(rows, *KEYS), [*KEYS, "level", "idx"], "left")
+    return held.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "level", "idx", "start", "end", "parent")))
+
+
+@query
+def tree_conflicts(spark, sf_dir):
+    """Ancestors and descendants of every block of the hierarchy."""
+    rows = segments.tree_conflicts(refined(corpus.versions(spark, sf_dir)), *KEYS)
+    return rows.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "level", "idx", "other_level", "other_idx")))
 
 
 @query
@@ -295,14 +408,20 @@ def cut_histogram(spark, sf_dir):
 
 @query
 def compare_cutters(spark, sf_dir):
-    arrays = corpus.versions(spark, sf_dir)
-    n = [features.winnow(grams_of(arrays), w, *KEYS).union(arrays.where(F.size("toks") > 0).select(*KEYS, F.lit(0))).distinct().groupBy(*KEYS).agg(F.count(F.lit(1)).alias(name)) for w, name in ((20, "n_first"), (40, "n_second"))]
-    return _longs(n[0].join(n[1], [*KEYS]).where("n_first > n_second"), *KEYS, "n_first", "n_second")
+    """Versions that a window of 20 cuts more often than one of 40."""
+    rows = kernels.with_bounds(corpus.versions(spark, sf_dir), (20, 40), *KEYS).select(*KEYS, F.size("bounds20").alias("n_first"), F.size("bounds40").alias("n_second"))
+    return _longs(rows.where("n_first > n_second"), *KEYS, "n_first", "n_second")
 
 
 @query
 def repair_candidates(spark, sf_dir):
-    return segments.repair_cut(corpus.versions(spark, sf_dir), down=8)
+    """Per version, the tokens that leaves and finest nodes of its collection's grammar hold, and nodes that hold none or reach outside."""
+    arrays = corpus.versions(spark, sf_dir)
+    rows = segments.repair_cut(arrays, down=8)
+    # a node without a node inside it on the next level is a leaf of what was taken
+    at = segments.repair_tiling(rows)
+    both = at.join(lengths(arrays), [*KEYS])
+    return both.groupBy("collection", F.col("version").cast("long").alias("version")).agg(F.sum(F.col("end") - F.col("start")).alias("held"), F.sum(F.when((F.col("start") < 0) | (F.col("end") > F.col("len")) | (F.col("end") <= F.col("start")), 1).otherwise(0)).alias("faults"))
 
 
 # --- fragments -------------------------------------------------------------------
@@ -313,6 +432,12 @@ def fragment_dict(spark, sf_dir):
     return _longs(fragments.dictionary(winnow_fragments(corpus.versions(spark, sf_dir))), "collection", "hash", "len", "size")
 
 
+@query
+def fragment_dict_levels(spark, sf_dir):
+    """The dictionary of candidate blocks of four levels."""
+    return _longs(fragments.dictionary(candidates(corpus.versions(spark, sf_dir))), "collection", "hash", "len", "size")
+
+
 @query
 def fragment_scores(spark, sf_dir):
     rows = fragments.dictionary(winnow_fragments(corpus.versions(spark, sf_dir)))
@@ -322,21 +447,34 @@ def fragment_scores(spark, sf_dir):
 
 @query
 def overlap_pairs(spark, sf_dir):
+    """Pairs of blocks of two levels that overlap."""
     base = winnow_blocks(corpus.versions(spark, sf_dir), 20)
     both = base.select(*KEYS, (F.col("idx") * 2).alias("id"), "start", "end").unionByName(segments.merge_level(base, False, *KEYS).select(*KEYS, (F.col("idx") * 2 + 1).alias("id"), "start", "end"))
-    return fragments.overlaps(both, 64, *KEYS).groupBy("collection", F.col("version").cast("long").alias("version")).agg(F.count(F.lit(1)).alias("n"))
+    rows = fragments.overlaps(both, 64, *KEYS)
+    return rows.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "a", "b")))
+
+
+def cover_checks(spark, sf_dir, weights, grammar: bool) -> DataFrame:
+    """collection, w, version, held tokens, and faults: overlaps, gaps, or applications with other tokens than their hash says."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    covers = covers_of(arrays, weights, grammar)
+    wrong = fragments.coverage_faults(covers, arrays).select("collection", "w", "version").unionByName(fragments.hash_faults(covers, arrays).select("collection", "w", "version"))
+    faults = wrong.groupBy("collection", "w", "version").agg(F.count(F.lit(1)).alias("faults"))
+    held = covers.groupBy("collection", "w", "version").agg(F.sum("len").alias("held"))
+    return held.join(faults, ["collection", "w", "version"], "left").select("collection", "w", "version", "held", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
 
 
 @query
 def select_cover(spark, sf_dir):
-    return fragments.select_covers(candidates(corpus.versions(spark, sf_dir)), [1.0])
+    """The greedy cover of multi-level candidates, checked token by token."""
+    return cover_checks(spark, sf_dir, [1.0], False)
 
 
 @query
 def select_cover_totals(spark, sf_dir):
     """Tokens that the chosen cover holds per collection, and versions it doesn't hold exactly once."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = fragments.select_covers(candidates(arrays), [1.0]).persist()
+    covers = covers_of(arrays, [1.0])
     faults = fragments.coverage_faults(covers, arrays).groupBy("collection").agg(F.count(F.lit(1)).alias("faults"))
     held = covers.groupBy("collection").agg(F.sum("len").alias("covered"))
     return held.join(faults, "collection", "left").select("collection", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
@@ -344,16 +482,15 @@ def select_cover_totals(spark, sf_dir):
 
 @query
 def select_cover_grammar(spark, sf_dir):
-    arrays = corpus.versions(spark, sf_dir)
-    cut = fragments.cut_tokens(segments.repair_cut(arrays, 8), arrays, *KEYS)
-    return fragments.select_covers(cut, [1.0], grammar=True)
+    """The greedy cover of grammar nodes, checked token by token."""
+    return cover_checks(spark, sf_dir, [1.0], True)
 
 
 @query
 def round_trip(spark, sf_dir):
     """Versions rebuilt from the postings and applications of the chosen cover."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = fragments.select_covers(candidates(arrays), [1.0]).persist()
+    covers = covers_of(arrays, [1.0])
     return fragments.restore(covers, fragments.first_postings(covers, arrays)).select("collection", "version", content().alias("content"))
 
 
@@ -385,9 +522,14 @@ def tradeoff_windows(spark, sf_dir):
 
 @query
 def sweep_tradeoff(spark, sf_dir):
-    """The 20-value sweep over multi-level candidates."""
-    arrays = corpus.versions(spark, sf_dir)
-    return fragments.tradeoff(fragments.select_covers(candidates(arrays), list(SWEEP)))
+    """The 20-value sweep over multi-level candidates: per weight, tokens covered, versions with faults, and whether the figures can be."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    covers = covers_of(arrays, SWEEP)
+    held = covers.groupBy("collection", "w").agg(F.sum("len").alias("covered"))
+    faults = fragments.coverage_faults(covers, arrays).groupBy("collection", "w").agg(F.count(F.lit(1)).alias("faults"))
+    rows = fragments.tradeoff(covers).join(held, ["collection", "w"]).join(faults, ["collection", "w"], "left")
+    sane = (F.col("n_frags") <= F.col("n_apps")) & (F.col("n_postings") <= F.col("covered")) & (F.col("n_frags") > 0)
+    return rows.select("collection", "w", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"), sane.alias("sane"))
 
 
 @query
@@ -433,62 +575,179 @@ def chosen_or_default(spark, sf_dir):
     return optimise.with_chosen(arrays.select("collection", F.lit(0.0).alias("w")).distinct(), chosen).select("collection", "w")
 
 
+def _frontier(spark, sf_dir):
+    """(frontier rows, 1.5 times the least number of applications)."""
+    rows = scratch.table(optimise.frontier(window_tradeoff(corpus.versions(spark, sf_dir))), "frontier")
+    least = rows.groupBy("collection").agg(F.min("n_apps").alias("m")).agg(F.sum("m")).first()[0] or 0
+    return rows, int(least * 1.5)
+
+
 @query
 def budget_choice(spark, sf_dir):
-    """One window per collection under a budget of 1.5 times the least number of applications."""
-    rows = optimise.frontier(window_tradeoff(corpus.versions(spark, sf_dir)))
-    least = rows.groupBy("collection").agg(F.min("n_apps").alias("m")).agg(F.sum("m")).first()[0] or 0
-    return optimise.spend_ordered(rows, int(least * 1.5))
+    """One window per collection under a budget of 1.5 times the least number of applications, by single steps."""
+    return optimise.spend(*_frontier(spark, sf_dir))
+
+
+@query
+def budget_jumps(spark, sf_dir):
+    """The same with jumps over several rows: whether the budget is kept, and collections without one of their own rows."""
+    rows, budget = _frontier(spark, sf_dir)
+    chosen = optimise.spend(rows, budget, jumps=True)
+    both = rows.join(chosen, ["collection", "w"], "left_semi")
+    return both.agg(F.count(F.lit(1)).alias("n_collections"), F.count_distinct("collection").alias("n_distinct"), (F.sum("n_apps") <= budget).alias("kept"))
+
+
+@query
+def chosen_totals(spark, sf_dir):
+    """What the best windows cost in all."""
+    rows = scratch.table(window_tradeoff(corpus.versions(spark, sf_dir)), "tradeoff")
+    own = rows.join(optimise.best_by_cost(rows).select("collection", "w"), ["collection", "w"])
+    return own.agg(*(F.sum(c).cast("long").alias(c) for c in ("n_apps", "n_frags", "n_postings")))
+
+
+@query
+def compare_frontiers(spark, sf_dir):
+    """Collections whose least number of applications by winnowing is below that by the tree cut."""
+    arrays = corpus.versions(spark, sf_dir)
+    least = window_tradeoff(arrays).groupBy("collection").agg(F.min("n_apps").alias("winnow_apps"))
+    blocks = segments.blocks(tree_cut(arrays), lengths(arrays), *KEYS)
+    other = blocks.groupBy("collection").agg(F.count(F.lit(1)).alias("tree_apps"))
+    return least.join(other, "collection").where("winnow_apps < tree_apps").select("collection", "winnow_apps", "tree_apps")
 
 
 # --- indexes ------------------------------------------------------------------------
 
 
+def document_index(spark, sf_dir) -> DataFrame:
+    return index.build(index.term_rows(corpus.token_arrays(spark, sf_dir), "doc_id"))
+
+
 @query
 def inverted_index(spark, sf_dir):
-    return index.lexicon(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"))
+    """The positional index of all documents, in blocks; lists as text digests."""
+    return document_index(spark, sf_dir).select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
+
+
+@query
+def lexicon(spark, sf_dir):
+    return index.lexicon(document_index(spark, sf_dir))
+
+
+@query
+def index_file(spark, sf_dir):
+    """The index written in order of terms, opened and read back to documents."""
+    at = _folder(spark, "index")
+    index.write(document_index(spark, sf_dir), at)
+    return index.restore(index.read(index.open_index(spark, at)), "docid").select(F.col("docid").alias("doc_id"), content().alias("content"))
 
 
 @query
 def index_lists(spark, sf_dir):
-    """The per-version index of all conversation turns, lists as text digests."""
-    rows = corpus.tokens(corpus.conversations(spark, sf_dir), *KEYS).withColumn("doc", F.struct(*KEYS))
-    lists = index.build(rows, doc="doc")
-    text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docid"]["collection"], p["docid"]["version"], p["pos"])), " ")
-    return lists.select("term", F.col("freq").cast("long").alias("freq"), F.md5(text).alias("postings"))
+    """The per-version index of all versions, in blocks of collections by prefix; lists as text digests."""
+    rows = index.term_rows(corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long")), *KEYS).withColumn("doc", F.struct(*KEYS))
+    lists = index.build(rows, "doc", F.conv(F.substring("collection", 1, 2), 16, 10).cast("long"))
+    return lists.select("term", "block", F.col("freq").cast("long").alias("freq"), list_digest(lambda p: [p["docid"]["collection"], p["docid"]["version"]]).alias("postings"))
 
 
 @query
 def index_merge(spark, sf_dir):
-    """Three index blocks of disjoint documents, merged."""
-    rows = corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id")
+    """Three indexes of disjoint documents, merged."""
+    rows = index.term_rows(corpus.token_arrays(spark, sf_dir), "doc_id")
     merged = index.merge(*(index.build(rows.where(F.col("doc_id") % 3 == k)) for k in range(3)))
-    text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["docid"], p["pos"])), " ")
-    return merged.select("term", "freq", "n_docs", F.md5(text).alias("postings"))
+    return merged.select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
 
 
 @query
 def forward_restore(spark, sf_dir):
-    return index.restore(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), "doc_id").select("doc_id", content().alias("content"))
+    return index.restore(index.read(document_index(spark, sf_dir)), "docid").select(F.col("docid").alias("doc_id"), content().alias("content"))
 
 
 @query
 def lookup_all_terms(spark, sf_dir):
-    return index.all_terms(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), ["the", "of", "and"])
+    return index.all_terms(document_index(spark, sf_dir), ["the", "of", "and"]).select(F.col("docid").alias("doc_id"))
 
 
 @query
 def lookup_phrase(spark, sf_dir):
-    rows = index.phrase(corpus.tokens(corpus.token_arrays(spark, sf_dir), "doc_id"), ["of", "the"])
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"))
+    rows = index.phrase(index.read(document_index(spark, sf_dir)), ["of", "the"], "docid")
+    return rows.select(F.col("docid").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
+
+
+def copies_of(arrays: DataFrame) -> DataFrame:
+    rows = corpus.tokens(arrays, *KEYS)
+    found = index.copy_ranges(rows, rows.withColumn("version", F.col("version") + 1), 5, *KEYS)
+    return found.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "rstart", "vstart", "len")))
 
 
 @query
 def copy_ranges(spark, sf_dir):
     """What each version copies from the version before it, runs of at least 5 tokens."""
-    rows = corpus.tokens(corpus.versions(spark, sf_dir), *KEYS)
-    found = index.copy_ranges(rows, rows.withColumn("version", F.col("version") + 1), 5, *KEYS)
-    return found.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "rstart", "vstart", "len")))
+    return copies_of(corpus.versions(spark, sf_dir))
+
+
+@query
+def copy_index(spark, sf_dir):
+    """The same ranges as an index that is appended to twice and restored."""
+    at, rows = _folder(spark, "copies"), scratch.table(copies_of(corpus.versions(spark, sf_dir)), "ranges")
+    for half in range(2):
+        sinks.append_copies(rows.where(F.col("version") % 2 == half), at)
+    return sinks.restore_copies(spark, at)
+
+
+# --- the versioned index --------------------------------------------------------------
+
+
+def versioned_of(spark, sf_dir) -> versioned.VersionedIndex:
+    return versioned.build(corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long")), WINDOWS)
+
+
+@query
+def versioned_index(spark, sf_dir):
+    """Postings of each distinct fragment at its collection's best window, once, by global fragment id, in blocks."""
+    return versioned_of(spark, sf_dir).postings.select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
+
+
+@query
+def fragment_ids(spark, sf_dir):
+    """Global fragment ids, and how often each fragment is applied."""
+    return versioned_of(spark, sf_dir).dictionary.select("frag_id", "collection", "hash", F.col("len").cast("long").alias("len"), F.col("size").cast("long").alias("size"))
+
+
+@query
+def versioned_lookup(spark, sf_dir):
+    """Places of a phrase in every version, found in the fragments and resolved through their applications."""
+    return versioned.lookup_phrase(versioned_of(spark, sf_dir), ["of", "the"])
+
+
+@query
+def versioned_reduction(spark, sf_dir):
+    """Postings of the versioned index against one of all versions."""
+    found = versioned_of(spark, sf_dir)
+    after = found.dictionary.agg(F.sum("len").cast("long").alias("after"), F.count(F.lit(1)).alias("n_frags"))
+    apps = found.metadata.agg(F.count(F.lit(1)).alias("n_apps"))
+    before = corpus.versions(spark, sf_dir).agg(F.sum(F.size("toks")).alias("before"))
+    return before.crossJoin(after).crossJoin(apps)  # one row each
+
+
+def _metadata(spark, sf_dir) -> DataFrame:
+    found = versioned_of(spark, sf_dir)
+    return found.metadata.join(found.dictionary.select("frag_id", "len"), "frag_id")
+
+
+@query
+def metadata_file(spark, sf_dir):
+    """Fragment metadata as nested tables, written and scanned."""
+    at = _folder(spark, "metadata")
+    sinks.write_metadata(_metadata(spark, sf_dir), at)
+    return sinks.read_metadata(spark, at).select(*(F.col(c).cast("long").alias(c) for c in ("frag_id", "len", "version", "offset")))
+
+
+@query
+def metadata_varbyte(spark, sf_dir):
+    """Fragment metadata in the variable-length code, written and decoded."""
+    at = _folder(spark, "metadata")
+    sinks.write_metadata_varbyte(_metadata(spark, sf_dir), at)
+    return sinks.read_metadata_varbyte(spark, at)
 
 
 __all__ = ["ORACLE_SQL", "QUERIES", "SWEEP"]

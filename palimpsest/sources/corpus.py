@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Width of the n-grams that features and collection keys are made of.
-NGRAM = 10
+from palimpsest.operators import kernels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,24 +33,15 @@ def word_id(term="term") -> Column:
     return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")
 
 
-def collection_key(toks="toks") -> Column:
-    """Smallest MD5 of the n-grams: near copies meet, at a bounded group size.  Short texts: MD5 of all.
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """collection, version, doc_id, toks: documents grouped to collections of near copies.
 
-    The array is bound once: a filter on the key that the optimizer moves below
-    the projection would otherwise tokenise the text again for every n-gram.
+    The key is the smallest MD5 of a document's n-grams (short texts: of all
+    tokens), so copies and near copies meet.  Equal texts make large
+    collections; what works on a collection as one group folds them first.
     """
-
-    def key(t):
-        grams = F.transform(F.sequence(F.lit(0), F.size(t) - NGRAM), lambda i: F.md5(F.array_join(F.slice(t, i + 1, NGRAM), " ")))
-        return F.when(F.size(t) >= NGRAM, F.array_min(grams)).otherwise(F.md5(F.array_join(t, " ")))
-
-    return F.transform(F.array(F.col(toks)), key)[0]
-
-
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """collection, version, doc_id, toks: documents grouped to collections of near copies."""
     order = Window.partitionBy("collection").orderBy("doc_id")
-    keyed = token_arrays(spark, sf_dir).withColumn("collection", collection_key())
+    keyed = kernels.with_collection(token_arrays(spark, sf_dir), "doc_id")
     return keyed.withColumn("version", F.row_number().over(order) - 1).select("collection", "version", "doc_id", "toks")
 
 

@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.operators import index
-from palimpsest.sources.corpus import tokenize, tokens
+from palimpsest.sources.corpus import tokenize
 
 
 def append_blocks(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of (doc_id, text) becomes one index block under ``path``, keyed by its batch id.
+    """Each micro-batch of (doc_id, text) becomes one index under ``path``, keyed by its batch id.
 
-    A batch that runs again after a failure overwrites its own block, so every
+    A batch that runs again after a failure overwrites its own files, so every
     document is indexed exactly once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = tokens(batch.select("doc_id", tokenize("text").alias("toks")), "doc_id")
-        index.build(rows).write.mode("overwrite").parquet(f"{path}/block={number}")
+        rows = index.term_rows(batch.select("doc_id", tokenize("text").alias("toks")), "doc_id")
+        index.write(index.build(rows), f"{path}/run={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def compact(spark: SparkSession, path: str) -> DataFrame:
-    """All blocks merged to one index: term, freq, n_docs, postings in document order."""
-    blocks = spark.read.parquet(path)
+    """All runs merged to one index: term, block, freq, n_docs, postings in document order."""
+    runs = spark.read.parquet(path)
     lists = F.array_sort(F.flatten(F.collect_list("postings")))
-    return blocks.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), lists.alias("postings"))
+    return runs.groupBy("term", "block").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), lists.alias("postings"))

@@ -1,7 +1,7 @@
 """Stream blocks and their compaction equal the batch index."""
 
 from palimpsest.operators import index
-from palimpsest.sources.corpus import tokenize, tokens
+from palimpsest.sources.corpus import tokenize
 from palimpsest.streaming import index_stream
 
 
@@ -13,5 +13,5 @@ def test_blocks_merge_to_the_batch_index(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     index_stream.append_blocks(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = sorted(map(tuple, index_stream.compact(spark, str(tmp_path / "out")).collect()))
-    want = sorted(map(tuple, index.build(tokens(df.select("doc_id", tokenize("text").alias("toks")), "doc_id")).collect()))
+    want = sorted(map(tuple, index.build(index.term_rows(df.select("doc_id", tokenize("text").alias("toks")), "doc_id")).collect()))
     assert got == want
