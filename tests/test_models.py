@@ -1,5 +1,7 @@
 """Recurrences and greedy steps against plain models and fixed examples."""
 
+import collections
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, optimise, segments
+from palimpsest.operators import features, fragments, kernels, optimise, segments, versioned
+from palimpsest.sources import corpus, sinks
 
 
 def test_word_hash_fixed_values(spark):
@@ -45,8 +48,88 @@ def test_winnow_fixed_values(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(h)], "d long, pos int, h long")
     assert {r.pos for r in features.winnow(df, 3, "d").collect()} == {0, 3, 6, 7, 9, 11}
     assert {r.pos for r in features.winnow(df, 5, "d").collect()} == {0, 3, 7}
-    both = features.winnow_many(df, (3, 5), "d").collect()
-    assert {r.pos for r in both if r.w == 3} == {3, 6, 7, 9, 11} and {r.pos for r in both if r.w == 5} == {3, 7}
+    for w, want in ((3, [0, 3, 6, 7, 9, 11]), (5, [0, 3, 7])):
+        bounds, at = kernels.winnowed(np.array(h), np.array([0, len(h)]), np.array([len(h) + 9]), w)
+        assert bounds.tolist() == want and at.tolist() == [0, len(want)]
+
+
+def test_kernels_equal_the_columns(spark):
+    r = random.Random(7)
+    rows = [(k, 0, [r.choice("abcdefgh") + r.choice(["", "x", "0"]) for _ in range(r.choice([0, 1, 9, 10, 11, 12, 30, 200]))]) for k in range(60)]
+    df = spark.createDataFrame(rows, "c long, v long, toks array<string>").repartition(3)
+    keys = ("c", "v")
+    grams = features.ngrams(corpus.tokens(df, *keys), *keys)
+    assert sorted(map(tuple, features.gram_rows(df, *keys).collect())) == sorted(map(tuple, grams.collect()))
+    for w in (1, 5, 20):
+        want = set(map(tuple, features.winnow(grams, w, *keys).collect())) | {(c, v, 0) for c, v, t in rows if t}
+        assert sorted(map(tuple, features.cuts(df, w, *keys).collect())) == sorted(want)
+    plain = {c: min((hashlib.md5(" ".join(t[i : i + 10]).encode()).hexdigest() for i in range(len(t) - 9)), default=hashlib.md5(" ".join(t).encode()).hexdigest()) for c, _, t in rows}
+    assert {x.c: x.collection for x in kernels.with_collection(df, "c").collect()} == plain
+    for x in kernels.with_fragments(df, (5, 20), *keys).collect():
+        toks = rows[x.c][2]
+        for w in (5.0, 20.0):
+            own = [f for f in x.frags if f.w == w]
+            assert [f.idx for f in own] == list(range(len(own)))
+            assert [t for f in own for t in toks[f.start : f.end]] == toks
+            assert all(f.hash == hashlib.md5(" ".join(toks[f.start : f.end]).encode()).hexdigest() for f in own)
+    for x in kernels.with_terms(df, *keys).collect():
+        toks = rows[x.c][2]
+        assert {t.term: t.positions for t in x.terms} == {w: [i for i, t in enumerate(toks) if t == w] for w in set(toks)} and len(x.terms) == len(set(toks))
+    assert kernels.with_fragments(df.limit(0), (5,), *keys).count() == 0
+
+
+def test_frequencies_count_all_versions(spark):
+    r = random.Random(8)
+    rows = [(c, v, [r.choice("ab") for _ in range(r.choice([0, 5, 11, 40]))]) for c in range(6) for v in range(1 if c < 3 else 4)]
+    df = spark.createDataFrame(rows, "c long, v long, toks array<string>")
+    grams = features.ngrams(corpus.tokens(df, "c", "v"), "c", "v").collect()
+    count = collections.Counter((g.c, g.h) for g in grams)
+    want = {(g.c, g.v, g.pos): count[g.c, g.h] for g in grams}
+    got = features.frequency_rows(df, "c", "v").collect()
+    assert {(x.c, x.v, x.pos): x.freq for x in got} == want
+    assert all(x["diff"] == want.get((x.c, x.v, x.pos + 1), x.freq) - x.freq for x in got)
+
+
+def test_numbers_in_variable_length(spark, tmp_path):
+    r = random.Random(9)
+    x = np.array([0, 1, 127, 128, 140, 1231311237, (1 << 62) + 5, *(r.randrange(1 << r.randint(1, 62)) for _ in range(300))], np.int64)
+    code, size = sinks.pack_numbers(x)
+    assert sinks.unpack_numbers(code).tolist() == x.tolist() and code[size[:4].sum() :][:2].tolist() == [140, 1]
+    assert sinks.unpack_numbers(sinks.pack_numbers(x[:0])[0]).tolist() == []
+    rows = [(f, 3, r.randrange(1 << 40), r.randrange(9000)) for f in range(40) for _ in range(r.randint(1, 6))]
+    df = spark.createDataFrame(sorted(set(rows)), "frag_id long, len long, version long, offset long")
+    sinks.write_metadata_varbyte(df, str(tmp_path / "m"))
+    assert sorted(map(tuple, sinks.read_metadata_varbyte(spark, str(tmp_path / "m")).collect())) == sorted(set(rows))
+
+
+def test_prefix_sums(spark):
+    r = random.Random(10)
+    rows = [(f"{r.randrange(1 << 32):08x}", r.randint(1, 9)) for _ in range(300)]
+    df = spark.createDataFrame(sorted(set(rows)), "k string, n long")
+    got = {x.k: x.base for x in versioned.prefix_sums(df, "k", "n", F.substring("k", 1, 1), F.substring("k", 1, 2)).collect()}
+    at, want = 0, {}
+    for k, n in sorted(set(rows)):
+        want[k] = at
+        at += n
+    assert got == want
+
+
+def test_folded_versions_have_the_same_cover(spark):
+    r = random.Random(11)
+    texts = [[r.choice("ab") for _ in range(r.randint(1, 60))] for _ in range(4)]
+    rows = [(c, v, r.choice(texts)) for c in range(5) for v in range(7)]
+    df = spark.createDataFrame(rows, "collection long, version long, toks array<string>")
+
+    def cut(arrays):
+        both = kernels.with_fragments(arrays, (3, 9), "collection", "version").select("collection", "version", F.explode("frags").alias("f")).select("collection", "version", "f.*")
+        return both.withColumn("len", F.col("end") - F.col("start"))
+
+    folded, members = fragments.fold(df)
+    assert folded.groupBy("collection").count().agg(F.max("count")).first()[0] <= 4
+    for w in (0.1, 3.0):
+        whole = fragments.select_covers(cut(df), [w])
+        parts = fragments.unfold(fragments.select_covers(cut(folded), [w], copies=folded), members)
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.select(parts.columns).collect()))
 
 
 def test_jump_cut_fixed_values():
@@ -110,21 +193,73 @@ def test_frontier_fixed_values(spark):
     assert sorted((r.n_apps, r.n_postings) for r in optimise.frontier(df).collect()) == [(1, 10), (3, 7), (6, 2)]
 
 
-def test_budgets(spark):
+def plain_budget(points, budget, jumps):
+    """The greedy choice, all steps looked at anew each time; a document whose step doesn't fit stops, a jump that doesn't fit is out."""
+    points = {d: sorted(p) for d, p in points.items()}
+    at, left, out = dict.fromkeys(points, 0), budget - sum(p[0][0] for p in points.values()), set()
+    while True:
+        can = []
+        for d, p in points.items():
+            for k in range(at[d] + 1, len(p) if jumps else min(at[d] + 2, len(p))):
+                if (d, at[d], k) not in out and (jumps or d not in out):
+                    can.append((-(p[at[d]][1] - p[k][1]) / (p[k][0] - p[at[d]][0]), d, k))
+        if not can:
+            return {d: points[d][k] for d, k in at.items()}
+        _, d, k = min(can)
+        extra = points[d][k][0] - points[d][at[d]][0]
+        if extra <= left:
+            left -= extra
+            at[d] = k
+        else:
+            out.add((d, at[d], k) if jumps else d)
+
+
+def frontier_of(r):
+    apps, post, out = r.randint(1, 4), r.randint(60, 120), []
+    for k in range(r.randint(1, 6)):
+        out.append((apps, post, float(k)))
+        apps, post = apps + r.randint(1, 4), post - r.randint(1, 12)
+    return out
+
+
+def test_budgets_against_plain():
+    r = random.Random(12)
+    for _ in range(150):
+        points = {f"d{k}": frontier_of(r) for k in range(r.randint(1, 6))}
+        least = sum(min(p)[0] for p in points.values())
+        for budget in range(least, least + 25, r.randint(1, 5)):
+            assert optimise.spend_marginal(points, budget) == plain_budget(points, budget, False)
+            assert optimise.spend_pairs(points, budget) == plain_budget(points, budget, True)
+        with pytest.raises(ValueError):
+            optimise.spend_marginal(points, least - 1)
+
+
+def budget_rows(spark, points):
+    return spark.createDataFrame([(d, w, a, 1, p) for d, ps in points.items() for a, p, w in ps], "collection string, w double, n_apps long, n_frags long, n_postings long")
+
+
+def test_every_budget(spark):
     points = {"a": [(1, 100, 1.0), (2, 50, 2.0), (5, 20, 3.0)], "b": [(1, 80, 1.0), (3, 70, 2.0)], "c": [(2, 9, 1.0)]}
-    for budget in (4, 5, 6, 8, 20):
-        for spend in (optimise.spend_marginal, optimise.spend_pairs):
-            chosen = spend(points, budget)
-            assert sum(p[0] for p in chosen.values()) <= budget and set(chosen) == set(points)
-    assert optimise.spend_marginal(points, 20) == {"a": (5, 20, 3.0), "b": (3, 70, 2.0), "c": (2, 9, 1.0)}
-    assert optimise.spend_marginal(points, 5)["a"] == (2, 50, 2.0)
+    df = budget_rows(spark, points).cache()
     with pytest.raises(ValueError):
-        optimise.spend_marginal(points, 3)
-    rows = [(d, w, a, 1, p) for d, ps in points.items() for a, p, w in ps]
-    df = spark.createDataFrame(rows, "collection string, w double, n_apps long, n_frags long, n_postings long")
-    for budget in (4, 5, 8, 20):
-        got = {r.collection: r.w for r in optimise.spend_ordered(df, budget).collect()}
-        assert got == {d: p[2] for d, p in optimise.spend_marginal(points, budget).items()}
+        optimise.spend(df, 3)
+    for budget in range(4, 21):
+        for jumps, plain in ((False, optimise.spend_marginal), (True, optimise.spend_pairs)):
+            got = {x.collection: x.w for x in optimise.spend(df, budget, jumps=jumps).collect()}
+            assert got == {d: p[2] for d, p in plain(points, budget).items()}
+    assert optimise.spend(df.limit(0), 5).count() == 0
+
+
+def test_budget_rounds_over_tables(spark):
+    """few = 0: nothing is finished on the driver."""
+    r = random.Random(13)
+    for k in range(4):
+        points = {f"d{i}": frontier_of(r) for i in range(30)}
+        least = sum(min(p)[0] for p in points.values())
+        budget = least + (3, 25, 90, 500)[k]
+        for jumps, plain in ((False, optimise.spend_marginal), (True, optimise.spend_pairs)):
+            got = {x.collection: x.w for x in optimise.spend(budget_rows(spark, points), budget, jumps=jumps, few=0).collect()}
+            assert got == {d: p[2] for d, p in plain(points, budget).items()}
 
 
 def test_repair_blocks_cover_the_text():
@@ -191,8 +326,6 @@ def test_repair_grammar_spans_all_versions(spark):
 
 
 def test_catalog_and_parameter_files(spark, tmp_path):
-    from palimpsest.sources import corpus
-
     (tmp_path / "c.tsv").write_text("1\tx\t5\n2\ty\n7\tz\t9\textra\nbad\tq\t1\n")
     assert sorted(map(tuple, corpus.read_catalog_tsv(spark, str(tmp_path / "c.tsv")).collect())) == [(1, 5), (7, 9)]
     (tmp_path / "options").write_text("0.01 0.05\n\n10\n")
