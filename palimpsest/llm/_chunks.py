@@ -4,6 +4,12 @@ Rows are dealt to chunks by a hash of id and text, about CHUNK_BYTES of text
 each, and packed into compressed blobs before the shuffle.  The number of
 chunks grows with the corpus, so a chunk's memory does not.  The packed
 exchange is the same plan in every pass, so Spark writes it once and reuses it.
+
+Chunks and buckets of hashes both grow with the corpus, so a blob from each chunk
+to each bucket would shrink to nothing.  ``deal`` bounds the fan-out: with more
+than ``FAN`` receivers, a sender writes one frame per range of ``FAN`` receivers, and
+a relay task takes the frames of ``FAN`` senders for one range and writes one frame per
+receiver.  A frame holds many blobs, however large the corpus is.
 """
 
 from __future__ import annotations
@@ -107,9 +113,75 @@ def by_bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... of n[i] each, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def cut_by(keys: np.ndarray):
     """(key, slice) of each run of equal values in a sorted array."""
     if len(keys):
         edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield int(keys[a]), slice(int(a), int(b))
+
+
+#: Receivers that a task writes to directly.
+FAN = 4096
+FRAMES = pa.schema([("outer", pa.int32()), ("inner", pa.int32()), ("frame", pa.binary())])
+
+
+def _frame(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(f).read_all() for f in table.column("frame").to_pylist()])
+
+
+def _sorted_runs(table: pa.Table, keys: np.ndarray):
+    """(key, rows) of each distinct key."""
+    order = np.argsort(keys, kind="stable")
+    table = table.take(pa.array(order))
+    for k, s in cut_by(keys[order]):
+        yield k, table.slice(s.start, s.stop - s.start)
+
+
+def deal(grouped, kernel, schema: str, sender: str, receiver: str, n_receivers: int, two: bool = False):
+    """(rows for groupBy(receiver), how their kernel opens them): what ``kernel`` makes of groups.
+
+    The kernel's rows carry the integer column ``receiver``; ``sender`` is the integer
+    that groups its input.  two: the input is a cogroup.  The second result
+    wraps the kernel that reads the rows: the table itself, or the right one of a cogroup.
+    """
+    if n_receivers <= FAN:
+        return grouped.applyInArrow(kernel, schema), lambda f, two=False: f
+    fan = FAN
+
+    def framed(out: pa.Table, own: int) -> pa.Table:
+        rows = [(own // fan, k, _frame(t)) for k, t in _sorted_runs(out, out.column(receiver).to_numpy() // fan)] if out.num_rows else []
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, FRAMES, strict=True)], schema=FRAMES)
+
+    def one(table: pa.Table) -> pa.Table:
+        return framed(kernel(table), table.column(sender)[0].as_py())
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return framed(kernel(left, right), (left if left.num_rows else right).column(sender)[0].as_py())
+
+    def relay(table: pa.Table) -> pa.Table:
+        out = _opened(table)
+        rows = [(k, _frame(t)) for k, t in _sorted_runs(out, out.column(receiver).to_numpy())]
+        return pa.table({receiver: pa.array([r[0] for r in rows], pa.int32()), "frame": pa.array([r[1] for r in rows], pa.binary())})
+
+    first = grouped.applyInArrow(both if two else one, "outer int, inner int, frame binary")
+    rows = first.groupBy("outer", "inner").applyInArrow(relay, f"{receiver} int, frame binary")
+
+    def opening(f, two: bool = False):
+        if two:
+            return lambda left, right: f(left, _opened(right) if right.num_rows else right)
+        return lambda table: f(_opened(table))
+
+    return rows, opening

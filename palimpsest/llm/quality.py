@@ -224,9 +224,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     n_shards = max(8, n_chunks // SHARDS_PER_CHUNK)
     chunks = C.packed(docs, id_col, text, n_chunks, by_id=True)
     good = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)).cast("int"))
-    asked = chunks.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(collect_pass(n_shards), "shard int, chunk int, keys binary, counts binary")
+    asked, opened = C.deal(chunks.groupBy("chunk").cogroup(good.groupBy("chunk")), collect_pass(n_shards), "shard int, chunk int, keys binary, counts binary", "chunk", "shard", n_shards, True)
     asked = _scratch.table(asked, "asked")
-    top = _scratch.table(asked.groupBy("shard").applyInArrow(sum_shard, "key long, n long"), "top")
+    top = _scratch.table(asked.groupBy("shard").applyInArrow(opened(sum_shard), "key long, n long"), "top")
     scored = score_grams(top)
     _scratch.drop(top)
 
@@ -236,8 +236,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(_shard(key, n_shards).astype(np.int32)), batch.column(0), batch.column(1)], names=["shard", "key", "logp"])
 
     scored = scored.mapInArrow(sharded, "shard int, key long, logp float")
-    answers = asked.groupBy("shard").cogroup(scored.groupBy("shard")).applyInArrow(answer_shard, "chunk int, shard int, logp binary")
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(perplexity_pass(n_shards), "doc_id long, n_bytes long, nll double")
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answer_shard(opened(lambda t: t)(left) if left.num_rows else left, right)
+
+    answers, found = C.deal(asked.groupBy("shard").cogroup(scored.groupBy("shard")), answer, "chunk int, shard int, logp binary", "shard", "chunk", n_chunks, True)
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(found(perplexity_pass(n_shards), True), "doc_id long, n_bytes long, nll double")
     return out.select("doc_id", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"))
 
 

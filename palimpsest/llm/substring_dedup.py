@@ -10,13 +10,14 @@ window always shows as a probe that meets a reference block elsewhere.
    it also a reference block, is it there more than once.  A bucket answers
    with the hashes that meet a block of another place.
 2. Hits are extended: the windows around a hit, up to ``window`` words, are
-   compared by their 64-bit hash (plus the bits that chose the bucket) and the
+   compared by a 64-bit hash and the
    first place, by (doc_id, start), is kept per window.  Nothing is done per
    pair, so a passage in a third of all documents costs one entry per chunk.
 3. Consecutive repeated windows are merged to maximal repeats per document.
 
 Shuffled per word: about 4 bytes for the probe, 10 for windows that do repeat.
-Each hash is sent once per chunk, so no bucket grows with a hot passage.
+Each hash is sent once per chunk, so no bucket grows with a hot passage, and
+frames bound what a chunk writes (``_chunks.deal``).
 """
 
 from __future__ import annotations
@@ -221,11 +222,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         raise ValueError("a window must hold a whole block: 2 * block - 1 <= window")
     n_chunks, n_buckets = C.sizes(C.corpus_bytes(docs, text))
     chunks = C.packed(docs, id_col, text, n_chunks)
-    probes = chunks.groupBy("chunk").applyInArrow(probe_pass(n_buckets, block), "bucket int, chunk int, keys binary, flags binary, n int")
-    hits = probes.groupBy("bucket").applyInArrow(answer_probes, "chunk int, bucket int, keys binary")
-    near = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(extend_pass(n_buckets, block, window), "bucket int, chunk int, h binary, index binary, ids binary")
-    late = near.groupBy("bucket").applyInArrow(first_places, "chunk int, h binary")
-    return chunks.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(remove_pass(window), RESULT)
+    by_chunk = chunks.groupBy("chunk")
+    probes, opened = C.deal(by_chunk, probe_pass(n_buckets, block), "bucket int, chunk int, keys binary, flags binary, n int", "chunk", "bucket", n_buckets)
+    hits, found = C.deal(probes.groupBy("bucket"), opened(answer_probes), "chunk int, bucket int, keys binary", "bucket", "chunk", n_chunks)
+    near, opened = C.deal(by_chunk.cogroup(hits.groupBy("chunk")), found(extend_pass(n_buckets, block, window), True), "bucket int, chunk int, h binary, index binary, ids binary", "chunk", "bucket", n_buckets, True)
+    late, found = C.deal(near.groupBy("bucket"), opened(first_places), "chunk int, h binary", "bucket", "chunk", n_chunks)
+    return by_chunk.cogroup(late.groupBy("chunk")).applyInArrow(found(remove_pass(window), True), RESULT)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

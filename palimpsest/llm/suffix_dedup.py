@@ -20,8 +20,15 @@ An interval without left diversity is part of the repeat one byte to its left,
 which has the same members, so no covered byte is lost; this is why the first
 suffix of a piece, whose left neighbour lives in another bucket, always counts
 as diverse.  Anchors with one distinct piece need no sorting: the piece is the
-repeat.  Suffixes are batched by their first ``length`` bytes, so a batch is
-bounded however many pieces an anchor has.
+repeat, the one left-diverse interval of its copies.  Suffixes are batched by
+their first ``length`` bytes.
+
+Hot anchors.  An anchor with more than ``HOT`` distinct pieces, counted over chunks in
+step 1, isn't one bucket's work: its windows are dealt by the hash of all their
+``length`` bytes, once per chunk, and equal windows are the groups.
+
+``repeat_groups`` returns the groups themselves with all their occurrences;
+``suffix_dedup`` what they cover.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
@@ -40,6 +48,7 @@ from palimpsest.llm.substring_dedup import _joined, _keys, _low
 SEED = 20
 RUN = 31
 BATCH = 10_000
+HOT = 4_000
 PIECES = 2_000
 #: Pieces repeat each byte about four times, so buckets hold less of the corpus than elsewhere.
 MORE_BUCKETS = 4
@@ -103,64 +112,86 @@ class Pieces:
 
 
 def anchor_pass(n_buckets: int, length: int):
+    """Rows (bucket, chunk, keys, flags, counts): a chunk's distinct anchors, whether two documents have one, and its distinct pieces."""
+
     def run(table: pa.Table) -> pa.Table:
         ids, texts = C.unpack(table)
-        chunk, anchors, docs = table.column("chunk")[0].as_py(), [], []
+        chunk, parts = table.column("chunk")[0].as_py(), []
         for lo, _, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
             p = Pieces(buf, offs, lo, length)
-            anchors.append(_keys(p.anchor, n_buckets))
-            docs.append(p.doc)
-        key, doc = np.concatenate(anchors), np.concatenate(docs)
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
+            parts.append((_keys(p.anchor, n_buckets), p.doc, p.content(length)))
+        key, doc, content = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        order = np.lexsort((content, key))
+        key, doc, content = key[order], doc[order], content[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         many = np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+        new = np.concatenate([[1], (content[1:] != content[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0)
+        count = np.add.reduceat(new.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
         key, rows, z = key[first], [], zstandard.ZstdCompressor(level=1)
         for b, s in C.cut_by((key >> np.uint64(32)).astype(np.int64)):
-            rows.append((b, chunk, _low(key[s]).tobytes(), C.pack(z, np.packbits(many[s]))))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({n: pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, (n, c) in enumerate(zip(("bucket", "chunk", "keys", "flags"), cols, strict=True))})
+            rows.append((b, chunk, _low(key[s]).tobytes(), C.pack(z, np.packbits(many[s])), C.pack(z, count[s].astype(np.uint32))))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.table({n: pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, (n, c) in enumerate(zip(("bucket", "chunk", "keys", "flags", "counts"), cols, strict=True))})
 
     return run
 
 
-def answer_anchors(table: pa.Table) -> pa.Table:
-    """Of one bucket: per chunk, the anchors that another document has too."""
-    z = zstandard.ZstdDecompressor()
-    bucket, keys, chunk, many = table.column("bucket")[0].as_py(), [], [], []
-    for c, k, f in zip(*(table.column(x).to_pylist() for x in ("chunk", "keys", "flags")), strict=True):
-        keys.append(np.frombuffer(k, np.uint32))
-        chunk.append(np.full(len(keys[-1]), c, np.int32))
-        many.append(np.unpackbits(np.frombuffer(z.decompress(f), np.uint8), count=len(keys[-1])).astype(bool))
-    key, chunk, many = map(np.concatenate, (keys, chunk, many))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    count = np.diff(np.append(first, len(k)))
-    hits = order[np.repeat((count > 1) | np.logical_or.reduceat(many[order], first), count)]
-    hits = hits[np.lexsort((key[hits], chunk[hits]))]
-    out = [(c, bucket, key[hits[s]].tobytes()) for c, s in C.cut_by(chunk[hits])]
-    return pa.table({"chunk": pa.array([r[0] for r in out], pa.int32()), "bucket": pa.array([r[1] for r in out], pa.int32()), "keys": pa.array([r[2] for r in out], pa.binary())})
+def answer_anchors(limit: int):
+    """Of one bucket: per chunk, the anchors that another document has too, and which of them are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        z, zc = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        bucket, keys, chunk, many, counts = table.column("bucket")[0].as_py(), [], [], [], []
+        for c, k, f, n in zip(*(table.column(x).to_pylist() for x in ("chunk", "keys", "flags", "counts")), strict=True):
+            keys.append(np.frombuffer(k, np.uint32))
+            chunk.append(np.full(len(keys[-1]), c, np.int32))
+            many.append(np.unpackbits(np.frombuffer(z.decompress(f), np.uint8), count=len(keys[-1])).astype(bool))
+            counts.append(np.frombuffer(z.decompress(n), np.uint32).astype(np.int64))
+        key, chunk, many, counts = map(np.concatenate, (keys, chunk, many, counts))
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        count = np.diff(np.append(first, len(k)))
+        hot = np.zeros(len(key), bool)
+        hot[order] = np.repeat(np.add.reduceat(counts[order], first) > limit, count)
+        hits = order[np.repeat((count > 1) | np.logical_or.reduceat(many[order], first), count)]
+        hits = hits[np.lexsort((key[hits], chunk[hits]))]
+        out = [(c, bucket, key[hits[s]].tobytes(), C.pack(zc, np.packbits(hot[hits[s]]))) for c, s in C.cut_by(chunk[hits])]
+        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int32()), "bucket": pa.array([r[1] for r in out], pa.int32()), "keys": pa.array([r[2] for r in out], pa.binary()), "hot": pa.array([r[3] for r in out], pa.binary())})
+
+    return run
 
 
 def _spread(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Bytes buf[start:start+n] of all ranges, concatenated."""
-    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return buf[at]
+    return buf[C.spread(start, n)]
 
 
 def piece_pass(n_buckets: int, length: int):
-    """Pieces of repeated anchors, one per content and chunk, with the smallest id there."""
+    """Pieces of repeated anchors, one per content and chunk, with the smallest id there; of hot anchors the windows' hashes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, z = [], zstandard.ZstdCompressor(level=3)
+        rows, z, zd = [], zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         if left.num_rows and right.num_rows:
-            hits = np.sort(np.concatenate([_joined(b, np.frombuffer(k, np.uint32)) for b, k in zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist(), strict=True)]))
+            hits, hot = [], []
+            for b, k, f in zip(*(right.column(x).to_pylist() for x in ("bucket", "keys", "hot")), strict=True):
+                hits.append(_joined(b, np.frombuffer(k, np.uint32)))
+                hot.append(np.unpackbits(np.frombuffer(zd.decompress(f), np.uint8), count=len(hits[-1])).astype(bool))
+            hits, hot = np.concatenate(hits), np.concatenate(hot)
+            hot = np.sort(hits[hot])
+            hits = np.sort(hits)
             ids, texts = C.unpack(left)
-            chunk, got = left.column("chunk")[0].as_py(), []
+            chunk, got, windows = left.column("chunk")[0].as_py(), [], []
             for lo, _, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
                 p = Pieces(buf, offs, lo, length)
-                p.keep(T.in_sorted(_keys(p.anchor, n_buckets), hits))
+                keys = _keys(p.anchor, n_buckets)
+                if len(hot):
+                    own = T.in_sorted(keys, hot)
+                    at = C.spread(p.start[own], p.runs[own])
+                    windows.append((T.spans_hash(p.pre, at, at + length), np.repeat(p.doc[own], p.runs[own])))
+                    keys = keys[~own]
+                    p.keep(~own)
+                p.keep(T.in_sorted(keys, hits))
                 h = p.content(length)
                 _, one = np.unique(h, return_index=True)
                 n = p.runs[one] + length - 1
@@ -173,9 +204,24 @@ def piece_pass(n_buckets: int, length: int):
             for b, s in C.cut_by(C.by_bucket(anchor[order], n_buckets)):
                 o = order[s]
                 own, index = np.unique(doc[o], return_inverse=True)
-                rows.append((b, chunk, n[o].astype(np.uint8).tobytes(), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), C.pack(z, _spread(data, at[o], n[o]))))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        return pa.table({n: pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, (n, c) in enumerate(zip(("bucket", "chunk", "lens", "index", "ids", "text"), cols, strict=True))})
+                rows.append((b, chunk, 0, n[o].astype(np.uint8).tobytes(), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), C.pack(z, _spread(data, at[o], n[o]))))
+            if windows:
+                h, doc = (np.concatenate([w[i] for w in windows]) for i in range(2))
+                order = np.lexsort((doc, h))
+                first = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
+                # several documents of the chunk: the second one tells
+                again = np.zeros(len(h), bool)
+                if len(h):
+                    head = np.flatnonzero(first)
+                    again[order[first]] = np.maximum.reduceat(doc[order], head) > doc[order[first]]
+                order = order[first]
+                for b, s in C.cut_by(C.by_bucket(h[order], n_buckets)):
+                    o = order[s]
+                    own, index = np.unique(doc[o], return_inverse=True)
+                    rows.append((b, chunk, 1, C.pack(z, np.packbits(again[o])), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), h[o].tobytes()))
+        names = ("bucket", "chunk", "hot", "lens", "index", "ids", "text")
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        return pa.table({m: pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, (m, c) in enumerate(zip(names, cols, strict=True))})
 
     return run
 
@@ -221,6 +267,7 @@ def repeats_of(text: np.ndarray, start: np.ndarray, n: np.ndarray, length: int):
         cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + BATCH, side="left"), len(edges) - 1)]))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
+        own = own[np.argsort(room[own], kind="stable")]  # padding equals zero bytes: the shorter suffix goes first
         rows = padded[begin[own].astype(np.int32)[:, None] + np.arange(width, dtype=np.int32)]
         rows[np.arange(width) >= room[own][:, None]] = 0
         rank = np.argsort(np.ascontiguousarray(rows).view(f"S{width}").ravel(), kind="stable")
@@ -239,11 +286,54 @@ def repeats_of(text: np.ndarray, start: np.ndarray, n: np.ndarray, length: int):
                 yield depth, p[i : j + 1], o[i : j + 1]
 
 
-def scan_bucket(length: int):
-    """Of one bucket: per chunk, the covered parts of its pieces: content hash, offset, bytes."""
+PARTS = "chunk int, hot int, h binary, off binary, len binary, grp binary"
+
+
+def _parts(rows: list) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.table({m: pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, (m, c) in enumerate(zip(("chunk", "hot", "h", "off", "len", "grp"), cols, strict=True))})
+
+
+def hot_windows(table: pa.Table, groups: bool) -> list:
+    """Rows of one bucket's hot windows: all of a chunk's, and which of them a smaller document has (with groups: two documents)."""
+    z, zc = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    hs, chunks, docs, several = [], [], [], []
+    for c, again, index, ids, h in zip(*(table.column(x).to_pylist() for x in ("chunk", "lens", "index", "ids", "text")), strict=True):
+        hs.append(np.frombuffer(h, np.uint64))
+        chunks.append(np.full(len(hs[-1]), c, np.int32))
+        docs.append(np.frombuffer(z.decompress(ids), np.int64)[np.frombuffer(z.decompress(index), np.uint32)])
+        several.append(np.unpackbits(np.frombuffer(z.decompress(again), np.uint8), count=len(hs[-1])).astype(bool))
+    h, chunk, doc, several = map(np.concatenate, (hs, chunks, docs, several))
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    size = np.diff(np.append(first, len(h)))
+    low = np.repeat(np.minimum.reduceat(doc[order], first), size)
+    if groups:
+        told = np.repeat((np.maximum.reduceat(doc[order], first) > np.minimum.reduceat(doc[order], first)) | np.logical_or.reduceat(several[order], first), size)
+    else:
+        told = doc[order] > low
+    late = np.zeros(len(h), bool)
+    late[order] = told
+    order = np.lexsort((h, chunk))
+    return [(c, 1, h[order[s]].tobytes(), C.pack(zc, np.packbits(late[order[s]])), b"", b"") for c, s in C.cut_by(chunk[order])]
+
+
+def scan_bucket(length: int, groups: bool = False):
+    """Of one bucket: per chunk, the covered parts of its pieces: content hash, offset, bytes.
+
+    groups: the parts of all members of every group instead, with the hash of the
+    group's string.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         C.settle()
+        is_hot = table.column("hot").to_numpy() == 1
+        rows = hot_windows(table.filter(pa.array(is_hot)), groups) if is_hot.any() else []
+        if not is_hot.all():
+            rows += cold(table.filter(pa.array(~is_hot)))
+        return _parts(rows)
+
+    def cold(table: pa.Table) -> list:
         z = zstandard.ZstdDecompressor()
         lens, chunks, docs, texts = [], [], [], []
         for c, n, index, ids, text in zip(*(table.column(x).to_pylist() for x in ("chunk", "lens", "index", "ids", "text")), strict=True):
@@ -266,12 +356,17 @@ def scan_bucket(length: int):
         order = np.lexsort((doc, content, anchor))
         first = np.flatnonzero(np.concatenate([[True], (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])]))
         lead = order[first]
+        member_at = np.append(first, len(order))
         group = np.zeros(len(n), np.int64)
-        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        group[order] = np.repeat(np.arange(len(first)), np.diff(member_at))
         least = doc[lead]
-        # members of a content with a larger document are covered as a whole
-        late = np.flatnonzero(doc > least[group])
-        out_p, out_o, out_l = [late], [np.zeros(len(late), np.uint8)], [n[late].astype(np.uint8)]
+        if groups:
+            # the interval of a content's copies is the whole piece; copies within a chunk are found there
+            late = np.arange(len(n))
+        else:
+            # members of a content with a larger document are covered as a whole
+            late = np.flatnonzero(doc > least[group])
+        out_p, out_o, out_l, out_g = [late], [np.zeros(len(late), np.uint8)], [n[late].astype(np.uint8)], [content[late]]
         # anchors with several contents: the enhanced suffix array
         a = anchor[lead]
         heads = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
@@ -279,95 +374,148 @@ def scan_bucket(length: int):
         several = np.flatnonzero(np.repeat(count > 1, count))
         if len(several):
             # all members, by content, smallest document first
-            member_at = np.append(first, len(order))
             cuts = [0]
             edges = np.cumsum(count[count > 1])
             while cuts[-1] < len(several):
                 cuts.append(int(edges[min(np.searchsorted(edges, cuts[-1] + PIECES, side="left"), len(edges) - 1)]))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                got_p, got_o, got_l = [], [], []
+                got_p, got_o, got_l, got_g = [], [], [], []
                 own = several[lo:hi]
                 m = n[lead[own]]
                 part = _spread(text, start[lead[own]], m)
+                begin = np.cumsum(m) - m
+                pre = T.prefix(T.BYTE_VALUES[part]) if groups else None
                 ids = least[own]
-                for depth, p, o in repeats_of(part, np.cumsum(m) - m, m, length):
+                for depth, p, o in repeats_of(part, begin, m, length):
+                    if groups:
+                        at = begin[p[:1]] + o[:1]
+                        got_g.append(np.repeat(T.spans_hash(pre, at, at + depth), len(p)))
+                        got_p.append(p + lo)
+                        got_o.append(o)
+                        got_l.append(np.full(len(p), depth))
+                        continue
                     d = ids[p]
-                    low = d.min()
-                    for q, at in zip(p[d > low].tolist(), o[d > low].tolist(), strict=True):
-                        got_p.append(q + lo)
-                        got_o.append(at)
-                        got_l.append(depth)
+                    later = d > d.min()
+                    got_p.append(p[later] + lo)
+                    got_o.append(o[later])
+                    got_l.append(np.full(int(later.sum()), depth))
                 if not got_p:
                     continue
-                # the longest cover per suffix; it holds for every member of the content
-                gp, go, gl = np.array(got_p), np.array(got_o), np.array(got_l)
-                rank = np.lexsort((-gl, go, gp))
-                top = np.concatenate([[True], (gp[rank][1:] != gp[rank][:-1]) | (go[rank][1:] != go[rank][:-1])])
-                gp, go, gl = gp[rank][top], go[rank][top], gl[rank][top]
+                gp, go, gl = np.concatenate(got_p), np.concatenate(got_o), np.concatenate(got_l)
+                if groups:
+                    gg = np.concatenate(got_g)
+                else:
+                    # the longest cover per suffix; it holds for every member of the content
+                    rank = np.lexsort((-gl, go, gp))
+                    top = np.concatenate([[True], (gp[rank][1:] != gp[rank][:-1]) | (go[rank][1:] != go[rank][:-1])]) if len(gp) else np.zeros(0, bool)
+                    gp, go, gl = gp[rank][top], go[rank][top], gl[rank][top]
+                    gg = np.zeros(len(gp), np.uint64)
                 g = several[gp]
                 # members covered as a whole need no part; those with the content's smallest document do
                 size = member_at[g + 1] - member_at[g]
                 rep = np.repeat(np.arange(len(g)), size)
-                member = order[member_at[g][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size)]
-                need = doc[member] == least[g[rep]]
+                member = order[C.spread(member_at[g], size)]
+                need = np.ones(len(member), bool) if groups else doc[member] == least[g[rep]]
                 out_p.append(member[need])
                 out_o.append(go[rep][need].astype(np.uint8))
                 out_l.append(gl[rep][need].astype(np.uint8))
-        p, o, l = map(np.concatenate, (out_p, out_o, out_l))  # noqa: E741
+                out_g.append(gg[rep][need])
+        p, o, l, g = map(np.concatenate, (out_p, out_o, out_l, out_g))  # noqa: E741
+        if groups:
+            # an interval may also be the whole of a piece: once
+            rank = np.lexsort((g, l, o, p))
+            new = np.concatenate([[True], (np.diff(p[rank]) != 0) | (np.diff(o[rank].astype(np.int64)) != 0) | (np.diff(l[rank].astype(np.int64)) != 0)])
+            p, o, l, g = p[rank][new], o[rank][new], l[rank][new], g[rank][new]  # noqa: E741
         rank = np.lexsort((o, content[p], chunk[p]))
-        p, o, l = p[rank], o[rank], l[rank]  # noqa: E741
+        p, o, l, g = p[rank], o[rank], l[rank], g[rank]  # noqa: E741
         zc = zstandard.ZstdCompressor(level=1)
-        rows = [(c, content[p[s]].tobytes(), C.pack(zc, o[s].astype(np.uint8)), C.pack(zc, l[s].astype(np.uint8))) for c, s in C.cut_by(chunk[p])]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.table({m: pa.array(c, pa.int32() if not i else pa.binary()) for i, (m, c) in enumerate(zip(("chunk", "h", "off", "len"), cols, strict=True))})
+        return [(c, 0, content[p[s]].tobytes(), C.pack(zc, o[s].astype(np.uint8)), C.pack(zc, l[s].astype(np.uint8)), g[s].tobytes() if groups else b"") for c, s in C.cut_by(chunk[p])]
 
     return run
 
 
-def cover_pass(n_buckets: int, length: int):
+class Parts:
+    """What the buckets told one chunk: parts of pieces by content, sorted, and hot windows with their bit."""
+
+    def __init__(self, table: pa.Table):
+        z = zstandard.ZstdDecompressor()
+        h, off, size, grp = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        hot, told = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        if table.num_rows:
+            for kind, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("hot", "h", "off", "len", "grp")), strict=True):
+                if kind:
+                    hot.append(np.frombuffer(a, np.uint64))
+                    told.append(np.unpackbits(np.frombuffer(z.decompress(b), np.uint8), count=len(hot[-1])).astype(bool))
+                    continue
+                h.append(np.frombuffer(a, np.uint64))
+                off.append(np.frombuffer(z.decompress(b), np.uint8).astype(np.int64))
+                size.append(np.frombuffer(z.decompress(c), np.uint8).astype(np.int64))
+                grp.append(np.frombuffer(d, np.uint64))
+        h, off, size, grp = map(np.concatenate, (h, off, size, grp))
+        order = np.argsort(h, kind="stable")
+        self.h, self.off, self.size = h[order], off[order], size[order]
+        self.grp = grp[order] if len(grp) else grp
+        hot, told = np.concatenate(hot), np.concatenate(told)
+        order = np.argsort(hot)
+        self.hot, self.told = hot[order], told[order]
+
+    def of(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, part) of every part of the pieces' contents."""
+        a, b = np.searchsorted(self.h, content, side="left"), np.searchsorted(self.h, content, side="right")
+        return np.repeat(np.arange(len(content)), b - a), C.spread(a, b - a)
+
+    def windows(self, p: Pieces, length: int):
+        """(start, document, hot number) of the pieces' hot windows."""
+        if not len(self.hot):
+            return (np.zeros(0, np.int64),) * 3
+        at = C.spread(p.start, p.runs)
+        w = T.spans_hash(p.pre, at, at + length)
+        ok = np.flatnonzero(T.in_sorted(w, self.hot))
+        return at[ok], np.repeat(p.doc, p.runs)[ok], np.searchsorted(self.hot, w[ok])
+
+
+def _after_first(key: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which entries have a larger id than the first one of their key; documents ascend by id."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    again = np.zeros(len(key), bool)
+    if len(k):
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        lead = np.repeat(order[head], np.diff(np.append(head, len(k))))
+        again[order] = ids[doc[order]] > ids[doc[lead]]
+    return again
+
+
+def cover_pass(length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
         out = {k: [] for k in names}
         if left.num_rows:
-            z = zstandard.ZstdDecompressor()
             ids, texts = C.unpack(left)
-            h = np.zeros(0, np.uint64)
-            if right.num_rows:
-                got = list(zip(*(right.column(c).to_pylist() for c in ("h", "off", "len")), strict=True))
-                h = np.concatenate([np.frombuffer(g[0], np.uint64) for g in got])
-                off, size = (np.concatenate([np.frombuffer(z.decompress(g[i]), np.uint8) for g in got]).astype(np.int64) for i in (1, 2))
-                order = np.argsort(h, kind="stable")
-                h, off, size = h[order], off[order], size[order]
+            told = Parts(right)
             # pieces of this chunk with the same content: those after the smallest id are covered as a whole
-            first_doc: dict = {}
-            blocks, hs, docs = [], [], []
+            blocks, hs, docs, hot = [], [], [], []
             for lo, hi, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
                 p = Pieces(buf, offs, lo, length)
                 c = p.content(length)
-                blocks.append((lo, hi, p.start, p.runs, p.doc, len(c)))
+                at, doc, number = told.windows(p, length)
+                blocks.append((lo, hi, p.start, p.runs, len(c), at))
                 hs.append(c)
                 docs.append(p.doc)
-            del first_doc
+                hot.append((number, doc))
             content, doc = np.concatenate(hs), np.concatenate(docs)
-            order = np.argsort(content, kind="stable")
-            k = content[order]
-            again = np.zeros(len(content), bool)
-            if len(k):
-                head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                lead = np.repeat(order[head], np.diff(np.append(head, len(k))))
-                again[order] = ids[doc[order]] > ids[doc[lead]]
-            done = 0
-            for (lo, hi, start, runs, _, m), (_, _, buf, offs) in zip(blocks, T.blocks(ids, texts, BLOCK_BYTES), strict=True):
+            again = _after_first(content, doc, ids)
+            number, doc = (np.concatenate([x[i] for x in hot]) for i in range(2))
+            late = told.told[number] | _after_first(number, doc, ids) if len(number) else np.zeros(0, bool)
+            done = hot_done = 0
+            for (lo, hi, start, runs, m, at), (_, _, buf, offs) in zip(blocks, T.blocks(ids, texts, BLOCK_BYTES), strict=True):
                 c, whole = content[done : done + m], again[done : done + m]
                 done += m
-                a, b = np.searchsorted(h, c, side="left"), np.searchsorted(h, c, side="right")
-                rep = np.repeat(np.arange(m), b - a)
-                at = a[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                if len(h):
-                    s = np.concatenate([start[whole], start[rep] + off[at]])
-                    e = np.concatenate([runs[whole] + length - 1, size[at]])
-                else:
-                    s, e = start[whole], runs[whole] + length - 1
+                gone_windows = at[late[hot_done : hot_done + len(at)]]
+                hot_done += len(at)
+                rep, part = told.of(c)
+                s = np.concatenate([start[whole], start[rep] + told.off[part], gone_windows])
+                e = np.concatenate([runs[whole] + length - 1, told.size[part], np.full(len(gone_windows), length)])
                 gone = T.covered(s, e, len(buf))
                 for d in range(hi - lo):
                     x, y = int(offs[d]), int(offs[d + 1])
@@ -385,27 +533,78 @@ def cover_pass(n_buckets: int, length: int):
     return run
 
 
+OCCURRENCES = "grp long, length int, doc_id long, start long"
+
+
+def place_pass(length: int):
+    """Rows (grp, length, doc_id, start): where the groups' members stand in one chunk's documents."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if left.num_rows:
+            ids, texts = C.unpack(left)
+            told = Parts(right)
+            for lo, _, buf, offs in T.blocks(ids, texts, BLOCK_BYTES):
+                p = Pieces(buf, offs, lo, length)
+                rep, part = told.of(p.content(length))
+                out.append((told.grp[part].view(np.int64), told.size[part], p.doc[rep], p.start[rep] + told.off[part] - offs[p.doc[rep] - lo]))
+                at, doc, number = told.windows(p, length)
+                ok = told.told[number]
+                out.append((told.hot[number[ok]].view(np.int64), np.full(int(ok.sum()), length), doc[ok], at[ok] - offs[doc[ok] - lo]))
+            grp, size, doc, start = (np.concatenate([x[i] for x in out]) for i in range(4))
+            named = ids[doc]
+            return pa.table({"grp": pa.array(grp), "length": pa.array(size.astype(np.int32)), "doc_id": pa.array(named, mask=named == C.NULL_ID), "start": pa.array(start)})
+        return pa.table({n: pa.array([], pa.int32() if n == "length" else pa.int64()) for n in ("grp", "length", "doc_id", "start")})
+
+    return run
+
+
+def _scanned(docs: DataFrame, id_col: str, text: str, length: int, groups: bool):
+    """(chunks, parts for each chunk, how their kernel opens them)."""
+    if not SEED < length <= 225:
+        raise ValueError("length must be from 21 to 225 bytes")
+    n_chunks, n_buckets = C.sizes(C.corpus_bytes(docs, text))
+    n_buckets *= MORE_BUCKETS
+    by_chunk = C.packed(docs, id_col, text, n_chunks).groupBy("chunk")
+    anchors, opened = C.deal(by_chunk, anchor_pass(n_buckets, length), "bucket int, chunk int, keys binary, flags binary, counts binary", "chunk", "bucket", n_buckets)
+    hits, found = C.deal(anchors.groupBy("bucket"), opened(answer_anchors(HOT)), "chunk int, bucket int, keys binary, hot binary", "bucket", "chunk", n_chunks)
+    pieces, opened = C.deal(by_chunk.cogroup(hits.groupBy("chunk")), found(piece_pass(n_buckets, length), True), "bucket int, chunk int, hot int, lens binary, index binary, ids binary, text binary", "chunk", "bucket", n_buckets, True)
+    parts, found = C.deal(pieces.groupBy("bucket"), opened(scan_bucket(length, groups)), PARTS, "bucket", "chunk", n_chunks)
+    return by_chunk, parts, found
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+    """One row per occurrence of every repeat group: grp (a hash of its string), length, doc_id, start (in bytes).
+
+    The groups are the left-diverse intervals of the pieces' suffixes with their
+    copies, of at least ``length`` bytes and at most a piece's; a longer repeat is a chain
+    of groups.  Pieces whose anchor stands in one document only are in none,
+    nor are pieces that occur once.  Of a hot anchor, each repeated window of ``length``
+    bytes is a group.  Null and empty texts have no occurrence; null ids come
+    back as null; rows with the same id are texts of their own; other
+    columns are ignored; an empty table gives no rows.
+    """
+    by_chunk, parts, found = _scanned(docs, id_col, text, length, True)
+    placed = by_chunk.cogroup(parts.groupBy("chunk")).applyInArrow(found(place_pass(length), True), OCCURRENCES)
+    # a piece that occurs once is an interval of its own
+    counts = placed.groupBy("grp", "length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return placed.join(counts, ["grp", "length"])
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a
     document with a smaller id; ``spans`` holds the maximal removed runs as int64
     pairs (from, to).  A null text counts as empty; texts shorter than
-    ``length`` keep all; a null id counts as larger than any other and comes
-    back as null; rows with the same id don't remove from each other; repeats
-    inside one document stay; other columns are ignored.  An empty table gives
-    an empty result.
+    ``length`` keep all; texts of any length are read whole; a null id counts as
+    larger than any other and comes back as null; rows with the same id don't
+    remove from each other; repeats inside one document stay; other columns are
+    ignored.  An empty table gives an empty result.  Strings are told apart by
+    64-bit hashes where whole pieces or hot windows are equal, by bytes else.
     """
-    if not SEED < length <= 225:
-        raise ValueError("length must be from 21 to 225 bytes")
-    n_chunks, n_buckets = C.sizes(C.corpus_bytes(docs, text))
-    n_buckets *= MORE_BUCKETS
-    chunks = C.packed(docs, id_col, text, n_chunks)
-    anchors = chunks.groupBy("chunk").applyInArrow(anchor_pass(n_buckets, length), "bucket int, chunk int, keys binary, flags binary")
-    hits = anchors.groupBy("bucket").applyInArrow(answer_anchors, "chunk int, bucket int, keys binary")
-    pieces = chunks.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(piece_pass(n_buckets, length), "bucket int, chunk int, lens binary, index binary, ids binary, text binary")
-    parts = pieces.groupBy("bucket").applyInArrow(scan_bucket(length), "chunk int, h binary, off binary, len binary")
-    return chunks.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(cover_pass(n_buckets, length), RESULT)
+    by_chunk, parts, found = _scanned(docs, id_col, text, length, False)
+    return by_chunk.cogroup(parts.groupBy("chunk")).applyInArrow(found(cover_pass(length), True), RESULT)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -116,6 +116,17 @@ def test_perplexity_against_plain(spark):
     assert free[62] and not free[60]
 
 
+def test_frames_change_nothing(spark, monkeypatch):
+    from palimpsest.llm import _chunks
+
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("abcde") for _ in range(3)) for _ in range(20))) for i in range(80)]
+    docs, trusted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    want = sorted(map(tuple, Q.perplexities(docs, trusted).collect()))
+    monkeypatch.setattr(_chunks, "FAN", 3)
+    assert sorted(map(tuple, Q.perplexities(docs, trusted).collect())) == want
+
+
 def test_threshold_is_the_quantile(spark):
     r = random.Random(8)
     rows = [(i, " ".join("".join(r.choice("abcde") for _ in range(3)) for _ in range(30)), "en") for i in range(120)]
@@ -128,6 +139,27 @@ def test_threshold_is_the_quantile(spark):
     assert all(x.keep == (x.perplexity <= x.threshold) for x in got.values())
 
 
+def test_each_language_has_its_own_quantile(spark):
+    r = random.Random(9)
+    langs = [("en", "abcde"), ("de", "abcdefghijklmnop"), ("fr", "xyz"), (None, "qrst")]
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(4)) for _ in range(r.randint(5, 40))), lang) for i in range(160) for lang, a in [langs[i % 4 if i > 3 else 0]]] + [(900, "xyzzy " * 9, "es"), (901, None, "en"), (902, "", None), (903, "ab cd " * 3000, "en"), (5, "again", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 160").select("doc_id")
+    held = {x.doc_id for x in docs.where("pmod(xxhash64(doc_id, 6), 4) = 0 and doc_id < 160").collect()}
+    for q in (0.5, 0.99):
+        got = Q.classify(docs, trusted, q).collect()
+        assert len(got) == len(rows)
+        per = {}
+        for x in got:
+            if x.doc_id in held and x.perplexity is not None:
+                per.setdefault(x.lang, []).append(x.perplexity)
+        every = sorted(p for v in per.values() for p in v)
+        for x in got:
+            own = sorted(per.get(x.lang, every))
+            assert x.threshold == own[math.ceil(q * len(own)) - 1]
+            assert x.keep == (x.perplexity is not None and x.perplexity <= x.threshold)
+
+
 def test_keys_hold_the_bytes_before():
     buf = np.frombuffer(b"ab  \ncd", np.uint8)
     key, at = Q.grams(buf, np.array([0, 5, 5, 7]))

@@ -78,6 +78,82 @@ def test_both_against_brute_force(spark, seed):
     assert got == brute_words(rows)
 
 
+@pytest.mark.parametrize(("hot", "fan"), [(1, 4096), (3, 5), (4000, 5)])
+def test_hot_anchors_and_frames_change_nothing(spark, monkeypatch, hot, fan):
+    from palimpsest.llm import _chunks, suffix_dedup as S
+
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(_chunks, "FAN", fan)
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x)[:5] for x in suffix_dedup(df).collect()), key=repr) == brute_bytes(rows)
+    if fan < 4096:
+        assert sorted((tuple(x)[:4] for x in substring_dedup(df).collect()), key=repr) == brute_words(rows)
+
+
+def plain_pieces(texts, length):
+    """(anchor, document, start, windows) of every piece, by the definition."""
+    import numpy as np
+
+    from palimpsest.llm import _text as T, suffix_dedup as S
+
+    out = []
+    for d, b in enumerate(texts):
+        buf = np.frombuffer(b, np.uint8)
+        h = T.rolling_hash(T.prefix(T.BYTE_VALUES[buf]), S.SEED).tolist()
+        least = [min(h[p : p + length - S.SEED + 1]) for p in range(len(b) - length + 1)]
+        p = 0
+        while p < len(least):
+            q = p
+            while q < len(least) and least[q] == least[p] and q - p < S.RUN:
+                q += 1
+            out.append((least[p], d, p, q - p))
+            p = q
+    return out
+
+
+def test_groups_against_brute_force(spark):
+    """Left-diverse, right-maximal strings among each anchor's pieces, with all their occurrences."""
+    import collections
+
+    from palimpsest.llm.suffix_dedup import repeat_groups
+
+    rows = [r for r in corpus(4, 40) if r[0] is not None and r[0] not in (2006, 2008)]
+    texts = [(t or "").encode() for _, t in rows]
+    by_anchor = collections.defaultdict(list)
+    for anchor, d, p, runs in plain_pieces(texts, 50):
+        by_anchor[anchor].append((d, p, texts[d][p : p + runs + 49]))
+    want = set()
+    for pieces in by_anchor.values():
+        if len({d for d, _, _ in pieces}) == 1:
+            continue
+        places = collections.defaultdict(list)
+        for d, p, s in pieces:
+            for a in range(len(s) - 49):
+                for n in range(50, len(s) - a + 1):
+                    places[s[a : a + n]].append((d, p, a, s))
+        for s, found in places.items():
+            if len(found) < 2:
+                continue
+            nxt = {x[3][x[2] + len(s) : x[2] + len(s) + 1] or (x[0], x[1]) for x in found}
+            ends = any(not x[3][x[2] + len(s) : x[2] + len(s) + 1] for x in found)
+            left = {x[3][x[2] - 1 : x[2]] if x[2] else None for x in found}
+            if (len(nxt) > 1 or ends) and (len(left) > 1 or None in left):
+                want |= {(s, d, p + a) for d, p, a, _ in found}
+    got = repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    number = {i: k for k, (i, _) in enumerate(rows)}
+    strings = collections.defaultdict(set)
+    have = set()
+    for x in got:
+        d = number[x.doc_id]
+        s = texts[d][x.start : x.start + x.length]
+        strings[x.grp, x.length].add(s)
+        have.add((s, d, x.start))
+    assert all(len(s) == 1 for s in strings.values())
+    assert have == want
+    assert repeat_groups(spark.createDataFrame(rows[:1], "doc_id long, text string")).count() == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup(df).count() == 0
