@@ -23,9 +23,11 @@ as diverse.  Anchors with one distinct piece need no sorting: the piece is the
 repeat, the one left-diverse interval of its copies.  Suffixes are batched by
 their first ``length`` bytes.
 
-Hot anchors.  An anchor with more than ``HOT`` distinct pieces, counted over chunks in
-step 1, isn't one bucket's work: its windows are dealt by the hash of all their
-``length`` bytes, once per chunk, and equal windows are the groups.
+Hot anchors.  An anchor with very many distinct pieces isn't one bucket's work:
+its windows are dealt by the hash of all their ``length`` bytes, once per chunk, and
+equal windows are the groups.  Step 1 finds such anchors: the chunks' distinct
+pieces add up to more than ``HOT``, and the rarest hash among them, by its leading
+zeros, is one of about 2**``HOT_ZEROS``.  Either way gives the same covered bytes.
 
 ``repeat_groups`` returns the groups themselves with all their occurrences;
 ``suffix_dedup`` what they cover.
@@ -49,6 +51,7 @@ SEED = 20
 RUN = 31
 BATCH = 10_000
 HOT = 4_000
+HOT_ZEROS = 12
 PIECES = 2_000
 #: Pieces repeat each byte about four times, so buckets hold less of the corpus than elsewhere.
 MORE_BUCKETS = 4
@@ -112,7 +115,7 @@ class Pieces:
 
 
 def anchor_pass(n_buckets: int, length: int):
-    """Rows (bucket, chunk, keys, flags, counts): a chunk's distinct anchors, whether two documents have one, and its distinct pieces."""
+    """Rows (bucket, chunk, keys, flags, counts): a chunk's distinct anchors, whether two documents have one, its distinct pieces, and the most leading zeros of their hashes."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, texts = C.unpack(table)
@@ -127,33 +130,36 @@ def anchor_pass(n_buckets: int, length: int):
         many = np.maximum.reduceat(doc, first) > np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
         new = np.concatenate([[1], (content[1:] != content[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0)
         count = np.add.reduceat(new.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
+        zeros = np.maximum.reduceat(64 - np.frexp(content.astype(np.float64))[1], first) if len(first) else np.zeros(0)
         key, rows, z = key[first], [], zstandard.ZstdCompressor(level=1)
         for b, s in C.cut_by((key >> np.uint64(32)).astype(np.int64)):
-            rows.append((b, chunk, _low(key[s]).tobytes(), C.pack(z, np.packbits(many[s])), C.pack(z, count[s].astype(np.uint32))))
+            rows.append((b, chunk, _low(key[s]).tobytes(), C.pack(z, np.packbits(many[s])), C.pack(z, np.concatenate([count[s].astype(np.uint32), zeros[s].astype(np.uint32)]))))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.table({n: pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, (n, c) in enumerate(zip(("bucket", "chunk", "keys", "flags", "counts"), cols, strict=True))})
 
     return run
 
 
-def answer_anchors(limit: int):
+def answer_anchors(limit: int, least_zeros: int):
     """Of one bucket: per chunk, the anchors that another document has too, and which of them are hot."""
 
     def run(table: pa.Table) -> pa.Table:
         z, zc = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        bucket, keys, chunk, many, counts = table.column("bucket")[0].as_py(), [], [], [], []
+        bucket, keys, chunk, many, counts, zeros = table.column("bucket")[0].as_py(), [], [], [], [], []
         for c, k, f, n in zip(*(table.column(x).to_pylist() for x in ("chunk", "keys", "flags", "counts")), strict=True):
             keys.append(np.frombuffer(k, np.uint32))
             chunk.append(np.full(len(keys[-1]), c, np.int32))
             many.append(np.unpackbits(np.frombuffer(z.decompress(f), np.uint8), count=len(keys[-1])).astype(bool))
-            counts.append(np.frombuffer(z.decompress(n), np.uint32).astype(np.int64))
-        key, chunk, many, counts = map(np.concatenate, (keys, chunk, many, counts))
+            own = np.frombuffer(z.decompress(n), np.uint32).astype(np.int64)
+            counts.append(own[: len(own) // 2])
+            zeros.append(own[len(own) // 2 :])
+        key, chunk, many, counts, zeros = map(np.concatenate, (keys, chunk, many, counts, zeros))
         order = np.argsort(key, kind="stable")
         k = key[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         count = np.diff(np.append(first, len(k)))
         hot = np.zeros(len(key), bool)
-        hot[order] = np.repeat(np.add.reduceat(counts[order], first) > limit, count)
+        hot[order] = np.repeat((np.add.reduceat(counts[order], first) > limit) & (np.maximum.reduceat(zeros[order], first) >= least_zeros), count)
         hits = order[np.repeat((count > 1) | np.logical_or.reduceat(many[order], first), count)]
         hits = hits[np.lexsort((key[hits], chunk[hits]))]
         out = [(c, bucket, key[hits[s]].tobytes(), C.pack(zc, np.packbits(hot[hits[s]]))) for c, s in C.cut_by(chunk[hits])]
@@ -188,7 +194,7 @@ def piece_pass(n_buckets: int, length: int):
                 if len(hot):
                     own = T.in_sorted(keys, hot)
                     at = C.spread(p.start[own], p.runs[own])
-                    windows.append((T.spans_hash(p.pre, at, at + length), np.repeat(p.doc[own], p.runs[own])))
+                    windows.append((T.spans_hash(p.pre, at, at + length), np.repeat(p.doc[own], p.runs[own]), np.repeat(p.anchor[own], p.runs[own])))
                     keys = keys[~own]
                     p.keep(~own)
                 p.keep(T.in_sorted(keys, hits))
@@ -204,9 +210,9 @@ def piece_pass(n_buckets: int, length: int):
             for b, s in C.cut_by(C.by_bucket(anchor[order], n_buckets)):
                 o = order[s]
                 own, index = np.unique(doc[o], return_inverse=True)
-                rows.append((b, chunk, 0, n[o].astype(np.uint8).tobytes(), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), C.pack(z, _spread(data, at[o], n[o]))))
+                rows.append((b, chunk, 0, n[o].astype(np.uint8).tobytes(), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), C.pack(z, _spread(data, at[o], n[o])), b""))
             if windows:
-                h, doc = (np.concatenate([w[i] for w in windows]) for i in range(2))
+                h, doc, anchor = (np.concatenate([w[i] for w in windows]) for i in range(3))
                 order = np.lexsort((doc, h))
                 first = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, bool)
                 # several documents of the chunk: the second one tells
@@ -218,9 +224,9 @@ def piece_pass(n_buckets: int, length: int):
                 for b, s in C.cut_by(C.by_bucket(h[order], n_buckets)):
                     o = order[s]
                     own, index = np.unique(doc[o], return_inverse=True)
-                    rows.append((b, chunk, 1, C.pack(z, np.packbits(again[o])), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), h[o].tobytes()))
-        names = ("bucket", "chunk", "hot", "lens", "index", "ids", "text")
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                    rows.append((b, chunk, 1, C.pack(z, np.packbits(again[o])), C.pack(z, index.astype(np.uint32)), C.pack(z, ids[own]), h[o].tobytes(), np.unique(anchor[o]).tobytes()))
+        names = ("bucket", "chunk", "hot", "lens", "index", "ids", "text", "anchors")
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
         return pa.table({m: pa.array(c, pa.int32() if i < 3 else pa.binary()) for i, (m, c) in enumerate(zip(names, cols, strict=True))})
 
     return run
@@ -315,7 +321,8 @@ def hot_windows(table: pa.Table, groups: bool) -> list:
     late = np.zeros(len(h), bool)
     late[order] = told
     order = np.lexsort((h, chunk))
-    return [(c, 1, h[order[s]].tobytes(), C.pack(zc, np.packbits(late[order[s]])), b"", b"") for c, s in C.cut_by(chunk[order])]
+    anchors = dict(zip(table.column("chunk").to_pylist(), table.column("anchors").to_pylist(), strict=True))
+    return [(c, 1, h[order[s]].tobytes(), C.pack(zc, np.packbits(late[order[s]])), anchors[c], b"") for c, s in C.cut_by(chunk[order])]
 
 
 def scan_bucket(length: int, groups: bool = False):
@@ -440,12 +447,13 @@ class Parts:
     def __init__(self, table: pa.Table):
         z = zstandard.ZstdDecompressor()
         h, off, size, grp = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        hot, told = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        hot, told, anchors = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.uint64)]
         if table.num_rows:
             for kind, a, b, c, d in zip(*(table.column(x).to_pylist() for x in ("hot", "h", "off", "len", "grp")), strict=True):
                 if kind:
                     hot.append(np.frombuffer(a, np.uint64))
                     told.append(np.unpackbits(np.frombuffer(z.decompress(b), np.uint8), count=len(hot[-1])).astype(bool))
+                    anchors.append(np.frombuffer(c, np.uint64))
                     continue
                 h.append(np.frombuffer(a, np.uint64))
                 off.append(np.frombuffer(z.decompress(b), np.uint8).astype(np.int64))
@@ -457,7 +465,7 @@ class Parts:
         self.grp = grp[order] if len(grp) else grp
         hot, told = np.concatenate(hot), np.concatenate(told)
         order = np.argsort(hot)
-        self.hot, self.told = hot[order], told[order]
+        self.hot, self.told, self.anchors = hot[order], told[order], np.unique(np.concatenate(anchors))
 
     def of(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, part) of every part of the pieces' contents."""
@@ -468,10 +476,11 @@ class Parts:
         """(start, document, hot number) of the pieces' hot windows."""
         if not len(self.hot):
             return (np.zeros(0, np.int64),) * 3
-        at = C.spread(p.start, p.runs)
+        own = T.in_sorted(p.anchor, self.anchors)
+        at = C.spread(p.start[own], p.runs[own])
         w = T.spans_hash(p.pre, at, at + length)
         ok = np.flatnonzero(T.in_sorted(w, self.hot))
-        return at[ok], np.repeat(p.doc, p.runs)[ok], np.searchsorted(self.hot, w[ok])
+        return at[ok], np.repeat(p.doc[own], p.runs[own])[ok], np.searchsorted(self.hot, w[ok])
 
 
 def _after_first(key: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -567,8 +576,8 @@ def _scanned(docs: DataFrame, id_col: str, text: str, length: int, groups: bool)
     n_buckets *= MORE_BUCKETS
     by_chunk = C.packed(docs, id_col, text, n_chunks).groupBy("chunk")
     anchors, opened = C.deal(by_chunk, anchor_pass(n_buckets, length), "bucket int, chunk int, keys binary, flags binary, counts binary", "chunk", "bucket", n_buckets)
-    hits, found = C.deal(anchors.groupBy("bucket"), opened(answer_anchors(HOT)), "chunk int, bucket int, keys binary, hot binary", "bucket", "chunk", n_chunks)
-    pieces, opened = C.deal(by_chunk.cogroup(hits.groupBy("chunk")), found(piece_pass(n_buckets, length), True), "bucket int, chunk int, hot int, lens binary, index binary, ids binary, text binary", "chunk", "bucket", n_buckets, True)
+    hits, found = C.deal(anchors.groupBy("bucket"), opened(answer_anchors(HOT, HOT_ZEROS)), "chunk int, bucket int, keys binary, hot binary", "bucket", "chunk", n_chunks)
+    pieces, opened = C.deal(by_chunk.cogroup(hits.groupBy("chunk")), found(piece_pass(n_buckets, length), True), "bucket int, chunk int, hot int, lens binary, index binary, ids binary, text binary, anchors binary", "chunk", "bucket", n_buckets, True)
     parts, found = C.deal(pieces.groupBy("bucket"), opened(scan_bucket(length, groups)), PARTS, "bucket", "chunk", n_chunks)
     return by_chunk, parts, found
 

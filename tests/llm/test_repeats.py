@@ -83,6 +83,7 @@ def test_hot_anchors_and_frames_change_nothing(spark, monkeypatch, hot, fan):
     from palimpsest.llm import _chunks, suffix_dedup as S
 
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "HOT_ZEROS", 0)
     monkeypatch.setattr(_chunks, "FAN", fan)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
