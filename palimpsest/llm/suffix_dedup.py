@@ -104,7 +104,7 @@ class Pieces:
         k = np.arange(len(rep)) - np.repeat(np.cumsum(parts) - parts, parts)
         self.start = head[rep] + k * RUN
         self.runs = np.minimum(run[rep] - k * RUN, RUN)
-        self.anchor = least[head][rep]
+        self.anchor = T.mix(least[head])[rep]  # minima are small: mixed, they spread over the buckets
         self.doc = np.searchsorted(offs, self.start, side="right") - 1 + lo
 
     def keep(self, mask: np.ndarray) -> None:
