@@ -9,15 +9,28 @@ BITS = 1 << 25
 ROW = 1 << 15  # bits of one bitmap_construct_agg
 
 
-def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose key is among wanted[key] (distinct), by a shuffle join of what a bitmap lets through.
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with _maybe: false where the key can't be among wanted[key].
 
     The bitmap of hashed keys takes at most BITS / 8 = 4 MB however many keys
-    there are, so it may be broadcast; when it is full, all rows go to the join.
+    there are, so it may be broadcast; when it is full, all rows are marked.
     """
     at = F.pmod(F.xxhash64(key), F.lit(BITS))
     maps = wanted.select(at.alias("at")).groupBy(F.expr(f"at div {ROW}").alias("_part")).agg(F.expr(f"bitmap_construct_agg(at % {ROW})").alias("_map"))
     bit = (F.pmod(F.xxhash64(key), F.lit(BITS)) % ROW).cast("int")
-    marked = rows.withColumn("_part", F.expr(f"pmod(xxhash64({key}), {BITS}) div {ROW}")).withColumn("_bit", bit).join(F.broadcast(maps), "_part")
+    both = rows.withColumn("_part", F.expr(f"pmod(xxhash64({key}), {BITS}) div {ROW}")).withColumn("_bit", bit).join(F.broadcast(maps), "_part", "left")
     lit = F.expr("(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) as int) & shiftleft(1, _bit % 8)) != 0")
-    return marked.where(lit).drop("_part", "_bit", "_map").join(wanted, key)
+    return both.withColumn("_maybe", F.coalesce(lit, F.lit(False))).drop("_part", "_bit", "_map")
+
+
+def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among wanted[key] (distinct), by a shuffle join of what a bitmap lets through."""
+    return _marked(rows, key, wanted).where("_maybe").drop("_maybe").join(wanted, key)
+
+
+def replaced(rows: DataFrame, key: str, changes: DataFrame, value: str) -> DataFrame:
+    """rows with ``value`` in place of their key where changes (key, value) has it; others aren't shuffled."""
+    marked = _marked(rows, key, changes)
+    same = marked.where(~F.col("_maybe")).drop("_maybe")
+    new = marked.where("_maybe").drop("_maybe").join(changes.select(key, value), key, "left").withColumn(key, F.coalesce(value, key)).select(*rows.columns)
+    return same.select(*rows.columns).unionByName(new)

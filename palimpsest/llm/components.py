@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
+from palimpsest.llm._filters import replaced
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """(u, v) with v < u; large: hang larger neighbours, small: the smaller ones, on the smallest."""
-    if large:
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = links.select("u", "v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
-    if large:
-        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+def _large(links: DataFrame) -> DataFrame:
+    """Each link (u, v), v < u, hung on the smallest neighbour of v.
+
+    Only nodes that have a smaller neighbour change anything, so the links of a
+    component's root, its hub, are passed on without a shuffle.
+    """
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    return replaced(links, "v", least.withColumnRenamed("u", "v"), "m").where("u != v").distinct()
+
+
+def _small(links: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours hung on the smallest of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    joined = links.join(least, "u")
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
 def _print(links: DataFrame):
@@ -37,7 +42,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = _scratch.table(_star(_star(now, True), False), "links")
+        made, now = [now], _scratch.table(_small(_large(now)), "links")
+        _scratch.drop(*made)
         if (then := _print(now)) == seen:
             break
         seen = then

@@ -11,11 +11,19 @@ a class, and only a class's representative (smallest id) is compared.
    the posterior of the similarity is Beta(1+m, 1+n-m); a pair is pruned when
    it is at or above the threshold with probability below ``MISS``.  Survivors
    are verified on the full shingle sets.
-4. Bands that still hold several components need their other pairs: small
-   bands list them, each pair once; a band of more than ``WIDE`` members is cut
-   into blocks, and each pair of blocks is compared in one task, which emits
-   verified links only, at most one per member.  So no link is lost, and no
-   band's pairs are ever emitted.
+4. Bands that still hold several components need their other pairs.  Small bands
+   list them, each pair once.
+5. The members of larger ones (more than ``WIDE``: texts that share much without
+   being alike) are joined by prefixes instead: shingles are ranked by how many
+   members have them, and a pair at the threshold or above shares one of the
+   rarest (100 - percent) % of each set.  So what they have in common, however
+   many share it, makes no candidates.  Groups of one prefix shingle list their pairs
+   if they are small; any that is still larger than ``WIDE`` is cut into blocks, and each pair
+   of blocks is compared in one task, which emits verified links only, at most
+   one per merge.  So no link is lost, and no large group's pairs are emitted.
+
+Rows are told apart by a hash of id and text, so null and repeated ids take the
+same way as all others.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
@@ -39,6 +47,7 @@ MISS = 1e-7
 WIDE = 48
 BLOCK = 512
 SALT = 64
+HOT_CLASSES = 2_000
 _r = np.random.Generator(np.random.PCG64(77))
 _A = (_r.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _B = _r.integers(0, 1 << 32, PERMS, dtype=np.uint32)
@@ -113,17 +122,18 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _describe(k: int):
     def run(batches):
         for batch in batches:
-            for lo, hi, buf, offs in T.blocks(None, batch.column(1), 1 << 18):
+            for lo, hi, buf, offs in T.blocks(None, batch.column(2), 1 << 18):
                 sets = shingle_sets(buf, offs, k)
                 sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([row.tobytes() for row in sig], pa.binary()),
                     ],
-                    names=["doc_id", "n", "key", "sig"],
+                    names=["doc_id", "row", "n", "key", "sig"],
                 )
 
     return run
@@ -192,21 +202,40 @@ def _verify(k: int, percent: int):
 
 
 def _sets(k: int):
+    """(node, set, s) of texts: the shingle set as bytes, and as an array."""
+
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in T.blocks(None, batch.column(1), 1 << 18):
                 sets = shingle_sets(buf, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["node", "set", "s"])
 
     return run
 
 
-def block_links(ids, comp, side, sig, sets, band, least, percent):
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, s): of each set's shingles, ranked by how many sets have them, the rarest that a partner must share one of.
+
+    A pair at the threshold has at least ceil(percent * n / 100) of either set in
+    common, so it meets in the first n - that + 1.  Shingles of one set only count
+    in the rank but are left out.
+    """
+    rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("s"))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("node")
+    ranked = rows.join(common, "s").withColumn("rank", F.row_number().over(own.orderBy("c", "s"))).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+    room = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    return ranked.where(F.col("alone") + F.col("rank") <= room).select("node", "s")
+
+
+def block_links(ids, comp, side, sig, sets, least, percent):
     """Verified links among the members of one pair of blocks, at most one per merge.
 
     side: 0 and 1 for members of the two blocks, all 0 if they are the same.
-    Only pairs of different components are looked at, in the first band they
-    share, likeliest first; a link joins components, which spares their other pairs.
+    Only pairs of different components are looked at, likeliest first; a link
+    joins components, which spares their other pairs.
     """
     parent: dict[int, int] = {c: c for c in comp.tolist()}
 
@@ -219,15 +248,12 @@ def block_links(ids, comp, side, sig, sets, band, least, percent):
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1)
     same = not len(right)
-    bands = np.ascontiguousarray(sig).view(f"V{4 * ROWS}").reshape(len(sig), BANDS)
     out, found = [], []
     for i in left.tolist():
         others = left[left > i] if same else right
         others = others[comp[others] != comp[i]]
         if not len(others):
             continue
-        first = (bands[others] == bands[i]).argmax(1)
-        others = others[first == band]
         others = others[survivors(np.broadcast_to(sig[i], (len(others), PERMS)), sig[others], least)]
         if len(others):
             equal = (sig[others] == sig[i]).sum(1)
@@ -247,7 +273,7 @@ def _block_links(least, percent):
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, PERMS)[order]
         raw = table.column("set").to_pylist()
         sets = [np.frombuffer(raw[k], np.uint64) for k in order]
-        got = block_links(ids[order], comp[order], side[order], sig, sets, table.column("no")[0].as_py(), least, percent)
+        got = block_links(ids[order], comp[order], side[order], sig, sets, least, percent)
         return pa.table({"id": pa.array([g[0] for g in got], pa.int64()), "star": pa.array([g[1] for g in got], pa.int64())})
 
     return run
@@ -258,16 +284,6 @@ def row_id(doc_id, text) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def _by_row(src: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """near_duplicates, and row, where ids are null or stand for several texts: rows get ids of their own."""
-    rows = _scratch.table(src.withColumn("row", row_id("doc_id", "text")), "rows")
-    found = _scratch.table(near_duplicates(rows.select("row", "text").distinct(), "row", "text", shingle, percent), "by-row")
-    both = rows.select("row", "doc_id").join(found.withColumnRenamed("doc_id", "row"), "row")
-    names = both.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    out = both.join(names, "component_id")
-    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"), "row")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -283,76 +299,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return _groups(docs, id_col, text, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _candidates(groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs id, star of groups up to WIDE, members of larger ones) where a group (key, node, comp) still holds several components."""
+    live = groups.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select(key, "size")
+    members = _scratch.table(groups.join(live, key), "members")
+    small = members.where(F.col("size") <= WIDE)
+    a, b = (small.select(key, F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("id", "star"))
+    pairs = a.join(b, key).where("star < id and comp_id != comp_star").select("id", "star").distinct()
+    return pairs, members.where(F.col("size") > WIDE)
+
+
 def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """near_duplicates; with row, where an id doesn't tell the rows apart."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = _scratch.table(src.mapInArrow(_describe(shingle), "doc_id long, n long, key binary, sig binary"), "signatures")
-    unclear = described.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("doc_id is null or a != b")
-    if unclear.limit(1).count():
-        return _by_row(src, shingle, percent)
-    classes = described.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    """near_duplicates, with row, a hash of id and text."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_id("doc_id", "text")).select("doc_id", "row", "text")
+    described = _scratch.table(src.mapInArrow(_describe(shingle), "doc_id long, row long, n long, key binary, sig binary"), "signatures")
+    # a class's node is one of its rows; its name the smallest id
+    classes = described.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"))
     nodes = _scratch.table(classes, "nodes")
     least = least_matches(percent / 100, MISS)
     sigs = nodes.select("node", "sig")
 
     width = 4 * ROWS
-    keys = F.array(*(F.struct(F.lit(b).alias("no"), F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)).alias("band")) for b in range(BANDS)))
-    bands = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.no", "k.band")
+    keys = F.array(*(F.xxhash64(F.substring("sig", 1 + b * width, width), F.lit(b)) for b in range(BANDS)))
+    bands = nodes.select("node", F.explode(keys).alias("band"))
     # bands with several members only: all later steps read this table
-    leads = bands.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("star != last").drop("last")
-    shared = _scratch.table(only_wanted(bands, "band", _scratch.table(leads, "leads")), "shared")
+    leads = _scratch.table(bands.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star != last").drop("last"), "leads")
+    shared = _scratch.table(only_wanted(bands, "band", leads), "shared")
+    _scratch.drop(leads)
     first = _scratch.table(shared.where("node != star").select(F.col("node").alias("id"), "star").distinct(), "pairs")
 
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, text) of the wanted nodes, each once."""
+        rows = only_wanted(src.select(F.col("row").alias("node"), "text"), "node", wanted)
+        return _scratch.table(rows.dropDuplicates(["node"]), name)
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         alive = _scratch.table(_beside(pairs, sigs, "sig").mapInArrow(_prune(least), "id long, star long"), f"{name}-alive")
-        wanted = alive.select(F.col("id").alias("doc_id")).union(alive.select(F.col("star").alias("doc_id"))).distinct()
-        texts = _scratch.table(only_wanted(src, "doc_id", wanted).select(F.col("doc_id").alias("node"), "text"), f"{name}-texts")
-        return _scratch.table(_beside(alive, texts, "text").mapInArrow(_verify(shingle, percent), "id long, star long"), f"{name}-links")
+        texts = texts_of(alive.select(F.col("id").alias("node")).union(alive.select(F.col("star").alias("node"))).distinct(), f"{name}-texts")
+        links = _scratch.table(_beside(alive, texts, "text").mapInArrow(_verify(shingle, percent), "id long, star long"), f"{name}-links")
+        _scratch.drop(alive, texts)
+        return links
 
     links = confirmed(first, "first")
     label = components(links.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    labelled = _scratch.table(shared.join(label, "node", "left").select("no", "band", "size", "node", F.coalesce("component", "node").alias("comp")), "labelled")
-    live = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-    members = labelled.join(live, "band")
-    small = _scratch.table(members.where(F.col("size") <= WIDE), "small")
-    a, b = (small.select("band", F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("id", "star"))
-    rest = a.join(b, "band").where("star < id and comp_id != comp_star").select("id", "star").distinct().join(first, ["id", "star"], "left_anti")
-    more = confirmed(_scratch.table(rest, "rest"), "rest")
-    links = links.union(more)
-
-    wide = members.where(F.col("size") > WIDE)
-    if wide.limit(1).count():
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = wide.select("no", "band", "node", "comp", n_blocks.alias("nb"), F.pmod(F.xxhash64("node", F.lit(11)), n_blocks).cast("int").alias("own"))
-        other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-        blocks = dealt.select("no", "band", F.col("node").alias("id"), "comp", "own", other)
-        blocks = blocks.select("no", "band", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"), "id", "comp")
-        chosen = wide.select(F.col("node").alias("doc_id")).distinct()
-        sets = only_wanted(src, "doc_id", chosen).mapInArrow(_sets(shingle), "node long, set binary")
-        full = _scratch.table(only_wanted(sigs, "node", chosen.withColumnRenamed("doc_id", "node")).join(sets, "node"), "sets").withColumnRenamed("node", "id")
-        got = blocks.join(full, "id").groupBy("no", "band", "i", "j").applyInArrow(_block_links(least, percent), "id long, star long")
-        links = links.union(_scratch.table(got, "wide-links"))
+    labelled = shared.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    rest, wide = _candidates(labelled, "band")
+    chosen = _scratch.table(wide.select("node", "comp").distinct(), "wide")
+    if chosen.limit(1).count():
+        sets = _scratch.table(texts_of(chosen.select("node"), "wide-texts").mapInArrow(_sets(shingle), "node long, set binary, s array<long>"), "sets")
+        more, wide = _candidates(prefixes(sets, percent).join(chosen, "node"), "s")
+        rest = rest.unionByName(more).distinct()
+        if wide.limit(1).count():
+            n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+            dealt = wide.select("s", "node", "comp", n_blocks.alias("nb"), F.pmod(F.xxhash64("node", F.lit(11)), n_blocks).cast("int").alias("own"))
+            other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
+            blocks = dealt.select("s", F.col("node").alias("id"), "comp", "own", other)
+            blocks = blocks.select("s", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"), "id", "comp")
+            full = only_wanted(sigs, "node", wide.select("node").distinct()).join(sets.select("node", "set"), "node").withColumnRenamed("node", "id")
+            got = blocks.join(full, "id").groupBy("s", "i", "j").applyInArrow(_block_links(least, percent), "id long, star long")
+            links = links.union(_scratch.table(got, "wide-links"))
+    links = links.union(confirmed(_scratch.table(rest.join(first, ["id", "star"], "left_anti"), "rest"), "rest"))
 
     final = components(links.select(F.col("id").alias("a"), F.col("star").alias("b")))
-    by_key = nodes.select("key", "node").join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    out = described.select("doc_id", "n", "key").join(by_key, "key", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = nodes.select("key", "node", "least", "size").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_key = _scratch.table(named.join(names, "component").select("key", "component_id", "size"), "classes")
+    _scratch.drop(shared, first, nodes)
+    # the largest classes are broadcast, a bounded number, so that no key of the join is hot
+    hot = by_key.orderBy(F.desc("size"), "key").limit(HOT_CLASSES).select("key", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
+    rows = described.select("doc_id", "row", "n", "key")
+    marked = rows.where("n > 0").join(F.broadcast(hot), "key", "left")
+    done = marked.where("hot").select("doc_id", "row", "n", F.col("hot_id").alias("component_id"))
+    cold = marked.where("hot is null").select("doc_id", "row", "n", "key").join(by_key, "key").select("doc_id", "row", "n", "component_id")
+    empty = rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"))
+    out = done.unionByName(cold).unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, all columns unchanged.
 
-    Decided per row: other texts of a null or repeated id stay or go by themselves.
+    Decided per row, by id and text: other texts of a null or repeated id stay or
+    go by themselves, rows that repeat both alike; null and empty texts stay; an
+    empty table stays empty.
     """
-    dropped = _groups(docs, id_col, text, shingle, percent).where(~F.col("kept"))
-    if "row" not in dropped.columns:
-        gone = dropped.select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    gone = dropped.select(F.col("doc_id").alias("_gone"), F.col("row").alias("_gone_row")).distinct()
+    gone = _groups(docs, id_col, text, shingle, percent).where(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
     marked = docs.withColumn("_row", row_id(F.col(id_col).cast("long"), F.col(text)))
-    same = marked[id_col].cast("long").eqNullSafe(gone["_gone"]) & (marked["_row"] == gone["_gone_row"])
-    return marked.join(gone, same, "left_anti").drop("_row")
+    return marked.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

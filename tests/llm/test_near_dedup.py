@@ -66,6 +66,38 @@ def test_against_brute_force(spark, monkeypatch, seed, wide):
     assert got == brute(rows, 3, 85)
 
 
+def test_prefixes_keep_every_pair(spark):
+    """Texts that share most of their words without being alike, some of them alike."""
+    r = random.Random(5)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i % 100}x{k}" for k in range(r.choice([5, 12, 30]))]
+        w = common + own
+        if i >= 100:
+            w[r.randrange(len(w))] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, 3) for i, t in rows}
+    numbers = {g: k for k, g in enumerate(sorted({g for s in sets.values() for g in s}))}
+    got = N.prefixes(spark.createDataFrame([(i, [numbers[g] for g in s]) for i, s in sets.items()], "node long, s array<long>"), 85).collect()
+    own = {i: {x.s for x in got if x.node == i} for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                assert own[i] & own[j]
+    assert sorted(tuple(x) for x in N.near_duplicates(df, shingle=3, percent=85).collect()) == brute(rows, 3, 85)
+
+
+def test_components_of_hubs_and_chains(spark):
+    from palimpsest.llm.components import components
+
+    links = [(0, k) for k in range(1, 200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5, 5), (3000, 2999), (2998, 3000)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(200)} | {1000 + k: 1000 for k in range(71)} | {2998: 2998, 2999: 2998, 3000: 2998}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_null_and_shared_ids(spark):
     t = " ".join(f"w{i}" for i in range(60))
     rows = [(None, t), (5, t), (5, "quite another text"), (7, t + " more"), (None, None), (7, t + " more"), (None, "lone text here")]
