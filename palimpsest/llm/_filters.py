@@ -9,7 +9,7 @@ BITS = 1 << 25
 ROW = 1 << 15  # bits of one bitmap_construct_agg
 
 
-def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """rows with _maybe: false where the key can't be among wanted[key].
 
     The bitmap of hashed keys takes at most BITS / 8 = 4 MB however many keys
@@ -25,12 +25,12 @@ def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 def only_wanted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows whose key is among wanted[key] (distinct), by a shuffle join of what a bitmap lets through."""
-    return _marked(rows, key, wanted).where("_maybe").drop("_maybe").join(wanted, key)
+    return marked(rows, key, wanted).where("_maybe").drop("_maybe").join(wanted, key)
 
 
 def replaced(rows: DataFrame, key: str, changes: DataFrame, value: str) -> DataFrame:
     """rows with ``value`` in place of their key where changes (key, value) has it; others aren't shuffled."""
-    marked = _marked(rows, key, changes)
-    same = marked.where(~F.col("_maybe")).drop("_maybe")
-    new = marked.where("_maybe").drop("_maybe").join(changes.select(key, value), key, "left").withColumn(key, F.coalesce(value, key)).select(*rows.columns)
+    told = marked(rows, key, changes)
+    same = told.where(~F.col("_maybe")).drop("_maybe")
+    new = told.where("_maybe").drop("_maybe").join(changes.select(key, value), key, "left").withColumn(key, F.coalesce(value, key)).select(*rows.columns)
     return same.select(*rows.columns).unionByName(new)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
 from palimpsest.llm import _text as T
-from palimpsest.llm._filters import only_wanted
+from palimpsest.llm._filters import marked, only_wanted
 from palimpsest.llm.components import components
 
 BANDS, ROWS, BATCH = 30, 5, 30
@@ -48,6 +48,7 @@ WIDE = 48
 BLOCK = 512
 SALT = 64
 HOT_CLASSES = 2_000
+FREQUENT = 256
 _r = np.random.Generator(np.random.PCG64(77))
 _A = (_r.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _B = _r.integers(0, 1 << 32, PERMS, dtype=np.uint32)
@@ -220,12 +221,17 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
     A pair at the threshold has at least ceil(percent * n / 100) of either set in
     common, so it meets in the first n - that + 1.  Shingles of one set only count
-    in the rank but are left out.
+    in the rank but are left out; those of more than ``FREQUENT`` sets rank last, by
+    their hash, and aren't joined with their counts.
     """
     rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("s"))
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    common = _scratch.table(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shingles")
+    # any order of shingles will do that is the same for all sets: the bitmap's errors depend on the shingle alone
+    known = marked(rows, "s", common.where(F.col("c") > FREQUENT).select("s"))
+    often = known.where("_maybe").select("node", "n", "s", F.lit(FREQUENT + 1).cast("long").alias("c"))
+    seldom = known.where(~F.col("_maybe")).select("node", "n", "s").join(common, "s").select("node", "n", "s", "c")
     own = Window.partitionBy("node")
-    ranked = rows.join(common, "s").withColumn("rank", F.row_number().over(own.orderBy("c", "s"))).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+    ranked = often.unionByName(seldom).withColumn("rank", F.row_number().over(own.orderBy("c", "s"))).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
     room = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
     return ranked.where(F.col("alone") + F.col("rank") <= room).select("node", "s")
 
@@ -368,9 +374,9 @@ def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int)
     # the largest classes are broadcast, a bounded number, so that no key of the join is hot
     hot = by_key.orderBy(F.desc("size"), "key").limit(HOT_CLASSES).select("key", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
     rows = described.select("doc_id", "row", "n", "key")
-    marked = rows.where("n > 0").join(F.broadcast(hot), "key", "left")
-    done = marked.where("hot").select("doc_id", "row", "n", F.col("hot_id").alias("component_id"))
-    cold = marked.where("hot is null").select("doc_id", "row", "n", "key").join(by_key, "key").select("doc_id", "row", "n", "component_id")
+    split = rows.where("n > 0").join(F.broadcast(hot), "key", "left")
+    done = split.where("hot").select("doc_id", "row", "n", F.col("hot_id").alias("component_id"))
+    cold = split.where("hot is null").select("doc_id", "row", "n", "key").join(by_key, "key").select("doc_id", "row", "n", "component_id")
     empty = rows.where("n = 0").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"))
     out = done.unionByName(cold).unionByName(empty)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row")
@@ -384,8 +390,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     empty table stays empty.
     """
     gone = _groups(docs, id_col, text, shingle, percent).where(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
-    marked = docs.withColumn("_row", row_id(F.col(id_col).cast("long"), F.col(text)))
-    return marked.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
+    rows = docs.withColumn("_row", row_id(F.col(id_col).cast("long"), F.col(text)))
+    return rows.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -66,8 +66,11 @@ def test_against_brute_force(spark, monkeypatch, seed, wide):
     assert got == brute(rows, 3, 85)
 
 
-def test_prefixes_keep_every_pair(spark):
+@pytest.mark.parametrize("frequent", [256, 4, 0])
+def test_prefixes_keep_every_pair(spark, monkeypatch, frequent):
     """Texts that share most of their words without being alike, some of them alike."""
+    monkeypatch.setattr(N, "FREQUENT", frequent)
+    monkeypatch.setattr(N, "WIDE", 20)
     r = random.Random(5)
     common = [f"c{k}" for k in range(60)]
     rows = []
