@@ -77,7 +77,7 @@ def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int, by_id: bool =
                     schema=PACKED,
                 )
 
-    return rows.mapInArrow(deal, "chunk int, n int, ids binary, lens binary, text binary").repartition("chunk")
+    return rows.mapInArrow(settled(deal), "chunk int, n int, ids binary, lens binary, text binary").repartition("chunk")
 
 
 def settle() -> None:
@@ -87,6 +87,18 @@ def settle() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settled(run):
+    """A map over batches that gives its memory back when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+
+    return whole
+
+
 def unpack(table: pa.Table):
     """(ids, large_binary texts) of one chunk, ordered by id, then text."""
     settle()

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
 
 SEED_WORDS = 3
@@ -323,7 +324,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = spark.createDataFrame([], RESULT)
     for held in _blocks_of(docs, benchmark, n):
-        out = out.unionByName(src.mapInArrow(scan(held), RESULT))
+        out = out.unionByName(src.mapInArrow(C.settled(scan(held)), RESULT))
     return out
 
 
@@ -348,7 +349,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     out = docs
     for held in _blocks_of(docs, benchmark, n):
-        out = out.mapInArrow(keep(held), docs.schema)
+        out = out.mapInArrow(C.settled(keep(held)), docs.schema)
     return out
 
 

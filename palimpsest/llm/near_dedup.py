@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
+from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
 from palimpsest.llm._filters import marked, only_wanted
 from palimpsest.llm.components import components
@@ -318,7 +319,7 @@ def _candidates(groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
     """near_duplicates, with row, a hash of id and text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_id("doc_id", "text")).select("doc_id", "row", "text")
-    described = _scratch.table(src.mapInArrow(_describe(shingle), "doc_id long, row long, n long, key binary, sig binary"), "signatures")
+    described = _scratch.table(src.mapInArrow(C.settled(_describe(shingle)), "doc_id long, row long, n long, key binary, sig binary"), "signatures")
     # a class's node is one of its rows; its name the smallest id
     classes = described.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"))
     nodes = _scratch.table(classes, "nodes")
@@ -340,9 +341,9 @@ def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int)
         return _scratch.table(rows.dropDuplicates(["node"]), name)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        alive = _scratch.table(_beside(pairs, sigs, "sig").mapInArrow(_prune(least), "id long, star long"), f"{name}-alive")
+        alive = _scratch.table(_beside(pairs, sigs, "sig").mapInArrow(C.settled(_prune(least)), "id long, star long"), f"{name}-alive")
         texts = texts_of(alive.select(F.col("id").alias("node")).union(alive.select(F.col("star").alias("node"))).distinct(), f"{name}-texts")
-        links = _scratch.table(_beside(alive, texts, "text").mapInArrow(_verify(shingle, percent), "id long, star long"), f"{name}-links")
+        links = _scratch.table(_beside(alive, texts, "text").mapInArrow(C.settled(_verify(shingle, percent)), "id long, star long"), f"{name}-links")
         _scratch.drop(alive, texts)
         return links
 
@@ -352,7 +353,7 @@ def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int)
     rest, wide = _candidates(labelled, "band")
     chosen = _scratch.table(wide.select("node", "comp").distinct(), "wide")
     if chosen.limit(1).count():
-        sets = _scratch.table(texts_of(chosen.select("node"), "wide-texts").mapInArrow(_sets(shingle), "node long, set binary, s array<long>"), "sets")
+        sets = _scratch.table(texts_of(chosen.select("node"), "wide-texts").mapInArrow(C.settled(_sets(shingle)), "node long, set binary, s array<long>"), "sets")
         more, wide = _candidates(prefixes(sets, percent).join(chosen, "node"), "s")
         rest = rest.unionByName(more).distinct()
         if wide.limit(1).count():

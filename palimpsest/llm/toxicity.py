@@ -26,22 +26,26 @@ the k-th best cosine.  So the neighbours are exact.
 
 Votes are weighted by cosine distance and by class (the sample is stratified),
 then calibrated by a monotone fit to the leave-one-out votes of the examples.
-The index that is broadcast grows with the sample's texts, never with the corpus.
+The index that is broadcast grows with the sample's texts, never with the corpus;
+its weights are kept in single precision, and summed in double.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
 
 BLOCK = 64
-DENSE = 24
+DENSE = 12
 FLOOR = 0.1
 HALF = 30.0
 #: Documents whose dense parts are computed together.
@@ -63,7 +67,7 @@ def counted_terms(buf: np.ndarray, offs: np.ndarray):
 
 def _ranges(begin: np.ndarray, end: np.ndarray):
     """(which range, index) of all ranges begin[i]:end[i], one after the other."""
-    n = end - begin
+    n = (end - begin).astype(np.int64)
     which = np.repeat(np.arange(len(n)), n)
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which]
 
@@ -96,18 +100,18 @@ class Index:
         self.row = np.full(len(self.vocabulary), -1, np.int32)
         self.row[often] = np.arange(len(often))
         own = self.row[term] >= 0
-        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK), np.float32)
         self.dense[self.row[term[own]], example[own]] = weight[own]
         term, example, weight = term[~own], example[~own], weight[~own]
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
-        block = self.example // BLOCK
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+        block = (self.example // BLOCK).astype(np.int32)
         # entries: runs of one term in one block
         head = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.entry_block = block[head]
         self.entry_max = np.maximum.reduceat(self.weight, head) if len(head) else np.zeros(0)
-        self.entry_begin = np.append(head, len(term))
-        self.term_begin = np.searchsorted(term[head], np.arange(len(self.vocabulary) + 1))
+        self.entry_begin = np.append(head, len(term)).astype(np.int32)
+        self.term_begin = np.searchsorted(term[head], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
 
     # --- vectors ----------------------------------------------------------------
 
@@ -131,6 +135,8 @@ class Index:
 
     def dense_part(self, term: np.ndarray, weight: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Of several vectors: each example's cosine over the dense terms."""
+        if self.dense.dtype != np.float64:
+            self.dense = self.dense.astype(np.float64)
         q = np.zeros((len(offs) - 1, len(self.dense)))
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
         row = self.row[term]
@@ -187,7 +193,7 @@ class Index:
     def scores(self, term: np.ndarray, weight: np.ndarray, offs: np.ndarray, known: dict, evidence: int = 0):
         """(score, nearest examples, their cosines) of each vector; copies are looked up in ``known``."""
         spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
-        keys = [term[a:b].tobytes() + weight[a:b].tobytes() for a, b in spans]
+        keys = [blake2b(term[a:b].tobytes() + weight[a:b].tobytes(), digest_size=16).digest() for a, b in spans]
         got: dict = {}
         new = [i for i, key in enumerate(keys) if spans[i][0] < spans[i][1] and key not in known and not (key in got or got.setdefault(key, None))] if len(self.labels) else []
         got.clear()
@@ -234,12 +240,13 @@ def _train_rows(docs: DataFrame, labels: DataFrame, label: str, max_per_class: i
 
 
 def _count(batches):
+    z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for lo, hi, buf, offs in T.blocks(None, batch.column(1)):
             h, tf, cut = counted_terms(buf, offs)
             cuts = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([tf[a:b].astype(np.int32).tobytes() for a, b in cuts], pa.binary())],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([z.compress(tf[a:b].astype(np.int32).tobytes()) for a, b in cuts], pa.binary())],
                 names=["doc_id", "y", "h", "tf"],
             )
 
@@ -266,18 +273,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     """
     rows, (all0, all1) = _train_rows(docs, labels, label, max_per_class)
     # at most 2 * max_per_class rows
-    got = sorted(rows.mapInArrow(_count, "doc_id long, y int, h binary, tf binary").collect(), key=lambda r: r["doc_id"])
+    got = sorted(rows.mapInArrow(C.settled(_count), "doc_id long, y int, h binary, tf binary").collect(), key=lambda r: r["doc_id"])
     index = Index(k, floor)
-    y = np.array([r["y"] for r in got], np.int64)
+    y, ids = np.array([r["y"] for r in got], np.int64), np.array([r["doc_id"] for r in got], np.int64)
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     if not n0 or not n1:
         return index
-    hs, tfs = [np.frombuffer(r["h"], U64) for r in got], [np.frombuffer(r["tf"], np.int32) for r in got]
-    cut = np.concatenate([[0], np.cumsum([len(h) for h in hs])])
-    h, tf = np.concatenate(hs), np.concatenate(tfs)
+    z = zstandard.ZstdDecompressor()
+    cut = np.concatenate([[0], np.cumsum([len(r["h"]) // 8 for r in got])])
+    h = np.frombuffer(b"".join(r["h"] for r in got), U64)
+    tf = np.frombuffer(b"".join(z.decompress(r["tf"]) for r in got), np.int32)
+    del got
     index.vocabulary, term = np.unique(h, return_inverse=True)
     df1 = np.bincount(term, np.repeat(y, np.diff(cut)), len(index.vocabulary))
     df0 = np.bincount(term, minlength=len(index.vocabulary)) - df1
+    del term
     index.class_weight = (all0 / n0, all1 / n1)
     whole = float(all0 + all1)
     df = df0 * index.class_weight[0] + df1 * index.class_weight[1]
@@ -286,18 +296,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     index.factor = np.maximum(np.log((whole + 1) / (df + 1)), 1e-6) * (floor + (1 - floor) * g / (g + HALF))
     index.unknown = float(np.log(whole + 1) * floor)
     term, weight, offs = index.weigh(h, tf, cut)
+    del h, tf, df, df0, df1, g
     # examples with the same strongest term go side by side, so that block bounds are tight
-    spans = list(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True))
-    order = sorted(range(len(got)), key=lambda i: (int(term[spans[i][0] + int(np.argmax(weight[spans[i][0] : spans[i][1]]))]) if spans[i][0] < spans[i][1] else -1, got[i]["doc_id"]))
-    index.labels, index.ids = y[order], np.array([got[i]["doc_id"] for i in order], np.int64)
-    at = np.concatenate([np.arange(*spans[i]) for i in order])
-    term, weight = term[at], weight[at]
-    offs = np.concatenate([[0], np.cumsum([spans[i][1] - spans[i][0] for i in order])])
+    size = np.diff(offs)
+    strongest = np.full(len(ids), -1)
+    best = np.lexsort((-weight, np.repeat(np.arange(len(ids)), size)))
+    strongest[size > 0] = term[best[offs[:-1][size > 0]]]
+    order = np.lexsort((ids, strongest))
+    index.labels, index.ids = y[order], ids[order]
+    at = C.spread(offs[:-1][order], size[order])
+    term, weight = term[at].astype(np.int32), weight[at]
+    offs = np.concatenate([[0], np.cumsum(size[order])])
+    del at, best
     index.build(term, weight, offs)
     # calibration on leave-one-out votes
-    votes = np.full(len(got), np.nan)
-    for lo in range(0, len(got), BATCH):
-        hi = min(lo + BATCH, len(got))
+    votes = np.full(len(ids), np.nan)
+    for lo in range(0, len(ids), BATCH):
+        hi = min(lo + BATCH, len(ids))
         own = slice(offs[lo], offs[hi])
         exact = index.dense_part(term[own], weight[own], offs[lo : hi + 1] - offs[lo])
         for i in range(lo, hi):
@@ -308,13 +323,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     if not blank.all():
         cw = np.where(index.labels == 1, index.class_weight[1], index.class_weight[0])
         index.steps, index.values = monotone(votes[~blank], index.labels[~blank].astype(float), cw[~blank])
+    index.dense = index.dense.astype(np.float32)
+    del term, weight
+    C.settle()
     return index
 
 
 def _scores(index: Index, texts, evidence: int = 0):
     """(score, example numbers, cosines) of each text, in order."""
     known: dict = {}
-    for _, _, buf, offs in T.blocks(None, texts):
+    for _, _, buf, offs in T.blocks(None, texts, 1 << 19):
         yield from index.scores(*index.vectors(buf, offs), known, evidence)
 
 
@@ -340,7 +358,7 @@ def score_documents(docs: DataFrame, index: Index, evidence: int = 0) -> DataFra
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "evidence"][: len(cols)])
 
     schema = "doc_id long, score double" + (", evidence array<struct<doc_id: long, cosine: double, label: int>>" if evidence else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(C.settled(run), schema)
 
 
 def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
@@ -357,7 +375,7 @@ def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFra
             keep = [g[0] < threshold for g in _scores(held.value, batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.settled(run), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
