@@ -67,7 +67,8 @@ def format_reply_trees(messages: DataFrame, tree: str, node: str, parent: str, r
     Null texts, roles and scores count as empty, empty and 0.  A null tree is a
     tree of its own; rows without a node are left out; of rows that repeat a
     node, the smallest by (parent, role, text) counts.  Equal scores rank by
-    leaf.  Other columns are ignored; an empty table gives no paths.
+    leaf.  Texts of any length are formatted whole.  Other columns are ignored;
+    an empty table gives no paths.
     """
     clean = messages.select(
         F.col(tree).alias("tree0"), F.col(node).alias("node"), F.col(parent).alias("parent"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -129,9 +130,9 @@ WITH rows AS (
   UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + 1
                 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id

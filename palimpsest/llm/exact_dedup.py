@@ -5,8 +5,8 @@ SHA-256 stands for equal text.  Texts are read once; ids and digests are written
 to the shared folder and all steps read those.
 
 1. A frequent-items sketch (Misra-Gries counters, Spark's ``approx_top_k``
-   family) is kept per group of input partitions and merged in a second step, so
-   no task merges more than a bounded number of sketches.
+   family) is kept per group of input partitions; sketches are merged in levels
+   of ``MERGE_GROUPS``, so no task merges more than so many of them.
 2. The sketch's candidates are counted exactly, map-side: a broadcast join
    against at most ``max_winners`` digests, then a sum.  Those with at least
    ``min_copies`` rows are the verified winners, with count and smallest id.
@@ -39,8 +39,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 def heavy_hitters(rows: DataFrame, max_winners: int = 2000, min_copies: int = 50) -> DataFrame:
     """Verified winners: digest, keep_id, group_size; at most max_winners rows."""
     sketched = (
-        rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"))
+        rows.groupBy(F.expr(f"spark_partition_id() div {MERGE_GROUPS}").alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(base64(digest), {SKETCH_ITEMS})").alias("s"))
+        .groupBy(F.expr(f"g div {MERGE_GROUPS}").alias("g"))
+        .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
+        .groupBy(F.expr(f"g div {MERGE_GROUPS}").alias("g"))
+        .agg(F.expr(f"approx_top_k_combine(s, {SKETCH_ITEMS})").alias("s"))
         # a group that always exists: the combining step can't take an empty partition's buffer
         .groupBy(F.lit(0).alias("all"))
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {SKETCH_ITEMS}), {max_winners})").alias("top"))
@@ -78,7 +82,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
     Decided per (id, text): rows with equal text and the same id all stay or go
     together (see exact_groups); other texts of a null or repeated id are rows
-    of their own.
+    of their own.  Null and empty texts are equal; an empty table stays empty.
     """
     gone = exact_groups(docs, id_col, text, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_gone_digest")).distinct()
     marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text), 256)))

@@ -8,7 +8,7 @@ then with one cut piece, so each window is full.  What is left at the end of a
 chunk is cut by powers of two, so nothing needs padding.  Sequences are dealt to
 step groups of nearly equal token counts, longest first.
 
-The unit of packing is a chunk of about 6 MB of text (see ``_chunks``): memory
+The unit of packing is a chunk of about 4 MB of text (see ``_chunks``): memory
 does not grow with the corpus, and at most ``log2(max_len)`` short sequences end
 a chunk.  Tokenising costs most, so each distinct pre-token is encoded once per
 worker, as far as a cache of bounded size holds it.

@@ -9,7 +9,8 @@ that share the prefix, and each terminal stores its token count.  Documents then
 sum the counts of their words.
 
 The vocabulary is that of a public tokenizer file, read for its pieces alone;
-scores are ``-log(rank + 2)`` by the pieces' order in the file.  A character
+scores are ``-log(rank + 2)`` by the pieces' order in the file, since no file of a unigram
+tokenizer with scores is at hand; ``Counter`` takes any pieces with scores.  A character
 outside all pieces falls back to one token per UTF-8 byte, at ``BYTE_SCORE`` each.
 
 Counting is one map, without a shuffle.  Counts of up to ``CACHE_WORDS`` distinct
@@ -112,8 +113,10 @@ def vocabulary(path: str) -> dict[str, float]:
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_tokens, n_bytes.
 
-    Null and empty texts have 0 of each; ids are passed on as they are; other
-    columns are ignored.  ``model_path`` must exist on every worker.
+    Null and empty texts have 0 of each; ids are passed on as they are, so repeated
+    rows give a row each; texts of any length are counted whole; an empty table
+    gives an empty result; of segmentations with equal sums the fewest tokens
+    count; other columns are ignored.  ``model_path`` must exist on every worker.
     """
 
     def run(batches):

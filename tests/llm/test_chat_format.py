@@ -37,6 +37,16 @@ def test_round_trip(spark):
     assert F3.format_reply_trees(F3.conversation_messages(df.limit(0)), "conv_id", "node", "parent").count() == 0
 
 
+def test_null_turns_long_texts_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, None, "user", "first"), (1, 0, "assistant", "x" * 200_000), (1, 1, None, None), (1, 1, "assistant", ""), (2, 3, "assistant", "tie"), (2, 3, "assistant", "tie")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in F3.op3_chat_format(spark, str(tmp_path)).collect()) == sorted(con.execute(F3.OP3_SQL).fetchall())
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_query_against_sql(spark):
     import duckdb

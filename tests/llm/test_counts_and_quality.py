@@ -46,9 +46,9 @@ def test_counts_against_plain(spark, monkeypatch):
 def test_counts_query(spark):
     import public_tokenizers
 
-    df = spark.createDataFrame([(1, "the house", 5), (None, None, 6), (2, "", 7)], "doc_id long, text string, n_words int")
+    df = spark.createDataFrame([(1, "the house", 5), (None, None, 6), (2, "", 7), (1, "the house", 5), (3, "the house " * 20_000, 0)], "doc_id long, text string, n_words int")
     got = sorted(map(tuple, K.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect()), key=repr)
-    assert got == [(1, 2, 2, 9), (2, 0, 0, 0), (None, 0, 0, 0)]
+    assert got == [(1, 2, 2, 9), (1, 2, 2, 9), (2, 0, 0, 0), (3, 40_000, 40_000, 200_000), (None, 0, 0, 0)]
     assert K.token_counts(df.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 

@@ -70,3 +70,20 @@ def test_run_against_brute_force(spark, tmp_path):
             assert x.start == at and x.ids_crc32 == zlib.crc32(b"".join(k.to_bytes(4, "little") for k in ids[at : at + x.length]))
             at += x.length
         assert at == len(ids) == pieces[i][0].doc_tokens
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, repeated ids and rows, a very long text, columns that clash, and tables without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string"
+    long = " ".join(f"w{k}" for k in range(40_000))
+    rows = [(1, "one plain text", "en", "s"), (1, "one plain text", "en", "s"), (1, "the same id with other words", None, None), (None, "a null id", "en", "s"), (None, None, "en", "s"), (2, "", "en", "s"), (3, long, "en", "s"), (4, "one  plain\ntext", "en", "s")]
+    for name, docs in (("odd", rows), ("none", [])):
+        top = tmp_path / name
+        spark.createDataFrame([(*r, 0, "k", "z") for r in docs], schema).write.parquet(str(top / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0), (77, 0, 1)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+        spark.createDataFrame([(1, None), (2, "")] if docs else [], "item_id long, text string").write.parquet(str(top / "benchmark.parquet"))
+        got = {(x.doc_id, x.doc_tokens) for x in corpus_pipeline.run(spark, str(top)).collect()}
+        tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+        want = {(1, size("one plain text")), (1, size("the same id with other words")), (None, size("a null id")), (2, 1), (3, size(long))}
+        assert got == (want if docs else set())
