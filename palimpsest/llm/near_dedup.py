@@ -50,6 +50,7 @@ BLOCK = 512
 SALT = 64
 HOT_CLASSES = 2_000
 FREQUENT = 256
+MEMBER_SALTS = 32
 _r = np.random.Generator(np.random.PCG64(77))
 _A = (_r.integers(0, 1 << 31, PERMS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _B = _r.integers(0, 1 << 32, PERMS, dtype=np.uint32)
@@ -309,7 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def _candidates(groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(pairs id, star of groups up to WIDE, members of larger ones) where a group (key, node, comp) still holds several components."""
     live = groups.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select(key, "size")
-    members = _scratch.table(groups.join(live, key), "members")
+    # a group may be large: its members are dealt to several tasks
+    live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SALTS - 1))))
+    dealt = groups.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(13)), F.lit(MEMBER_SALTS)).cast("int"))
+    members = _scratch.table(dealt.join(live, [key, "salt"]).drop("salt"), "members")
     small = members.where(F.col("size") <= WIDE)
     a, b = (small.select(key, F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in ("id", "star"))
     pairs = a.join(b, key).where("star < id and comp_id != comp_star").select("id", "star").distinct()
