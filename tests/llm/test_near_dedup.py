@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from palimpsest.llm import components as K
 from palimpsest.llm import near_dedup as N
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -55,11 +56,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,wide", [(1, 48), (2, 6)])
-def test_against_brute_force(spark, monkeypatch, seed, wide):
+@pytest.mark.parametrize("seed,wide,few", [(1, 48, 1 << 19), (2, 6, 0)])
+def test_against_brute_force(spark, monkeypatch, seed, wide, few):
     monkeypatch.setattr(N, "WIDE", wide)
     monkeypatch.setattr(N, "BLOCK", 16)
     monkeypatch.setattr(N, "SALT", 8)
+    monkeypatch.setattr(K, "FEW", few)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n int, key string")
     got = sorted(tuple(x) for x in N.near_duplicates(df, shingle=3, percent=85).collect())
@@ -92,13 +94,32 @@ def test_prefixes_keep_every_pair(spark, monkeypatch, frequent):
     assert sorted(tuple(x) for x in N.near_duplicates(df, shingle=3, percent=85).collect()) == brute(rows, 3, 85)
 
 
-def test_components_of_hubs_and_chains(spark):
-    from palimpsest.llm.components import components
-
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_components_of_hubs_and_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(K, "FEW", few)
     links = [(0, k) for k in range(1, 200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5, 5), (3000, 2999), (2998, 3000)]
-    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.node: x.component for x in K.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(200)} | {1000 + k: 1000 for k in range(71)} | {2998: 2998, 2999: 2998, 3000: 2998}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert K.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_smallest_of_random_links():
+    r = random.Random(9)
+    for n, m in ((2, 1), (40, 25), (400, 380), (3000, 2500)):
+        links = [(r.randrange(n) * 7 - n, r.randrange(n) * 7 - n) for _ in range(m)]
+        parent = {x: x for link in links for x in link}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        a, b = np.array(links).T
+        nodes, least = K.smallest(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == {x: find(x) for x in parent}
 
 
 def test_null_and_shared_ids(spark):
