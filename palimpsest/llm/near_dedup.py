@@ -148,7 +148,10 @@ def _beside(edges: DataFrame, payload: DataFrame, kind: str) -> DataFrame:
     A star with many members is dealt to many salts, so no task holds them all.
     """
     count = edges.groupBy("star").agg(F.count(F.lit(1)).alias("c")).select("star", F.ceil(F.col("c") / SALT).cast("int").alias("salts"))
-    salted = edges.join(count, "star").select("star", F.pmod(F.xxhash64("id", F.lit(7)), F.col("salts")).cast("int").alias("salt"), "id")
+    # the links of a star with several salts are dealt to several tasks here too
+    many = count.where("salts > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(MEMBER_SALTS - 1))))
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(MEMBER_SALTS)).cast("int"))
+    salted = dealt.join(many, ["star", "part"], "left").select("star", F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "id")
     wanted = salted.select("id").distinct()
     members = salted.join(only_wanted(payload.withColumnRenamed("node", "id"), "id", wanted), "id").select("star", "salt", F.lit(1).alias("kind"), "id", kind)
     stars = only_wanted(payload.withColumnRenamed("node", "star"), "star", count).select("star", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("star").alias("id"), kind)
