@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import os
+import secrets
 import tempfile
 import zipfile
 
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+SEED = "PALIMPSEST_SEED"
+_own_seed = secrets.randbits(64)
+
+
+def hash_seed() -> int:
+    """Secret of this driver's hashes; the same on its workers, whose plans were made after share_seed()."""
+    if TaskContext.get() is None:
+        return _own_seed
+    return int(os.environ[SEED])
+
+
+def share_seed(spark: SparkSession) -> None:
+    """Hand the hash seed to the Python workers of plans made from now on."""
+    spark.sparkContext.environment[SEED] = str(_own_seed)
 
 
 def ship(spark: SparkSession) -> None:
