@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import share_seed
+
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -51,6 +53,7 @@ def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int, by_id: bool =
     A null id becomes NULL_ID, a null text the empty text.  by_id: the chunk is
     that of the id alone, so other tables can meet their documents by chunk.
     """
+    share_seed(docs.sparkSession)
     dealt = [F.col(id_col).cast("long")] if by_id else [F.col(id_col), F.col(text)]
     rows = docs.select(
         F.pmod(F.xxhash64(*dealt), F.lit(n_chunks)).cast("int").alias("chunk"),

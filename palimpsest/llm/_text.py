@@ -4,9 +4,13 @@ Everything here works on a block of documents laid out as one ``uint8`` buffer
 plus ``int64`` offsets (the layout Arrow strings already have), so no Python
 object is made per word or per byte.
 
-Hashes are 64-bit polynomial prefix sums (mod 2**64, odd random base, random
-64-bit value per byte) finished with a bijective mixer, so the hash of any
-substring or word window costs two lookups.
+Words and runs of words are hashed by sums of key * value mod 2**64 with an own
+random key for each place.  The keys come from a secret that each driver draws
+anew (``session.hash_seed``), so no text can be written to collide: two
+different words meet with probability 2**-55 at most, whatever they are.  The
+older polynomial sums (``prefix``, ``spans_hash``, ``rolling_hash``), whose windows cost two
+lookups, serve pieces of at most 80 bytes only; on longer patterned strings
+they can collide.
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from palimpsest.session import hash_seed
+
 U64 = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[str | int, np.ndarray] = {}
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 #: For runs of letters: everything below 0x80 but A-Z and a-z separates.
@@ -74,6 +80,43 @@ def rolling_hash(pre: np.ndarray, n: int) -> np.ndarray:
     return mix((pre[n:] - pre[:m]) * inv[:m] + U64(n))
 
 
+def keys(n: int) -> np.ndarray:
+    """The first n secret keys, 64 bits each."""
+    seed = hash_seed()
+    have = _tables.get(seed)
+    if have is None or len(have) < n:
+        size = max(1 << 12, 1 << int(n).bit_length())
+        have = _tables[seed] = mix(mix(np.arange(1, size + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(seed)) ^ U64(seed))
+    return have
+
+
+def byte_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hash of buf[start:end] of ascending spans that don't overlap, none of them empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    at = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
+    value = buf[at + np.repeat(start, size)]
+    if lower:
+        value = LOWER[value]
+    product = keys(int(size.max()) + 1)[1:][at]
+    product *= value + U64(1)
+    return mix(np.add.reduceat(product, first) + keys(1)[0] * size.astype(np.uint64))
+
+
+def run_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n values (none if there are fewer)."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    k = keys(n + 1)
+    out = np.full(m, int(k[n]) * n & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(n):
+        out += h[i : i + m] * k[i]
+    return mix(out)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a block of documents.
 
@@ -103,8 +146,7 @@ class Words:
         self.offs = np.searchsorted(self.start, offs)
         self.offs[-1] = len(self.start)
         if hashes:
-            self.pre = prefix((LOWER_VALUES if lower else BYTE_VALUES)[buf])
-            self.hash = spans_hash(self.pre, self.start, self.end)
+            self.hash = byte_spans(buf, self.start, self.end, lower)
 
     def room(self) -> np.ndarray:
         """For each word, the number of words from it to its document's end."""

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
+from palimpsest.session import share_seed
 
 SEED_WORDS = 3
 #: A copied passage of so many tokens counts however long its item is.
@@ -153,8 +154,7 @@ def _prepare(ids, texts, n: int) -> Items | None:
     if not size.sum():
         return None
     words = [w.hash[a:b] for a, b in zip(w.offs[:-1], w.offs[1:], strict=True)]
-    pre = T.prefix(w.hash)
-    grams = T.rolling_hash(pre, n)
+    grams = T.run_hash(w.hash, n)
     chosen = np.flatnonzero(w.room()[: len(grams)] >= n)
     item = np.repeat(np.arange(len(words)), size)[chosen]
     order = np.lexsort((item, grams[chosen]))
@@ -165,7 +165,7 @@ def _prepare(ids, texts, n: int) -> Items | None:
     short = {}
     for m in range(1, n):
         at = np.flatnonzero(size == m)
-        h = T.spans_hash(pre, w.offs[at], w.offs[at] + m)
+        h = T.run_hash(w.hash, m)[w.offs[at]] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         short[m] = (h[order], at[order])
     vocabulary, code = np.unique(w.hash, return_inverse=True)
@@ -252,9 +252,9 @@ def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
     w = words_of(buf, offs)
     if not len(w.hash):
         return
-    pre, room = T.prefix(w.hash), w.room()
+    room = w.room()
     for m, (hashes, numbers) in items.short.items():
-        h = T.rolling_hash(pre, m)
+        h = T.run_hash(w.hash, m)
         hit = np.flatnonzero(T.in_sorted(h, hashes) & (room[: len(h)] >= m)) if len(hashes) else []
         seen = set()
         for at in np.asarray(hit).tolist():
@@ -263,7 +263,7 @@ def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
                 if (d, i) not in seen:
                     seen.add((d, i))
                     yield lo + d, i, 2 * m, at - int(w.offs[d]), at - int(w.offs[d]) + m - 1, m
-    h = T.rolling_hash(pre, n)
+    h = T.run_hash(w.hash, n)
     hit = np.flatnonzero(T.in_sorted(h, items.seed) & (room[: len(h)] >= n))
     if not len(hit):
         return
@@ -284,6 +284,7 @@ def matches(items: Items, buf, offs, lo: int, n: int, threshold: float):
 
 
 def _blocks_of(docs: DataFrame, benchmark: DataFrame, n: int):
+    share_seed(docs.sparkSession)
     for ids, texts in _item_blocks(benchmark, "item_id", "text"):
         if items := _prepare(ids, texts, n):
             yield docs.sparkSession.sparkContext.broadcast(items)

@@ -41,6 +41,7 @@ from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
 from palimpsest.llm._filters import marked, only_wanted
 from palimpsest.llm.components import components
+from palimpsest.session import share_seed
 
 BANDS, ROWS, BATCH = 30, 5, 30
 PERMS = BANDS * ROWS
@@ -59,14 +60,13 @@ _B = _r.integers(0, 1 << 32, PERMS, dtype=np.uint32)
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each document of a block."""
     w = T.Words(buf, offs, lower=True)
-    pre = T.prefix(w.hash)
-    h = T.rolling_hash(pre, k)
+    h = T.run_hash(w.hash, k)
     out = []
     for a, b in zip(w.offs[:-1].tolist(), w.offs[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(h[a : b - k + 1]))
         elif b > a:
-            out.append(T.spans_hash(pre, np.array([a]), np.array([b])))
+            out.append(T.run_hash(w.hash[a:b], b - a))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -325,6 +325,7 @@ def _candidates(groups: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
 def _groups(docs: DataFrame, id_col: str, text: str, shingle: int, percent: int) -> DataFrame:
     """near_duplicates, with row, a hash of id and text."""
+    share_seed(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_id("doc_id", "text")).select("doc_id", "row", "text")
     described = _scratch.table(src.mapInArrow(C.settled(_describe(shingle)), "doc_id long, row long, n long, key binary, sig binary"), "signatures")
     # a class's node is one of its rows; its name the smallest id

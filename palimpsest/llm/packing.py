@@ -95,7 +95,7 @@ class Encoder:
         inside = np.flatnonzero(cut)
         start = np.sort(np.concatenate([w.start, inside]))
         end = np.sort(np.concatenate([w.end, inside]))
-        h = T.spans_hash(T.prefix(T.LOWER_VALUES[buf]), start, end)
+        h = T.byte_spans(buf, start, end, lower=True)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         new = np.flatnonzero(~T.in_sorted(distinct, self.hash))
         if len(new):

@@ -50,7 +50,7 @@ def _keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def _windows(words: T.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, valid, local start) of every n-word window of a block."""
-    h = T.rolling_hash(T.prefix(words.hash), n)
+    h = T.run_hash(words.hash, n)
     room = words.room()[: len(h)]
     local = np.arange(len(words.start)) - np.repeat(words.offs[:-1], np.diff(words.offs))
     return h, room >= n, local[: len(h)]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import _text as T
+from palimpsest.session import share_seed
 
 MARK = "▁"
 BYTE_SCORE = -20.0
@@ -119,6 +120,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text:
     count; other columns are ignored.  ``model_path`` must exist on every worker.
     """
 
+    share_seed(docs.sparkSession)
+
     def run(batches):
         counter = Counter.of(model_path)
         for batch in batches:

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
+from palimpsest.session import share_seed
 
 BLOCK = 64
 DENSE = 12
@@ -271,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_per_class:
     whole; other columns are ignored.  Where a label has no example, as in empty
     tables, nothing is learned: the index has no examples and every score is 0.
     """
+    share_seed(docs.sparkSession)
     rows, (all0, all1) = _train_rows(docs, labels, label, max_per_class)
     # at most 2 * max_per_class rows
     got = sorted(rows.mapInArrow(C.settled(_count), "doc_id long, y int, h binary, tf binary").collect(), key=lambda r: r["doc_id"])
@@ -345,6 +347,7 @@ def score_documents(docs: DataFrame, index: Index, evidence: int = 0) -> DataFra
     with the same id are scored one by one; texts of any length are scored whole;
     other columns are ignored; an empty table gives an empty result.
     """
+    share_seed(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
@@ -367,6 +370,7 @@ def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFra
     Decided row by row, so repeated rows go or stay alike; null and empty texts
     and those without a neighbour score 0 and stay; an empty table stays empty.
     """
+    share_seed(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
