@@ -1,13 +1,16 @@
 """Queries of the training-data operators and their DuckDB SQL."""
 
 from palimpsest.llm.chat_format import OP3_SQL, op3_chat_format
+from palimpsest.llm.code_compression import OP12_SQL, op12_vector_codes
 from palimpsest.llm.decontaminate import op4_decontaminate
 from palimpsest.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from palimpsest.llm.fingerprints import OP11_SQL, op11_fingerprints
 from palimpsest.llm.near_dedup import op10_near_dedup
 from palimpsest.llm.packing import op7_packing
 from palimpsest.llm.quality import op6_quality
 from palimpsest.llm.substring_dedup import op9_substring_dedup
 from palimpsest.llm.suffix_dedup import op1_suffix_dedup
+from palimpsest.llm.token_alignment import op13_token_alignment
 from palimpsest.llm.token_counts import op8_token_counts
 from palimpsest.llm.toxicity import op5_toxicity
 from palimpsest.session import with_package
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_token_counts": with_package(op8_token_counts),
     "op9_substring_dedup": with_package(op9_substring_dedup),
     "op10_near_dedup": with_package(op10_near_dedup),
+    "op11_fingerprints": with_package(op11_fingerprints),
+    "op12_vector_codes": with_package(op12_vector_codes),
+    "op13_token_alignment": with_package(op13_token_alignment),
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op11_fingerprints": OP11_SQL, "op12_vector_codes": OP12_SQL}
