@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest import scratch
+from palimpsest.operators import greedy, intervals
+
 
 def cut_tokens(block_rows: DataFrame, arrays: DataFrame, *keys: str) -> DataFrame:
     """Blocks with hash, the MD5 of their tokens, and len."""
@@ -34,20 +37,9 @@ def grammar_score(length: Column, size: Column, w: Column) -> Column:
     return length * size / (1 + w * (1 + size))
 
 
-def overlaps(block_rows: DataFrame, width: int, *keys: str) -> DataFrame:
-    """keys, a, b: pairs (a < b by id) of overlapping blocks of a version.
-
-    Blocks are dealt to cells of ``width`` positions, so the join has an equality
-    key and no version is compared all against all; a pair counts in the cell of
-    its overlap's first position.
-    """
-    cell = F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})"))
-    rows = block_rows.select(*keys, "id", "start", "end", cell.alias("cell"))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "cell")]
-    start = F.greatest("a.start", "b.start")
-    hit = a.join(b, on).where("a.id < b.id and a.start < b.end and b.start < a.end").where(F.col("a.cell") == F.floor(start / width))
-    return hit.select(*(F.col(f"a.{k}") for k in keys), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+def overlaps(block_rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, a, b: pairs (a < b by id) of overlapping blocks of a version, by a sweep (``intervals``)."""
+    return intervals.overlapping(block_rows, keys, "id").select(*keys, F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
 def cover(frags: dict, w: float, grammar: bool = False, copies: dict | None = None) -> list[tuple]:
@@ -123,17 +115,23 @@ def unfold(covers: DataFrame, members: DataFrame) -> DataFrame:
     return covers.join(members, ["collection", "version"]).drop("version").withColumnRenamed("member", "version").select("collection", "w", "rank", "hash", F.col("version").cast("long").alias("version"), "offset", "len")
 
 
-def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False, copies: DataFrame | None = None) -> DataFrame:
+#: Places up to which a collection is covered by one call of ``cover``; larger ones take rounds of joins, with the same result.
+GROUP_PLACES = 200_000
+
+
+def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False, copies: DataFrame | None = None, group_places: int | None = None) -> DataFrame:
     """collection, w, rank, hash, version, offset, len: the cover of each collection at each weight.
 
-    The greedy choice is sequential in a collection, which is one group; equal
-    versions are folded before (``fold``, ``copies``: collection, version, copies), so
-    a group holds a collection's distinct texts.  The weights are spread over
-    groups as well.  A collection without candidates has no cover.
+    Equal versions may be folded before (``fold``; copies: collection, version, copies).
+    Collections of at most ``group_places`` places are covered one by one, a bounded group per
+    collection and weight; all larger ones by rounds over all tasks
+    (``greedy``), where no group holds a collection.  A collection without candidates has no cover.
     """
+    limit = GROUP_PLACES if group_places is None else group_places
     places = cut.select("collection", "hash", "len", "version", F.col("start").alias("offset")).distinct()
     places = places.withColumn("copies", F.lit(1).cast("long")) if copies is None else places.join(copies.select("collection", "version", "copies"), ["collection", "version"])
-    spread = places.withColumn("w", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
+    places = scratch.table(places, "places")
+    large = places.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("collection")
     kind = cut.schema["collection"].dataType.simpleString()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +143,10 @@ def select_covers(cut: DataFrame, weights: list[float], grammar: bool = False, c
         rows = cover(frags, w, grammar, many)
         return pd.DataFrame([(df["collection"].iloc[0], w, *r) for r in rows], columns=["collection", "w", "rank", "hash", "version", "offset", "len"])
 
-    return spread.groupBy("collection", "w").applyInPandas(run, f"collection {kind}, {COVER}")
+    many = large.limit(1).count() > 0
+    spread = (places.join(large, "collection", "left_anti") if many else places).withColumn("w", F.explode(F.array(*(F.lit(float(w)) for w in weights))))
+    out = spread.groupBy("collection", "w").applyInPandas(run, f"collection {kind}, {COVER}")
+    return out.unionByName(greedy.covers_in_rounds(places.join(large, "collection", "left_semi"), list(weights), grammar)) if many else out
 
 
 def tradeoff(covers: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.hashing import NGRAM
+from palimpsest.operators import intervals
 
 
 def threshold_cut(radius_rows: DataFrame, lengths: DataFrame, w: int, *keys: str) -> DataFrame:
@@ -108,19 +109,10 @@ def levels(base: DataFrame, total: int, sliding_from: int, *keys: str) -> DataFr
     return out
 
 
-CELL = 64
-
-
 def _inside(level_rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, level, idx, p_level, parent: blocks and the blocks of other levels that hold them.
-
-    Outer blocks are dealt to the cells of positions they touch and inner ones to
-    that of their start, so the join has an equality key and no version is
-    compared block against block.
-    """
-    inner = level_rows.select(*keys, "level", "idx", "start", "end", F.expr(f"start div {CELL}").alias("cell"))
-    outer = level_rows.select(*keys, F.col("level").alias("p_level"), F.col("idx").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(F.expr(f"sequence(start div {CELL}, (end - 1) div {CELL})")).alias("cell"))
-    return inner.join(outer, [*keys, "cell"]).where("p_start <= start and p_end >= end and p_level != level")
+    """keys, level, idx, p_level, parent: blocks and the blocks of other levels that hold them, by a sweep (``intervals``)."""
+    pairs = intervals.containing(level_rows, keys, "level", "idx").where("a_level != b_level")
+    return pairs.select(*keys, F.col("b_level").alias("level"), F.col("b_idx").alias("idx"), F.col("a_level").alias("p_level"), F.col("a_idx").alias("parent"))
 
 
 def contained(level_rows: DataFrame, *keys: str) -> DataFrame:

@@ -75,6 +75,11 @@ def tradeoff(windows) -> str:
     return ", ".join(parts) + ", trade AS (" + " UNION ALL ".join(rows) + ")"
 
 
+def cells(source: str, name: str) -> str:
+    """Blocks dealt to the cells of 64 positions that they touch, so that joins of blocks have an equality key."""
+    return f"""{name} AS MATERIALIZED (SELECT *, unnest(range("start" // 64, ("end" - 1) // 64 + 1)) AS cell FROM {source})"""
+
+
 def sql(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
@@ -134,7 +139,7 @@ _TREE = (
     *(winnow(w, f"b{w}") for w in WINDOWS),
     *(f"u{k} AS (" + " UNION ".join(f"SELECT collection, version, pos FROM b{w}" for w in WINDOWS[k:]) + ")" for k in range(len(WINDOWS))),
     *(blocks(f"u{k}", f"t{k}") for k in range(len(WINDOWS))),
-    "tree AS (" + " UNION ALL ".join(f'SELECT collection, version, {k} AS level, idx, "start", "end" FROM t{k}' for k in range(len(WINDOWS))) + ")",
+    "tree AS MATERIALIZED (" + " UNION ALL ".join(f'SELECT collection, version, {k} AS level, idx, "start", "end" FROM t{k}' for k in range(len(WINDOWS))) + ")",
 )
 #: Frontier rows by number, their steps with the worst rate so far, and the budget.
 _FRONTIER = (
@@ -217,9 +222,11 @@ FROM (SELECT collection, hash, CAST(any_value(len) AS DOUBLE) AS len, CAST(count
     ),
     "overlap_pairs": sql(
         *_CUT,
-        """pair AS (SELECT collection, version, idx * 2 AS id, "start", "end" FROM blocks UNION ALL
+        """pair AS MATERIALIZED (SELECT collection, version, idx * 2 AS id, "start", "end" FROM blocks UNION ALL
   SELECT collection, version, idx * 2 + 1, "start", e FROM (SELECT *, lead("end") OVER (PARTITION BY collection, version ORDER BY idx) AS e FROM blocks) WHERE e IS NOT NULL)""",
-        select="""SELECT a.collection, a.version, a.id AS a, b.id AS b FROM pair a JOIN pair b ON a.collection = b.collection AND a.version = b.version AND a.id < b.id AND a."start" < b."end" AND b."start" < a."end" """,
+        cells("pair", "dealt"),
+        select="""SELECT a.collection, a.version, a.id AS a, b.id AS b FROM dealt a JOIN dealt b ON a.collection = b.collection AND a.version = b.version AND a.cell = b.cell
+WHERE a.id < b.id AND a."start" < b."end" AND b."start" < a."end" AND a.cell = greatest(a."start", b."start") // 64""",
     ),
     "select_cover_totals": sql(VERS, select="SELECT collection, CAST(sum(len(toks)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0 GROUP BY collection"),
     "round_trip": sql(VERS, select="SELECT collection, version, md5(array_to_string(toks, ' ')) AS content FROM vers WHERE len(toks) > 0"),
@@ -282,14 +289,17 @@ UNION ALL SELECT 'tree', collection, version, count(*) FROM (SELECT collection,
     ),
     "overfull_versions": sql(*_CUT, levels(3), select="SELECT collection, version, count(*) AS n FROM lev GROUP BY collection, version HAVING count(*) > 200"),
     "hierarchy_levels": sql(
-        *_TREE,
-        select="""SELECT c.collection, c.version, c.level, c.idx, c."start", c."end", p.idx AS parent FROM tree c LEFT JOIN tree p
-ON p.collection = c.collection AND p.version = c.version AND p.level = c.level + 1 AND p."start" <= c."start" AND p."end" >= c."end" """,
+        *_TREE, cells("tree", "dealt"),
+        select="""SELECT c.collection, c.version, c.level, c.idx, c."start", c."end", p.idx AS parent FROM tree c LEFT JOIN (
+  SELECT c.collection, c.version, c.level, c.idx AS child, p.idx FROM tree c JOIN dealt p ON p.collection = c.collection AND p.version = c.version AND p.cell = c."start" // 64
+  WHERE p.level = c.level + 1 AND p."start" <= c."start" AND p."end" >= c."end") p
+ON p.collection = c.collection AND p.version = c.version AND p.level = c.level AND p.child = c.idx""",
     ),
     "tree_conflicts": sql(
-        *_TREE,
-        select="""SELECT a.collection, a.version, a.level, a.idx, b.level AS other_level, b.idx AS other_idx FROM tree a JOIN tree b ON a.collection = b.collection AND a.version = b.version
-WHERE (b.level > a.level AND b."start" <= a."start" AND b."end" >= a."end") OR (b.level < a.level AND a."start" <= b."start" AND a."end" >= b."end")""",
+        *_TREE, cells("tree", "dealt"),
+        """up AS MATERIALIZED (SELECT c.collection, c.version, c.level, c.idx, p.level AS other_level, p.idx AS other_idx FROM tree c JOIN dealt p ON p.collection = c.collection AND p.version = c.version AND p.cell = c."start" // 64
+  WHERE p.level > c.level AND p."start" <= c."start" AND p."end" >= c."end")""",
+        select="SELECT * FROM up UNION ALL SELECT collection, version, other_level, other_idx, level, idx FROM up",
     ),
     "repair_candidates": sql(VERS, select="SELECT collection, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
     "fragment_dict_levels": sql(

@@ -450,7 +450,7 @@ def overlap_pairs(spark, sf_dir):
     """Pairs of blocks of two levels that overlap."""
     base = winnow_blocks(corpus.versions(spark, sf_dir), 20)
     both = base.select(*KEYS, (F.col("idx") * 2).alias("id"), "start", "end").unionByName(segments.merge_level(base, False, *KEYS).select(*KEYS, (F.col("idx") * 2 + 1).alias("id"), "start", "end"))
-    rows = fragments.overlaps(both, 64, *KEYS)
+    rows = fragments.overlaps(both, *KEYS)
     return rows.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "a", "b")))
 
 
