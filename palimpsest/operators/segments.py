@@ -2,12 +2,11 @@
 
 A cutter is a function from one version's features to its boundaries.  Those
 that a column can express are joins and windows; the greedy ones run per version
-in Arrow batches, RePair per collection.
+in Arrow batches.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable
 
@@ -159,154 +158,6 @@ def cut_with(cutters: dict[str, Callable[[DataFrame], DataFrame]], arrays: DataF
     return out
 
 
-def repair_grammar(versions: list) -> tuple[list, dict, list[int]]:
-    """One RePair grammar over all versions of a collection: final sequences, rules and widths.
-
-    The most frequent adjacent pair becomes a symbol, again and again; equal
-    counts go by first occurrence, and no pair crosses from one version to the
-    next.  A sequence holds (symbol, position); symbols without a rule are tokens.
-    """
-    sym: list = []
-    nxt: list[int] = []
-    prv: list[int] = []
-    first: list[int] = []
-    names: dict = {}
-    for toks in versions:
-        at, n = len(sym), len(toks)
-        first.append(at)
-        sym += [names.setdefault(t, len(names)) for t in toks]
-        prv += [-1, *range(at, at + n - 1)][:n]
-        nxt += [*range(at + 1, at + n), -1][:n]
-    fresh = len(names)
-    rules: dict[int, tuple[int, int]] = {}
-    width = [1] * fresh
-    places: dict = {}  # pair -> places in order, dead ones included
-    count: dict = {}  # live places, those that overlap included
-    for i, j in enumerate(nxt):
-        if j >= 0:
-            pair = (sym[i], sym[j])
-            places.setdefault(pair, []).append(i)
-            count[pair] = count.get(pair, 0) + 1
-    begin: dict = {}  # dead places at the front of a list
-
-    def current(pair):
-        """(count, first place); overlapping pairs of one run count once."""
-        own, k = places[pair], begin.get(pair, 0)
-        a, b = pair
-        if a == b:
-            own = places[pair] = [i for i in own if sym[i] == a and nxt[i] >= 0 and sym[nxt[i]] == b]
-            n, last = 0, -1
-            for i in own:
-                if i != last:
-                    n, last = n + 1, nxt[i]
-            return n, own[0] if own else -1
-        while k < len(own) and not (sym[own[k]] == a and nxt[own[k]] >= 0 and sym[nxt[own[k]]] == b):
-            k += 1
-        begin[pair] = k
-        return count[pair], own[k] if k < len(own) else -1
-
-    # counts only shrink once a pair's symbols exist, so an old entry is an upper bound
-    heap = [(-n, places[pair][0], pair) for pair, n in count.items() if n > 1]
-    heapq.heapify(heap)
-    while heap:
-        n, at, pair = heapq.heappop(heap)
-        now = current(pair)
-        if now[0] < 2:
-            continue
-        if now != (-n, at):
-            heapq.heappush(heap, (-now[0], now[1], pair))
-            continue
-        a, b = pair
-        made: dict = {}
-        rules[fresh] = pair
-        width.append(width[a] + width[b])
-        for i in places.pop(pair):
-            j = nxt[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
-                continue
-            left, right = prv[i], nxt[j]
-            if left >= 0:
-                old = (sym[left], a)
-                count[old] -= 1
-                made.setdefault((sym[left], fresh), []).append(left)
-                count[sym[left], fresh] = count.get((sym[left], fresh), 0) + 1
-            if right >= 0:
-                old = (b, sym[right])
-                count[old] -= 1
-                made.setdefault((fresh, sym[right]), []).append(i)
-                count[fresh, sym[right]] = count.get((fresh, sym[right]), 0) + 1
-                prv[right] = i
-            sym[i], sym[j], nxt[i] = fresh, -1, right
-        for new, where in made.items():
-            places[new] = where
-            if count[new] > 1:
-                heapq.heappush(heap, (-count[new], where[0], new))
-        fresh += 1
-    out = []
-    for at, toks in zip(first, versions, strict=True):
-        seq, i = [], at if len(toks) else -1
-        while i >= 0:
-            seq.append((sym[i], i - at))
-            i = nxt[i]
-        out.append(seq)
-    return out, rules, width
-
-
-def repair_nodes(versions: list, down: int) -> list[list[tuple[int, int, int]]]:
-    """Per version (level, start, end) of the grammar's nodes, each once, on the first of the levels 0 to ``down`` that has it.
-
-    Level 0 is the final sequence, each further one the children of the symbols above.
-    """
-    seqs, rules, width = repair_grammar(versions)
-    out = []
-    for level in seqs:
-        nodes = [(0, p, p + width[s]) for s, p in level]
-        for k in range(1, down + 1):
-            split = [(*rules[s], p) for s, p in level if s in rules]
-            level = [c for x, y, p in split for c in ((x, p), (y, p + width[x]))]
-            nodes += [(k, p, p + width[s]) for s, p in level]
-        out.append(nodes)
-    return out
-
-
-def repair_blocks(toks: list, down: int) -> list[tuple[int, int]]:
-    """Blocks of one text: the nodes ``down`` levels below the final sequence (leaves stay as they are)."""
-    (level,), rules, width = repair_grammar([toks])
-    for _ in range(down):
-        level = [c for s, p in level for c in (((rules[s][0], p), (rules[s][1], p + width[rules[s][0]])) if s in rules else ((s, p),))]
-    return [(p, p + width[s]) for s, p in level]
-
-
-def repair_cut(arrays: DataFrame, down: int = 8) -> DataFrame:
-    """collection, version, level, idx, start, end: the nodes of each collection's RePair grammar, see repair_nodes.
-
-    A collection is one group (its size is bounded by its key); the nodes of the
-    finest level and the leaves above it cover each version.
-    """
-    kind = arrays.schema["collection"].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("version")
-        found = repair_nodes([list(t) for t in df["toks"]], down)
-        rows = [(df["collection"].iloc[0], v, k, i, a, b) for v, nodes in zip(df["version"], found, strict=True) for i, (k, a, b) in enumerate(nodes)]
-        return pd.DataFrame(rows, columns=["collection", "version", "level", "idx", "start", "end"])
-
-    return arrays.select("collection", "version", "toks").groupBy("collection").applyInPandas(run, f"collection {kind}, version long, level int, idx int, start int, end int")
-
-
-def repair_tiling(nodes: DataFrame) -> DataFrame:
-    """collection, version, start, end: of repair_cut rows, those that hold no node of the next level; they tile each version."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(df["start"], df["end"], strict=True), key=lambda x: (x[0], -x[1]))
-        # nested nodes follow the one around them
-        keep = [x for x, y in zip(rows, [*rows[1:], (1 << 31, 0)], strict=True) if y[0] >= x[1]]
-        return pd.DataFrame([(df["collection"].iloc[0], df["version"].iloc[0], a, b) for a, b in keep], columns=["collection", "version", "start", "end"])
-
-    kind = nodes.schema["collection"].dataType.simpleString()
-    return nodes.groupBy("collection", "version").applyInPandas(run, f"collection {kind}, version long, start int, end int")
-
-
 def cut_lengths(block_rows: DataFrame, *keys: str) -> DataFrame:
     """length, n: histogram of block lengths, each version's last block left out."""
     last = F.max("idx").over(Window.partitionBy(*keys))

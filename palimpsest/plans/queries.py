@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, index, kernels, optimise, segments, versioned
+from palimpsest.operators import features, fragments, grammar, index, kernels, optimise, segments, versioned
 from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
@@ -56,12 +56,12 @@ def candidates(arrays: DataFrame, w: int = 20, total: int = 3, sliding_from: int
     return fragments.cut_tokens(level_rows, arrays, *KEYS)
 
 
-def covers_of(arrays: DataFrame, weights, grammar: bool = False) -> DataFrame:
+def covers_of(arrays: DataFrame, weights, by_grammar: bool = False) -> DataFrame:
     """The chosen cover of every version; equal versions are folded before and unfolded after the greedy choice."""
     folded, members = fragments.fold(arrays)
     folded, members = scratch.table(folded, "folded"), scratch.table(members, "members")
-    cut = fragments.cut_tokens(segments.repair_cut(folded, 8), folded, *KEYS) if grammar else candidates(folded)
-    return scratch.table(fragments.unfold(fragments.select_covers(cut, list(weights), grammar, folded), members), "covers")
+    cut = fragments.cut_tokens(grammar.repair_cut(folded, 8), folded, *KEYS) if by_grammar else candidates(folded)
+    return scratch.table(fragments.unfold(fragments.select_covers(cut, list(weights), by_grammar, folded), members), "covers")
 
 
 def _folder(spark, name: str) -> str:
@@ -417,9 +417,9 @@ def compare_cutters(spark, sf_dir):
 def repair_candidates(spark, sf_dir):
     """Per version, the tokens that leaves and finest nodes of its collection's grammar hold, and nodes that hold none or reach outside."""
     arrays = corpus.versions(spark, sf_dir)
-    rows = segments.repair_cut(arrays, down=8)
+    rows = grammar.repair_cut(arrays, down=8)
     # a node without a node inside it on the next level is a leaf of what was taken
-    at = segments.repair_tiling(rows)
+    at = grammar.repair_tiling(rows)
     both = at.join(lengths(arrays), [*KEYS])
     return both.groupBy("collection", F.col("version").cast("long").alias("version")).agg(F.sum(F.col("end") - F.col("start")).alias("held"), F.sum(F.when((F.col("start") < 0) | (F.col("end") > F.col("len")) | (F.col("end") <= F.col("start")), 1).otherwise(0)).alias("faults"))
 
@@ -454,10 +454,10 @@ def overlap_pairs(spark, sf_dir):
     return rows.select("collection", *(F.col(c).cast("long").alias(c) for c in ("version", "a", "b")))
 
 
-def cover_checks(spark, sf_dir, weights, grammar: bool) -> DataFrame:
+def cover_checks(spark, sf_dir, weights, by_grammar: bool) -> DataFrame:
     """collection, w, version, held tokens, and faults: overlaps, gaps, or applications with other tokens than their hash says."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = covers_of(arrays, weights, grammar)
+    covers = covers_of(arrays, weights, by_grammar)
     wrong = fragments.coverage_faults(covers, arrays).select("collection", "w", "version").unionByName(fragments.hash_faults(covers, arrays).select("collection", "w", "version"))
     faults = wrong.groupBy("collection", "w", "version").agg(F.count(F.lit(1)).alias("faults"))
     held = covers.groupBy("collection", "w", "version").agg(F.sum("len").alias("held"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, kernels, optimise, segments, versioned
+from palimpsest.operators import features, fragments, grammar, kernels, optimise, segments, versioned
 from palimpsest.sources import corpus, sinks
 
 
@@ -268,11 +268,19 @@ def test_repair_blocks_cover_the_text():
         toks = [r.choice("abc") for _ in range(r.randint(0, 40))]
         for down in (0, 1, 3):
             at = 0
-            for a, b in segments.repair_blocks(toks, down):
+            for a, b in grammar.repair_blocks(toks, down):
                 assert a == at < b
                 at = b
             assert at == len(toks)
-    assert segments.repair_blocks(list("abab"), 0) == [(0, 2), (2, 4)]
+    assert grammar.repair_blocks(list("abab"), 0) == [(0, 2), (2, 4)]
+
+
+def tokens_of(x):
+    return sum(map(tokens_of, x)) if isinstance(x, tuple) else 1
+
+
+def called(x):
+    return grammar.pair_name(*map(called, x)) if isinstance(x, tuple) else grammar.token_name(x)
 
 
 def plain_repair(versions):
@@ -286,7 +294,7 @@ def plain_repair(versions):
                 if last.get(pair) != i - 1:
                     count[pair] = count.get(pair, 0) + 1
                     last[pair] = i
-        best = max(count, key=count.get, default=None)
+        best = min(count, key=lambda p: (-count[p], tokens_of(p), called(p)), default=None)
         if best is None or count[best] < 2:
             return seqs
         for k, seq in enumerate(seqs):
@@ -314,13 +322,13 @@ def test_repair_grammar_spans_all_versions(spark):
     for _ in range(300):
         versions = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 4))]
         for down in (0, 1, 8):
-            assert segments.repair_nodes(versions, down) == [levels(seq, down) for seq in plain_repair(versions)]
+            assert grammar.repair_nodes(versions, down) == [levels(seq, down) for seq in plain_repair(versions)]
     # a run that occurs once per version is one symbol of the collection's grammar
     run = [f"w{i}" for i in range(12)]
     df = spark.createDataFrame([(1, 0, ["a", *run, "b"]), (1, 1, ["c", *run, "d", "e"]), (2, 0, run)], "collection long, version long, toks array<string>")
-    got = {(x.collection, x.version, x.start, x.end) for x in segments.repair_cut(df, 8).collect() if x.level == 0}
+    got = {(x.collection, x.version, x.start, x.end) for x in grammar.repair_cut(df, 8).collect() if x.level == 0}
     assert {(1, 0, 1, 13), (1, 1, 1, 13)} <= got and (2, 0, 0, 1) in got
-    covers = fragments.select_covers(fragments.cut_tokens(segments.repair_cut(df, 8), df, "collection", "version"), [1.0], grammar=True)
+    covers = fragments.select_covers(fragments.cut_tokens(grammar.repair_cut(df, 8), df, "collection", "version"), [1.0], grammar=True)
     assert fragments.coverage_faults(covers, df).count() == 0
     assert sorted((x.version, x.offset) for x in covers.where("collection = 1 and len = 12").collect()) == [(0, 1), (1, 1)]
 

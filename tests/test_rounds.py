@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from palimpsest.operators import fragments, intervals
+from palimpsest.operators import fragments, grammar, intervals
 
 
 def random_places(r, collection, versions, n_tokens, alphabet):
@@ -63,3 +63,21 @@ def test_sweep_against_all_pairs(spark):
     same = [(x, y) for x in rows for y in rows if x[:2] == y[:2] and x[4] != y[4]]
     assert got == sorted((x[4], y[4]) for x, y in same if x[4] < y[4] and x[2] < y[3] and y[2] < x[3])
     assert inside == sorted((x[4], y[4]) for x, y in same if x[2] <= y[2] and x[3] >= y[3])
+
+
+def test_grammar_in_rounds_equals_the_sequential_grammar(spark):
+    r = random.Random(9)
+    collections = {}
+    for c in range(14):
+        letters = "abcdef"[: r.randint(1, 6)]
+        collections[c] = [[r.choice(letters) for _ in range(r.randint(0, 40))] for _ in range(r.randint(1, 4))]
+    # a passage that occurs in several versions, runs, an empty collection
+    passage = [f"w{i}" for i in range(30)]
+    collections[50] = [["x", *passage, "y"], [*passage, "z", *passage[:11]], []]
+    collections[51] = [["a"] * 37, ["a"] * 8 + ["b"] + ["a"] * 9]
+    collections[52] = [[]]
+    df = spark.createDataFrame([(c, v, t) for c, vs in collections.items() for v, t in enumerate(vs)], "collection long, version long, toks array<string>")
+    want = {(c, v, k, i, a, b) for c, vs in collections.items() for v, nodes in enumerate(grammar.repair_nodes(vs, 8)) for i, (k, a, b) in enumerate(nodes)}
+    assert {tuple(x) for x in grammar.repair_cut(df, 8, group_tokens=0).collect()} == want
+    assert {tuple(x) for x in grammar.repair_cut(df, 8, group_tokens=60).collect()} == want
+    assert {tuple(x) for x in grammar.repair_cut(df, 8).collect()} == want
