@@ -96,3 +96,10 @@ def resolve(found: VersionedIndex, terms: list[str]) -> DataFrame:
 def lookup_phrase(found: VersionedIndex, terms: list[str]) -> DataFrame:
     """collection, version, pos of a phrase, also where it crosses from one fragment to the next."""
     return index.phrase(resolve(found, terms), terms, "collection", "version")
+
+
+def restore(found: VersionedIndex) -> DataFrame:
+    """collection, version, toks: all versions rebuilt from the index alone."""
+    runs = index.restore(index.read(found.postings), "docid").withColumnRenamed("docid", "frag_id")
+    parts = found.metadata.join(runs, "frag_id").groupBy("collection", "version").agg(F.array_sort(F.collect_list(F.struct("offset", "toks"))).alias("parts"))
+    return parts.select("collection", "version", F.flatten("parts.toks").alias("toks"))

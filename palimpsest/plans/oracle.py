@@ -84,6 +84,10 @@ def sql(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+def recursive(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
+
+
 _SWEEP = ", ".join(map(str, SWEEP))
 #: Documents per index block.
 BLOCK = 4096
@@ -100,6 +104,41 @@ def levels(total: int, name: str = "lev") -> str:
     return f"{name} AS (" + " UNION ALL ".join(f"({p})" for p in parts) + ")"
 
 
+def chains(source: str, id: str) -> tuple[str, ...]:
+    """Fragments that stand side by side wherever they stand, walked from the head of each chain."""
+    return (
+        f"""placed AS MATERIALIZED (SELECT collection, {id} AS id, version, "start" AS o, len FROM {source})""",
+        "counted AS MATERIALIZED (SELECT collection, id, count(*) AS n FROM placed GROUP BY ALL)",
+        """pair AS MATERIALIZED (SELECT a.collection, a.id AS l, b.id AS r FROM placed a JOIN placed b ON a.collection = b.collection AND a.version = b.version AND a.o + a.len = b.o
+  JOIN counted na ON na.collection = a.collection AND na.id = a.id JOIN counted nb ON nb.collection = b.collection AND nb.id = b.id
+  GROUP BY a.collection, a.id, b.id, na.n, nb.n HAVING count(*) = na.n AND count(*) = nb.n)""",
+        """chain AS (SELECT collection, id AS head, id, 0 AS rank FROM counted WHERE (collection, id) NOT IN (SELECT (collection, r) FROM pair)
+  UNION ALL SELECT c.collection, c.head, p.r, c.rank + 1 FROM chain c JOIN pair p ON p.collection = c.collection AND p.l = c.id)""",
+    )
+
+
+def greedy_cover(weights) -> tuple[str, ...]:
+    """The greedy cover of the blocks in lev, one fragment per collection and weight in each step of a recursion."""
+    return (
+        """cand AS MATERIALIZED (SELECT DISTINCT collection, version, "start" AS o, "end" - "start" AS len, md5(array_to_string(toks["start" + 1 : "end"], ' ')) AS hash FROM lev)""",
+        # places of one fragment that overlap an earlier one of its own don't count
+        """own AS MATERIALIZED (SELECT collection, hash, len, version, unnest(list_reduce([[]::BIGINT[]] || list([o, len]::BIGINT[] ORDER BY o), lambda acc, x:
+  CASE WHEN len(acc) = 0 OR x[1] >= acc[len(acc)] + x[2] THEN list_concat(acc, x[1:1]) ELSE acc END)) AS o FROM cand GROUP BY collection, hash, len, version)""",
+        f"weights AS (SELECT unnest([{', '.join(map(str, weights))}])::DOUBLE AS w)",
+        """run AS (SELECT w, 0 AS k, false AS taken, collection, hash, len, version, o FROM own CROSS JOIN weights
+  UNION ALL (
+    WITH live AS MATERIALIZED (SELECT * FROM run WHERE NOT taken),
+    frag AS (SELECT w, collection, hash, any_value(len) AS len, count(*) AS size, min({'v': version, 'o': o}) AS first FROM live GROUP BY w, collection, hash),
+    best AS (SELECT w, collection, arg_min(hash, (-(len * size)::DOUBLE / ((1 + len)::DOUBLE + w * (1 + size)::DOUBLE), first, len, hash)) AS hash FROM frag GROUP BY w, collection),
+    now AS MATERIALIZED (SELECT live.* FROM live JOIN best USING (w, collection, hash))
+    SELECT w, k + 1, true, collection, hash, len, version, o FROM now
+    UNION ALL
+    SELECT w, k + 1, false, collection, hash, len, version, o FROM live l WHERE NOT EXISTS (
+      SELECT 1 FROM now c WHERE c.w = l.w AND c.collection = l.collection AND c.version = l.version AND l.o < c.o + c.len AND c.o < l.o + l.len)))""",
+        """chosen AS MATERIALIZED (SELECT w, k - 1 AS rank, collection, hash, any_value(len) AS len, count(*) AS size, min({'v': version, 'o': o}) AS first FROM run WHERE taken GROUP BY w, k, collection, hash)""",
+    )
+
+
 def jump_cut(relative: bool, max_block: int = 0) -> tuple[str, ...]:
     """Boundaries at frequency jumps, strongest first, none within 10 of an accepted one; then long blocks refined."""
     d = "CAST(trunc((freq - nxt) / least(freq, nxt)) AS BIGINT)" if relative else "freq - nxt"
@@ -228,7 +267,10 @@ FROM (SELECT collection, hash, CAST(any_value(len) AS DOUBLE) AS len, CAST(count
         select="""SELECT a.collection, a.version, a.id AS a, b.id AS b FROM dealt a JOIN dealt b ON a.collection = b.collection AND a.version = b.version AND a.cell = b.cell
 WHERE a.id < b.id AND a."start" < b."end" AND b."start" < a."end" AND a.cell = greatest(a."start", b."start") // 64""",
     ),
-    "select_cover_totals": sql(VERS, select="SELECT collection, CAST(sum(len(toks)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0 GROUP BY collection"),
+    "select_cover_totals": recursive(
+        *_CUT, levels(3), *greedy_cover([1.0]),
+        select="""SELECT collection, sum(size)::BIGINT AS n_apps, count(*) AS n_frags, sum(len)::BIGINT AS n_postings, sum(size * len)::BIGINT AS covered, CAST(0 AS BIGINT) AS faults FROM chosen GROUP BY collection""",
+    ),
     "round_trip": sql(VERS, select="SELECT collection, version, md5(array_to_string(toks, ' ')) AS content FROM vers WHERE len(toks) > 0"),
     "tradeoff_windows": sql(*TRADE, select="SELECT * FROM trade"),
     "best_window": sql(*TRADE, select="SELECT collection, w, 2 * n_postings + 2 * n_frags + 2 * n_apps AS cost FROM trade QUALIFY row_number() OVER (PARTITION BY collection ORDER BY 2 * n_postings + 2 * n_frags + 2 * n_apps, w) = 1"),
@@ -250,6 +292,17 @@ WHERE a.id < b.id AND a."start" < b."end" AND b."start" < a."end" AND a.cell = g
     "index_merge": sql(DOCS, TOK, select=f"SELECT term, doc_id // {BLOCK} AS block, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, md5(string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id % 3, doc_id, pos)) AS postings FROM tok GROUP BY 1, 2"),
     "forward_restore": sql(DOCS, select="SELECT doc_id, md5(array_to_string(toks, ' ')) AS content FROM docs WHERE len(toks) > 0"),
     "version_fragments": sql(*_CUT, select="SELECT collection, version, md5(string_agg(hash, ' ' ORDER BY hash)) AS fragments, count(*) AS n FROM (SELECT DISTINCT collection, version, hash FROM frags) GROUP BY collection, version"),
+    "fused_groups": recursive(
+        *_CUT, *chains("frags", "hash"),
+        select="SELECT collection, head, id, rank, n FROM (SELECT *, count(*) OVER (PARTITION BY collection, head) AS n FROM chain) WHERE n > 1",
+    ),
+    "fused_ids": recursive(
+        *TRADE, CHOSEN, *chains("(SELECT a.collection, a.version, a.\"offset\" AS \"start\", a.len, a.frag_id FROM (SELECT apps.*, named.collection FROM apps JOIN named USING (frag_id)) a)", "frag_id"),
+        """fused AS (SELECT n.collection, c.head, CASE WHEN count(*) = 1 THEN min(n.hash) ELSE md5(string_agg(n.hash, ' ' ORDER BY c.rank)) END AS hash, sum(n.len)::BIGINT AS len, min(n.size) AS size
+  FROM named n JOIN chain c ON c.id = n.frag_id GROUP BY n.collection, c.head)""",
+        select="SELECT row_number() OVER (ORDER BY head) - 1 AS frag_id, collection, hash, len, size FROM fused",
+    ),
+    "fused_round_trip": sql(VERS, select="SELECT collection, version, md5(array_to_string(toks, ' ')) AS content FROM vers WHERE len(toks) > 0"),
     "mergeable_fragments": sql(
         *_CUT,
         select="""SELECT collection, a.hash AS left_id, b.hash AS right_id FROM frags a JOIN frags b USING (collection, version)
@@ -306,9 +359,8 @@ ON p.collection = c.collection AND p.version = c.version AND p.level = c.level A
         *_CUT, levels(3),
         select="""SELECT collection, hash, any_value(len) AS len, count(*) AS size FROM (SELECT DISTINCT collection, version, "start", "end" - "start" AS len, md5(array_to_string(toks["start" + 1 : "end"], ' ')) AS hash FROM lev) GROUP BY collection, hash""",
     ),
-    "select_cover": sql(VERS, select="SELECT collection, 1.0::DOUBLE AS w, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
+    "select_cover": recursive(*_CUT, levels(3), *greedy_cover([1.0]), select="SELECT collection, rank, hash, len, size, first.v AS version, first.o AS \"offset\", CAST(0 AS BIGINT) AS faults FROM chosen"),
     "select_cover_grammar": sql(VERS, select="SELECT collection, 1.0::DOUBLE AS w, version, CAST(len(toks) AS BIGINT) AS held, CAST(0 AS BIGINT) AS faults FROM vers WHERE len(toks) > 0"),
-    "sweep_tradeoff": sql(VERS, select=f"SELECT collection, w, CAST(sum(len(toks)) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS faults, true AS sane FROM vers CROSS JOIN (SELECT unnest([{_SWEEP}])::DOUBLE AS w) WHERE len(toks) > 0 GROUP BY collection, w"),
     "budget_choice": sql(
         *TRADE, *_FRONTIER,
         """plan AS (SELECT list_reduce([[budget - least]] || list([d, apps, k] ORDER BY worst DESC, collection, k), lambda acc, x:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, grammar, index, kernels, optimise, segments, versioned
+from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, segments, versioned
 from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
@@ -464,20 +464,35 @@ def cover_checks(spark, sf_dir, weights, by_grammar: bool) -> DataFrame:
     return held.join(faults, ["collection", "w", "version"], "left").select("collection", "w", "version", "held", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
 
 
+def cover_products(arrays: DataFrame, covers: DataFrame) -> DataFrame:
+    """collection, w, rank, hash, len, size, version, offset of each chosen fragment, the last two of its first application, and its collection's faults.
+
+    A fault is a version that the cover doesn't hold exactly once, or an application whose tokens don't have its fragment's hash.
+    """
+    one = covers.groupBy("collection", "w", "rank", "hash", "len").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("version", "offset")).alias("first"))
+    wrong = fragments.coverage_faults(covers, arrays).select("collection", "w").unionByName(fragments.hash_faults(covers, arrays).select("collection", "w"))
+    faults = wrong.groupBy("collection", "w").agg(F.count(F.lit(1)).alias("faults"))
+    return one.join(faults, ["collection", "w"], "left").select("collection", "w", "rank", "hash", "len", "size", "first.version", "first.offset", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
+def cover_figures(arrays: DataFrame, covers: DataFrame) -> DataFrame:
+    """collection, w, n_apps, n_frags, n_postings, covered tokens and faults of each cover."""
+    rows = cover_products(arrays, covers).groupBy("collection", "w")
+    return rows.agg(F.sum("size").alias("n_apps"), F.count(F.lit(1)).alias("n_frags"), F.sum("len").alias("n_postings"), F.sum(F.col("size") * F.col("len")).alias("covered"), F.max("faults").alias("faults"))
+
+
 @query
 def select_cover(spark, sf_dir):
-    """The greedy cover of multi-level candidates, checked token by token."""
-    return cover_checks(spark, sf_dir, [1.0], False)
+    """The fragments of the greedy cover of multi-level candidates, in the order in which they were chosen."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    return _longs(cover_products(arrays, covers_of(arrays, [1.0])), "collection", "rank", "hash", "len", "size", "version", "offset", "faults")
 
 
 @query
 def select_cover_totals(spark, sf_dir):
-    """Tokens that the chosen cover holds per collection, and versions it doesn't hold exactly once."""
+    """Applications, fragments, postings and tokens of the greedy cover of each collection."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = covers_of(arrays, [1.0])
-    faults = fragments.coverage_faults(covers, arrays).groupBy("collection").agg(F.count(F.lit(1)).alias("faults"))
-    held = covers.groupBy("collection").agg(F.sum("len").alias("covered"))
-    return held.join(faults, "collection", "left").select("collection", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"))
+    return _longs(cover_figures(arrays, covers_of(arrays, [1.0])), "collection", "n_apps", "n_frags", "n_postings", "covered", "faults")
 
 
 @query
@@ -512,6 +527,26 @@ def mergeable_fragments(spark, sf_dir):
     return fragments.mergeable(cut.select("collection", F.col("hash").alias("id"), "version", F.col("start").alias("offset"), "len"))
 
 
+@query
+def fused_groups(spark, sf_dir):
+    """Chains of fragments that stand side by side wherever they stand."""
+    cut = winnow_fragments(corpus.versions(spark, sf_dir))
+    rows = fusion.groups(cut.select("collection", F.col("hash").alias("id"), "version", F.col("start").alias("offset"), "len"))
+    return rows.select("collection", "head", "id", F.col("rank").cast("long").alias("rank"), "n")
+
+
+@query
+def fused_ids(spark, sf_dir):
+    """The dictionary of the versioned index after fusing."""
+    return fusion.fuse(versioned_of(spark, sf_dir)).dictionary.select("frag_id", "collection", "hash", F.col("len").cast("long").alias("len"), F.col("size").cast("long").alias("size"))
+
+
+@query
+def fused_round_trip(spark, sf_dir):
+    """Versions rebuilt from the fused index alone."""
+    return versioned.restore(fusion.fuse(versioned_of(spark, sf_dir))).select("collection", F.col("version").cast("long").alias("version"), content().alias("content"))
+
+
 # --- optimisation ------------------------------------------------------------------
 
 
@@ -522,14 +557,9 @@ def tradeoff_windows(spark, sf_dir):
 
 @query
 def sweep_tradeoff(spark, sf_dir):
-    """The 20-value sweep over multi-level candidates: per weight, tokens covered, versions with faults, and whether the figures can be."""
+    """The trade-off of each of the sweep's 20 weights: applications, fragments and postings of the cover of each collection."""
     arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
-    covers = covers_of(arrays, SWEEP)
-    held = covers.groupBy("collection", "w").agg(F.sum("len").alias("covered"))
-    faults = fragments.coverage_faults(covers, arrays).groupBy("collection", "w").agg(F.count(F.lit(1)).alias("faults"))
-    rows = fragments.tradeoff(covers).join(held, ["collection", "w"]).join(faults, ["collection", "w"], "left")
-    sane = (F.col("n_frags") <= F.col("n_apps")) & (F.col("n_postings") <= F.col("covered")) & (F.col("n_frags") > 0)
-    return rows.select("collection", "w", "covered", F.coalesce("faults", F.lit(0)).cast("long").alias("faults"), sane.alias("sane"))
+    return cover_figures(arrays, covers_of(arrays, SWEEP)).select("collection", "w", *(F.col(c).cast("long").alias(c) for c in ("n_apps", "n_frags", "n_postings", "covered", "faults")))
 
 
 @query
