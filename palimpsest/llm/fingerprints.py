@@ -32,6 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 from palimpsest import scratch as _scratch
 from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
+from palimpsest.llm._filters import only_wanted
 from palimpsest.llm.components import components, smallest
 from palimpsest.session import share_seed
 
@@ -106,15 +108,15 @@ FIRST, LAST = 0, 1
 
 def _in_order(batches):
     """Sorted documents of one range: results of all but the last, and the first and the last one as edges."""
-    part, held = TaskContext.get().partitionId(), None
+    part, held, z = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor()
 
     def edge(side: int, doc) -> dict:
         i, text, fp = doc
         return {n: None for n in ROWS.names} | {"doc_id": i, "fp": fp, "edge": side, "part": part, "text": text}
 
     for batch in batches:
-        for lo, hi, _, _ in T.blocks(None, batch.column(1), 2 << 20):
-            ids, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+        for lo, hi, _, _ in T.blocks(None, batch.column(1), 1 << 20):
+            ids, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), [z.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
             before = [held] if held else []
             docs = [d[:2] for d in before] + list(zip(ids, texts, strict=True))
             changed = [edited(a[1], b[1]) for a, b in zip(docs, docs[1:])]
@@ -128,6 +130,13 @@ def _in_order(batches):
         yield pa.RecordBatch.from_pylist([edge(LAST, held)], ROWS)
 
 
+def _packed(batches):
+    """Texts compressed one by one, as they are shuffled."""
+    z = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "tie", "text"])
+
+
 def _across(batches):
     """Results of the documents at the end of a range."""
     for batch in batches:
@@ -141,10 +150,11 @@ def _across(batches):
 def documents_in_order(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next of every row, as a table."""
     share_seed(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("tie"), "text")
     ranges = min(MOST_RANGES, max(16, -(-C.corpus_bytes(docs, text) // RANGE_BYTES)))
-    keys = (F.col("doc_id").asc_nulls_last(), F.col("text").asc())
-    made = _scratch.table(src.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(C.settled(_in_order), ROWS_DDL), "fingerprints")
+    keys = (F.col("doc_id").asc_nulls_last(), F.col("tie").asc())
+    small = src.mapInArrow(C.settled(_packed), "doc_id long, tie long, text binary")
+    made = _scratch.table(small.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(C.settled(_in_order), ROWS_DDL), "fingerprints")
     # at most MOST_RANGES numbers: which range comes after which
     parts = sorted(r["part"] for r in made.where(F.col("edge") == FIRST).select("part").collect())
     after = dict(zip(parts, parts[1:] + parts[:1], strict=True))
@@ -164,19 +174,20 @@ def tables(radius: int, blocks: int = BLOCKS) -> list[tuple[int, ...]]:
 
 
 def _permuted(radius: int):
-    """Per fingerprint a row per table, keyed by the table and its blocks."""
+    """Per fingerprint a row per table; its bucket is a hash of the table and the table's front blocks."""
     chosen = tables(radius)
     width = BITS // BLOCKS // 8
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
-            names = ["node", "fp", "n", "table", "key"]
+            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, BLOCKS, width)
             for t, blocks in enumerate(chosen):
-                front = fp.reshape(n, BLOCKS, width)[:, list(blocks)].reshape(n, -1)
-                keys = pa.array([k.tobytes() for k in front], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(n, t, np.int32)), keys], names=names)
+                front = np.zeros((n, 16), np.uint8)
+                front[:, : (BLOCKS - radius) * width] = fp[:, list(blocks)].reshape(n, -1)[:, :16]
+                halves = front.view(np.uint64)
+                bucket = T.mix(halves[:, 0] ^ T.mix(halves[:, 1] + np.uint64(t + 1))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.full(n, t, np.int32)), pa.array(bucket)], names=["node", "fp", "n", "table", "bucket"])
 
     return run
 
@@ -248,7 +259,7 @@ PAIRS = 1 << 20
 
 def _compared(radius: int):
     """Links of sorted buckets: per fingerprint how many documents it links with, and a link to its class among them."""
-    names = ["table", "key", "i", "j"]
+    names = ["table", "bucket", "i", "j"]
 
     def results(t: pa.Table, size: np.ndarray) -> pa.RecordBatch:
         node, n, side, which = (t.column(c).to_numpy() for c in ("node", "n", "side", "table"))
@@ -303,14 +314,15 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     # 64 bits of MD5 name a fingerprint in the search; equal names of different ones are told apart by the bits
     nodes = _scratch.table(nodes.withColumn("node", F.conv(F.substring(F.md5("fp"), 1, 15), 16, 10).cast("long")), "prints")
-    placed = nodes.select("node", "fp", "n").mapInArrow(C.settled(_permuted(radius)), "node long, fp binary, n long, table int, key binary")
-    several = _scratch.table(placed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    live = placed.join(several, ["table", "key"])
+    placed = nodes.select("node", "fp", "n").mapInArrow(C.settled(_permuted(radius)), "node long, fp binary, n long, table int, bucket long")
+    # most fingerprints are alone in their buckets: those don't go further than a count
+    several = _scratch.table(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    live = only_wanted(placed, "bucket", several)
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     dealt = live.withColumn("nt", tiles).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("nt")).cast("int"))
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    pairs = pairs.select("table", "key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"), "node", "fp", "n")
-    bucket = ("table", "key", "i", "j")
+    pairs = pairs.select("table", "bucket", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.when(F.col("own") > F.col("o"), 1).otherwise(0).alias("side"), "node", "fp", "n")
+    bucket = ("table", "bucket", "i", "j")
     found = pairs.repartition(*bucket).sortWithinPartitions(*bucket, "side", "node").mapInArrow(C.settled(_compared(radius)), "node long, links long, root long")
     found = _scratch.table(found, "near")
     label = components(found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -334,7 +346,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "
 
     A null text counts as empty; texts without words have fingerprint 0 and so are alike; a null id
     comes after all others, and a class of null ids only has a null component_id; rows
-    with equal ids are ordered by text; rows that repeat both follow each other and get a row each.  Texts of
+    with equal ids follow each other by a hash of their texts; rows that repeat both follow each other and get a row each.  Texts of
     any length are read whole.  Other columns are ignored; an empty table gives an empty result.
     """
     made = _scratch.table(documents_in_order(docs, id_col, text), "documents")
