@@ -88,6 +88,7 @@ def recursive(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
 
+_WID = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)"
 _SWEEP = ", ".join(map(str, SWEEP))
 #: Documents per index block.
 BLOCK = 4096
@@ -383,6 +384,10 @@ JOIN (SELECT collection, count(*) AS tree_apps FROM (SELECT collection, version,
     "versioned_reduction": sql(*TRADE, CHOSEN, select="SELECT (SELECT CAST(sum(len(toks)) AS BIGINT) FROM vers) AS before, (SELECT CAST(sum(len) AS BIGINT) FROM named) AS after, (SELECT count(*) FROM named) AS n_frags, (SELECT count(*) FROM apps) AS n_apps"),
     "metadata_file": sql(*TRADE, CHOSEN, select='SELECT frag_id, len, version, "offset" FROM apps'),
     "metadata_varbyte": sql(*TRADE, CHOSEN, select='SELECT frag_id, len, version, "offset" FROM apps'),
+    "layout_corpus": sql(VERS, select=f"SELECT min(doc_id) OVER (PARTITION BY collection) AS doc, version, len(toks) AS n, md5(array_to_string(list_transform(toks, lambda t: {_WID}), ' ')) AS toks FROM vers"),
+    "layout_postings": sql(VERS, select=f"SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY collection) AS doc, version, len(toks) AS n, md5(array_to_string(list_transform(toks, lambda t: {_WID}), ' ')) AS toks FROM vers) WHERE n > 0"),
+    "layout_index": sql(DOCS, TOK, select=f"SELECT wid, count(*) AS freq, md5(string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id, pos)) AS postings FROM (SELECT {_WID} AS wid, doc_id, pos FROM (SELECT term AS t, doc_id, pos FROM tok)) GROUP BY wid"),
+    "layout_fragments": sql(*TRADE, CHOSEN, select='SELECT frag_id, len, version, "offset" FROM apps'),
     "lookup_all_terms": sql(DOCS, TOK, select="SELECT doc_id FROM tok WHERE term IN ('the', 'of', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 3"),
     "lookup_phrase": sql(DOCS, select="SELECT doc_id, i - 1 AS pos FROM (SELECT doc_id, toks, unnest(range(1, len(toks))) AS i FROM docs) WHERE toks[i] = 'of' AND toks[i + 1] = 'the'"),
     "copy_ranges": sql(

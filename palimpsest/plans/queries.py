@@ -13,7 +13,7 @@ from palimpsest.operators import features, fragments, fusion, grammar, index, ke
 from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
-from palimpsest.sources import corpus, sinks
+from palimpsest.sources import corpus, layouts, sinks
 
 KEYS = ("collection", "version")
 QUERIES: dict = {}
@@ -780,4 +780,65 @@ def metadata_varbyte(spark, sf_dir):
     return sinks.read_metadata_varbyte(spark, at)
 
 
+# --- binary layouts --------------------------------------------------------------
+
+
+def _through(rows: DataFrame, layout: str) -> DataFrame:
+    """rows, written in a binary layout and read back."""
+    spark = rows.sparkSession
+    layouts.register(spark)
+    at = _folder(spark, layout)
+    rows.write.format(layout).mode("overwrite").save(at)
+    return spark.read.format(layout).load(at)
+
+
+def numbered_versions(spark, sf_dir) -> DataFrame:
+    """doc, version, toks: collections by their smallest document id, tokens as text, in files' order."""
+    rows = corpus.versions(spark, sf_dir)
+    first = rows.groupBy("collection").agg(F.min("doc_id").alias("doc"))
+    named = rows.join(first, "collection").select("doc", F.col("version").cast("long").alias("version"), "toks")
+    return scratch.table(named, "numbered").repartitionByRange("doc").sortWithinPartitions("doc", "version")
+
+
+def _digest(col) -> F.Column:
+    return F.md5(F.array_join(F.col(col).cast("array<string>"), " "))
+
+
+@query
+def layout_corpus(spark, sf_dir):
+    """Word ids of all versions, through corpus files."""
+    ids = F.transform("toks", corpus.word_id)
+    rows = _through(numbered_versions(spark, sf_dir).select("doc", "version", ids.alias("toks")), "corpus_files")
+    return rows.select("doc", "version", F.size("toks").cast("long").alias("n"), _digest("toks").alias("toks"))
+
+
+@query
+def layout_postings(spark, sf_dir):
+    """Posting lists of each version, through a file per document."""
+    lists = kernels.with_terms(numbered_versions(spark, sf_dir), "doc", "version")
+    rows = lists.select("doc", "version", F.array_sort(F.transform("terms", lambda t: F.struct(corpus.word_id(t["term"]).alias("wid"), t["positions"].alias("positions")))).alias("terms"))
+    back = corpus.decode_postings(_through(rows, "posting_files"), "doc", "version")
+    return back.groupBy("doc", "version").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "wid"))), lambda x: x["wid"].cast("string")), " ")).alias("toks"))
+
+
+@query
+def layout_index(spark, sf_dir):
+    """The inverted index of all documents by word id, through index files."""
+    rows = index.term_rows(corpus.token_arrays(spark, sf_dir), "doc_id").withColumn("term", corpus.word_id().cast("string"))
+    blocks = index.build(rows.groupBy("doc_id", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")))
+    wide = F.transform("postings", lambda p: F.struct(p["docid"].cast("long").alias("docid"), p["pos"].cast("long").alias("pos")))
+    ready = scratch.table(blocks.select(F.col("term").cast("long").alias("wid"), "block", wide.alias("postings")), "blocks").repartitionByRange("wid").sortWithinPartitions("wid", "block")
+    back = _through(ready.select("wid", "postings"), "index_files")
+    return back.select("wid", F.size("postings").cast("long").alias("freq"), list_digest(lambda p: [p["docid"]]).alias("postings"))
+
+
+@query
+def layout_fragments(spark, sf_dir):
+    """Fragment metadata of the versioned index, through a fragment file."""
+    rows = sinks.gathered(_metadata(spark, sf_dir))
+    wide = F.transform("apps", lambda a: F.struct(a["version"].cast("long").alias("version"), a["offset"].cast("long").alias("offset")))
+    back = _through(rows.select(F.col("frag_id").cast("long").alias("frag_id"), F.col("len").cast("long").alias("len"), wide.alias("apps")), "fragment_files")
+    return back.select("frag_id", "len", F.explode("apps").alias("a")).select("frag_id", "len", "a.version", "a.offset")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "SWEEP"]
