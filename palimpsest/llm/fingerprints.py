@@ -49,7 +49,7 @@ BLOCKS = 8
 RADIUS = 6
 TILE = 2048
 #: Bytes of text that one range of ids is meant to hold, and the most ranges there are.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 32768
 
 
