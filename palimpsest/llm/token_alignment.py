@@ -41,7 +41,7 @@ from palimpsest.llm import _text as T
 from palimpsest.llm.packing import _byte_letters
 
 #: Units in a worker's cache, and the longest one that it keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 250_000
 LONGEST_UNIT = 64
 #: Bytes of text in a block.
 BLOCK = 4 << 20
