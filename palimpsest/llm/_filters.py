@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 1 << 25
@@ -34,3 +36,17 @@ def replaced(rows: DataFrame, key: str, changes: DataFrame, value: str) -> DataF
     same = told.where(~F.col("_maybe")).drop("_maybe")
     new = told.where("_maybe").drop("_maybe").join(changes.select(key, value), key, "left").withColumn(key, F.coalesce(value, key)).select(*rows.columns)
     return same.select(*rows.columns).unionByName(new)
+
+
+def without(docs: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys are in ``gone`` (columns of the same names; nulls equal each other).
+
+    All columns of docs come back, whatever their names: they travel as one
+    struct.  Only rows that the bitmap can't tell from those that go are shuffled.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *(c.alias(k) for k, c in keys.items()))
+    told = marked(rows.withColumn("_key", F.xxhash64(*keys)), "_key", gone.select(F.xxhash64(*keys).alias("_key")))
+    away = gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys]
+    rest = told.where("_maybe").join(away, reduce(lambda a, b: a & b, same), "left_anti")
+    return told.where(~F.col("_maybe")).select("_doc.*").unionByName(rest.select("_doc.*"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
+from palimpsest.llm._filters import without
 
 SKETCH_ITEMS = 8192
 MERGE_GROUPS = 64
@@ -67,27 +68,39 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ma
     equal text are kept or dropped alike; other columns are ignored; an empty
     table gives an empty result.
     """
+    done, rest = _split(docs, id_col, text, max_winners, min_copies)[1:]
+    return done.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _split(docs: DataFrame, id_col: str, text: str, max_winners: int, min_copies: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(winners, rows of winners, all other rows), rows as doc_id, digest, keep_id, group_size."""
     rows = _scratch.table(digests(docs, id_col, text), "digests")
-    winners = heavy_hitters(rows, max_winners, min_copies)
+    winners = _scratch.table(heavy_hitters(rows, max_winners, min_copies), "winners")
     hot = F.broadcast(winners.withColumnRenamed("digest", "w"))
     marked = rows.join(hot, rows["digest"] == F.col("w"), "left")
     done = marked.where(F.col("w").isNotNull()).select("doc_id", "digest", "keep_id", "group_size")
-    own = Window.partitionBy("digest")
-    rest = marked.where(F.col("w").isNull()).select("doc_id", "digest").withColumn("keep_id", F.min("doc_id").over(own)).withColumn("group_size", F.count(F.lit(1)).over(own))
-    return done.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    cold = marked.where(F.col("w").isNull()).select("doc_id", "digest")
+    # groups are summed map-side, so a digest that is frequent without being a winner is no large group of one task
+    groups = cold.groupBy(F.col("digest").alias("d")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = cold.join(groups, F.col("digest") == F.col("d")).select("doc_id", "digest", "keep_id", "group_size")
+    return winners, done, rest
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_winners: int = 2000, min_copies: int = 50) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged, whatever their names.
 
     Decided per (id, text): rows with equal text and the same id all stay or go
     together (see exact_groups); other texts of a null or repeated id are rows
-    of their own.  Null and empty texts are equal; an empty table stays empty.
+    of their own.  Null and empty texts are equal; texts of any length count whole; an empty table stays empty.
+    Copies of winners are removed map-side, by the broadcast; of the others only rows that a
+    bitmap of those that go can't rule out are shuffled.
     """
-    gone = exact_groups(docs, id_col, text, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_gone_digest")).distinct()
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text), 256)))
-    same = marked[id_col].cast("long").eqNullSafe(gone["_gone"]) & (marked["_digest"] == gone["_gone_digest"])
-    return marked.join(gone, same, "left_anti").drop("_digest")
+    winners, _, rest = _split(docs, id_col, text, max_winners, min_copies)
+    gone = _scratch.table(rest.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(normalised(text), 256)).alias("_digest"))
+    told = rows.join(F.broadcast(winners.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_hot"))), "_digest", "left")
+    left = told.where(F.col("_hot").isNull() | F.col("_id").eqNullSafe(F.col("_keep"))).select("_doc", "_id", "_digest")
+    return without(left, {"_gone_id": F.col("_id"), "_gone_digest": F.col("_digest")}, gone.select(F.col("_id").alias("_gone_id"), F.col("_digest").alias("_gone_digest"))).select("_doc.*")
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from palimpsest import scratch as _scratch
 from palimpsest.llm import _chunks as C
 from palimpsest.llm import _text as T
-from palimpsest.llm._filters import marked, only_wanted
+from palimpsest.llm._filters import marked, only_wanted, without
 from palimpsest.llm.components import components
 from palimpsest.session import share_seed
 
@@ -399,8 +399,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     empty table stays empty.
     """
     gone = _groups(docs, id_col, text, shingle, percent).where(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", row_id(F.col(id_col).cast("long"), F.col(text)))
-    return rows.join(gone, "_row", "left_anti").drop("_row").select(*docs.columns)
+    return without(docs, {"_row": row_id(F.col(id_col).cast("long"), F.col(text))}, _scratch.table(gone, "gone"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
