@@ -1,6 +1,6 @@
 """Document chunks: the unit in which repeat detection reads the corpus.
 
-Rows are dealt to chunks by a hash of id and text, about CHUNK_BYTES of text
+Rows are dealt to chunks by a hash of id and text (repeated rows on from there), about CHUNK_BYTES of text
 each, and packed into compressed blobs before the shuffle.  The number of
 chunks grows with the corpus, so a chunk's memory does not.  The packed
 exchange is the same plan in every pass, so Spark writes it once and reuses it.
@@ -21,12 +21,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm._text import mix
 from palimpsest.session import share_seed
 
 CHUNK_BYTES = 4 << 20
+#: Rows that repeat id and text and go to one chunk together.
+SAME = 32
 BUCKET_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).max
 
@@ -47,26 +51,51 @@ def pack(z: zstandard.ZstdCompressor, x) -> bytes:
     return z.compress(x.tobytes() if isinstance(x, np.ndarray) else x)
 
 
+def repeats(key: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """How often each key came before, in these and in earlier batches; ``seen`` is kept up."""
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    size = np.diff(np.append(head, len(key)))
+    own = key[order][head].tolist()
+    before = np.array([seen.get(k, 0) for k in own], np.int64)
+    seen.update(zip(own, (before + size).tolist(), strict=True))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.arange(len(key)) - np.repeat(head, size) + np.repeat(before, size)
+    return out
+
+
 def packed(docs: DataFrame, id_col: str, text: str, n_chunks: int, by_id: bool = False) -> DataFrame:
     """Rows (chunk, n, ids, lens, text) hash-partitioned by chunk.
 
     A null id becomes NULL_ID, a null text the empty text.  by_id: the chunk is
-    that of the id alone, so other tables can meet their documents by chunk.
+    that of the id alone, so other tables can meet their documents by chunk; rows of a null id,
+    whom no table can name, are dealt by their text.
+
+    Rows that repeat id and text would all be of one chunk: those after the first
+    in a task are dealt on, ``SAME`` at a time, by their number and the task's.  They
+    can't be told from each other, so a task that runs again sends every chunk the same.
     """
     share_seed(docs.sparkSession)
-    dealt = [F.col(id_col).cast("long")] if by_id else [F.col(id_col), F.col(text)]
+    both = F.xxhash64(F.col(id_col), F.col(text))
+    by_own = F.xxhash64(F.col(id_col).cast("long"))
     rows = docs.select(
-        F.pmod(F.xxhash64(*dealt), F.lit(n_chunks)).cast("int").alias("chunk"),
+        (F.when(F.col(id_col).isNotNull(), by_own).otherwise(both) if by_id else both).alias("key"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
 
     def deal(batches):
         z = zstandard.ZstdCompressor(level=3)
+        seen, task = {}, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk = batch.column(0).to_numpy(zero_copy_only=False)
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            chunk = np.mod(key, n_chunks)
+            # a null id of op6 isn't repeated by its key alone, but is dealt on alike
+            again = repeats(key, seen) if not by_id else np.where(batch.column(1).to_numpy(zero_copy_only=False) == NULL_ID, repeats(key, seen), 0)
+            late = np.flatnonzero(again)
+            chunk[late] = np.mod(mix(mix(key[late].view(np.uint64)) + (again[late] // SAME + (task << 24)).astype(np.uint64)).view(np.int64), n_chunks)
             order = np.argsort(chunk, kind="stable")
             cuts = np.flatnonzero(np.diff(chunk[order])) + 1
             for part in np.split(order, cuts):

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch as _scratch
 
+#: Rounds after which a circle is looked for.
+LONG = 4
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -31,25 +33,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def reply_paths(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
+def reply_paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, depth) for every message of every root-to-leaf path; depth counts from the leaf.
 
     nodes: tree, node, parent, with unique (tree, node).  A parent that isn't in
-    the tree counts as none.  Raises ValueError if replies form a cycle.
+    the tree counts as none, and so does that of a message in a circle of replies, itself included.
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
-    jump = _scratch.table(nodes.where("parent is not null").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")), "jump")
+    jump = _scratch.table(nodes.where("parent is not null and parent != node").join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("up")), "jump")
     inner = jump.select("tree", F.col("up").alias("node")).distinct()
     paths = nodes.select("tree", "node").join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
     paths = _scratch.table(paths, "paths")
-    for k in range(max_rounds):
-        if not jump.limit(1).count():
-            return paths
+    k, largest = 0, None
+    while jump.limit(1).count():
+        if k >= LONG and largest is None:
+            largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        if largest is not None and 1 << k > largest:
+            # no path is that long: what is still above someone lies on a circle
+            circle = _scratch.table(jump.select("tree", F.col("up").alias("node"), F.lit(True).alias("round")).distinct(), "circles")
+            cut = nodes.join(circle, ["tree", "node"], "left").select("tree", "node", F.when(F.col("round").isNull(), F.col("parent")).alias("parent"))
+            return reply_paths(_scratch.table(cut, "cut"))
         more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         paths = _scratch.table(paths.unionByName(more), "paths")
         far = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("far"))
         jump = _scratch.table(jump.join(far, ["tree", "up"]).select("tree", "node", F.col("far").alias("up")), "jump")
-    raise ValueError("replies form a cycle")
+        k += 1
+    return paths
 
 
 def choose_branches(nodes: DataFrame, paths: DataFrame, branches: int | None) -> DataFrame:
@@ -66,7 +75,8 @@ def format_reply_trees(messages: DataFrame, tree: str, node: str, parent: str, r
 
     Null texts, roles and scores count as empty, empty and 0.  A null tree is a
     tree of its own; rows without a node are left out; of rows that repeat a
-    node, the smallest by (parent, role, text) counts.  Equal scores rank by
+    node, the smallest by (parent, role, text) counts; messages in a circle of replies
+    are roots.  Equal scores rank by
     leaf.  Texts of any length are formatted whole.  Other columns are ignored;
     an empty table gives no paths.
     """

@@ -19,10 +19,14 @@ def test_paths_and_ranking(spark):
     assert [r.formatted for r in best] == ["<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n<|im_start|>user\nd<|im_end|>\n"]
 
 
-def test_cycle_is_an_error(spark):
-    df = spark.createDataFrame([(1, 1, 2, "u", "a"), (1, 2, 1, "u", "b")], "t int, n int, p int, role string, text string")
-    with pytest.raises(ValueError):
-        F3.reply_paths(df.selectExpr("t as tree", "n as node", "p as parent"), max_rounds=4)
+def test_circles_are_cut(spark):
+    """Messages in a circle of replies are roots; one that replies to itself too; long chains are no circles."""
+    rows = [(1, 1, 2, "u", "a"), (1, 2, 1, "u", "b"), (1, 3, 2, "u", "c"), (2, 5, 5, "u", "d"), (2, 6, 5, "u", "e")]
+    rows += [(3, k, k - 1 if k else None, "u", "f") for k in range(70)] + [(4, k, (k + 1) % 3, "u", "g") for k in range(3)]
+    df = spark.createDataFrame(rows, "t int, n int, p int, role string, text string").selectExpr("t as tree", "n as node", "p as parent")
+    got = sorted(tuple(r) for r in F3.reply_paths(df).select("tree", "leaf", "node", "depth").collect())
+    want = [(1, 1, 1, 0), (1, 3, 3, 0), (1, 3, 2, 1), (2, 6, 6, 0), (2, 6, 5, 1)] + [(3, 69, k, 69 - k) for k in range(70)] + [(4, k, k, 0) for k in range(3)]
+    assert got == sorted(want)
 
 
 def test_round_trip(spark):
