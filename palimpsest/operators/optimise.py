@@ -109,19 +109,16 @@ def spend_pairs(points: dict, budget: int) -> dict:
     return {d: points[d][k] for d, k in _spend(points, dict.fromkeys(points, 0), left, next_jumps).items()}
 
 
-#: Steps that are finished on the driver.
-FEW_STEPS = 20_000
-
-
-def spend(rows: DataFrame, budget: int, key: str = "collection", jumps: bool = False, few: int = FEW_STEPS) -> DataFrame:
+def spend(rows: DataFrame, budget: int, key: str = "collection", jumps: bool = False) -> DataFrame:
     """key, w: spend_marginal (or with ``jumps`` spend_pairs) of frontier rows, in rounds over a table of any size.
 
     A document's steps have a fixed place in the global order: that of the worst
     rate up to them, since a better step follows at once.  In a round all steps that can
-    fit are dealt to ranges of that order; their running sum, per range and then inside one,
-    tells the first that doesn't fit.  All before it are taken, and as the
-    budget only shrinks, steps larger than what is left never fit again.  Once
-    no more than ``few`` steps can fit, they are finished on the driver.
+    fit are dealt to ranges of that order, by sampled quantiles of their rates; their running sum, per range and then inside the
+    range in which the budget ends, tells the first that doesn't fit, ties by document included.  All before it are taken, and as the
+    budget only shrinks, steps larger than what is left never fit again.  Only
+    sums per range reach the driver.  The first step of a round always fits, and what is left is less than
+    the step that ended it, so few rounds follow.
     Raises ValueError if the budget doesn't hold every document's first row.
     An empty table gives an empty result.
     """
@@ -151,9 +148,7 @@ def spend(rows: DataFrame, budget: int, key: str = "collection", jumps: bool = F
         order = [F.desc("rate"), F.asc("d"), F.asc("to")]
         dealt = scratch.table(steps_.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "steps")
         # one row per range
-        sums = sorted(dealt.groupBy("part").agg(F.sum("apps").alias("apps"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"])
-        if sum(r["n"] for r in sums) <= few:
-            break
+        sums = sorted(dealt.groupBy("part").agg(F.sum("apps").alias("apps")).collect(), key=lambda r: r["part"])
         rest, last = left, None
         for r in sums:
             if r["apps"] > rest:
@@ -171,12 +166,6 @@ def spend(rows: DataFrame, budget: int, key: str = "collection", jumps: bool = F
         left = rest
         if last is None:
             return state.select(F.col("d").alias(key), F.col("p")[F.col("at")]["w"].alias("w"))
-    # at most ``few`` documents have a step that can fit
-    open_ = state.join(dealt.select("d").distinct(), "d").collect()
-    points = {r["d"]: [(x["n_apps"], x["n_postings"]) for x in r["p"]] for r in open_}
-    at = _spend(points, {r["d"]: r["at"] for r in open_}, left, chain)
-    moved = state.sparkSession.createDataFrame(list(at.items()), f"d {kind}, to int")
-    return state.join(F.broadcast(moved), "d", "left").select(F.col("d").alias(key), F.col("p")[F.coalesce("to", "at")]["w"].alias("w"))
 
 
 def with_chosen(rows: DataFrame, chosen: DataFrame, default: float = 1.0, key: str = "collection") -> DataFrame:

@@ -370,7 +370,18 @@ ON p.collection = c.collection AND p.version = c.version AND p.level = c.level A
 taken AS (SELECT t // 100 AS d, max(t % 100) AS k FROM (SELECT unnest(acc[2:]) AS t FROM plan) WHERE t > 0 GROUP BY 1)""",
         select="SELECT collection, w FROM rowed LEFT JOIN taken USING (d) WHERE rowed.k = coalesce(taken.k, 1)",
     ),
-    "budget_jumps": sql(VERS, select="SELECT count(DISTINCT collection) AS n_collections, count(DISTINCT collection) AS n_distinct, true AS kept FROM vers WHERE len(toks) > 0"),
+    "budget_jumps": recursive(
+        *TRADE, *_FRONTIER,
+        """own AS MATERIALIZED (SELECT d, k, collection, w, n_apps, n_postings FROM rowed)""",
+        # one jump in each step: the best of all that fit
+        """run AS (SELECT 0 AS i, d, 1 AS k, n_apps, n_postings, budget - least AS rest FROM own CROSS JOIN limits WHERE k = 1
+  UNION ALL (
+    WITH now AS MATERIALIZED (SELECT * FROM run),
+    best AS MATERIALIZED (SELECT s.d, r.k, r.n_apps, r.n_postings, r.n_apps - s.n_apps AS extra FROM now s JOIN own r ON r.d = s.d AND r.k > s.k AND r.n_postings < s.n_postings AND r.n_apps - s.n_apps <= s.rest
+      ORDER BY (s.n_postings - r.n_postings)::DOUBLE / (r.n_apps - s.n_apps)::DOUBLE DESC, s.d, r.k LIMIT 1)
+    SELECT i + 1, s.d, CASE WHEN s.d = b.d THEN b.k ELSE s.k END, CASE WHEN s.d = b.d THEN b.n_apps ELSE s.n_apps END, CASE WHEN s.d = b.d THEN b.n_postings ELSE s.n_postings END, s.rest - b.extra FROM now s CROSS JOIN best b))""",
+        select="SELECT collection, w FROM own JOIN (SELECT d, k FROM run WHERE i = (SELECT max(i) FROM run)) USING (d, k)",
+    ),
     "chosen_totals": sql(*TRADE, CHOSEN.split(",\nown")[0], select="SELECT CAST(sum(n_apps) AS BIGINT) AS n_apps, CAST(sum(n_frags) AS BIGINT) AS n_frags, CAST(sum(n_postings) AS BIGINT) AS n_postings FROM trade JOIN best USING (collection, w)"),
     "compare_frontiers": sql(
         *TRADE, FREQ,

@@ -251,14 +251,14 @@ def test_every_budget(spark):
 
 
 def test_budget_rounds_over_tables(spark):
-    """few = 0: nothing is finished on the driver."""
+    """Many documents, small and large budgets."""
     r = random.Random(13)
     for k in range(4):
         points = {f"d{i}": frontier_of(r) for i in range(30)}
         least = sum(min(p)[0] for p in points.values())
         budget = least + (3, 25, 90, 500)[k]
         for jumps, plain in ((False, optimise.spend_marginal), (True, optimise.spend_pairs)):
-            got = {x.collection: x.w for x in optimise.spend(budget_rows(spark, points), budget, jumps=jumps, few=0).collect()}
+            got = {x.collection: x.w for x in optimise.spend(budget_rows(spark, points), budget, jumps=jumps).collect()}
             assert got == {d: p[2] for d, p in plain(points, budget).items()}
 
 
