@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
-from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, segments, versioned
+from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, runs, segments, versioned
 from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
@@ -679,10 +679,25 @@ def index_lists(spark, sf_dir):
 
 @query
 def index_merge(spark, sf_dir):
-    """Three indexes of disjoint documents, merged."""
+    """Three indexes of disjoint documents as sorted runs, merged bucket by bucket."""
+    return merged_runs(spark, sf_dir, 3, None).select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
+
+
+def merged_runs(spark, sf_dir, n: int, fanout: int | None) -> DataFrame:
+    """The index of all documents from n runs, compacted after each one if a fan-out is told."""
     rows = index.term_rows(corpus.token_arrays(spark, sf_dir), "doc_id")
-    merged = index.merge(*(index.build(rows.where(F.col("doc_id") % 3 == k)) for k in range(3)))
-    return merged.select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
+    held = runs.Runs(spark, _folder(spark, "runs"), max(8, spark.sparkContext.defaultParallelism))
+    for k in range(n):
+        held.append(index.build(rows.where(F.col("doc_id") % n == k)), f"run{k}")
+        if fanout:
+            held.compact(fanout)
+    return held.read()
+
+
+@query
+def index_compaction(spark, sf_dir):
+    """Five runs, merged by levels of two while they are appended."""
+    return merged_runs(spark, sf_dir, 5, 2).select("term", "block", "freq", "n_docs", list_digest(lambda p: [p["docid"]]).alias("postings"))
 
 
 @query
