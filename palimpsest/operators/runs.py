@@ -87,12 +87,17 @@ class Runs:
         rows.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "term", "block").sortBy("term", "block").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def _of(self, names: list[str]) -> DataFrame:
+    def _merged(self, names: list[str]) -> DataFrame:
+        """The runs as one index; lists of an equal term and block follow each other in the order of the runs."""
         rows = self.spark.table(self.table)
-        return rows.where(F.col("run").isin(names)) if names else rows.where("false")
+        rows = rows.where(F.col("run").isin(names)) if names else rows.where("false")
+        # a short list: runs are few, by their levels
+        place = F.array_position(F.array(*(F.lit(n) for n in names)).cast("array<string>"), F.col("run"))
+        lists = F.array_sort(F.collect_list(F.struct(place.alias("place"), "postings")))
+        return rows.groupBy("term", "block").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.flatten(F.transform(lists, lambda x: x["postings"])).alias("postings"))
 
     def append(self, index: DataFrame, name: str | None = None) -> str:
-        """An index (term, block, freq, n_docs, postings) of documents that no run has yet, as a new run.
+        """An index (term, block, freq, n_docs, postings) of documents that no run has yet, as the last run.
 
         ``name`` makes it repeatable: a run of that name that is, or ever was, in the index isn't added again.
         """
@@ -107,7 +112,7 @@ class Runs:
 
     def read(self, number: int | None = None) -> DataFrame:
         """The whole index of a state: one row per term and block; no exchange."""
-        return merged(self._of([r["name"] for r in self.state(number)["runs"]]))
+        return self._merged([r["name"] for r in self.state(number)["runs"]])
 
     def compact(self, fanout: int | None = None) -> int:
         """Merge levels that are full, from fresh to old; how many runs were made."""
@@ -121,9 +126,9 @@ class Runs:
             full = min((k for k, v in levels.items() if len(v) >= fanout), default=None)
             if full is None:
                 return made
-            old = levels[full][:fanout]
+            old = levels[full][:fanout]  # runs of a level stand side by side, the older ones first
             name = f"level{full + 1}-{uuid.uuid4().hex}"
-            self._save(merged(self._of([r["name"] for r in old])).withColumn("run", F.lit(name)))
+            self._save(self._merged([r["name"] for r in old]).withColumn("run", F.lit(name)))
             new = {"name": name, "level": full + 1, "holds": [h for r in old for h in r["holds"]]}
             self._publish(now["number"] + 1, now | {"runs": [new if r is old[0] else r for r in now["runs"] if r is old[0] or r not in old]})
             made += 1
@@ -139,9 +144,3 @@ class Runs:
             if n.startswith("state-") and n != f"state-{now['number']:012d}.json":
                 self._fs.delete(self._at(f"{self.path}/{n}"), False)
         self.spark.catalog.refreshTable(self.table)
-
-
-def merged(rows: DataFrame) -> DataFrame:
-    """term, block, freq, n_docs, postings of runs with disjoint documents; postings in order of document and position."""
-    lists = F.array_sort(F.flatten(F.collect_list("postings")))
-    return rows.groupBy("term", "block").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), lists.alias("postings"))

@@ -410,4 +410,4 @@ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY collection, version, dia
     ),
 }
 ORACLE_SQL["copy_index"] = ORACLE_SQL["copy_ranges"]
-ORACLE_SQL["index_compaction"] = ORACLE_SQL["index_merge"]
+ORACLE_SQL["index_compaction"] = ORACLE_SQL["index_merge"].replace("doc_id % 3", "doc_id % 5")

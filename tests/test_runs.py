@@ -1,5 +1,6 @@
 """Runs of an index: merging without an exchange, levels, snapshots, repeated and competing writers."""
 
+import bisect
 import random
 
 import pytest
@@ -14,13 +15,14 @@ def batch(spark, docs):
 
 
 def content(df):
-    return sorted((r["term"], r["block"], r["freq"], r["n_docs"], [tuple(p) for p in r["postings"]]) for r in df.collect())
+    return sorted((r["term"], r["block"], r["freq"], r["n_docs"], sorted(tuple(p) for p in r["postings"])) for r in df.collect())
 
 
 def test_appends_and_compactions_equal_a_batch_build(spark, tmp_path):
     r = random.Random(6)
     docs = [(d, [r.choice("abcdefgh") for _ in range(r.randint(0, 12))]) for d in range(9000, 9000 + 60)] + [(5, ["a", "z"]), (4200, ["a"])]
     r.shuffle(docs)
+    starts = [sum(len(docs[j::7]) for j in range(k)) for k in range(7)]
     held = Runs(spark, str(tmp_path / "x"), 4)
     assert content(held.read()) == []
     for k in range(7):
@@ -30,6 +32,11 @@ def test_appends_and_compactions_equal_a_batch_build(spark, tmp_path):
         seen = [d for j in range(k + 1) for d in docs[j::7]]
         if k in (1, 6):
             assert content(held.read()) == content(batch(spark, seen))
+    # lists are in the order in which documents were appended
+    order = {d: k for k, (d, _) in enumerate(d for j in range(7) for d in docs[j::7])}
+    for r in held.read().collect():
+        run_of = [order[p["docid"]] for p in r["postings"]]
+        assert [bisect.bisect_right(starts, k) for k in run_of] == sorted(bisect.bisect_right(starts, k) for k in run_of)
     levels = [x["level"] for x in held.state()["runs"]]
     assert max(levels) >= 2 and all(levels.count(k) < 2 for k in levels if k)
     # a run that was appended, and merged since, isn't added again
