@@ -80,39 +80,50 @@ def winnow(grams: DataFrame, w: int, *keys: str) -> DataFrame:
     return picked.union(grams.select(*keys, F.lit(0).alias("pos"))).distinct()
 
 
-def radii_of(h: np.ndarray) -> np.ndarray:
-    """Largest r with h[i] < h[i +- k] for all k up to r, both sides inside; by a monotone stack."""
+def reach(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many values directly before and behind each one are greater than it, inside [lo[i], hi[i]).
+
+    Minima of runs of 1, 2, 4, ... values are tabled; each side grows by the longest run first
+    that holds greater values only, so no value is visited one by one.
+    """
     n = len(h)
-    left, right = np.full(n, -1), np.full(n, n)
-    stack: list[int] = []
-    for i, x in enumerate(h.tolist()):
-        while stack and h[stack[-1]] >= x:
-            right[stack.pop()] = i
-        left[i] = stack[-1] if stack else -1
-        stack.append(i)
-    # equal values bound each other on both sides
-    same = np.full(n, -1)
-    last: dict = {}
-    for i, x in enumerate(h.tolist()):
-        same[i] = last.get(x, -1)
-        last[x] = i
-    left = np.maximum(left, same)
-    at = np.arange(n)
-    return np.maximum(np.minimum(at - left, right - at) - 1, 0)
+    tables = [h]
+    longest = int((hi - lo).max(initial=1))
+    while 2 << (len(tables) - 1) <= longest:
+        half = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][: max(0, n - 2 * half + 1)], tables[-1][half : n - half + 1]))
+    first, last = np.arange(n), np.arange(1, n + 1)
+    for k in range(len(tables) - 1, -1, -1):
+        step, t = 1 << k, tables[k]
+        at = np.flatnonzero(first - step >= lo)
+        at = at[t[first[at] - step] > h[at]]
+        first[at] -= step
+        at = np.flatnonzero(last + step <= hi)
+        at = at[t[last[at]] > h[at]]
+        last[at] += step
+    place = np.arange(n)
+    return place - first, last - place - 1
+
+
+def radii_of(h: np.ndarray, offs: np.ndarray | None = None) -> np.ndarray:
+    """Largest r with h[i] < h[i +- k] for all k up to r, both sides inside; of one version, or of many with their offsets."""
+    offs = np.array([0, len(h)]) if offs is None else offs
+    if not len(h):
+        return np.zeros(0, np.int64)
+    size = np.diff(offs)
+    return np.minimum(*reach(h, np.repeat(offs[:-1], size), np.repeat(offs[1:], size)))
 
 
 def radius_arrays(grams: DataFrame, *keys: str) -> DataFrame:
     """keys, radius: the radius of every n-gram of a version, by position, from arrays h.
 
-    The frame depends on the data, which no window can say; a version is one
-    array, handled in Arrow batches.
+    The frame depends on the data, which no window can say; all versions of an
+    Arrow batch are handled at once.
     """
 
     def body(h):
         values, offs = kernels.lists(h)
-        x = values.to_numpy()
-        out = [radii_of(x[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        return [kernels.to_lists(np.concatenate([np.zeros(0, np.int32), *out]).astype(np.int32), offs, pa.int32())]
+        return [kernels.to_lists(radii_of(values.to_numpy(), offs).astype(np.int32), offs, pa.int32())]
 
     return kernels._passed(grams, keys, body, "radius array<int>", ("h",))
 

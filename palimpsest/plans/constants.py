@@ -7,3 +7,8 @@ WINDOWS = (5, 20, 40)
 #: Fixed values of the cutters: least frequency jump of the tree cut's queries, longest block before a jump cut is refined.
 TREE_JUMP = 3
 MAX_BLOCK = 400
+#: Fixed values of the surveyed programs: jump of the tree cut, windows compared by cost, most tokens of a collection and of a version.
+FIXED_JUMP = 10
+COST_WINDOWS = (20, 30, 40)
+MAX_TOKENS = 1_000_000
+MAX_VERSION = 20_000

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.functions.hashing import WORD_MULTIPLIER
-from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
+from palimpsest.plans.constants import COST_WINDOWS, FIXED_JUMP, MAX_BLOCK, MAX_TOKENS, MAX_VERSION, SWEEP, TREE_JUMP, WINDOWS
 
 _SPLIT = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 
@@ -411,3 +411,8 @@ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY collection, version, dia
 }
 ORACLE_SQL["copy_index"] = ORACLE_SQL["copy_ranges"]
 ORACLE_SQL["index_compaction"] = ORACLE_SQL["index_merge"].replace("doc_id % 3", "doc_id % 5")
+ORACLE_SQL["radius_file"] = ORACLE_SQL["dominance_radius"]
+ORACLE_SQL["filter_oversize_fixed"] = ORACLE_SQL["filter_oversize"].replace("<= 2000", f"<= {MAX_TOKENS}")
+ORACLE_SQL["mark_anomalies_fixed"] = ORACLE_SQL["mark_anomalies"].replace("> 2000", f"> {MAX_VERSION}")
+ORACLE_SQL["cut_tree_fixed"] = ORACLE_SQL["cut_tree"].replace(f"gap >= {TREE_JUMP}", f"gap >= {FIXED_JUMP}")
+ORACLE_SQL["best_window_fixed"] = sql(*BASE, tradeoff(COST_WINDOWS), select=ORACLE_SQL["best_window"].rsplit("\n", 1)[1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
 from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, runs, segments, versioned
-from palimpsest.plans.constants import MAX_BLOCK, SWEEP, TREE_JUMP, WINDOWS
+from palimpsest.plans.constants import COST_WINDOWS, FIXED_JUMP, MAX_BLOCK, MAX_TOKENS, MAX_VERSION, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
 from palimpsest.sources import corpus, layouts, sinks
@@ -43,9 +43,9 @@ def winnow_fragments(arrays: DataFrame, w: int = 20) -> DataFrame:
     return cut.withColumn("len", F.col("end") - F.col("start"))
 
 
-def window_tradeoff(arrays: DataFrame) -> DataFrame:
+def window_tradeoff(arrays: DataFrame, windows=WINDOWS) -> DataFrame:
     """collection, w, n_apps, n_frags, n_postings of single-level winnowing at several windows, in one pass over the versions."""
-    return versioned.tradeoff(versioned.fragment_rows(arrays, WINDOWS))
+    return versioned.tradeoff(versioned.fragment_rows(arrays, windows))
 
 
 def candidates(arrays: DataFrame, w: int = 20, total: int = 3, sliding_from: int = 1 << 30) -> DataFrame:
@@ -165,6 +165,14 @@ def feature_file(spark, sf_dir):
     return rows.select("collection", F.col("version").cast("long").alias("version"), F.size("freq").cast("long").alias("n"), total("freq").alias("sum_freq"), F.array_max("freq").alias("max_freq"), total("h").alias("sum_h"))
 
 
+@query
+def radius_file(spark, sf_dir):
+    """Dominance radii of every version of a conversation, written as arrays and read again."""
+    at = _folder(spark, "radii")
+    sinks.write_features(features.radius_arrays(kernels.with_grams(corpus.conversations(spark, sf_dir), *KEYS), *KEYS), at)
+    return _longs(spark.read.parquet(at).select(*KEYS, F.posexplode("radius").alias("pos", "radius")), *KEYS, "pos", "radius")
+
+
 # --- filters and whole-corpus figures ------------------------------------------
 
 
@@ -179,14 +187,34 @@ def filter_long_versions(spark, sf_dir):
     return rows.where(F.col("n_tokens") > H.NGRAM)
 
 
+def within_size(spark, sf_dir, most: int) -> DataFrame:
+    return doc_sizes(spark, sf_dir).where(F.col("n_tokens") <= most)
+
+
+def with_anomalies(spark, sf_dir, most: int) -> DataFrame:
+    return corpus.versions(spark, sf_dir).groupBy("collection").agg((F.max(F.size("toks")) > most).alias("anomalous"))
+
+
 @query
 def filter_oversize(spark, sf_dir):
-    return doc_sizes(spark, sf_dir).where("n_tokens <= 2000")
+    return within_size(spark, sf_dir, 2000)
+
+
+@query
+def filter_oversize_fixed(spark, sf_dir):
+    """Collections of at most a million tokens."""
+    return within_size(spark, sf_dir, MAX_TOKENS)
 
 
 @query
 def mark_anomalies(spark, sf_dir):
-    return corpus.versions(spark, sf_dir).groupBy("collection").agg((F.max(F.size("toks")) > 2000).alias("anomalous"))
+    return with_anomalies(spark, sf_dir, 2000)
+
+
+@query
+def mark_anomalies_fixed(spark, sf_dir):
+    """Whether a collection has a version of more than 20,000 tokens."""
+    return with_anomalies(spark, sf_dir, MAX_VERSION)
 
 
 @query
@@ -335,6 +363,12 @@ def cut_tree(spark, sf_dir):
     return _longs(tree_cut(corpus.versions(spark, sf_dir)), *KEYS, "pos")
 
 
+@query
+def cut_tree_fixed(spark, sf_dir):
+    """The tree cut at jumps of 10."""
+    return _longs(tree_cut(corpus.versions(spark, sf_dir), FIXED_JUMP), *KEYS, "pos")
+
+
 def feature_arrays(arrays: DataFrame) -> DataFrame:
     """collection, version, len, freq, radius, both as arrays by position."""
     rows = scratch.table(features.frequency_arrays(arrays, *KEYS), "features")
@@ -567,6 +601,12 @@ def best_window(spark, sf_dir):
     return optimise.best_by_cost(window_tradeoff(corpus.versions(spark, sf_dir)))
 
 
+@query
+def best_window_fixed(spark, sf_dir):
+    """The best of the windows 20, 30 and 40."""
+    return optimise.best_by_cost(window_tradeoff(corpus.versions(spark, sf_dir), COST_WINDOWS))
+
+
 @query
 def pareto_frontier(spark, sf_dir):
     return optimise.frontier(window_tradeoff(corpus.versions(spark, sf_dir)))
