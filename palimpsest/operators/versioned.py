@@ -75,9 +75,12 @@ class VersionedIndex:
     postings: DataFrame
 
 
-def build(arrays: DataFrame, windows) -> VersionedIndex:
-    """The index of (collection, version, toks); versions without tokens are in none of its tables."""
-    cut = scratch.table(fragment_rows(arrays, windows), "fragments")
+def build(arrays: DataFrame, windows, cut: DataFrame | None = None) -> VersionedIndex:
+    """The index of (collection, version, toks); versions without tokens are in none of its tables.
+
+    cut: fragments (collection, version, w, idx, start, end, hash) of any cutter, in place of winnowing at ``windows``.
+    """
+    cut = scratch.table(fragment_rows(arrays, windows) if cut is None else cut, "fragments")
     chosen = optimise.best_by_cost(tradeoff(cut)).select("collection", "w")
     own = cut.join(chosen, ["collection", "w"]).withColumn("len", F.col("end") - F.col("start"))
     named = scratch.table(with_ids(fragments.dictionary(own)), "dictionary")

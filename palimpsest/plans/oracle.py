@@ -342,6 +342,15 @@ UNION ALL SELECT 'tree', collection, version, count(*) FROM (SELECT collection,
   UNION SELECT collection, version, 0 FROM grams) GROUP BY ALL""",
     ),
     "overfull_versions": sql(*_CUT, levels(3), select="SELECT collection, version, count(*) AS n FROM lev GROUP BY collection, version HAVING count(*) > 200"),
+    "cutter_levels": sql(*_CUT, levels(3), select='SELECT collection, version, level, idx, "start", "end" FROM lev'),
+    "cutter_index": sql(
+        VERS, VTOK, GRAMS, FREQ,
+        f"""bounds AS (SELECT collection, version, pos FROM (SELECT collection, version, pos + 10 AS pos, abs(lead(freq) OVER (PARTITION BY collection, version ORDER BY pos) - freq) AS gap FROM freq) WHERE gap >= {TREE_JUMP}
+  UNION SELECT collection, version, 0 FROM vers WHERE len(toks) > 0)""",
+        blocks(), fragments(),
+        """dict AS (SELECT collection, hash, any_value(len) AS len, count(*) AS size, min({'v': version, 'o': "start"}) AS first FROM frags GROUP BY collection, hash)""",
+        select="SELECT row_number() OVER (ORDER BY collection, first) - 1 AS frag_id, collection, hash, len, size FROM dict",
+    ),
     "hierarchy_levels": sql(
         *_TREE, cells("tree", "dealt"),
         select="""SELECT c.collection, c.version, c.level, c.idx, c."start", c."end", p.idx AS parent FROM tree c LEFT JOIN (

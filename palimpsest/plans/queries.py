@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
+from palimpsest.operators import cutters as cutter_functions
 from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, runs, segments, versioned
 from palimpsest.plans.constants import COST_WINDOWS, FIXED_JUMP, MAX_BLOCK, MAX_TOKENS, MAX_VERSION, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
@@ -392,6 +393,23 @@ def cutters(spark, sf_dir):
     return _longs(segments.cut_with(chosen, corpus.versions(spark, sf_dir)).groupBy("cutter", *KEYS).agg(F.count(F.lit(1)).alias("n")), "cutter", *KEYS, "n")
 
 
+@query
+def cutter_levels(spark, sf_dir):
+    """Blocks of a registered cutter and of the levels that it merges, by SQL."""
+    call = cutter_functions.register(spark, cutter_functions.Winnow(20, levels=3))
+    cutter_functions.features_of(corpus.versions(spark, sf_dir)).createOrReplaceTempView("palimpsest_features")
+    return _longs(spark.sql(f"SELECT * FROM {call}(TABLE(palimpsest_features))"), *KEYS, "level", "idx", "start", "end").withColumn("level", F.col("level").cast("long"))
+
+
+@query
+def cutter_index(spark, sf_dir):
+    """Fragment ids of the versioned index over the tree cutter, taken by name."""
+    arrays = corpus.versions(spark, sf_dir)
+    cutter_functions.register(spark, cutter_functions.Tree(TREE_JUMP))
+    found = versioned.build(arrays, (), cut=cutter_functions.fragments_of(arrays, f"tree_{TREE_JUMP}"))
+    return found.dictionary.select("frag_id", "collection", "hash", F.col("len").cast("long").alias("len"), F.col("size").cast("long").alias("size"))
+
+
 @query
 def overfull_versions(spark, sf_dir):
     """Versions with more than 200 candidate blocks on all levels."""
