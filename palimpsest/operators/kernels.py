@@ -94,10 +94,8 @@ def term_bytes(values: pa.Array) -> np.ndarray:
     return np.array([_bytes[w] for w in words], np.int64)[coded.indices.to_numpy()]
 
 
-def gram_hashes(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the rolling n-gram hash of each version longer than n."""
-    values, offs = lists(col)
-    b = term_bytes(values)
+def rolling(b: np.ndarray) -> np.ndarray:
+    """The rolling hash of every n-gram of word hashes."""
     m = max(0, len(b) - NGRAM + 1)
     h = np.zeros(m, np.int64)
     for level, row in enumerate(nested_weights()):
@@ -105,6 +103,13 @@ def gram_hashes(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         for k, c in enumerate(row):
             s += c * b[k : k + m]
         h |= (s & 255) << (8 * level)
+    return h
+
+
+def gram_hashes(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the rolling n-gram hash of each version longer than n."""
+    values, offs = lists(col)
+    h = rolling(term_bytes(values))
     n = np.diff(offs)
     size = np.where(n > NGRAM, n - NGRAM + 1, 0)
     return h[ranges(offs[:-1], size)], np.concatenate([[0], np.cumsum(size)])

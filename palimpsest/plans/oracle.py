@@ -421,6 +421,8 @@ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY collection, version, dia
 ORACLE_SQL["copy_index"] = ORACLE_SQL["copy_ranges"]
 ORACLE_SQL["index_compaction"] = ORACLE_SQL["index_merge"].replace("doc_id % 3", "doc_id % 5")
 ORACLE_SQL["radius_file"] = ORACLE_SQL["dominance_radius"]
+ORACLE_SQL["radius_parts"] = ORACLE_SQL["dominance_radius"]
+ORACLE_SQL["winnow_parts"] = ORACLE_SQL["winnow_boundaries"]
 ORACLE_SQL["filter_oversize_fixed"] = ORACLE_SQL["filter_oversize"].replace("<= 2000", f"<= {MAX_TOKENS}")
 ORACLE_SQL["mark_anomalies_fixed"] = ORACLE_SQL["mark_anomalies"].replace("> 2000", f"> {MAX_VERSION}")
 ORACLE_SQL["cut_tree_fixed"] = ORACLE_SQL["cut_tree"].replace(f"gap >= {TREE_JUMP}", f"gap >= {FIXED_JUMP}")

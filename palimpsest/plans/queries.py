@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest import scratch
 from palimpsest.functions import hashing as H
 from palimpsest.operators import cutters as cutter_functions
-from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, runs, segments, versioned
+from palimpsest.operators import features, fragments, fusion, grammar, index, kernels, optimise, parts, runs, segments, versioned
 from palimpsest.plans.constants import COST_WINDOWS, FIXED_JUMP, MAX_BLOCK, MAX_TOKENS, MAX_VERSION, SWEEP, TREE_JUMP, WINDOWS
 from palimpsest.plans.oracle import ORACLE_SQL
 from palimpsest.session import with_package
@@ -316,6 +316,19 @@ def dominance_radius(spark, sf_dir):
     return _longs(features.radii(corpus.conversations(spark, sf_dir), *KEYS), *KEYS, "pos", "radius")
 
 
+@query
+def winnow_parts(spark, sf_dir):
+    """Winnowed boundaries of versions that are cut into parts of 64 n-grams."""
+    return _longs(parts.winnow_in_parts(corpus.versions(spark, sf_dir), 20, *KEYS, size=64), *KEYS, "pos")
+
+
+@query
+def radius_parts(spark, sf_dir):
+    """Dominance radii of versions that are cut into parts of 32 n-grams."""
+    rows = parts.radii_in_parts(corpus.conversations(spark, sf_dir), *KEYS, size=32).select(*KEYS, "begin", F.posexplode("radius").alias("i", "radius"))
+    return _longs(rows.select(*KEYS, (F.col("begin") + F.col("i")).alias("pos"), "radius"), *KEYS, "pos", "radius")
+
+
 @query
 def varbyte_sizes(spark, sf_dir):
     return corpus.token_arrays(spark, sf_dir).select("doc_id", F.size("toks").cast("long").alias("n")).withColumn("size", H.varbyte_size(F.col("n")))
