@@ -289,7 +289,10 @@ WHERE a.id < b.id AND a."start" < b."end" AND b."start" < a."end" AND a.cell = g
     "inverted_index": sql(DOCS, TOK, select=postings("doc_id", f"doc_id // {BLOCK}", "doc_id")),
     "lexicon": sql(DOCS, TOK, select=f"SELECT term, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, count(DISTINCT doc_id // {BLOCK}) AS n_blocks FROM tok GROUP BY term"),
     "index_file": sql(DOCS, select="SELECT doc_id, md5(array_to_string(toks, ' ')) AS content FROM docs WHERE len(toks) > 0"),
-    "index_lists": sql(VERS, VTOK, select="SELECT term, CAST('0x' || substr(collection, 1, 2) AS BIGINT) AS block, count(*) AS freq, md5(string_agg(collection || ':' || version || ':' || pos, ' ' ORDER BY collection, version, pos)) AS postings FROM tok GROUP BY 1, 2"),
+    "index_lists": sql(
+        VERS, VTOK, "based AS (SELECT collection, coalesce(sum(n) OVER (ORDER BY collection ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM (SELECT collection, count(*) AS n FROM vers GROUP BY collection))",
+        select=f"SELECT term, (base + version) // {BLOCK} AS block, count(*) AS freq, md5(string_agg(collection || ':' || version || ':' || pos, ' ' ORDER BY collection, version, pos)) AS postings FROM tok JOIN based USING (collection) GROUP BY 1, 2",
+    ),
     "index_merge": sql(DOCS, TOK, select=f"SELECT term, doc_id // {BLOCK} AS block, count(*) AS freq, count(DISTINCT doc_id) AS n_docs, md5(string_agg(doc_id || ':' || pos, ' ' ORDER BY doc_id % 3, doc_id, pos)) AS postings FROM tok GROUP BY 1, 2"),
     "forward_restore": sql(DOCS, select="SELECT doc_id, md5(array_to_string(toks, ' ')) AS content FROM docs WHERE len(toks) > 0"),
     "version_fragments": sql(*_CUT, select="SELECT collection, version, md5(string_agg(hash, ' ' ORDER BY hash)) AS fragments, count(*) AS n FROM (SELECT DISTINCT collection, version, hash FROM frags) GROUP BY collection, version"),

@@ -742,9 +742,11 @@ def index_file(spark, sf_dir):
 
 @query
 def index_lists(spark, sf_dir):
-    """The per-version index of all versions, in blocks of collections by prefix; lists as text digests."""
-    rows = index.term_rows(corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long")), *KEYS).withColumn("doc", F.struct(*KEYS))
-    lists = index.build(rows, "doc", F.conv(F.substring("collection", 1, 2), 16, 10).cast("long"))
+    """The per-version index of all versions, in blocks of global version numbers; lists as text digests."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    bases = version_base(spark, sf_dir).select("collection", "base")
+    rows = index.term_rows(arrays, *KEYS).join(bases, "collection").withColumn("doc", F.struct(*KEYS))
+    lists = index.build(rows, "doc", index.block_of(F.col("base") + F.col("version")))
     return lists.select("term", "block", F.col("freq").cast("long").alias("freq"), list_digest(lambda p: [p["docid"]["collection"], p["docid"]["version"]]).alias("postings"))
 
 
