@@ -30,33 +30,56 @@ def _stage_tables(spark: SparkSession):
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3; the scores are learned from labelled rows that aren't held out."""
+    """Documents that score below 0.3; the scores are learned from labelled rows that aren't held out.
+
+    Decided row by row, so rows that repeat go or stay alike, and ties don't matter.  Null and empty texts score 0
+    and stay, as does all without a label to learn from; texts of any length are scored whole; null ids
+    are scored but never learned from; an empty table stays empty; columns of any name are passed on.
+    """
     ship(spark)
     return drop_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of the smallest id.
+
+    Rows with equal text and the same id all stay or go; a null id loses to any other, and a group
+    of null ids only stays whole.  Null and empty texts are equal, so one of them stays; texts of any
+    length count whole; an empty table stays empty; columns of any name are passed on.
+    """
     with _stage_tables(spark):
         return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate group, that of the smallest id: five-word shingles, similarity 0.8.
+
+    Null and empty texts have no shingles and stay; shorter texts are one shingle; rows with the same
+    id are documents of their own unless they repeat the text as well; a group of null ids only stays whole; texts of any length are
+    compared whole; an empty table stays empty; columns of any name are passed on.
+    """
     ship(spark)
     with _stage_tables(spark):
         return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Decided row by row; null and empty texts and null ids stay; texts of any length are searched whole; of ties between alignments
+    any one decides alike; items without a word match nothing; an empty benchmark keeps all; an empty table stays empty; columns of any name are passed on.
+    """
     ship(spark)
     with _stage_tables(spark):
         return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents, tokenised and packed into sequences of at most 4096 tokens."""
+    """The remaining documents, tokenised and packed into sequences of at most 4096 tokens.
+
+    Null and empty texts are one end token; rows that repeat, and null ids, are packed one by one; documents of equal
+    length are taken in order of id and text; texts of any length are cut into pieces; an empty table gives no pieces; other columns are left out.
+    """
     import public_tokenizers
 
     ship(spark)
