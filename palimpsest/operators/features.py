@@ -33,20 +33,22 @@ def gram_rows(arrays: DataFrame, *keys: str) -> DataFrame:
 def frequency_arrays(arrays: DataFrame, collection: str, version: str) -> DataFrame:
     """collection, version, len, h, freq: n-gram hashes and how often each occurs in all versions of its collection, by position.
 
-    A collection of one version needs no shuffle for it.  Elsewhere only distinct
-    (collection, hash) counts are summed, map-side first, and joined back, so a
-    hash that is frequent in a large collection doesn't sit in one partition.
+    A collection of one version needs no shuffle for it.  Elsewhere each version sends its
+    distinct hashes once, with their counts; these are summed, map-side first, and joined
+    back to the versions, so a hash has one row per version that holds it, however often it repeats there.
     """
     keys = (collection, version)
-    counted = arrays.select(*keys, "toks", F.count(F.lit(1)).over(Window.partitionBy(collection)).alias("n_versions"))
+    counted = arrays.select(*keys, "toks").join(arrays.groupBy(collection).agg(F.count(F.lit(1)).alias("n_versions")), collection)
     single = kernels.own_counts(kernels.with_grams(counted.where("n_versions = 1"), *keys), *keys)
     several = kernels.with_grams(counted.where("n_versions > 1"), *keys)
-    rows = several.select(*keys, F.posexplode("h").alias("pos", "h"))
-    counts = rows.groupBy(collection, "h").agg(F.count(F.lit(1)).alias("freq"))
-    joined = rows.join(counts, [collection, "h"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "freq"))).alias("f"))
+    own = kernels.distinct_counts(several, *keys)
+    each = own.select(*keys, F.explode(F.arrays_zip("gram", "n")).alias("x")).select(*keys, F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
+    total = each.groupBy(collection, "gram").agg(F.sum("n").alias("total"))
+    told = each.select(*keys, "gram").join(total, [collection, "gram"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gram", "total"))).alias("told"))
     blank = F.expr("cast(array() as array<bigint>)")
-    multi = several.join(joined, [*keys], "left").select(*keys, "len", "h", F.coalesce(F.col("f.freq"), blank).alias("freq"))
-    return single.unionByName(multi)
+    both = several.join(told.select(*keys, F.col("told.gram").alias("gram"), F.col("told.total").alias("total")), [*keys], "left")
+    both = both.select(*keys, "len", "h", F.coalesce("gram", blank).alias("gram"), F.coalesce("total", blank).alias("total"))
+    return single.unionByName(kernels.looked_up(both, *keys))
 
 
 def frequency_rows(arrays: DataFrame, collection: str, version: str) -> DataFrame:

@@ -229,6 +229,37 @@ def own_counts(grams: DataFrame, *keys: str) -> DataFrame:
     return _passed(grams, keys, body, "len int, h array<long>, freq array<long>", ("len", "h"))
 
 
+def distinct_counts(grams: DataFrame, *keys: str) -> DataFrame:
+    """keys, gram, n: the distinct hashes of each version, ascending, and how often it holds them."""
+
+    def body(h):
+        values, offs = lists(h)
+        x = values.to_numpy()
+        version = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        order = np.lexsort((x, version))
+        new = np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (version[order][1:] != version[order][:-1])]) if len(x) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(version[order][head], minlength=len(offs) - 1))])
+        return [to_lists(x[order][head], ends, pa.int64()), to_lists(np.diff(np.append(head, len(x))), ends, pa.int64())]
+
+    return _passed(grams, keys, body, "gram array<long>, n array<long>", ("h",))
+
+
+def looked_up(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, len, h, freq: of each hash in h the total beside it in the version's ascending list ``gram``."""
+
+    def body(n, h, gram, total):
+        (x, offs), (g, ends), (t, _) = lists(h), lists(gram), lists(total)
+        x, g, t = x.to_numpy(), g.to_numpy(), t.to_numpy()
+        freq = np.zeros(len(x), np.int64)
+        for a, b, c, d in zip(offs[:-1].tolist(), offs[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if b > a:
+                freq[a:b] = t[c:d][np.searchsorted(g[c:d], x[a:b])]
+        return [n, h, to_lists(freq, offs, pa.int64())]
+
+    return _passed(rows, keys, body, "len int, h array<long>, freq array<long>", ("len", "h", "gram", "total"))
+
+
 def with_terms(arrays: DataFrame, *keys: str) -> DataFrame:
     """keys, terms: array of (term, positions), each distinct term of a document once, its positions ascending."""
 

@@ -489,6 +489,21 @@ def repair_candidates(spark, sf_dir):
     return both.groupBy("collection", F.col("version").cast("long").alias("version")).agg(F.sum(F.col("end") - F.col("start")).alias("held"), F.sum(F.when((F.col("start") < 0) | (F.col("end") > F.col("len")) | (F.col("end") <= F.col("start")), 1).otherwise(0)).alias("faults"))
 
 
+@query
+def repair_dictionary(spark, sf_dir):
+    """The fragments of all levels of the collections' grammars, with how often each occurs."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    cut = fragments.cut_tokens(grammar.repair_cut(arrays, 8), arrays, *KEYS)
+    return _longs(fragments.dictionary(cut), "collection", "hash", "len", "size")
+
+
+@query
+def cover_grammar_choice(spark, sf_dir):
+    """The fragments of the greedy cover of grammar nodes, in the order in which they were chosen."""
+    arrays = corpus.versions(spark, sf_dir).withColumn("version", F.col("version").cast("long"))
+    return _longs(cover_products(arrays, covers_of(arrays, [1.0], True)), "collection", "rank", "hash", "len", "size", "version", "offset", "faults")
+
+
 # --- fragments -------------------------------------------------------------------
 
 

@@ -1,10 +1,18 @@
 """Work in rounds and sweeps against plain sequential versions."""
 
+import hashlib
+import os
 import random
+import re
 
+import duckdb
 import pytest
 
 from palimpsest.operators import fragments, grammar, intervals
+from palimpsest.plans import oracle
+from palimpsest.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def random_places(r, collection, versions, n_tokens, alphabet):
@@ -81,3 +89,53 @@ def test_grammar_in_rounds_equals_the_sequential_grammar(spark):
     assert {tuple(x) for x in grammar.repair_cut(df, 8, group_tokens=0).collect()} == want
     assert {tuple(x) for x in grammar.repair_cut(df, 8, group_tokens=60).collect()} == want
     assert {tuple(x) for x in grammar.repair_cut(df, 8).collect()} == want
+
+
+def fixture_dir(spark, tmp_path):
+    """Two passages that versions share, runs, single documents and empty ones."""
+    r = random.Random(1)
+    shared = " ".join(r.choice(["ab", "cd", "ef", "gh"]) for _ in range(40))
+    head = " ".join(f"h{k}" for k in range(10))
+    texts = [f"{head} {shared} x{k} {shared[: 30 + k]}" for k in range(4)] + [head + " " + "z " * 25, "q w e", "", None, "lone " * 12]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), texts
+
+
+def test_grammar_queries_on_a_fixture(spark, tmp_path):
+    """repair_dictionary and cover_grammar_choice from sequential grammars and covers."""
+    at, texts = fixture_dir(spark, tmp_path)
+    collections = {}
+    for t in texts:
+        toks = re.findall("[a-z0-9]+", (t or "").lower())
+        grams = [hashlib.md5(" ".join(toks[i : i + 10]).encode()).hexdigest() for i in range(len(toks) - 9)]
+        collections.setdefault(min(grams, default=hashlib.md5(" ".join(toks).encode()).hexdigest()), []).append(toks)
+    assert max(map(len, collections.values())) > 1
+    size, chosen = set(), set()
+    for c, versions in collections.items():
+        frags = {}
+        for v, nodes in enumerate(grammar.repair_nodes(versions, 8)):
+            for a, b in {(a, b) for _, a, b in nodes}:
+                frags.setdefault(hashlib.md5(" ".join(versions[v][a:b]).encode()).hexdigest(), (b - a, []))[1].append((v, a))
+        size |= {(c, h, n, len(apps)) for h, (n, apps) in frags.items()}
+        ranks = {}
+        for rank, h, v, o, n in fragments.cover(frags, 1.0, True):
+            ranks.setdefault((rank, h, n), []).append((v, o))
+        chosen |= {(c, rank, h, n, len(apps), *min(apps), 0) for (rank, h, n), apps in ranks.items()}
+    assert {tuple(x) for x in QUERIES["repair_dictionary"](spark, at).select("collection", "hash", "len", "size").collect()} == size
+    cols = ("collection", "rank", "hash", "len", "size", "version", "offset", "faults")
+    assert {tuple(x) for x in QUERIES["cover_grammar_choice"](spark, at).select(*cols).collect()} == chosen
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_sweep_against_sequential_sql(spark):
+    """sweep_tradeoff at three of its weights, chosen one fragment at a time by a recursion in DuckDB."""
+    weights = [0.01, 5, 50]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(
+        oracle.recursive(*oracle._CUT, oracle.levels(3), *oracle.greedy_cover(weights), select="SELECT collection, w, sum(size)::BIGINT, count(*), sum(len)::BIGINT, sum(size * len)::BIGINT, 0 FROM chosen GROUP BY collection, w")
+    ).fetchall()
+    rows = QUERIES["sweep_tradeoff"](spark, SF)
+    assert rows.select("w").distinct().count() == len(oracle.SWEEP)
+    got = rows.where(rows["w"].isin([float(w) for w in weights])).select("collection", "w", "n_apps", "n_frags", "n_postings", "covered", "faults")
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
