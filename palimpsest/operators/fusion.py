@@ -47,18 +47,21 @@ def fuse(found: versioned.VersionedIndex) -> versioned.VersionedIndex:
     A fused fragment's hash is the MD5 of its members' hashes; ids are dense again, in order of collection and first application.
     """
     apps = found.metadata.join(found.dictionary.select("frag_id", "len"), "frag_id").select("collection", F.col("frag_id").alias("id"), "version", "offset", "len")
+    apps = scratch.table(apps, "applications")
     chain = scratch.table(chains(apps), "chains")
     named = found.dictionary.join(chain.select(F.col("id").alias("frag_id"), "head", "rank", "shift"), "frag_id")
     members = F.array_sort(F.collect_list(F.struct("rank", "hash")))
     whole = named.groupBy("collection", "head").agg(F.sum("len").alias("len"), F.min(F.struct("rank", "size", "first")).alias("x"), members.alias("m"))
     fused_hash = F.when(F.size("m") == 1, F.col("m")[0]["hash"]).otherwise(F.md5(F.array_join(F.col("m.hash"), " ")))
     rows = whole.select("collection", "head", fused_hash.alias("hash"), "len", F.col("x.size").alias("size"), F.col("x.first").alias("first"))
-    dictionary = scratch.table(versioned.with_ids(rows), "fused")
+    dictionary = scratch.table(versioned.with_ids(scratch.table(rows, "fused")), "fused")
     ids = dictionary.select("head", F.col("frag_id").alias("new_id"))
     metadata = found.metadata.join(ids, found.metadata["frag_id"] == ids["head"]).select(F.col("new_id").alias("frag_id"), "collection", "version", "offset")
-    moved = index.read(found.postings).join(chain.select(F.col("id").alias("docid"), "head", "shift"), "docid").join(ids, "head")
-    lists = moved.groupBy("new_id", "term").agg(F.array_sort(F.collect_list((F.col("pos") + F.col("shift")).cast("int"))).alias("positions"))
-    return versioned.VersionedIndex(found.chosen, dictionary.drop("head"), metadata, index.build(lists.withColumnRenamed("new_id", "frag_id"), "frag_id"))
+    # a fragment's tokens are in one block; they move together
+    moved = index.texts(found.postings).join(chain.select(F.col("id").alias("docid"), "head", "rank"), "docid").join(ids, "head")
+    texts = moved.groupBy("new_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "toks"))), lambda x: x["toks"])).alias("toks"))
+    postings = index.build_texts(texts.withColumnRenamed("new_id", "frag_id"), "frag_id", found.dictionary.count())
+    return versioned.VersionedIndex(found.chosen, dictionary.drop("head"), metadata, postings)
 
 
 def groups(apps: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from palimpsest.operators import kernels
 
 #: Documents per block.
 BLOCK_DOCS = 4096
+#: Blocks of short documents that a task builds.
+TASK_BLOCKS = 16
 
 
 def block_of(doc) -> Column:
@@ -38,6 +40,25 @@ def build(rows: DataFrame, doc: str = "doc_id", block: Column | None = None) ->
     return grouped.select("term", "block", "freq", "n_docs", flat.alias("postings"))
 
 
+def build_texts(texts: DataFrame, doc: str, n_docs: int) -> DataFrame:
+    """The index of short documents (doc, toks), n_docs in all, with ids from 0 on.
+
+    The texts are dealt by block, so that a task holds all documents of its blocks and lists need no exchange of postings.
+    """
+    n = max(texts.sparkSession.sparkContext.defaultParallelism, n_docs // (BLOCK_DOCS * TASK_BLOCKS))
+    dealt = texts.select(F.col(doc).alias("docid"), block_of(doc).alias("block"), "toks").repartition(n, "block")
+    rows = dealt.select("docid", "block", F.posexplode("toks").alias("pos", "term"))
+    grouped = rows.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("docid", "pos"))).alias("postings"))
+    size = F.size("postings").cast("long")
+    return grouped.select("term", "block", size.alias("freq"), F.size(F.array_distinct("postings.docid")).cast("long").alias("n_docs"), "postings")
+
+
+def texts(index: DataFrame) -> DataFrame:
+    """docid, toks: documents rebuilt from the lists; all lists of a document are in one block."""
+    flat = index.select("block", "term", F.explode("postings").alias("p")).select("block", "p.docid", "p.pos", "term")
+    return restore(flat, "block", "docid").drop("block")
+
+
 def lexicon(index: DataFrame) -> DataFrame:
     """term, freq, n_docs, n_blocks: one row per term, without its lists."""
     return index.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_blocks"))

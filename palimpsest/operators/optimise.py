@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch
@@ -30,11 +30,14 @@ def steps(rows: DataFrame, key: str = "collection") -> DataFrame:
     return a.join(b, key).where("apps_to > apps_from and post_to < post_from")
 
 
+def cost(n_postings: Column, n_frags: Column, n_apps: Column) -> Column:
+    return 2 * n_postings + 2 * n_frags + 2 * n_apps
+
+
 def best_by_cost(rows: DataFrame, key: str = "collection") -> DataFrame:
     """The row of least cost, 2 * postings + 2 * fragments + 2 * applications, the smallest w among equals."""
-    cost = 2 * F.col("n_postings") + 2 * F.col("n_frags") + 2 * F.col("n_apps")
     order = Window.partitionBy(key).orderBy("cost", "w")
-    return rows.withColumn("cost", cost).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, "w", "cost")
+    return rows.withColumn("cost", cost(F.col("n_postings"), F.col("n_frags"), F.col("n_apps"))).withColumn("r", F.row_number().over(order)).where("r = 1").select(key, "w", "cost")
 
 
 def _rate(a, b) -> float:

@@ -25,6 +25,8 @@ def prefix_sums(rows: DataFrame, key: str, amount: str, *levels: Column) -> Data
     only, and the top level alone is one task: choose it small.
     """
     names = [f"_p{k}" for k in range(len(levels))]
+    # each level reads them
+    rows = scratch.table(rows, "amounts")
     placed = rows.select("*", *(c.alias(n) for c, n in zip(levels, names, strict=True)))
     out = placed
     for k in range(len(names)):
@@ -46,7 +48,11 @@ def hex_levels(key: str = "collection") -> tuple[Column, ...]:
 
 def tradeoff(cut: DataFrame) -> DataFrame:
     """collection, w, n_apps, n_frags, n_postings of fragment rows (collection, w, hash, start, end)."""
-    one = cut.groupBy("collection", "w", "hash").agg(F.first(F.col("end") - F.col("start")).alias("len"), F.count(F.lit(1)).alias("size"))
+    return totals(cut.groupBy("collection", "w", "hash").agg(F.first(F.col("end") - F.col("start")).alias("len"), F.count(F.lit(1)).alias("size")))
+
+
+def totals(one: DataFrame) -> DataFrame:
+    """The trade-off of distinct fragments (collection, w, hash, len, size)."""
     return one.groupBy("collection", "w").agg(F.sum("size").alias("n_apps"), F.count(F.lit(1)).alias("n_frags"), F.sum("len").cast("long").alias("n_postings"))
 
 
@@ -59,9 +65,9 @@ def fragment_rows(arrays: DataFrame, windows) -> DataFrame:
 def with_ids(dictionary: DataFrame, *levels: Column) -> DataFrame:
     """The dictionary with frag_id: dense over all collections, in order of collection and first application."""
     order = Window.partitionBy("collection").orderBy("first.version", "first.offset")
-    ranked = dictionary.withColumn("_rank", F.row_number().over(order))
-    counts = ranked.groupBy("collection").agg(F.count(F.lit(1)).alias("n_frags"))
+    counts = dictionary.groupBy("collection").agg(F.count(F.lit(1)).alias("n_frags"))
     bases = prefix_sums(counts, "collection", "n_frags", *(levels or hex_levels())).select("collection", "base")
+    ranked = dictionary.withColumn("_rank", F.row_number().over(order))
     return ranked.join(bases, "collection").withColumn("frag_id", F.col("base") + F.col("_rank") - 1).drop("_rank", "base")
 
 
@@ -75,15 +81,54 @@ class VersionedIndex:
     postings: DataFrame
 
 
+def windowed(arrays: DataFrame, windows) -> tuple[DataFrame, DataFrame]:
+    """(collection, w) and the fragments at these windows: collection, version, alone, start, len, size, hash as bytes, toks.
+
+    size: how often its version holds a fragment, told at the first place there, where toks are told too; 0 at all others.
+    A collection of one version (alone) is judged where it stands.  Of all others the versions' distinct fragments are summed
+    for each window, and only those at the chosen one are told.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("collection"))
+    base = scratch.table(arrays.select("collection", "version", "toks").withColumn("n", n).where(F.size("toks") > 0), "versions")
+    tried = kernels.with_trials(base.where("n = 1"), windows, "collection", "version")
+    cheapest = F.array_min(F.transform("totals", lambda t: F.struct(optimise.cost(t["n_postings"], t["n_frags"], t["n_apps"]).alias("cost"), t["w"].alias("w"))))["w"]
+    tried = tried.withColumn("w", cheapest)
+    several = kernels.with_trials(base.where("n > 1"), windows, "collection", "version")
+    each = several.select("collection", F.explode(F.filter("frags", lambda f: f["size"] > 0)).alias("f")).select("collection", "f.w", "f.hash", "f.len", "f.size")
+    one = each.groupBy("collection", "w", "hash").agg(F.first("len").alias("len"), F.sum("size").alias("size"))
+    best = scratch.table(optimise.best_by_cost(totals(one)).select("collection", "w"), "chosen")
+    chosen = scratch.table(tried.select("collection", "w").unionByName(best), "chosen")
+    both = tried.select("collection", "version", F.lit(True).alias("alone"), "toks", "frags", "w")
+    both = both.unionByName(several.join(best, "collection").select("collection", "version", F.lit(False).alias("alone"), "toks", "frags", "w"))
+    run = lambda f: F.when(f["size"] > 0, F.slice("toks", f["start"] + 1, f["len"])).alias("toks")
+    own = F.transform(F.filter("frags", lambda f: f["w"] == F.col("w")), lambda f: F.struct(f["start"].alias("start"), f["len"].alias("len"), f["size"].alias("size"), f["hash"].alias("hash"), run(f)))
+    rows = both.select("collection", "version", "alone", F.explode(own).alias("f")).select("collection", "version", "alone", "f.*")
+    return chosen, scratch.table(rows, "fragments")
+
+
 def build(arrays: DataFrame, windows, cut: DataFrame | None = None) -> VersionedIndex:
     """The index of (collection, version, toks); versions without tokens are in none of its tables.
 
     cut: fragments (collection, version, w, idx, start, end, hash) of any cutter, in place of winnowing at ``windows``.
     """
-    cut = scratch.table(fragment_rows(arrays, windows) if cut is None else cut, "fragments")
+    if cut is not None:
+        return build_cut(arrays, cut)
+    chosen, own = windowed(arrays, windows)
+    told = own.where("size > 0").select("collection", "hash", "len", "size", F.struct("version", F.col("start").alias("offset")).alias("first"), "alone", "toks")
+    # equal hashes are equal tokens
+    met = told.where("not alone").groupBy("collection", "hash").agg(F.first("len").alias("len"), F.sum("size").alias("size"), F.min("first").alias("first"), F.first("toks").alias("toks"))
+    every = told.where("alone").drop("alone").withColumn("size", F.col("size").cast("long")).unionByName(met)
+    named = scratch.table(with_ids(every).withColumn("hash", F.lower(F.hex("hash"))), "dictionary")
+    ids = named.select("collection", F.unhex("hash").alias("hash"), "frag_id")
+    metadata = own.select("collection", "hash", "version", F.col("start").alias("offset")).join(ids, ["collection", "hash"]).select("frag_id", "collection", "version", "offset")
+    return VersionedIndex(chosen, named.drop("toks"), metadata, index.build_texts(named.select("frag_id", "toks"), "frag_id", named.count()))
+
+
+def build_cut(arrays: DataFrame, cut: DataFrame) -> VersionedIndex:
+    cut = scratch.table(cut, "fragments")
     chosen = optimise.best_by_cost(tradeoff(cut)).select("collection", "w")
     own = cut.join(chosen, ["collection", "w"]).withColumn("len", F.col("end") - F.col("start"))
-    named = scratch.table(with_ids(fragments.dictionary(own)), "dictionary")
+    named = scratch.table(with_ids(scratch.table(fragments.dictionary(own), "dictionary")), "dictionary")
     metadata = own.join(named.select("collection", "hash", "frag_id"), ["collection", "hash"]).select("frag_id", "collection", "version", F.col("start").alias("offset"))
     first = named.select("frag_id", "collection", F.col("first.version").alias("version"), F.col("first.offset").alias("offset"), "len")
     texts = first.join(arrays.select("collection", "version", "toks"), ["collection", "version"]).select("frag_id", F.slice("toks", F.col("offset") + 1, F.col("len")).alias("toks"))
@@ -103,6 +148,6 @@ def lookup_phrase(found: VersionedIndex, terms: list[str]) -> DataFrame:
 
 def restore(found: VersionedIndex) -> DataFrame:
     """collection, version, toks: all versions rebuilt from the index alone."""
-    runs = index.restore(index.read(found.postings), "docid").withColumnRenamed("docid", "frag_id")
+    runs = index.texts(found.postings).withColumnRenamed("docid", "frag_id")
     parts = found.metadata.join(runs, "frag_id").groupBy("collection", "version").agg(F.array_sort(F.collect_list(F.struct("offset", "toks"))).alias("parts"))
     return parts.select("collection", "version", F.flatten("parts.toks").alias("toks"))
