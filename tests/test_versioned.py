@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import fusion, index, versioned
+from palimpsest.operators import fusion, index, kernels, segments, versioned
 
 WINDOWS = (2, 5, 9)
 
@@ -40,6 +41,26 @@ def test_postings_are_in_no_exchange(spark, arrays):
         assert dealt and not any("hashpartitioning(term" in line for line in dealt), plan
 
 
+def test_kernels_take_bounded_slices(spark, arrays, monkeypatch):
+    keys = ("collection", "version")
+    whole = rows(kernels.with_fragments(arrays, WINDOWS, *keys), *keys, "frags")
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4, 5], "x": [[1] * 3, [], [2] * 9, [3], [4] * 2]})
+    monkeypatch.setattr(kernels, "BATCH_VALUES", 4)
+    parts = list(kernels.bounded(batch))
+    assert [p.column("k").to_pylist() for p in parts] == [[1, 2], [3], [4, 5]] and not list(kernels.bounded(batch.slice(0, 0)))
+    got = [x for p in parts for x in kernels.lists(p.column("x"))[0].to_pylist()]
+    assert got == [1] * 3 + [2] * 9 + [3] + [4] * 2
+    assert rows(kernels.with_fragments(arrays.repartition(1), WINDOWS, *keys), *keys, "frags") == whole
+
+
+def test_level_counts_are_those_of_the_levels(spark):
+    base = spark.createDataFrame([("c", n, k, k, k + 1) for n in range(1, 20) for k in range(n)], "collection string, version long, idx int, start int, end int")
+    for total, sliding in ((3, 1 << 30), (3, 6), (2, 0)):
+        want = rows(segments.levels(base, total, sliding, "collection", "version").groupBy("version").agg(F.count(F.lit(1)).alias("n")), "version", "n")
+        got = base.groupBy("version").agg(F.count(F.lit(1)).alias("b")).select("version", segments.level_counts(F.col("b"), total, sliding).alias("n"))
+        assert rows(got, "version", "n") == want
+
+
 def test_index_of_texts_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(index, "BLOCK_DOCS", 4)
     texts = spark.createDataFrame([(k, [f"t{k % 3}", "x", f"t{k % 3}"]) for k in range(11)], "id long, toks array<string>")
