@@ -7,9 +7,10 @@ exchange is the same plan in every pass, so Spark writes it once and reuses it.
 
 Chunks and buckets of hashes both grow with the corpus, so a blob from each chunk
 to each bucket would shrink to nothing.  ``deal`` bounds the fan-out: with more
-than ``FAN`` receivers, a sender writes one frame per range of ``FAN`` receivers, and
-a relay task takes the frames of ``FAN`` senders for one range and writes one frame per
-receiver.  A frame holds many blobs, however large the corpus is.
+than ``FAN`` receivers, a sender writes one frame per range of sqrt(``FAN``) receivers, and
+a relay task takes the frames of as many senders for one range and writes one frame per
+receiver.  A frame holds many blobs, however large the corpus is, and a relay at most ``FAN`` of
+the blobs that senders have for single receivers, so its memory doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -203,7 +204,7 @@ def deal(grouped, kernel, schema: str, sender: str, receiver: str, n_receivers:
     """
     if n_receivers <= FAN:
         return grouped.applyInArrow(kernel, schema), lambda f, two=False: f
-    fan = FAN
+    fan = max(2, math.isqrt(FAN))
 
     def framed(out: pa.Table, own: int) -> pa.Table:
         rows = [(own // fan, k, _frame(t)) for k, t in _sorted_runs(out, out.column(receiver).to_numpy() // fan)] if out.num_rows else []

@@ -92,6 +92,26 @@ def test_hot_anchors_and_frames_change_nothing(spark, monkeypatch, hot, fan):
         assert sorted((tuple(x)[:4] for x in substring_dedup(df).collect()), key=repr) == brute_words(rows)
 
 
+def test_relay_holds_few_blobs(spark, monkeypatch):
+    import pyarrow as pa
+
+    from palimpsest.llm import _chunks
+
+    monkeypatch.setattr(_chunks, "FAN", 16)
+
+    def to_all(table):
+        own = table.column("chunk")[0].as_py()
+        return pa.table({"bucket": pa.array(range(40), pa.int32()), "blob": pa.array([b"%d %d" % (own, k) for k in range(40)])})
+
+    senders = spark.range(40).selectExpr("cast(id as int) chunk").groupBy("chunk")
+    rows, _ = _chunks.deal(senders, to_all, "bucket int, blob binary", "chunk", "bucket", 40)
+    frames = [(r.bucket, pa.ipc.open_stream(r.frame).read_all().column("blob").to_pylist()) for r in rows.collect()]
+    assert sorted(b for _, blobs in frames for b in blobs) == sorted(b"%d %d" % (a, k) for a in range(40) for k in range(40))
+    assert all(b.endswith(b" %d" % k) for k, blobs in frames for b in blobs)
+    # a relay has one frame for each of as many receivers as it has senders
+    assert max(len(blobs) for _, blobs in frames) ** 2 <= 16
+
+
 def plain_pieces(texts, length):
     """(anchor, document, start, windows) of every piece, by the definition."""
     import numpy as np
