@@ -1,11 +1,12 @@
 """Batches of whole collections against plain sequential versions."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
 
-from palimpsest.operators import grammar, kernels
+from palimpsest.operators import covers, fragments, grammar, kernels
 
 
 def random_collections(seed):
@@ -38,3 +39,52 @@ def test_whole_groups_are_bounded():
     assert sum(map(len, seen)) == 40
     assert all(3 * t.num_rows <= 20 for t in got) and len(got) < 40
     assert [t.num_rows for t in kernels.whole_groups([rows], 1)] == [1 + k % 5 for k in range(40)]
+
+
+def test_covers_of_a_batch():
+    for seed in range(120):
+        r = random.Random(seed)
+        rows = set()
+        for c in range(r.randint(1, 4)):
+            for v in range(r.randint(1, 3)):
+                toks = [r.choice("abcd"[: r.randint(1, 4)]) for _ in range(r.randint(1, 40))]
+                for _ in range(r.randint(1, 60)):
+                    a = r.randrange(len(toks))
+                    rows.add((c, v, a, (run := "".join(toks[a : a + r.randint(1, 6)])), len(run)))
+        rows = sorted(rows, key=lambda x: r.random())
+        copies = {(c, v): 1 + (c + v) % 3 for c, v, *_ in rows}
+        c, v, a, n = (np.array([x[i] for x in rows]) for i in (0, 1, 2, 4))
+        # any numbers whose order is the text's
+        names = sorted({x[3] for x in rows})
+        high, low = (np.array([f(names.index(x[3])) for x in rows], np.uint64) for f in (lambda k: k // 3, lambda k: k % 3))
+        weights, by_grammar = [0.01, 3.0, 40.0], seed % 2 == 0
+        got = covers.cover_batch(c, v, np.array([copies[x[:2]] for x in rows]), a, n, high, low, weights, by_grammar)
+        for w, (places, ranks) in zip(weights, got, strict=True):
+            want = set()
+            for k in set(c.tolist()):
+                frags: dict = {}
+                for x in rows:
+                    if x[0] == k:
+                        frags.setdefault(x[3], (x[4], []))[1].append((x[1], x[2]))
+                want |= {(k, *x) for x in fragments.cover(frags, w, by_grammar, {vv: m for (cc, vv), m in copies.items() if cc == k})}
+            assert {(rows[p][0], q, rows[p][3], *rows[p][1:3], rows[p][4]) for p, q in zip(places.tolist(), ranks.tolist(), strict=True)} == want
+
+
+def test_faults_are_told(spark):
+    toks = "a b c d".split()
+    h = lambda a, n: hashlib.md5(" ".join(toks[a : a + n]).encode()).hexdigest()
+    good = [(1.0, 0, h(0, 2), 0, 2, True), (1.0, 1, h(2, 2), 2, 2, True)]
+    cases = {"right": good, "gap": good[:1], "overlap": [*good, (1.0, 2, h(1, 2), 1, 2, True)], "hash": [good[0], (1.0, 1, "x", 2, 2, True)], "outside": [good[0], (1.0, 1, h(2, 2), 2, 3, True)], "none": []}
+    df = spark.createDataFrame([(c, 0, toks, apps) for c, apps in cases.items()], f"collection string, version long, toks array<string>, apps {covers.APPS}")
+    got = {x.collection: (x.n_apps, x.covered, x.faults) for x in covers.checked(df).collect()}
+    assert got == {"right": (2, 4, 0), "gap": (1, 2, 1), "overlap": (3, 6, 1), "hash": (2, 4, 1), "outside": (2, 5, 2)}
+
+
+def test_large_collections_have_the_same_covers(spark):
+    r = random.Random(4)
+    base = [f"t{r.randrange(9)}" for _ in range(90)]
+    rows = [(c, v, base[: 60 + 10 * (v % 3)] if c else base[v:]) for c in range(2) for v in range(5)] + [(2, 0, [])]
+    df = spark.createDataFrame(rows, "collection long, version long, toks array<string>")
+    for by_grammar in (False, True):
+        small, large = (sorted(map(tuple, covers.applications(covers.covers(df, [1.0, 9.0], by_grammar, n)).collect())) for n in (10**6, 60))
+        assert small == large and sum(x[-1] for x in small) < len(small)
