@@ -88,3 +88,26 @@ def test_large_collections_have_the_same_covers(spark):
     for by_grammar in (False, True):
         small, large = (sorted(map(tuple, covers.applications(covers.covers(df, [1.0, 9.0], by_grammar, n)).collect())) for n in (10**6, 60))
         assert small == large and sum(x[-1] for x in small) < len(small)
+
+
+def test_copied_runs():
+    r = random.Random(6)
+    for n in (1, 2, 5):
+        pairs = [([r.choice("ab") for _ in range(r.randint(0, 30))], [r.choice("abc") for _ in range(r.randint(0, 30))]) for _ in range(40)]
+        pairs += [(list("xabcdefy"), list("abcdefabcdef")), ([], list("abc"))]
+        kind = pa.list_(pa.string())
+        at, *cols = kernels.copied_runs(pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind), n)
+        rows = list(zip(*(c.tolist() for c in cols), strict=True))
+        for k, (toks, reference) in enumerate(pairs):
+            first: dict = {}
+            for p in range(len(reference) - n + 1):
+                first.setdefault(tuple(reference[p : p + n]), p)
+            hits = {(p, first[g]) for p in range(len(toks) - n + 1) if (g := tuple(toks[p : p + n])) in first}
+            want = set()
+            for p, q in hits:
+                if (p - 1, q - 1) not in hits:
+                    m = 0
+                    while (p + m, q + m) in hits:
+                        m += 1
+                    want.add((q, p, m + n - 1))
+            assert len(rows[at[k] : at[k + 1]]) == len(want) and set(rows[at[k] : at[k + 1]]) == want
