@@ -7,7 +7,7 @@ frequent term has many blocks, and its lexicon row sums them up.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import kernels
@@ -27,13 +27,16 @@ def term_rows(arrays: DataFrame, *keys: str) -> DataFrame:
     return kernels.with_terms(arrays, *keys).select(*keys, F.explode("terms").alias("t")).select(*keys, "t.term", "t.positions")
 
 
-def build(rows: DataFrame, doc: str = "doc_id", block: Column | None = None) -> DataFrame:
+def build(rows: DataFrame, doc: str = "doc_id", block: Column | None = None, parts: int | None = None) -> DataFrame:
     """term, block, freq, n_docs, postings; rows: doc, term, positions.
 
     Rows that repeat a document and term give their positions each; a null
-    document is in a null block of its own.
+    document is in a null block of its own.  parts: so many partitions by term and block, as the
+    buckets of ``runs`` want them.
     """
     placed = rows.select(F.col(doc).alias("docid"), "term", "positions", (block_of(doc) if block is None else block).alias("block"))
+    if parts:
+        placed = placed.repartition(parts, "term", "block")
     lists = F.array_sort(F.collect_list(F.struct("docid", "positions")))
     grouped = placed.groupBy("term", "block").agg(F.sum(F.size("positions")).alias("freq"), F.count(F.lit(1)).alias("n_docs"), lists.alias("l"))
     flat = F.flatten(F.transform("l", lambda d: F.transform(d["positions"], lambda p: F.struct(d["docid"].alias("docid"), p.alias("pos")))))
@@ -105,23 +108,3 @@ def phrase(rows: DataFrame, terms: list[str], *keys: str) -> DataFrame:
     which = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(terms))), lambda x: x["t"] == F.col("term")))
     hits = rows.where(F.col("term").isin(terms)).select(*keys, "pos", which.alias("w")).select(*keys, (F.col("pos") - F.col("w.k")).alias("pos"), "w.k").where("pos >= 0")
     return hits.distinct().groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(*keys, "pos")
-
-
-def copy_ranges(version_tokens: DataFrame, reference_tokens: DataFrame, n: int, *keys: str) -> DataFrame:
-    """keys, rstart, vstart, len: maximal runs of at least n tokens that a version copies from its reference.
-
-    Token rows with keys, pos, term; each version n-gram meets the first equal
-    one of the reference, and hits on one diagonal that follow each other join.
-    """
-
-    def grams(rows):
-        at = Window.partitionBy(*keys).orderBy("pos")
-        parts = [F.lead("term", k).over(at) if k else F.col("term") for k in range(n)]
-        return rows.select(*keys, "pos", F.concat_ws(" ", *parts).alias("g"), parts[-1].isNotNull().alias("ok")).where("ok")
-
-    reference = grams(reference_tokens).groupBy(*keys, "g").agg(F.min("pos").alias("rpos"))
-    hits = grams(version_tokens).join(reference, [*keys, "g"]).select(*keys, "pos", "rpos", (F.col("pos") - F.col("rpos")).alias("diagonal"))
-    at = Window.partitionBy(*keys, "diagonal").orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(at) == 1, 0).otherwise(1)
-    islands = hits.withColumn("new", new).withColumn("island", F.sum("new").over(at))
-    return islands.groupBy(*keys, "diagonal", "island").agg(F.min("rpos").alias("rstart"), F.min("pos").alias("vstart"), (F.count(F.lit(1)) + n - 1).alias("len")).select(*keys, "rstart", "vstart", "len")

@@ -77,11 +77,11 @@ class Runs:
 
     # --- runs ---
 
-    def _write(self, index: DataFrame, name: str) -> None:
+    def _write(self, index: DataFrame, name: str, dealt: bool) -> None:
         wide = F.transform("postings", lambda p: F.struct(p["docid"].cast("long").alias("docid"), p["pos"].cast("long").alias("pos")))
         rows = index.select("term", F.col("block").cast("long").alias("block"), F.col("freq").cast("long").alias("freq"), F.col("n_docs").cast("long").alias("n_docs"), wide.alias("postings"), F.lit(name).alias("run"))
         # one file per bucket
-        self._save(rows.repartition(self.buckets, "term", "block"))
+        self._save(rows if dealt else rows.repartition(self.buckets, "term", "block"))
 
     def _save(self, rows: DataFrame) -> None:
         rows.write.format("parquet").mode("append").partitionBy("run").bucketBy(self.buckets, "term", "block").sortBy("term", "block").saveAsTable(self.table)
@@ -96,17 +96,18 @@ class Runs:
         lists = F.array_sort(F.collect_list(F.struct(place.alias("place"), "postings")))
         return rows.groupBy("term", "block").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.flatten(F.transform(lists, lambda x: x["postings"])).alias("postings"))
 
-    def append(self, index: DataFrame, name: str | None = None) -> str:
+    def append(self, index: DataFrame, name: str | None = None, dealt: bool = False) -> str:
         """An index (term, block, freq, n_docs, postings) of documents that no run has yet, as the last run.
 
         ``name`` makes it repeatable: a run of that name that is, or ever was, in the index isn't added again.
+        dealt: the index was built in as many parts as there are buckets, so its postings need no further exchange.
         """
         now = self.state()
         name = name or uuid.uuid4().hex
         if any(name in r["holds"] for r in now["runs"]):
             return name
         stored = f"{name}-{uuid.uuid4().hex[:8]}"  # an earlier try may have left files
-        self._write(index, stored)
+        self._write(index, stored, dealt)
         self._publish(now["number"] + 1, now | {"runs": [*now["runs"], {"name": stored, "level": 0, "holds": [name]}]})
         return name
 

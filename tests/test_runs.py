@@ -69,3 +69,16 @@ def test_snapshots_and_conflicts(spark, tmp_path):
     held.vacuum()
     assert content(held.read()) == [("a", 0, 2, 2, [(1, 0), (2, 0)])]
     assert len([n for n in held._files(f"{held.path}/runs") if n.startswith("run=")]) == 1
+
+
+def test_run_dealt_by_bucket_has_one_exchange(spark, tmp_path):
+    rows = spark.createDataFrame([(d, f"t{(d * k) % 11}", [k]) for d in range(60) for k in range(3)], "doc_id long, term string, positions array<int>")
+    held = Runs(spark, str(tmp_path / "dealt"), 8)
+    dealt = index.build(rows, parts=8)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    held.append(dealt, "one", dealt=True)
+    (stored,) = (tmp_path / "dealt" / "runs").glob("run=*")
+    buckets = [f.name.split("_")[-1].split(".")[0] for f in stored.glob("*.parquet")]
+    assert len(buckets) == len(set(buckets)) <= 8
+    plain = lambda df: sorted((x.term, x.block, x.freq, x.n_docs, [tuple(p) for p in x.postings]) for x in df.collect())
+    assert plain(held.read()) == plain(index.build(rows))
