@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from palimpsest.operators.kernels import lists, ranges, to_lists
+from palimpsest.operators.kernels import bounded, lists, ranges, to_lists
 
 PARTS = "_parts.json"
 #: Bytes of a side file that are read at a time, and what a reading task is meant to hold.
@@ -303,7 +303,7 @@ class CorpusFiles(_Layout):
 class PostingReader(_Reader):
     """doc, version, terms array<struct<wid, positions>>; versions without words have no terms."""
 
-    DOCS = 256
+    DOCS = 1024
 
     def ranges(self, fs, part):
         n = (_size(fs, f"{part}/url.idx") - 4) // 8
@@ -312,17 +312,57 @@ class PostingReader(_Reader):
 
     def rows(self, fs, r):
         items = _numbers(fs, f"{r.part}/url.idx", "<u4", 4 + 8 * r.first, 2 * (r.last - r.first)).reshape(-1, 2).tolist()
-        kind = pa.list_(pa.struct([("wid", pa.int64()), ("positions", pa.list_(pa.int32()))]))
+        held, size = [], 0
         for doc, n in items:
-            x, at, versions = _numbers(fs, f"{r.part}/{doc}", "<u4"), 0, []
+            held.append((doc, n, _numbers(fs, f"{r.part}/{doc}", "<u4")))
+            size += len(held[-1][2])
+            if size * 4 >= PIECE:
+                yield self.decoded(held)
+                held, size = [], 0
+        if held:
+            yield self.decoded(held)
+
+    @staticmethod
+    def decoded(files: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        """The versions of whole files (document, number of versions, numbers)."""
+        x = np.concatenate([f for _, _, f in files])
+        heads, counts, at = [], [], 0
+        for _, n, f in files:
+            # only the places of words are found one by one, as each depends on the list before
+            own, k = memoryview(np.ascontiguousarray(f)), 0
             for _ in range(n):
-                words, at, terms = int(x[at]), at + 1, []
-                for _ in range(words):
-                    wid, freq = int(x[at]), int(x[at + 1])
-                    terms.append({"wid": wid, "positions": x[at + 2 : at + 2 + freq].tolist()})
-                    at += 2 + freq
-                versions.append(terms)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(versions, kind)], names=["doc", "version", "terms"])
+                counts.append(own[k])
+                k += 1
+                for _ in range(own[k - 1]):
+                    heads.append(at + k)
+                    k += 2 + own[k + 1]
+            at += len(f)
+        head = np.array(heads, np.int64)
+        freq = x[head + 1].astype(np.int64)
+        positions = to_lists(x[ranges(head + 2, freq)].astype(np.int32), np.concatenate([[0], np.cumsum(freq)]), pa.int32())
+        terms = pa.StructArray.from_arrays([pa.array(x[head].astype(np.int64)), positions], names=["wid", "positions"])
+        numv = np.array([n for _, n, _ in files], np.int64)
+        doc = np.repeat(np.array([d for d, _, _ in files], np.int64), numv)
+        version = ranges(np.zeros(len(numv), np.int64), numv)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(version), to_lists(terms, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), None)], names=["doc", "version", "terms"])
+
+
+def _encoded(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, places): the posting lists of versions as a posting file has them, and where each version begins and ends."""
+    n = terms.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    values = terms.flatten()  # without what lies behind nulls
+    positions = values.field(1)
+    freq = positions.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    term_at = np.concatenate([[0], np.cumsum(2 + freq)])
+    # each version's count of words comes before its lists
+    at = term_at[np.concatenate([[0], np.cumsum(n)])] + np.arange(len(n) + 1)
+    out = np.empty(int(at[-1]), "<u4")
+    out[at[:-1]] = n
+    head = term_at[:-1] + np.repeat(np.arange(len(n)), n) + 1
+    out[head] = values.field(0).to_numpy()
+    out[head + 1] = freq
+    out[ranges(head + 2, freq)] = positions.flatten().to_numpy()
+    return out, at
 
 
 class PostingWriter(_Writer):
@@ -331,18 +371,19 @@ class PostingWriter(_Writer):
     def fill(self, fs, part, batches):
         first, doc, out = None, None, None
         catalogue = _Catalogue(fs, part, False)
-        for batch in _versions(batches, ("doc", "version")):
-            catalogue.add(batch.column(0).to_numpy())
-            for d, terms in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if d != doc:
+        for batch in (b for whole in _versions(batches, ("doc", "version")) for b in bounded(whole)):
+            docs = batch.column(0).to_numpy()
+            catalogue.add(docs)
+            numbers, at = _encoded(batch.column(2))
+            first = first if first is not None else (int(docs[0]),)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if docs[a] != doc:
                     if out:
                         out.close()
-                    doc, out = d, fs.open_output_stream(f"{part}/{d}")
-                    first = first if first is not None else (d,)
-                flat = [len(terms or [])]
-                for t in terms or []:
-                    flat += [t["wid"], len(t["positions"]), *t["positions"]]
-                out.write(np.array(flat, "<u4").tobytes())
+                    doc = int(docs[a])
+                    out = fs.open_output_stream(f"{part}/{doc}")
+                out.write(numbers[at[a] : at[b]].tobytes())
         if out:
             out.close()
         catalogue.close()
