@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest import scratch
 from palimpsest.operators import kernels
 
 #: Documents per block.
@@ -43,6 +44,28 @@ def build(rows: DataFrame, doc: str = "doc_id", block: Column | None = None, par
     return grouped.select("term", "block", "freq", "n_docs", flat.alias("postings"))
 
 
+def partial(arrays: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The lists of slices of documents, grouped inside the map; gathered() makes an index of them.  arrays: doc (long), toks, each document in one row."""
+    return kernels.packed_postings(arrays, doc, BLOCK_DOCS)
+
+
+def gathered(lists: DataFrame, in_order: bool = False) -> DataFrame:
+    """term, block, freq, n_docs, postings from the lists of several slices; in_order: each partition in order of term and block."""
+    every = F.sort_array(F.flatten(F.collect_list("packed")))
+    grouped = lists.groupBy("term", "block").agg(F.sum("n_docs").alias("n_docs"), every.alias("packed"))
+    if in_order:
+        grouped = grouped.sortWithinPartitions("term", "block")
+    first = F.col("block") * BLOCK_DOCS
+    flat = F.transform("packed", lambda p: F.struct((first + F.shiftright(p, 32)).alias("docid"), p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos")))
+    return grouped.select("term", "block", F.size("packed").cast("long").alias("freq"), "n_docs", flat.alias("postings"))
+
+
+def build_arrays(arrays: DataFrame, doc: str = "doc_id", parts: int | None = None) -> DataFrame:
+    """build() of whole documents (doc, toks), without a row per document and term."""
+    lists = partial(arrays, doc)
+    return gathered(lists.repartition(parts, "term", "block") if parts else lists)
+
+
 def build_texts(texts: DataFrame, doc: str, n_docs: int) -> DataFrame:
     """The index of short documents (doc, toks), n_docs in all, with ids from 0 on.
 
@@ -81,6 +104,13 @@ def write(index: DataFrame, path: str) -> None:
     index.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
 
 
+def write_arrays(arrays: DataFrame, path: str, doc: str = "doc_id") -> None:
+    """write() of build_arrays(): the lists of slices go to their range of terms, and are gathered there."""
+    lists = scratch.table(partial(arrays, doc), "lists")  # ranges are found by a first reading
+    gathered(lists.repartitionByRange("term", "block"), True).write.mode("overwrite").parquet(path)
+    scratch.drop(lists)
+
+
 def open_index(spark: SparkSession, path: str) -> DataFrame:
     """An index of write(); a filter on terms reads only the row groups that may hold them."""
     return spark.read.parquet(path)
@@ -93,7 +123,14 @@ def read(index: DataFrame) -> DataFrame:
 
 def restore(postings: DataFrame, *keys: str, word: str = "term") -> DataFrame:
     """keys, toks: token arrays rebuilt from flat postings."""
-    return postings.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word))), lambda x: x[word]).alias("toks"))
+    return postings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", word)))[word].alias("toks"))
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """docid, toks: restore() of a whole index; lists are turned to documents inside the map, without a row per posting."""
+    # lists of the same documents side by side, so that a slice holds many words of each
+    words = kernels.by_document(index.sortWithinPartitions("block", "term")).repartition("docid")
+    return words.groupBy("docid").agg(F.sort_array(F.flatten(F.collect_list("words")))["term"].alias("toks"))
 
 
 def all_terms(index: DataFrame, terms: list[str]) -> DataFrame:

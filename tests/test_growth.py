@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import kernels
+from palimpsest.operators import index, kernels
 from palimpsest.plans import queries
 from palimpsest.sources import layouts
 
@@ -45,3 +45,29 @@ def test_versions_are_written_as_they_were_grouped(spark):
     rows = df.select(F.spark_partition_id().alias("p"), "doc", "version").collect()
     assert len({(x.p, x.doc) for x in rows}) == len({x.doc for x in rows})
     assert all((a.doc, a.version) < (b.doc, b.version) for a, b in zip(rows, rows[1:], strict=False) if a.p == b.p)
+
+
+def test_indexes_of_whole_documents(spark, tmp_path):
+    """Lists grouped by slices in the map are those of single rows, and the files of an index give its documents back."""
+    r = random.Random(9)
+    ids = [*range(-20, 20), *range(4090, 4100), 2**40, None]
+    r.shuffle(ids)
+    docs = [(d, [r.choice("abcdefghij") for _ in range(r.choice([0, 1, 7, 300]))] if d is not None else ["a", "b", "a"]) for d in ids]
+    df = spark.createDataFrame(docs, "doc_id long, toks array<string>").repartition(5)
+    plain = lambda rows: sorted(((x.term, x.block, x.freq, x.n_docs, [tuple(p) for p in x.postings]) for x in rows.collect()), key=repr)
+    before, kernels.BATCH_VALUES = kernels.BATCH_VALUES, 500
+    try:
+        want = plain(index.build(index.term_rows(df, "doc_id")))
+        assert plain(index.build_arrays(df)) == want
+        assert plain(index.build_arrays(df, parts=3)) == want
+        at = str(tmp_path / "i")
+        index.write_arrays(df, at)
+    finally:
+        kernels.BATCH_VALUES = before
+    held = index.open_index(spark, at)
+    assert plain(held) == want and held.dtypes == index.build(index.term_rows(df, "doc_id")).dtypes
+    files = {}
+    for x in held.select("term", "block", F.col("_metadata.file_path").alias("f")).collect():
+        files.setdefault(x.f, []).append((x.term, -(2**60) if x.block is None else x.block))
+    assert all(v == sorted(v) for v in files.values())
+    assert {x.docid: x.toks for x in index.documents(held).collect()} == {d: t for d, t in docs if t}
