@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import index, kernels
+from palimpsest.operators import index, kernels, segments
 from palimpsest.plans import queries
 from palimpsest.sources import layouts
 
@@ -71,3 +71,19 @@ def test_indexes_of_whole_documents(spark, tmp_path):
         files.setdefault(x.f, []).append((x.term, -(2**60) if x.block is None else x.block))
     assert all(v == sorted(v) for v in files.values())
     assert {x.docid: x.toks for x in index.documents(held).collect()} == {d: t for d, t in docs if t}
+
+
+def test_tree_of_boundaries(spark):
+    """Ancestors by search are those of the sweep over intervals, from one reading of the versions."""
+    r = random.Random(5)
+    docs = [(str(k % 7), k, [r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.choice([0, 1, 9, 10, 11, 60, 400]))]) for k in range(50)]
+    df = spark.createDataFrame(docs, "c string, v long, toks array<string>").repartition(3)
+    windows, keys = (5, 20, 40), ("c", "v")
+    tree = kernels.with_tree(df, windows, *keys)
+    levels = segments.refining_levels(kernels.with_bounds(df, windows, *keys), [f"bounds{w}" for w in windows], *keys)
+    plain = lambda rows: sorted(map(tuple, rows.collect()), key=repr)
+    blocks = segments.hierarchy(tree, 3, *keys)
+    assert plain(blocks.drop("parent")) == plain(levels)
+    assert plain(blocks.where("parent is not null").select(*keys, "level", "idx", "parent")) == plain(segments.contained(levels, *keys))
+    assert plain(segments.tree_pairs(tree, 3, *keys)) == plain(segments.tree_conflicts(levels, *keys))
+    assert exchanges(queries.tree_conflicts(spark, SF)) == 1
