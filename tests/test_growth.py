@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import index, kernels, segments
+from palimpsest.operators import index, intervals, kernels, segments
 from palimpsest.plans import queries
 from palimpsest.sources import layouts
 
@@ -87,3 +87,10 @@ def test_tree_of_boundaries(spark):
     assert plain(blocks.where("parent is not null").select(*keys, "level", "idx", "parent")) == plain(segments.contained(levels, *keys))
     assert plain(segments.tree_pairs(tree, 3, *keys)) == plain(segments.tree_conflicts(levels, *keys))
     assert exchanges(queries.tree_conflicts(spark, SF)) == 1
+
+
+def test_containment_sweeps_once(spark):
+    df = spark.createDataFrame([(0, 0, 5, 1), (0, 0, 5, 2), (0, 1, 3, 3)], "c long, start long, end long, id long")
+    got = intervals.containing(df, ("c",), "id")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((x.a_id, x.b_id) for x in got.collect()) == [(1, 2), (1, 3), (2, 1), (2, 3)]
