@@ -6,15 +6,65 @@ fragment has at most one on either side.  Chains are found by pointer jumping ov
 every fragment points to its left neighbour, and in each round to what
 that one points to, adding up the tokens between; so a chain of n takes log2(n)
 rounds of one join, and nothing is walked one by one.
+
+Collections of bounded size take their rounds together, a batch of collections at once, in arrays
+(``chain_batch``); larger ones take rounds of joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch
-from palimpsest.operators import fragments, index, versioned
+from palimpsest.operators import fragments, grammar, index, kernels, versioned
+
+#: Tokens up to which a collection's chains are found in a batch; larger ones take rounds of joins.
+GROUP_TOKENS = 1_000_000
+#: Tokens of the collections that are taken together.
+BATCH_TOKENS = 1 << 18
+
+
+def numbered(collection: np.ndarray, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(frag, first): a number for each distinct (collection, digest), and a place that has it."""
+    parts = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((parts[:, 1], parts[:, 0], collection))
+    new = np.ones(len(order), bool)
+    c, p = collection[order], parts[order]
+    new[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1]).any(axis=1)
+    frag = np.zeros(len(order), np.int64)
+    frag[order] = np.cumsum(new) - 1
+    return frag, order[new]
+
+
+def chain_batch(frag: np.ndarray, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head, rank, shift) of each fragment, as in chains(); length: tokens of each fragment.
+
+    frag: the fragments 0, 1, ... that tile versions, from left to right, in whole collections; row: each place's version.
+    """
+    order = np.argsort(frag, kind="stable")
+    heads = np.flatnonzero(np.diff(frag[order], prepend=-1))
+
+    def sole(beside):
+        # the one fragment that is always there, or -1
+        x = beside[order]
+        return np.where(np.minimum.reduceat(x, heads) == np.maximum.reduceat(x, heads), x[heads], -1) if len(heads) else x
+
+    met = row[1:] == row[:-1]
+    after, before = np.full(len(frag), -1), np.full(len(frag), -1)
+    after[:-1][met], before[1:][met] = frag[1:][met], frag[:-1][met]
+    after, before = sole(after), sole(before)
+    head = np.arange(len(heads))
+    right = np.flatnonzero(before >= 0)
+    right = right[after[before[right]] == right]
+    head[right] = before[right]
+    rank, shift = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+    rank[right], shift[right] = 1, length[head[right]]
+    while (head[head] != head).any():
+        rank, shift, head = rank + rank[head], shift + shift[head], head[head]
+    return head, rank, shift
 
 
 def chains(apps: DataFrame) -> DataFrame:
@@ -22,10 +72,13 @@ def chains(apps: DataFrame) -> DataFrame:
 
     apps: collection, id, version, offset, len, which tile each version.  A fragment that can't be fused is a chain of itself.
     """
-    sizes = apps.groupBy("collection", "id").agg(F.first("len").alias("len"))
-    met = fragments.mergeable(apps)
-    left = sizes.select("collection", F.col("id").alias("left_id"), F.col("len").cast("long").alias("tokens"))
-    now = scratch.table(met.join(left, ["collection", "left_id"]).select("collection", F.col("right_id").alias("id"), F.col("left_id").alias("at"), F.lit(1).alias("hops"), "tokens"), "pointers")
+    beside = Window.partitionBy("collection", "version").orderBy("offset")
+    placed = apps.select("collection", "id", "len", F.lag("id").over(beside).alias("before"), F.lead("id").over(beside).alias("after"))
+    sole = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    one = scratch.table(placed.groupBy("collection", "id").agg(F.first("len").cast("long").alias("len"), sole("before"), sole("after")), "fragments")
+    left = one.where("after is not null").select("collection", F.col("id").alias("before"), F.col("after").alias("id"), F.col("len").alias("tokens"))
+    met = one.where("before is not null").select("collection", "id", "before").join(left, ["collection", "before", "id"])
+    now = scratch.table(met.select("collection", "id", F.col("before").alias("at"), F.lit(1).alias("hops"), "tokens"), "pointers")
     while True:
         behind = now.select("collection", F.col("id").alias("at"), F.col("at").alias("next"), F.col("hops").alias("more"), F.col("tokens").alias("more_tokens"))
         jumped = now.join(behind, ["collection", "at"], "left")
@@ -37,8 +90,8 @@ def chains(apps: DataFrame) -> DataFrame:
         now._scratch_path = then._scratch_path
         if not moved:
             break
-    placed = sizes.select("collection", "id").join(now, ["collection", "id"], "left")
-    return placed.select("collection", "id", F.coalesce("at", "id").alias("head"), F.coalesce("hops", F.lit(0)).alias("rank"), F.coalesce("tokens", F.lit(0)).cast("long").alias("shift"))
+    found = one.select("collection", "id").join(now, ["collection", "id"], "left")
+    return found.select("collection", "id", F.coalesce("at", "id").alias("head"), F.coalesce("hops", F.lit(0)).alias("rank"), F.coalesce("tokens", F.lit(0)).cast("long").alias("shift"))
 
 
 def fuse(found: versioned.VersionedIndex) -> versioned.VersionedIndex:
@@ -68,3 +121,51 @@ def groups(apps: DataFrame) -> DataFrame:
     """collection, head, id, rank, n: the members of chains of several fragments, n each."""
     n = F.count(F.lit(1)).over(Window.partitionBy("collection", "head"))
     return chains(apps).withColumn("n", n).where("n > 1").select("collection", "head", "id", "rank", "n")
+
+
+def _cut(toks: pa.ListArray, window: int):
+    """(row, start, length, digest) of the winnowed fragments of a batch's versions."""
+    h, at = kernels.gram_hashes(toks)
+    j = kernels.Joined(toks)
+    n = np.diff(j.offs)
+    start, offs = kernels.winnowed(h, at, n, window)
+    row = np.repeat(np.arange(len(n)), np.diff(offs))
+    end = np.append(start[1:], 0)[: len(start)]
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    end[last] = n[row[last]]
+    base = j.offs[:-1][row]
+    return row, start, end - start, j.digest(base + start, base + end - 1)
+
+
+def _groups_of(table: pa.Table, window: int) -> pa.RecordBatch:
+    """groups() of a batch of whole collections (collection, toks)."""
+    row, _, length, digests = _cut(table.column("toks").combine_chunks(), window)
+    frag, first = numbered(grammar.numbers_of(table.column("collection"))[row], digests)
+    head, rank, _ = chain_batch(frag, row, length[first])
+    n = np.bincount(head, minlength=len(head))[head] if len(head) else head
+    own = np.flatnonzero(n > 1)
+    named = pa.array([digests[k].hex() for k in first.tolist()], pa.string())
+    cols = [table.column("collection").combine_chunks().take(pa.array(row[first[own]])), named.take(pa.array(head[own])), named.take(pa.array(own)), pa.array(rank[own]), pa.array(n[own])]
+    return pa.RecordBatch.from_arrays(cols, names=["collection", "head", "id", "rank", "n"])
+
+
+def window_groups(texts: DataFrame, window: int) -> DataFrame:
+    """groups() of the winnowed fragments of texts (collection, version, text, n), stored, see grammar.stored_texts.
+
+    Copies of a version change no chain, so collections that are large by their copies count without them.
+    """
+    small, large = grammar.folded_by_size(texts, GROUP_TOKENS)
+    kind = texts.schema["collection"].dataType.simpleString()
+
+    def run(batches):
+        for table in kernels.whole_groups(batches, BATCH_TOKENS):
+            yield _groups_of(table, window)
+
+    out = grammar.side_by_side(small).mapInArrow(run, f"collection {kind}, head string, id string, rank long, n long")
+    if large is None:
+        return out
+    rows = large.select("collection", "version", grammar.toks_of().alias("toks"))
+    cut = versioned.fragment_rows(rows, (window,))
+    # the chains read them several times
+    apps = scratch.table(cut.select("collection", F.col("hash").alias("id"), "version", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("len")), "fragments")
+    return out.unionByName(groups(apps).withColumn("rank", F.col("rank").cast("long")))
