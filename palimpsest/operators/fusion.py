@@ -13,13 +13,15 @@ Collections of bounded size take their rounds together, a batch of collections a
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import scratch
-from palimpsest.operators import fragments, grammar, index, kernels, versioned
+from palimpsest.operators import grammar, index, kernels, optimise, versioned
 
 #: Tokens up to which a collection's chains are found in a batch; larger ones take rounds of joins.
 GROUP_TOKENS = 1_000_000
@@ -94,11 +96,8 @@ def chains(apps: DataFrame) -> DataFrame:
     return found.select("collection", "id", F.coalesce("at", "id").alias("head"), F.coalesce("hops", F.lit(0)).alias("rank"), F.coalesce("tokens", F.lit(0)).cast("long").alias("shift"))
 
 
-def fuse(found: versioned.VersionedIndex) -> versioned.VersionedIndex:
-    """The same index over fused fragments: fewer ids and applications, the same postings in them.
-
-    A fused fragment's hash is the MD5 of its members' hashes; ids are dense again, in order of collection and first application.
-    """
+def _rows(found: versioned.VersionedIndex) -> tuple[DataFrame, DataFrame]:
+    """(collection, head, hash, len, size, first of the fused fragments; head, toks of them)."""
     apps = found.metadata.join(found.dictionary.select("frag_id", "len"), "frag_id").select("collection", F.col("frag_id").alias("id"), "version", "offset", "len")
     apps = scratch.table(apps, "applications")
     chain = scratch.table(chains(apps), "chains")
@@ -107,39 +106,132 @@ def fuse(found: versioned.VersionedIndex) -> versioned.VersionedIndex:
     whole = named.groupBy("collection", "head").agg(F.sum("len").alias("len"), F.min(F.struct("rank", "size", "first")).alias("x"), members.alias("m"))
     fused_hash = F.when(F.size("m") == 1, F.col("m")[0]["hash"]).otherwise(F.md5(F.array_join(F.col("m.hash"), " ")))
     rows = whole.select("collection", "head", fused_hash.alias("hash"), "len", F.col("x.size").alias("size"), F.col("x.first").alias("first"))
+    texts = index.texts(found.postings) if found.texts is None else found.texts.withColumnRenamed("frag_id", "docid")
+    moved = texts.join(chain.select(F.col("id").alias("docid"), "head", "rank"), "docid")
+    return rows, moved.groupBy("head").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "toks"))), lambda x: x["toks"])).alias("toks"))
+
+
+def fuse(found: versioned.VersionedIndex) -> versioned.VersionedIndex:
+    """The same index over fused fragments: fewer ids and applications, the same postings in them.
+
+    A fused fragment's hash is the MD5 of its members' hashes; ids are dense again, in order of collection and first application.
+    """
+    rows, texts = _rows(found)
     dictionary = scratch.table(versioned.with_ids(scratch.table(rows, "fused")), "fused")
     ids = dictionary.select("head", F.col("frag_id").alias("new_id"))
     metadata = found.metadata.join(ids, found.metadata["frag_id"] == ids["head"]).select(F.col("new_id").alias("frag_id"), "collection", "version", "offset")
-    # a fragment's tokens are in one block; they move together
-    moved = index.texts(found.postings).join(chain.select(F.col("id").alias("docid"), "head", "rank"), "docid").join(ids, "head")
-    texts = moved.groupBy("new_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "toks"))), lambda x: x["toks"])).alias("toks"))
-    postings = index.build_texts(texts.withColumnRenamed("new_id", "frag_id"), "frag_id", found.dictionary.count())
+    postings = index.build_texts(texts.join(ids, "head").select(F.col("new_id").alias("frag_id"), "toks"), "frag_id", dictionary.count())
     return versioned.VersionedIndex(found.chosen, dictionary.drop("head"), metadata, postings)
 
 
+def _fused(table: pa.Table, windows) -> pa.RecordBatch:
+    """FUSED rows of a batch of whole collections (collection, version, toks), versions in order."""
+    toks = table.column("toks").combine_chunks()
+    collection, version = grammar.numbers_of(table.column("collection")), table.column("version").to_numpy()
+    j, cuts = _cuts(toks, windows)
+    many = int(collection.max()) + 1
+    best, chosen = np.full(many, np.iinfo(np.int64).max), np.zeros(many, np.int64)
+    for k in np.argsort(windows, kind="stable").tolist():
+        row, _, length, digests = cuts[k]
+        c = collection[row]
+        _, first = numbered(c, digests)
+        tokens, frags = np.bincount(c[first], length[first], many).astype(np.int64), np.bincount(c[first], minlength=many)
+        cost = optimise.cost(tokens, frags, np.bincount(c, minlength=many))
+        chosen[cost < best] = k
+        best = np.minimum(best, cost)
+    own = [np.flatnonzero(chosen[collection[row]] == k) for k, (row, *_) in enumerate(cuts)]
+    row, start, length = (np.concatenate([cuts[k][i][x] for k, x in enumerate(own)]) for i in range(3))
+    digests = [cuts[k][3][i] for k, x in enumerate(own) for i in x.tolist()]
+    order = np.lexsort((start, row))
+    row, start, length, digests = row[order], start[order], length[order], [digests[i] for i in order.tolist()]
+    frag, first = numbered(collection[row], digests)
+    head, rank, _ = chain_batch(frag, row, length[first])
+    # members in order of their chains
+    m = np.lexsort((rank, head))
+    heads = np.flatnonzero(np.diff(head[m], prepend=-1))
+    named = [digests[k].hex() for k in first[m].tolist()]
+    hashes = [named[a] if b == a + 1 else md5(" ".join(named[a:b]).encode()).hexdigest() for a, b in zip(heads.tolist(), np.append(heads, len(m))[1:].tolist(), strict=True)]
+    total = np.add.reduceat(length[first[m]], heads)
+    led = head[m][heads]
+    lead = first[led]
+    begin = j.offs[:-1][row[lead]] + start[lead]
+    texts = [j.raw[a:b].decode() for a, b in zip(j.start[begin].tolist(), j.end[begin + total - 1].tolist(), strict=True)]
+    places = np.flatnonzero(head[frag] == frag)
+    places = places[np.argsort(frag[places], kind="stable")]
+    size = np.bincount(frag)[led]
+    at = lambda p: pa.StructArray.from_arrays([pa.array(version[row[p]]), pa.array(start[p].astype(np.int32))], names=["version", "offset"])
+    w = np.array([float(x) for x in windows])[chosen[collection[row[lead]]]]
+    cols = [table.column("collection").combine_chunks().take(pa.array(row[lead])), pa.array(w), pa.array(hashes, pa.string()), pa.array(total), pa.array(size), at(lead), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays([*cols, kernels.to_lists(at(places), np.concatenate([[0], np.cumsum(size)]), None)], names=["collection", "w", "hash", "len", "size", "first", "text", "apps"])
+
+
+FUSED = "w double, hash string, len long, size long, first struct<version: long, offset: int>, text string, apps array<struct<version: long, offset: int>>"
+
+
+def build(small: DataFrame, large: DataFrame | None, windows) -> versioned.VersionedIndex:
+    """fuse() of the versioned index, for rows (collection, version, text, n) as of numbered texts.
+
+    small: collections of bounded size, versions side by side and in order; they are cut, compared and fused in batches, and only
+    fused fragments leave the map.  large: all others, which take joins.
+    """
+    kind = small.schema["collection"].dataType.simpleString()
+    arrays = lambda rows: rows.where("n > 0").select("collection", "version", "n", grammar.toks_of().alias("toks"))
+
+    def run(batches):
+        for table in kernels.whole_groups(batches, BATCH_TOKENS):
+            yield _fused(table, windows)
+
+    made = scratch.table(arrays(small).mapInArrow(run, f"collection {kind}, {FUSED}"), "fused")
+    every, found = made.withColumn("head", F.lit(None).cast("long")), None
+    if large is not None:
+        found = versioned.build(arrays(large), windows)
+        rows, texts = _rows(found)
+        rows = rows.join(texts, "head").join(found.chosen, "collection").select("collection", "w", "hash", "len", "size", "first", F.array_join("toks", " ").alias("text"), F.lit(None).cast(made.schema["apps"].dataType).alias("apps"), "head")
+        every = every.unionByName(scratch.table(rows, "fused"))
+    named = scratch.table(versioned.with_ids(every), "dictionary")
+    scratch.drop(made)
+    metadata = named.select("frag_id", "collection", F.explode("apps").alias("a")).select("frag_id", "collection", "a.*")
+    if found is not None:
+        ids = named.where("head is not null").select("head", F.col("frag_id").alias("new_id"))
+        metadata = metadata.unionByName(found.metadata.join(ids, found.metadata["frag_id"] == ids["head"]).select(F.col("new_id").alias("frag_id"), "collection", "version", "offset"))
+    dictionary = named.drop("w", "text", "apps", "head")
+    # fused fragments may be long
+    blocks = dictionary.groupBy(index.block_of("frag_id").alias("block")).agg(F.sum("len").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    most = blocks.agg(F.max("tokens").alias("tokens"), F.sum("n").alias("n")).first()
+    whole, n = (most["tokens"] or 0) <= index.BLOCK_TOKENS, most["n"] or 0
+    if whole:
+        postings = index.build_blocks(named.select("frag_id", "text", F.col("len").alias("n")), "frag_id", n)
+    else:
+        postings = index.build_texts(named.select("frag_id", F.split("text", " ").alias("toks")), "frag_id", n)
+    return versioned.VersionedIndex(named.select("collection", "w").distinct(), dictionary, metadata, postings, whole=whole)
+
+
 def groups(apps: DataFrame) -> DataFrame:
     """collection, head, id, rank, n: the members of chains of several fragments, n each."""
     n = F.count(F.lit(1)).over(Window.partitionBy("collection", "head"))
     return chains(apps).withColumn("n", n).where("n > 1").select("collection", "head", "id", "rank", "n")
 
 
-def _cut(toks: pa.ListArray, window: int):
-    """(row, start, length, digest) of the winnowed fragments of a batch's versions."""
+def _cuts(toks: pa.ListArray, windows) -> tuple[kernels.Joined, list]:
+    """The tokens of a batch, and (row, start, length, digest) of the winnowed fragments of its versions at each window."""
     h, at = kernels.gram_hashes(toks)
     j = kernels.Joined(toks)
     n = np.diff(j.offs)
-    start, offs = kernels.winnowed(h, at, n, window)
-    row = np.repeat(np.arange(len(n)), np.diff(offs))
-    end = np.append(start[1:], 0)[: len(start)]
-    last = np.append(row[1:] != row[:-1], True)[: len(row)]
-    end[last] = n[row[last]]
-    base = j.offs[:-1][row]
-    return row, start, end - start, j.digest(base + start, base + end - 1)
+    out = []
+    for w in windows:
+        start, offs = kernels.winnowed(h, at, n, w)
+        row = np.repeat(np.arange(len(n)), np.diff(offs))
+        end = np.append(start[1:], 0)[: len(start)]
+        last = np.append(row[1:] != row[:-1], True)[: len(row)]
+        end[last] = n[row[last]]
+        base = j.offs[:-1][row]
+        out.append((row, start, end - start, j.digest(base + start, base + end - 1)))
+    return j, out
 
 
 def _groups_of(table: pa.Table, window: int) -> pa.RecordBatch:
     """groups() of a batch of whole collections (collection, toks)."""
-    row, _, length, digests = _cut(table.column("toks").combine_chunks(), window)
+    _, ((row, _, length, digests),) = _cuts(table.column("toks").combine_chunks(), (window,))
     frag, first = numbered(grammar.numbers_of(table.column("collection"))[row], digests)
     head, rank, _ = chain_batch(frag, row, length[first])
     n = np.bincount(head, minlength=len(head))[head] if len(head) else head

@@ -7,6 +7,9 @@ frequent term has many blocks, and its lexicon row sums them up.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from palimpsest.operators import kernels
 BLOCK_DOCS = 4096
 #: Blocks of short documents that a task builds.
 TASK_BLOCKS = 16
+#: Tokens up to which a block is built and restored as a whole by one call, and those of the blocks taken together.
+BLOCK_TOKENS, BATCH_TOKENS = 1 << 22, 1 << 19
 
 
 def block_of(doc) -> Column:
@@ -85,6 +90,52 @@ def texts(index: DataFrame) -> DataFrame:
     return restore(flat, "block", "docid").drop("block")
 
 
+def build_blocks(texts: DataFrame, doc: str, n_docs: int) -> DataFrame:
+    """build_texts() of (doc, text, n), tokens joined by spaces and their number, for blocks of at most BLOCK_TOKENS tokens each.
+
+    Whole blocks leave a kernel side by side, so block_texts() can turn them to documents again where they are.
+    """
+    n = max(texts.sparkSession.sparkContext.defaultParallelism, n_docs // (BLOCK_DOCS * TASK_BLOCKS))
+    dealt = texts.select(block_of(doc).alias("block"), F.col(doc).alias("docid"), "n", "text").repartition(n, "block").sortWithinPartitions("block", "docid")
+
+    def run(batches):
+        for table in kernels.whole_groups(batches, BATCH_TOKENS):
+            values, offs = kernels.lists(pc.split_pattern(table.column("text").combine_chunks(), " "))
+            block, docid = table.column("block").to_numpy(), table.column("docid").to_numpy()
+            coded = values.dictionary_encode()
+            row = np.repeat(np.arange(len(docid)), np.diff(offs))
+            # blocks ascend
+            group = (np.cumsum(np.diff(block, prepend=block[:1]) != 0) * len(coded.dictionary))[row] + coded.indices.to_numpy()
+            order = np.argsort(group, kind="stable")
+            new = np.diff(group[order], prepend=-1) != 0
+            head, doc_row = np.flatnonzero(new), row[order]
+            ends = np.append(head, len(order))
+            n_docs = np.add.reduceat((new | (np.diff(doc_row, prepend=-1) != 0)).astype(np.int64), head)
+            pos = (np.arange(len(row)) - offs[:-1][row])[order].astype(np.int32)
+            one = pa.StructArray.from_arrays([pa.array(docid[doc_row]), pa.array(pos)], names=["docid", "pos"])
+            cols = [coded.dictionary.take(coded.indices.take(pa.array(order[head]))), pa.array(block[doc_row[head]]), pa.array(np.diff(ends)), pa.array(n_docs), kernels.to_lists(one, ends, None)]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "block", "freq", "n_docs", "postings"])
+
+    return dealt.mapInArrow(run, "term string, block long, freq long, n_docs long, postings array<struct<docid: long, pos: int>>")
+
+
+def block_texts(index: DataFrame) -> DataFrame:
+    """docid, text: documents rebuilt from the lists of build_blocks(), whose blocks stand whole side by side."""
+    src = index.select("block", F.size("postings").alias("n"), "term", "postings")
+
+    def run(batches):
+        for table in kernels.whole_groups(batches, BATCH_TOKENS):
+            values, offs = kernels.lists(table.column("postings"))
+            docid, pos = values.field(0).to_numpy(), values.field(1).to_numpy()
+            row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+            order = np.lexsort((pos, docid))
+            head = np.flatnonzero(np.concatenate([[True], np.diff(docid[order]) != 0])) if len(order) else order
+            words = table.column("term").combine_chunks().take(pa.array(row[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(docid[order[head]]), pc.binary_join(kernels.to_lists(words, np.append(head, len(order)), None), " ")], names=["docid", "text"])
+
+    return src.mapInArrow(run, "docid long, text string")
+
+
 def lexicon(index: DataFrame) -> DataFrame:
     """term, freq, n_docs, n_blocks: one row per term, without its lists."""
     return index.groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_blocks"))

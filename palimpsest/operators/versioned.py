@@ -73,12 +73,17 @@ def with_ids(dictionary: DataFrame, *levels: Column) -> DataFrame:
 
 @dataclass
 class VersionedIndex:
-    """chosen: collection, w; dictionary: collection, hash, len, size, first, frag_id; metadata: frag_id, collection, version, offset; postings: index blocks over frag_id."""
+    """chosen: collection, w; dictionary: collection, hash, len, size, first, frag_id; metadata: frag_id, collection, version, offset; postings: index blocks over frag_id.
+
+    texts: frag_id, toks of the fragments, where a builder has them stored.  whole: blocks of postings stand side by side (index.build_blocks).
+    """
 
     chosen: DataFrame
     dictionary: DataFrame
     metadata: DataFrame
     postings: DataFrame
+    texts: DataFrame | None = None
+    whole: bool = False
 
 
 def windowed(arrays: DataFrame, windows) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +126,8 @@ def build(arrays: DataFrame, windows, cut: DataFrame | None = None) -> Versioned
     named = scratch.table(with_ids(every).withColumn("hash", F.lower(F.hex("hash"))), "dictionary")
     ids = named.select("collection", F.unhex("hash").alias("hash"), "frag_id")
     metadata = own.select("collection", "hash", "version", F.col("start").alias("offset")).join(ids, ["collection", "hash"]).select("frag_id", "collection", "version", "offset")
-    return VersionedIndex(chosen, named.drop("toks"), metadata, index.build_texts(named.select("frag_id", "toks"), "frag_id", named.count()))
+    texts = named.select("frag_id", "toks")
+    return VersionedIndex(chosen, named.drop("toks"), metadata, index.build_texts(texts, "frag_id", named.count()), texts)
 
 
 def build_cut(arrays: DataFrame, cut: DataFrame) -> VersionedIndex:
@@ -146,8 +152,14 @@ def lookup_phrase(found: VersionedIndex, terms: list[str]) -> DataFrame:
     return index.phrase(resolve(found, terms), terms, "collection", "version")
 
 
+def restored_texts(found: VersionedIndex) -> DataFrame:
+    """collection, version, text: all versions rebuilt from the index alone, their tokens joined by spaces."""
+    # one text is a third of its tokens in an exchange
+    runs = index.block_texts(found.postings) if found.whole else index.texts(found.postings).select("docid", F.array_join("toks", " ").alias("text"))
+    parts = found.metadata.join(runs.withColumnRenamed("docid", "frag_id"), "frag_id").groupBy("collection", "version").agg(F.array_sort(F.collect_list(F.struct("offset", "text"))).alias("parts"))
+    return parts.select("collection", "version", F.array_join("parts.text", " ").alias("text"))
+
+
 def restore(found: VersionedIndex) -> DataFrame:
     """collection, version, toks: all versions rebuilt from the index alone."""
-    runs = index.texts(found.postings).withColumnRenamed("docid", "frag_id")
-    parts = found.metadata.join(runs, "frag_id").groupBy("collection", "version").agg(F.array_sort(F.collect_list(F.struct("offset", "toks"))).alias("parts"))
-    return parts.select("collection", "version", F.flatten("parts.toks").alias("toks"))
+    return restored_texts(found).select("collection", "version", F.split("text", " ").alias("toks"))

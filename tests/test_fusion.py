@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import fusion, grammar, versioned
+from palimpsest.operators import fusion, grammar, index, versioned
 from palimpsest.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,30 @@ def test_fused_groups_exchange_texts_once(spark):
     """No fragment is exchanged: the plan's one exchange deals texts to whole collections."""
     plan = queries.QUERIES["fused_groups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert sum(line.lstrip(" :+-*()0123456789").startswith("Exchange") for line in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize(("limit", "block_tokens"), [(1 << 40, 1 << 22), (700, 1 << 22), (1 << 40, 100)])
+def test_fused_index_from_batches(spark, texts, monkeypatch, limit, block_tokens):
+    """The tables of an index that is built fused are those of one that is fused afterwards, for large collections and long texts too."""
+    monkeypatch.setattr(index, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(index, "BLOCK_TOKENS", block_tokens)
+    rows = texts.where("collection is not null and n > 0")
+    arrays = rows.select("collection", "version", grammar.toks_of().alias("toks"))
+    want = fusion.fuse(versioned.build(arrays, (5, 20, 9)))
+    small, large = grammar.by_size(rows, limit)
+    got = fusion.build(small.repartition("collection").sortWithinPartitions("collection", "version"), large, (5, 20, 9))
+    assert (large is None) == (limit > 700) and got.whole == (block_tokens > 100)
+    for name in ("chosen", "dictionary", "metadata", "postings"):
+        cols = sorted(getattr(want, name).columns)
+        assert sorted(getattr(got, name).columns) == cols
+        a, b = (sorted(tuple(map(str, x)) for x in getattr(one, name).select(*cols).collect()) for one in (got, want))
+        assert a == b, name
+    back = {(x.collection, x.version): x.text for x in versioned.restored_texts(got).collect()}
+    assert back == {(x.collection, x.version): x.text for x in rows.collect()}
+
+
+def test_fused_index_has_no_rows_of_tokens(spark):
+    """Postings are built and turned to texts in kernels: the plan explodes applications only."""
+    plan = queries.QUERIES["fused_round_trip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate" in line]
+    assert made and all("explode(apps" in line for line in made), plan
