@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from palimpsest import scratch
 from palimpsest.operators import covers, fragments, grammar, kernels
+from palimpsest.plans import queries
 
 
 def random_collections(seed):
@@ -111,3 +113,50 @@ def test_copied_runs():
                         m += 1
                     want.add((q, p, m + n - 1))
             assert len(rows[at[k] : at[k + 1]]) == len(want) and set(rows[at[k] : at[k + 1]]) == want
+
+
+def test_chosen_fragments_of_batches_and_rounds(spark):
+    """products() by one batch, by folding a collection that its copies make large, and by rounds; sizes count copies."""
+    r = random.Random(6)
+    base = [r.choice("abcdefgh") for _ in range(40)]
+    collections = {"a": [base] * 5 + [base[:25] + ["x"] + base[25:]], "b": [[r.choice("pqr") for _ in range(30)]], "c": [[]]}
+    df = spark.createDataFrame([(c, v, t) for c, vs in collections.items() for v, t in enumerate(vs)], "collection string, version long, toks array<string>")
+    want = set()
+    for c, vs in collections.items():
+        own = {v: vs.index(t) for v, t in enumerate(vs)}
+        lead, frags = sorted(set(own.values())), {}
+        for v, nodes in zip(lead, grammar.repair_nodes([vs[v] for v in lead], 8), strict=True):
+            for a, b in {(a, b) for _, a, b in nodes}:
+                frags.setdefault(hashlib.md5(" ".join(vs[v][a:b]).encode()).hexdigest(), (b - a, []))[1].append((v, a))
+        copies, ranks = {v: list(own.values()).count(v) for v in lead}, {}
+        for rank, h, v, o, n in fragments.cover(frags, 1.0, True, copies):
+            ranks.setdefault((rank, h, n), []).append((v, o))
+        want |= {(c, 1.0, k, h, n, sum(copies[v] for v, _ in apps), *min(apps), 0) for (k, h, n), apps in ranks.items()}
+    assert any(x[5] > 5 for x in want)
+    for limit in (1_000_000, 100, 50):
+        assert {tuple(x) for x in covers.products(df, [1.0], True, limit).collect()} == want, limit
+
+
+def test_chosen_fragments_exchange_texts_once(spark):
+    """No application is exchanged or grouped: the plan's one exchange deals texts to whole collections."""
+    plan = queries.QUERIES["cover_grammar_choice"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.lstrip(" :+-*()0123456789").startswith("Exchange") for line in plan.splitlines()) == 1, plan
+
+
+def test_rounds_keep_few_tables_and_small_broadcasts(spark):
+    tables = []
+    for k in range(20):
+        tables = scratch.collected([*tables, scratch.table(spark.range(k, k + 1), "t")], "t")
+        assert len(tables) <= scratch.MANY_TABLES
+    (one,) = scratch.collected(tables, "t", True)
+    assert sorted(x.id for x in one.collect()) == list(range(20))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    with scratch.lean(spark):
+        assert spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() == scratch.BROADCAST_BYTES
+    spark.conf.set(key, "-1")
+    try:
+        with scratch.lean(spark):
+            assert spark.conf.get(key) == "-1"
+    finally:
+        spark.conf.set(key, before)
